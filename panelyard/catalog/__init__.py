@@ -6,7 +6,7 @@ import importlib
 
 from panelyard.catalog import base
 
-FAMILIES = ("windows",)
+FAMILIES = ("windows", "timeline", "evaluation")
 
 
 def _load() -> None:

@@ -10,7 +10,7 @@ from panelyard.functions.numeric import as_col
 
 def item_codes(items: Column | str) -> Column:
     """Comma string -> array of codes without blanks and boilerplate; order kept."""
-    parts = F.transform(F.split(F.coalesce(as_col(items), F.lit("")), ","), F.trim)
+    parts = F.transform(F.split(F.coalesce(as_col(items), F.lit("")), ","), lambda c: F.trim(c))
     return F.filter(
         parts,
         lambda c: (c != "") & (c != vocab.BOILERPLATE_MODERN) & (c != vocab.BOILERPLATE_LEGACY),

@@ -50,4 +50,4 @@ def target_rows(panel: DataFrame, kind: str, horizon: int, features=vocab.FEATUR
 
 def latest_rows(panel: DataFrame, columns) -> DataFrame:
     """The last row of every ticker, by one aggregate."""
-    return panel.groupBy("ticker").agg(F.max_by(F.struct("date", *columns), "date").alias("r")).select("ticker", "r.*")
+    return panel.groupBy("ticker").agg(F.max_by(F.struct("date", *columns), "date").alias("__last")).select("ticker", "__last.*")
