@@ -63,7 +63,7 @@ def full_sql(body: str) -> str:
 
 def s6(expr: str, digits: int = 6) -> str:
     """The same settling as ``functions.numeric.settle``, as SQL."""
-    return f"(floor(CAST({expr} AS DOUBLE) * 1e{digits} + 0.5) / 1e{digits})"
+    return f"(floor(CAST({expr} AS DOUBLE) * 1e{digits} + 5001e-4) / 1e{digits})"
 
 
 def big(expr: str) -> str:

@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from panelyard import vocab
 from panelyard.catalog.base import big, query, s6, step
-from panelyard.catalog.timeline import AS_OF, SHIFTED, full_features
+from panelyard.catalog.timeline import SHIFTED, full_features
 from panelyard.functions.draws import draw_sql
 from panelyard.functions.numeric import ratio, settle
 from panelyard.functions.probability import as_vector, lift, squared_error, top_class
@@ -15,7 +15,7 @@ from panelyard.operators import bootstrap, evaluation, folds
 from panelyard.operators.drift import psi_verdict
 from panelyard.operators.quantiles import exact_quantiles
 from panelyard.plans import monitoring
-from panelyard.plans.panel import build_panel
+from panelyard.session import stored
 
 # ---------------------------------------------------------------- scored rows
 step("oof_ok", "SELECT * FROM oof WHERE y IS NOT NULL")
@@ -336,10 +336,15 @@ SELECT feature, CASE WHEN any_value(ne) < 2 THEN 0 ELSE sum((z - a) * ln(z / a))
 _verdict = "CASE WHEN psi < 0.1 THEN 'stable' WHEN psi < 0.25 THEN 'moderate' ELSE 'significant' END"
 
 
+def kept_features(t, names=vocab.FEATURES):
+    """Drift reads its input several times, so the features are a written table first."""
+    return stored(full_features(t).select("ticker", "date", *names), "features")
+
+
 @query("ag_drift", f"SELECT feature, {s6('psi')} AS psi, {_verdict} AS verdict, psi >= 0.2 AS retrain FROM drift_all")
 def ag_drift(t):
     """Stability of all 47 features, last 60 days against everything before."""
-    out = monitoring.drift_report(full_features(t), list(vocab.FEATURES))
+    out = monitoring.drift_report(kept_features(t), list(vocab.FEATURES))
     return out.select("feature", settle("psi").alias("psi"), "verdict", (F.col("psi") >= vocab.PSI_RETRAIN).alias("retrain"))
 
 
@@ -347,13 +352,13 @@ def ag_drift(t):
 def ag_psi(t):
     """Stability of four features of different shapes (continuous, constant, absent, counts)."""
     names = ["vix", "recession", "current_ratio", "event_density_90d"]
-    return monitoring.drift_report(full_features(t).select("date", *names), names).select("feature", settle("psi").alias("psi"))
+    return monitoring.drift_report(kept_features(t, names), names).select("feature", settle("psi").alias("psi"))
 
 
 @query("psi_verdict", f"SELECT {_verdict} AS verdict, {big('count(*)')} AS n FROM drift_all GROUP BY 1")
 def psi_verdict_query(t):
     """Features per verdict."""
-    return monitoring.drift_report(full_features(t), list(vocab.FEATURES)).groupBy(psi_verdict(F.col("psi")).alias("verdict")).agg(F.count("*").alias("n"))
+    return monitoring.drift_report(kept_features(t), list(vocab.FEATURES)).groupBy(psi_verdict(F.col("psi")).alias("verdict")).agg(F.count("*").alias("n"))
 
 
 @query("ag_decide", """
@@ -362,13 +367,13 @@ SELECT true AS should_run, 'full' AS mode, printf('PSI %.3f on %s exceeds 0.2',
 """)
 def ag_decide(t):
     """Retraining decision: drift beats the calendar."""
-    return monitoring.decide(full_features(t), list(vocab.FEATURES), "2002-01-10", "2001-12-20", "2001-12-20")
+    return monitoring.decide(kept_features(t), list(vocab.FEATURES), "2002-01-10", "2001-12-20", "2001-12-20")
 
 
 @query("tk_worst", f"SELECT feature, {s6('psi')} AS psi, CAST(row_number() OVER (ORDER BY psi DESC, feature) AS INTEGER) AS place FROM drift_all QUALIFY place <= 10")
 def tk_worst(t):
     """The ten features that moved most."""
-    out = monitoring.drift_report(full_features(t), list(vocab.FEATURES))
+    out = monitoring.drift_report(kept_features(t), list(vocab.FEATURES))
     top = out.orderBy(F.desc("psi"), "feature").limit(10)
     return top.select("feature", settle("psi").alias("psi"),
                       F.row_number().over(Window.orderBy(F.desc("psi"), "feature")).alias("place"))

@@ -25,9 +25,13 @@ def growth(now: Column | str, before: Column | str) -> Column:
 
 
 def settle(c: Column | str, digits: int = 6) -> Column:
-    """Round half up with plain double steps, so that every engine gets the same value."""
+    """Round with plain double steps, so that every engine gets the same value.
+
+    The border lies a little below one half: sums in another order may differ in their last bits,
+    and values that are exactly one half in decimal must still go the same way.
+    """
     scale = float(10**digits)
-    return F.floor(as_col(c).cast("double") * scale + 0.5) / scale
+    return F.floor(as_col(c).cast("double") * scale + 0.5001) / scale
 
 
 def signed_text(c: Column | str) -> Column:

@@ -16,16 +16,15 @@ BINS = 10
 
 def class_scores(rows: DataFrame, group: list[str]) -> DataFrame:
     """One row per forecast and class: score, hit flag and class number (binary: class 1 only)."""
-    k = F.size("p")
-    return rows.select(*group, "y", k.alias("k"), F.posexplode("p").alias("c", "s")).where(
-        (F.col("k") > 2) | (F.col("c") == 1)
+    return rows.select(*group, "y", F.size("p").alias("classes"), F.posexplode("p").alias("c", "s")).where(
+        (F.col("classes") > 2) | (F.col("c") == 1)
     ).withColumn("hit", (F.col("y") == F.col("c")).cast("int"))
 
 
 def macro_auc(rows: DataFrame, group: list[str]) -> DataFrame:
     """Binary AUC, or the mean of the one-versus-rest AUCs; NULL when a class is absent."""
-    by_class = ranking_metrics(score_ladder(class_scores(rows, [*group]), [*group, "k", "c"], "s", "hit"),
-                               [*group, "k", "c"])
+    by = [*group, "classes", "c"]
+    by_class = ranking_metrics(score_ladder(class_scores(rows, group), by, "s", "hit"), by)
     return by_class.groupBy(*group).agg(
         F.when(F.count("auc") == F.count("*"), F.avg("auc")).alias("macro_auc"),
         F.max_by("average_precision", "c").alias("average_precision"),

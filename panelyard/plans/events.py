@@ -36,17 +36,26 @@ def item_rows(filings: DataFrame) -> DataFrame:
 
 
 def filing_events(filings: DataFrame) -> DataFrame:
-    """Event table of filings: 8-K items and periodic reports, one row per event id."""
+    """Event table of filings: 8-K items and periodic reports, one row per event id.
+
+    One scan: each filing carries the array of what it reports, and the array is exploded.
+    """
     dated = filings.withColumn("event_date", effective_date("filing_date", "acceptance_datetime"))
-    items = item_rows(dated).select(
-        "ticker", "event_date", "event_type", "event_subtype",
-        F.concat(F.lit("8-K:"), F.col("code")).alias("source"), F.lit(1.0).alias("confidence"), "accession", "item_pos")
-    periodic = dated.where(F.col("form").isin(*vocab.PERIODIC_FORMS)).select(
-        "ticker", "event_date", lookup({f: t for f, (t, _) in vocab.PERIODIC_FORMS.items()}, F.col("form")).alias(
-            "event_type"),
-        lookup({f: s for f, (_, s) in vocab.PERIODIC_FORMS.items()}, F.col("form")).alias("event_subtype"),
-        F.col("form").alias("source"), F.lit(0.9).alias("confidence"), "accession", F.lit(0).alias("item_pos"))
-    rows = items.unionByName(periodic).withColumn(
+
+    def item(code, pos):
+        kind, subtype = classify_item(code)
+        return F.struct(kind.alias("event_type"), subtype.alias("event_subtype"),
+                        F.concat(F.lit("8-K:"), code).alias("source"), F.lit(1.0).alias("confidence"),
+                        pos.alias("item_pos"))
+
+    form = F.col("form")
+    periodic = F.array(F.struct(
+        lookup({f: t for f, (t, _) in vocab.PERIODIC_FORMS.items()}, form).alias("event_type"),
+        lookup({f: s for f, (_, s) in vocab.PERIODIC_FORMS.items()}, form).alias("event_subtype"),
+        form.alias("source"), F.lit(0.9).alias("confidence"), F.lit(0).alias("item_pos")))
+    reported = F.when(form == "8-K", F.transform(item_codes("items"), item)).when(
+        form.isin(*vocab.PERIODIC_FORMS), periodic)
+    rows = dated.select("ticker", "event_date", "accession", F.inline(reported)).withColumn(
         "event_id", event_key("ticker", "event_date", "event_type", "accession"))
     # two items of one type in one filing share an id: the first item stands for both
     return keep_one(rows, ["event_id"], [F.col("item_pos"), F.col("source")]).select(*EVENT_COLUMNS)
@@ -77,20 +86,22 @@ def dividend_events(dividends: DataFrame, as_of: str | None = None, causal: bool
     shown = F.format_string("%.1f%%", change * 100)
     kind = F.when(new, "DIVIDEND_INITIATE").when(up, "DIVIDEND_RAISE").when(down, "DIVIDEND_CUT")
     why = F.when(F.col("before").isNull(), "first payment").when(restarted, "resumed").otherwise(shown)
-    payments = steps.select("ticker", F.col("ex_date").alias("event_date"), kind.alias("event_type"),
-                            why.alias("event_subtype"), F.lit(0.9).alias("confidence")).where("event_type IS NOT NULL")
-
     wait = F.bround(F.col("interval") * vocab.MISSED_FACTOR).cast("int")
-    skipped = steps.where(restarted).select(
-        "ticker", F.date_add("last_date", wait).alias("event_date"), F.lit("missed expected payment").alias("why"))
     horizon = F.current_date() if as_of is None else F.lit(as_of).cast("date")
-    ended = steps.where("next_date IS NULL").select(
-        "ticker", F.date_add("ex_date", wait).alias("event_date"), F.lit("payments stopped").alias("why")
-    ).where(F.col("event_date") <= horizon)
-    missed = skipped.unionByName(ended).select(
-        "ticker", "event_date", F.lit("DIVIDEND_SUSPEND").alias("event_type"), F.col("why").alias("event_subtype"),
-        F.lit(0.7).alias("confidence"))
-    return payments.unionByName(missed).withColumn("source", F.lit("dividends"))
+
+    def event(day, what, subtype, confidence):
+        return F.struct(day.alias("event_date"), what.alias("event_type"), subtype.alias("event_subtype"),
+                        F.lit(confidence).alias("confidence"))
+
+    # a payment may stand for up to three events: itself, the gap before it, the end after it
+    suspend = F.lit("DIVIDEND_SUSPEND")
+    expected = F.date_add("ex_date", wait)
+    found = F.array_compact(F.array(
+        F.when(kind.isNotNull(), event(F.col("ex_date"), kind, why, 0.9)),
+        F.when(restarted, event(F.date_add("last_date", wait), suspend, F.lit("missed expected payment"), 0.7)),
+        F.when(F.col("next_date").isNull() & (expected <= horizon),
+               event(expected, suspend, F.lit("payments stopped"), 0.7))))
+    return steps.select("ticker", F.inline(found)).withColumn("source", F.lit("dividends"))
 
 
 def all_events(filings: DataFrame, dividends: DataFrame | None = None, as_of: str | None = None) -> DataFrame:

@@ -65,7 +65,10 @@ def build_features(bars: DataFrame, *, benchmark: DataFrame | None = None, macro
     base = with_context(bars, benchmark, macro, universe, sector_bars).withColumn("sector_seen", F.col("sector"))
     if ratios is not None:
         rights.append((fundamentals_by_day(ratios), "filed"))
-    line = timeline(base, rights)
+    # few bytes but much work per row: keep the full number of partitions instead of letting
+    # the runtime merge them by size
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    line = timeline(base, rights).repartition(width, "ticker")
     if ratios is None:
         line = line.withColumns({c: none for c in vocab.FUNDAMENTALS})
     carried = ["bench", "sector", "vix", "curve_slope", *vocab.FUNDAMENTALS]
