@@ -6,7 +6,7 @@ import importlib
 
 from panelyard.catalog import base
 
-FAMILIES = ("windows", "timeline", "evaluation")
+FAMILIES = ("windows", "timeline", "evaluation", "feedback")
 
 
 def _load() -> None:
