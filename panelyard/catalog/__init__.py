@@ -6,7 +6,7 @@ import importlib
 
 from panelyard.catalog import base
 
-FAMILIES = ("windows", "timeline", "evaluation", "feedback")
+FAMILIES = ("windows", "timeline", "evaluation", "feedback", "news", "sources", "gate")
 
 
 def _load() -> None:

@@ -263,15 +263,20 @@ def ag_universe(t):
     return sector_counts(t.universe)
 
 
-@query("snk_scores", f"SELECT ticker, as_of, {s6('probability')} AS probability FROM score_rows WHERE as_of = (SELECT max(as_of) FROM score_rows)")
+step("month_scores", """
+SELECT ticker, last_day(as_of) AS run_day, max_by(probability, as_of) AS probability FROM score_rows GROUP BY ALL
+""")
+
+
+@query("snk_scores", f"SELECT ticker, run_day AS as_of, {s6('probability')} AS probability FROM month_scores WHERE run_day = (SELECT max(run_day) FROM month_scores)")
 def snk_scores(t):
-    """Write one partition per day, replace one of them, read the latest day."""
+    """A scoring run per month end: one folder per run, runs replaced when repeated, the latest read back."""
     from panelyard.session import new_path
     from panelyard.sources.writers import latest_scores, write_scores
 
-    rows = scores_of(t).withColumn("year", F.year("as_of"))
+    runs = scores_of(t).groupBy("ticker", F.last_day("as_of").alias("run_day")).agg(
+        F.max_by("probability", "as_of").alias("probability")).withColumnRenamed("run_day", "as_of")
     path = new_path(t.spark, "scores")
-    recent = rows.where(F.col("as_of") >= "2001-01-01").drop("year")
-    write_scores(recent.withColumn("probability", F.lit(0.0)), path)
-    write_scores(recent, path)  # same days again: replaced, not doubled
+    write_scores(runs.withColumn("probability", F.lit(0.0)), path)
+    write_scores(runs, path)  # the same runs again: replaced, not doubled
     return latest_scores(t.spark, path).select("ticker", "as_of", settle("probability").alias("probability"))

@@ -26,7 +26,8 @@ def event_key(ticker, day, kind, accession) -> Column:
 
 
 def text_key(text: Column | str) -> Column:
-    return short_sha1(F.lower(F.trim(as_col(text))), 20)
+    """Cache key of a text: surrounding white space and case do not count."""
+    return short_sha1(F.lower(F.regexp_replace(as_col(text), "^\\s+|\\s+$", "")), 20)
 
 
 def looks_delisted(reason: Column | str) -> Column:
