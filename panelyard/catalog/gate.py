@@ -13,8 +13,8 @@ from panelyard.functions.probability import squared_error
 from panelyard.functions.regimes import named_regime
 from panelyard.operators import evaluation
 from panelyard.operators.bootstrap import blocks_of, paired_edges
-from panelyard.operators.dedupe import keep_one
 from panelyard.plans import gate
+from panelyard.session import stored
 
 PANEL_NOW = "e8fe94da6605"
 step("gate_rows", f"""
@@ -71,19 +71,19 @@ def registry(t):
         "target", F.lit("production").alias("stage"), panel.alias("panel_id"), F.lit(None).cast("string").alias("schema"))
 
 
-def comparison(t):
-    rows = gate_rows(t)
+def comparison(t, rows=None):
+    rows = gate_rows(t) if rows is None else rows
     cand = rows.select("target", "ticker", "date", "y", F.col("se_model").alias("se"))
     inc = rows.select("target", "ticker", "date", "y", F.col("se_reference").alias("se"))
     return gate.shared_comparison(gate.shared_rows(cand, inc))
 
 
 def verdicts(t):
-    rows = gate_rows(t)
+    rows = stored(gate_rows(t), "scored")  # skill, shared rows and regimes all read it
     skill = _skill(rows, ["target"])
     cand = skill.select("target", F.col("candidate").alias("skill"), F.lit(PANEL_NOW).alias("panel_id"), F.lit(None).cast("string").alias("schema"))
     inc = registry(t).join(skill.select("target", F.col("incumbent").alias("skill")), "target")
-    return gate.promotion(cand, inc, comparison(t), _by_regime(rows))
+    return gate.promotion(cand, inc, comparison(t, rows), _by_regime(rows))
 
 
 @query("j_common_rows", f"SELECT target, {big('n_shared')} AS n_shared, {big('n_blocks')} AS n_dates, {s6('edge')} AS edge, {s6('lo')} AS ci90_low, {s6('hi')} AS ci90_high FROM gate_edge")
@@ -142,8 +142,7 @@ def p_guard(t):
     return gate.regime_guard(rows.select("target").distinct(), by, context).withColumn("worst_skill", settle("worst_skill"))
 
 
-def _comparisons(t):
-    rows = gate_rows(t)
+def _comparisons(t, rows):
     folds = paired_edges(blocks_of(rows, ["target"], "fold", "se_model", "se_reference"), ["target"], "fold")
     base = paired_edges(blocks_of(rows, ["target"], "fold", "se_model", "se_base"), ["target"], "fold")
     cols = ["target", "pooled", "ci90_low", "ci90_high"]
@@ -166,8 +165,8 @@ step("deploy_log", "SELECT a.target, NOT (a.hi < 0 OR b.hi < 0) AS deployable FR
 @query("p_deploy", "SELECT target, deployable, CAST(2 AS BIGINT) AS families_measured FROM deploy_log")
 def p_deploy(t):
     """May each model be served?"""
-    rows = gate_rows(t)
-    return gate.deployability(rows.select("target").distinct(), _comparisons(t)).select("target", "deployable", "families_measured")
+    rows = stored(gate_rows(t), "scored")
+    return gate.deployability(rows.select("target").distinct(), _comparisons(t, rows)).select("target", "deployable", "families_measured")
 
 
 step("auc_gate", """
@@ -192,9 +191,9 @@ FROM gate_skill s JOIN auc_gate a ON a.target = s.target JOIN deploy_log d ON d.
 """)
 def p_quality(t):
     """Verdict per target and the best deployable one."""
-    rows = gate_rows(t)
+    rows = stored(gate_rows(t), "scored")
     scores = _skill(rows, ["target"]).join(evaluation.macro_auc(rows, ["target"]), "target").withColumnRenamed("candidate", "brier_skill")
-    deploy = gate.deployability(rows.select("target").distinct(), _comparisons(t))
+    deploy = gate.deployability(rows.select("target").distinct(), _comparisons(t, rows))
     return gate.model_quality(scores, deploy).select("target", "deployable", "interpretation", "is_best")
 
 

@@ -86,8 +86,10 @@ def filings_from_json(raw: DataFrame, column: str = "block") -> DataFrame:
     Short columns are padded with NULL; blocks without forms vanish.
     """
     b = raw.select("cik", "ticker", F.from_json(column, BLOCK_SCHEMA).alias("b"))
-    rows = b.select("cik", "ticker", F.inline(F.arrays_zip(
-        "b.form", "b.filingDate", "b.acceptanceDateTime", "b.reportDate", "b.items", "b.accessionNumber")))
+    fields = ("form", "filingDate", "acceptanceDateTime", "reportDate", "items", "accessionNumber")
+    # zipping with NULL would give NULL: an absent column counts as an empty one
+    columns = [F.coalesce(F.col(f"b.{f}"), F.array().cast("array<string>")).alias(f) for f in fields]
+    rows = b.select("cik", "ticker", *columns).select("cik", "ticker", F.inline(F.arrays_zip(*fields)))
     typed = rows.where("form IS NOT NULL").select(
         "cik", "ticker", "form", F.try_to_date("filingDate").alias("filing_date"),
         F.try_to_timestamp("acceptanceDateTime").alias("acceptance_datetime"),
