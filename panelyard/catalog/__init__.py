@@ -6,7 +6,7 @@ import importlib
 
 from panelyard.catalog import base
 
-FAMILIES = ("windows", "timeline", "evaluation", "feedback", "news", "sources", "gate", "models")
+FAMILIES = ("windows", "timeline", "evaluation", "feedback", "news", "sources", "gate", "models", "streams")
 
 
 def _load() -> None:
