@@ -14,6 +14,7 @@ from panelyard.functions.regimes import named_regime
 from panelyard.operators import bootstrap, evaluation, folds
 from panelyard.operators.drift import psi_verdict
 from panelyard.operators.quantiles import exact_quantiles
+from panelyard.operators.single import beside
 from panelyard.plans import monitoring
 from panelyard.session import stored
 
@@ -424,7 +425,7 @@ def ag_earn_window(t):
     y = F.col("y")
     out = rows.groupBy("part").agg(F.count("*").alias("n"), F.avg(squared_error(F.col("p"), y)).alias("b"),
                                    F.avg(squared_error(F.col("prior"), y)).alias("base"), F.countDistinct("y").alias("k"))
-    total = out.agg(F.sum("n").alias("total")).withColumn("__one", F.lit(0))
+    total = out.agg(F.sum("n").alias("total"))
     skill = F.when((F.col("n") >= vocab.MIN_REGIME_ROWS) & (F.col("k") > 1), 1.0 - ratio("b", "base"))
-    return out.withColumn("__one", F.lit(0)).join(total, "__one").select(
+    return beside(out, total).select(
         "part", "n", settle(F.col("n") / F.col("total")).alias("share"), settle(skill).alias("brier_skill"))

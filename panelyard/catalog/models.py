@@ -13,6 +13,7 @@ from panelyard.catalog.windows import _roll
 from panelyard.functions.numeric import settle
 from panelyard.operators.bootstrap import blocks_of, paired_edges
 from panelyard.operators.evaluation import evaluate, pointwise
+from panelyard.operators.single import beside
 from panelyard.operators.folds import FoldSpec, fold_dates, thinned_dates
 from panelyard.plans import gate, models, monitoring, volatility
 from panelyard.plans.labels import label_scales
@@ -388,9 +389,9 @@ def p_retrain(t):
         return decision.withColumn("brier_skill", F.lit(None).cast("double"))
     rows, days = rows_of(t)
     oof = models.walk_forward(rows, stored(days, "folds"), list(vocab.BASELINE_SETS["simple"]), 2, "forest", SMALL)
-    skill = pointwise(oof, []).select("brier_skill").withColumn("__one", F.lit(0))
+    skill = pointwise(oof, []).select("brier_skill")
     # an incremental update is not available for these learners: it is recorded and done in full
-    return decision.withColumn("__one", F.lit(0)).join(skill, "__one").drop("__one").withColumn("executed", F.lit("full"))
+    return beside(decision, skill).withColumn("executed", F.lit("full"))
 
 
 @query("p_oos_keys", """

@@ -26,7 +26,7 @@ def feature_drift(rows: DataFrame, features: list[str], live: str) -> DataFrame:
     long = wide.unpivot(["live"], features, "feature", "x")
     cuts = exact_quantiles(long.where(~F.col("live")), ["feature"], "x", DECILES).select(
         "feature", F.array_distinct("q").alias("edges"))
-    # one entry per feature: Spark broadcasts it by its size
+    cuts = F.broadcast(cuts)  # one row per feature
     place = F.size(F.filter(F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0))), lambda e: e <= F.col("x")))
     counts = long.join(cuts, "feature").groupBy(
         "feature", F.size("edges").alias("n_edges"), F.when(F.col("x").isNotNull(), place).alias("bin")).agg(

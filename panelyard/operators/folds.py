@@ -11,6 +11,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from panelyard.operators.single import beside
+
 
 @dataclass(frozen=True)
 class FoldSpec:
@@ -72,8 +74,7 @@ def thinned_dates(rows: DataFrame, max_rows: int | None = None, stride: int | No
         total = rows.agg(F.count("*").alias("total"))
         limit = F.when((F.lit(max_rows) <= 0) | (F.col("total") <= max_rows), 1).otherwise(
             F.greatest(F.lit(2), F.ceil(F.col("total") / F.lit(max(max_rows, 1))))).cast("int")
-        one = total.select(limit.alias("stride"), F.lit(0).alias("__one"))
-        days = days.withColumn("__one", F.lit(0)).join(one, "__one").drop("__one")
+        days = beside(days, total.select(limit.alias("stride")))
     return days.where(F.col("pos") % F.col("stride") == 0).select("date", "stride")
 
 

@@ -4,12 +4,16 @@ The built-in exact percentile gathers all distinct values of a group in one task
 wanted ranks are narrowed down in three aggregate passes instead: coarse buckets on a logarithmic
 scale, then linear slices of the few buckets that hold a wanted rank, then the distinct values of
 the few slices that still do.  Every pass combines on the map side; no task sees a whole group.
+The wanted buckets are written between passes: a written table has a known size, so Spark sends
+it to all tasks when it is small and the values themselves are not shuffled to meet it.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from panelyard.session import stored
+
 COARSE_PER_E = 64      # buckets per factor e
 FINEST = 1e-9          # below this magnitude the coarse scale is linear
 SLICES = 4096          # linear slices of one coarse bucket
@@ -57,6 +61,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
         .select(*keys, "b", "low", "high", "start", "total", "ranks")
     )
 
+    coarse = stored(coarse, "ranks")
     sliced = v.join(coarse, [*keys, "b"]).withColumn("s", _slice(F.col("v"), F.col("low"), F.col("high")))
     fine = (
         sliced.groupBy(*keys, "b", "s", "low", "high", "start", "total", "ranks").agg(F.count("*").alias("n"))
@@ -66,6 +71,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
         .select(*keys, "b", "s", "low", "high", "start", "total", "ranks")
     )
 
+    fine = stored(fine, "ranks")
     exact = (
         v.join(fine, [*keys, "b"])
         .where(_slice(F.col("v"), F.col("low"), F.col("high")) == F.col("s"))

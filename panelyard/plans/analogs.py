@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from panelyard import vocab
 from panelyard.functions.numeric import finite
 from panelyard.operators.neighbours import nearest
+from panelyard.operators.single import beside
 from panelyard.plans.panel import latest_rows
 
 
@@ -21,9 +22,9 @@ def moments(rows: DataFrame, features) -> DataFrame:
 def standardised(rows: DataFrame, features, scale: DataFrame) -> DataFrame:
     """Adds ``vec``: the features, missing as 0, standardised with the given one-row moments."""
     raw = F.array(*[F.coalesce(finite(c), F.lit(0.0)) for c in features])
-    joined = rows.withColumn("__one", F.lit(0)).join(scale.withColumn("__one", F.lit(0)), "__one")
+    joined = beside(rows, scale)
     vec = F.transform(raw, lambda x, i: (x - F.get("centre", i)) / F.get("spread", i))
-    return joined.withColumn("vec", vec).drop("__one", "centre", "spread")
+    return joined.withColumn("vec", vec).drop("centre", "spread")
 
 
 def find_analogs(panel: DataFrame, k: int = 5, features=vocab.ANALOG_FEATURES, max_rows: int | None = None,

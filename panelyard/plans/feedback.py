@@ -12,6 +12,7 @@ from panelyard.functions.probability import realised_class
 from panelyard.functions.text import short_sha1
 from panelyard.operators.asof import timeline
 from panelyard.operators.dedupe import keep_one
+from panelyard.operators.single import beside
 from panelyard.plans.events import has_untagged_item
 
 
@@ -167,12 +168,12 @@ def volatility_moves(macro: DataFrame, days: DataFrame) -> DataFrame:
     """
     quotes = macro.where("vix IS NOT NULL").select(
         F.col("date"), "vix", F.row_number().over(Window.orderBy("date")).alias("no"))
-    total = quotes.agg(F.max("no").alias("n")).withColumn("__one", F.lit(0))
+    total = quotes.agg(F.max("no").alias("n"))
     line = timeline(days.select(F.lit(0).alias("k"), F.col("as_of").alias("date"), "horizon_days"),
                     [(quotes.select(F.lit(0).alias("k"), "date", "no"), "date")], key="k")
     ahead = Window.partitionBy("k").orderBy("day").rangeBetween(0, Window.unboundedFollowing)
     first = line.withColumn("no", F.min("no").over(ahead)).where("is_row AND no IS NOT NULL")
-    first = first.withColumn("__one", F.lit(0)).join(total, "__one").where("no < n")
+    first = beside(first, total).where("no < n")
     first = first.select(F.col("date").alias("as_of"), "horizon_days", "no",
                          F.least(F.col("no") + F.col("horizon_days"), F.col("n")).alias("end_no"))
     a = quotes.select("no", F.col("vix").alias("v0"))
@@ -245,8 +246,8 @@ def health(log: DataFrame, resolved: DataFrame, tags: DataFrame) -> DataFrame:
 
 def prediction_distribution(log: DataFrame, days: int = 90) -> DataFrame:
     """Class shares and mean probability per class in the window that ends at the last prediction."""
-    last = log.agg(F.max("as_of").alias("last")).withColumn("__one", F.lit(0))
-    recent = log.withColumn("__one", F.lit(0)).join(last, "__one").where(F.col("as_of") >= F.date_sub("last", days))
+    last = log.agg(F.max("as_of").alias("last"))
+    recent = beside(log, last).where(F.col("as_of") >= F.date_sub("last", days))
     per_class = recent.select("target", "predicted_class", F.explode("probabilities").alias("class", "p")).groupBy(
         "target", "class").agg(F.count("*").alias("n"), F.avg("p").alias("mean_probability"),
                                F.count_if(F.col("class") == F.col("predicted_class")).alias("chosen"))

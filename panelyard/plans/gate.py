@@ -12,6 +12,7 @@ from panelyard import vocab
 from panelyard.functions.numeric import ratio
 from panelyard.operators.bootstrap import blocks_of, paired_edges
 from panelyard.operators.dedupe import keep_one
+from panelyard.operators.single import beside
 
 
 def shared_rows(candidate: DataFrame, incumbent: DataFrame) -> DataFrame:
@@ -126,8 +127,8 @@ def model_quality(scores: DataFrame, deployable: DataFrame) -> DataFrame:
     rows = scores.join(deployable.select("target", "deployable"), "target", "left").withColumn(
         "deployable", F.coalesce("deployable", F.lit(True)))
     best = rows.where("deployable AND brier_skill IS NOT NULL").agg(
-        F.max_by("target", F.struct("brier_skill", "target")).alias("best_target")).withColumn("__one", F.lit(0))
-    return rows.withColumn("__one", F.lit(0)).join(best, "__one").select(
+        F.max_by("target", F.struct("brier_skill", "target")).alias("best_target"))
+    return beside(rows, best).select(
         "target", "brier_skill", "macro_auc", "deployable", quality_verdict(F.col("brier_skill"), F.col("macro_auc")).alias("interpretation"),
         F.coalesce(F.col("target") == F.col("best_target"), F.lit(False)).alias("is_best"))
 
@@ -147,10 +148,10 @@ def baseline_verdict(pooled: Column, low: Column, wins: Column, folds: Column) -
 
 def importance_overlap(left: DataFrame, right: DataFrame, k: int = 10) -> DataFrame:
     """Overlap of two ranked feature lists (feature, place)."""
-    a = left.where(F.col("place") <= k).agg(F.collect_set("feature").alias("a")).withColumn("__one", F.lit(0))
-    b = right.where(F.col("place") <= k).agg(F.collect_set("feature").alias("b")).withColumn("__one", F.lit(0))
+    a = left.where(F.col("place") <= k).agg(F.collect_set("feature").alias("a"))
+    b = right.where(F.col("place") <= k).agg(F.collect_set("feature").alias("b"))
     both = F.array_intersect("a", "b")
-    return a.join(b, "__one").select(
+    return beside(a, b).select(
         F.size(both).alias("overlap_count"), F.array_sort(both).alias("overlap"),
         F.array_sort(F.array_except("a", "b")).alias("left_only"), F.array_sort(F.array_except("b", "a")).alias("right_only"),
         (F.size(both) / k).alias("agreement"))

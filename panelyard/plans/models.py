@@ -21,6 +21,7 @@ from panelyard.functions.probability import squared_error
 from panelyard.operators.evaluation import class_priors, pointwise
 from panelyard.operators.folds import inner_validation
 from panelyard.operators.quantiles import exact_quantiles
+from panelyard.operators.single import beside
 from panelyard.session import stored
 
 MISSING = -99999.0  # tree learners get "missing" as a value below all others
@@ -155,7 +156,8 @@ def bucket_model(rows: DataFrame, fold_days: DataFrame, feature: str, k: int, bu
     """
     marked = rows.select("ticker", "date", "y", finite(feature).alias("v")).join(fold_days, "date")
     train = marked.where("role = 'train'")
-    cuts = exact_quantiles(train, ["fold"], "v", [i / buckets for i in range(1, buckets)]).select("fold", "q")
+    # one row per fold
+    cuts = F.broadcast(exact_quantiles(train, ["fold"], "v", [i / buckets for i in range(1, buckets)]).select("fold", "q"))
     place = F.when(F.col("v").isNotNull(), F.size(F.filter("q", lambda e: e <= F.col("v")))).otherwise(-1)
     placed = marked.join(cuts, "fold").withColumn("bucket", place).drop("q")
     freq = class_priors(placed.where("role = 'train'"), ["fold", "bucket"], k).select("fold", "bucket", F.col("prior").alias("p"))
@@ -213,11 +215,11 @@ def fusion(oof: DataFrame, fold_days: DataFrame, k: int, sentiment: str | None =
 
 def fusion_gain(fused: DataFrame) -> DataFrame:
     """Skill of both, the gain, and whether the combination is adopted."""
-    meta = pointwise(fused, []).select(F.col("brier_skill").alias("meta_skill"), F.lit(0).alias("__one"))
+    meta = pointwise(fused, []).select(F.col("brier_skill").alias("meta_skill"))
     base = pointwise(fused.drop("p").withColumnRenamed("p_base", "p"), []).select(
-        F.col("brier_skill").alias("base_skill"), F.lit(0).alias("__one"))
+        F.col("brier_skill").alias("base_skill"))
     gain = F.coalesce("meta_skill", F.lit(0.0)) - F.coalesce("base_skill", F.lit(0.0))
-    return meta.join(base, "__one").select("meta_skill", "base_skill", gain.alias("gain"),
+    return beside(meta, base).select("meta_skill", "base_skill", gain.alias("gain"),
                                            (gain >= vocab.FUSION_MIN_GAIN).alias("adopt"))
 
 

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from panelyard import vocab
 from panelyard.operators.drift import feature_drift
+from panelyard.operators.single import beside
 
 
 def split_by_age(panel: DataFrame, days: int = vocab.LIVE_WINDOW_DAYS) -> DataFrame:
     """Mark the rows of the last ``days`` days as live."""
-    last = panel.agg(F.max("date").alias("last_date")).withColumn("__one", F.lit(0))
-    rows = panel.withColumn("__one", F.lit(0)).join(last, "__one")
-    return rows.withColumn("live", F.col("date") >= F.date_sub("last_date", days)).drop("__one", "last_date")
+    rows = beside(panel, panel.agg(F.max("date").alias("last_date")))
+    return rows.withColumn("live", F.col("date") >= F.date_sub("last_date", days)).drop("last_date")
 
 
 def drift_report(panel: DataFrame, features: list[str]) -> DataFrame:
@@ -26,7 +26,7 @@ def decide(panel: DataFrame, features: list[str], today: str, last_full: str | N
     counts = marked.agg(F.count_if(~F.col("live")).alias("n_ref"), F.count_if("live").alias("n_live"))
     worst = feature_drift(marked, features, "live").agg(
         F.max("psi").alias("psi"), F.max_by("feature", F.struct("psi", "feature")).alias("feature"))
-    one = counts.withColumn("__one", F.lit(0)).join(worst.withColumn("__one", F.lit(0)), "__one")
+    one = beside(counts, worst)
     enough = (F.col("n_ref") > least_reference) & (F.col("n_live") > least_live)
     drifted = enough & (F.col("psi") >= vocab.PSI_RETRAIN)
 

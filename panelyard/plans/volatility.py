@@ -12,6 +12,7 @@ from panelyard import vocab
 from panelyard.functions.numeric import growth, ratio
 from panelyard.functions.rolling import Trailing, linear_filter
 from panelyard.operators.quantiles import exact_quantiles
+from panelyard.operators.single import beside
 
 T = Trailing()
 PARKINSON = 1.0 / (4.0 * math.log(2.0))
@@ -148,8 +149,7 @@ def garch_forecast(series: DataFrame, fold_days: DataFrame, horizon: int) -> tup
     """Per fold: parameters from training days, and ``x`` = log ratio of forecast to trailing variance."""
     cut = fold_days.where("role = 'train'").groupBy("fold").agg(F.max("date").alias("last_train"))
     # every fold sees every series once: folds are few and the table is one row per bar
-    per = series.select("ticker", "date", "day", "ret", "trail_var").withColumn("__one", F.lit(0)).join(
-        cut.withColumn("__one", F.lit(0)), "__one").drop("__one")
+    per = beside(series.select("ticker", "date", "day", "ret", "trail_var"), cut)
     fits = garch_parameters(per.where(F.col("date") <= F.col("last_train")).select("fold", "ticker", "day", "ret"))
     rows = per.join(fits, ["fold", "ticker"]).withColumn("ret", F.coalesce(F.col("ret") - F.col("mean"), F.lit(0.0)))
     ahead = garch_filter(rows)

@@ -54,9 +54,14 @@ def distinct_filings(filings: DataFrame, delay: str = "7 days") -> DataFrame:
     return timed.withWatermark("seen", delay).dropDuplicatesWithinWatermark(["accession"]).drop("seen")
 
 
+def timed(ticks: DataFrame, delay: str) -> DataFrame:
+    """Event time as TIMESTAMP (zone-less input counts as UTC) with its watermark."""
+    return ticks.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+
+
 def tumbling(ticks: DataFrame, key: str, width: str = "15 minutes", delay: str = "1 hour") -> DataFrame:
     """Counts and means per key and fixed window."""
-    return ticks.withWatermark("ts", delay).groupBy(F.window("ts", width), key).agg(
+    return timed(ticks, delay).groupBy(F.window("ts", width), key).agg(
         F.count("*").alias("n"), F.avg("value").alias("mean_value")).select(
         F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), key, "n", "mean_value")
 
@@ -64,7 +69,7 @@ def tumbling(ticks: DataFrame, key: str, width: str = "15 minutes", delay: str =
 def sliding_density(ticks: DataFrame, key: str, days: int = 90, delay: str = "1 hour") -> DataFrame:
     """Events per key in the trailing days.  Daily counts come first, so that a tick is not
     copied into every window it belongs to."""
-    daily = ticks.withWatermark("ts", delay).groupBy(F.window("ts", "1 day"), key).agg(F.count("*").alias("n"))
+    daily = timed(ticks, delay).groupBy(F.window("ts", "1 day"), key).agg(F.count("*").alias("n"))
     at = daily.select(F.window_time("window").alias("day_end"), key, "n")
     return at.groupBy(F.window("day_end", f"{days} days", "1 day"), key).agg(F.sum("n").alias("n")).select(
         F.col("window.end").alias("window_end"), key, "n")
@@ -72,7 +77,7 @@ def sliding_density(ticks: DataFrame, key: str, days: int = 90, delay: str = "1
 
 def quiet_periods(ticks: DataFrame, key: str, gap: str = "48 hours", delay: str = "1 hour") -> DataFrame:
     """Sessions per key; a closed session says that the feed went stale after it."""
-    return ticks.withWatermark("ts", delay).groupBy(F.session_window("ts", gap), key).agg(F.count("*").alias("n")).select(
+    return timed(ticks, delay).groupBy(F.session_window("ts", gap), key).agg(F.count("*").alias("n")).select(
         key, F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), "n")
 
 
@@ -101,8 +106,7 @@ def last_seen(ticks: DataFrame) -> DataFrame:
         gap = None if before is None else (first - before).total_seconds() / 86400
         yield pd.DataFrame({"user_id": [key[0]], "event_type": [key[1]], "last_ts": [last], "n": [n], "days_before": [gap]})
 
-    timed = ticks.select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", "1 hour")
-    return timed.groupBy("user_id", "event_type").applyInPandasWithState(
+    return timed(ticks.select("user_id", "event_type", "ts"), "1 hour").groupBy("user_id", "event_type").applyInPandasWithState(
         step, LAST_SCHEMA, LAST_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
