@@ -45,26 +45,54 @@ class Trailing:
     def lead(self, c, n: int = 1) -> Column:
         return F.lead(as_col(c), n).over(self.ordered())
 
-    def rolling(self, how: Callable, c, n: int, at_least: int, *, ahead: bool = False) -> Column:
-        """Aggregate over the last ``n`` rows (or the next ``n``), NULL below ``at_least`` values."""
+    def rolling(self, how: Callable, c, n: int, at_least: int, *, ahead: bool = False, gaps: bool = True) -> Column:
+        """Aggregate over the last ``n`` rows (or the next ``n``), NULL below ``at_least`` values.
+
+        Without ``gaps`` the caller vouches that NULLs only lead the series; the running count
+        then replaces a count over the moving frame, which is recounted for every row.
+        """
         w = self.rows(1, n) if ahead else self.rows(1 - n, 0)
         c = as_col(c)
-        return F.when(F.count(c).over(w) >= at_least, how(c).over(w))
+        seen = F.count(c).over(w if gaps else self.rows(Window.unboundedPreceding, 0))
+        return F.when(seen >= at_least, how(c).over(w))
 
-    def rolling_pair(self, how: Callable, a, b, n: int, at_least: int) -> Column:
+    def rolling_pair(self, how: Callable, a, b, n: int, at_least: int, *, gaps: bool = True) -> Column:
         w = self.rows(1 - n, 0)
         both = F.when(as_col(b).isNotNull(), as_col(a))
-        return F.when(F.count(both).over(w) >= at_least, how(as_col(a), as_col(b)).over(w))
+        seen = F.count(both).over(w if gaps else self.rows(Window.unboundedPreceding, 0))
+        return F.when(seen >= at_least, how(as_col(a), as_col(b)).over(w))
 
     def volatility(self, returns, n: int) -> Column:
-        """Sample deviation over ``n`` rows, at least half of them present."""
-        return self.rolling(F.stddev_samp, returns, n, n // 2)
+        """Sample deviation over ``n`` rows, at least half of them present (NULLs only lead)."""
+        return self.rolling(F.stddev_samp, returns, n, n // 2, gaps=False)
 
     def filled(self, c) -> Column:
         """Last non-null value so far."""
         return F.last(as_col(c), ignorenulls=True).over(self.so_far())
 
 
+def moving_extremes(df: DataFrame, specs: dict[str, tuple[Callable, str]], n: int, at_least: int, t: Trailing) -> DataFrame:
+    """Moving maxima and minima over the last ``n`` rows at a cost that does not grow with ``n``.
+
+    Rows are cut into blocks of ``n``.  Any ``n`` consecutive rows are the end of one block and the
+    start of the next, so the answer is the better of a running extreme from the right, ``n - 1``
+    rows back, and a running extreme from the left, here (van Herk 1992).
+    ``specs[out] = (F.max or F.min, input column)``.
+    """
+    df = df.withColumn("__v", F.floor((F.row_number().over(t.ordered()) - 1) / n).cast("int"))
+    left = Window.partitionBy(*t.keys, "__v").orderBy(t.order).rowsBetween(Window.unboundedPreceding, 0)
+    right = Window.partitionBy(*t.keys, "__v").orderBy(F.desc(t.order)).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumns({f"__right_{o}": how(c).over(right) for o, (how, c) in specs.items()})
+    df = df.withColumns({f"__left_{o}": how(c).over(left) for o, (how, c) in specs.items()})
+    seen = t.rows(Window.unboundedPreceding, 0)
+    done = {}
+    for o, (how, c) in specs.items():
+        better = F.greatest if how is F.max else F.least
+        value = better(F.col(f"__left_{o}"), t.lag(f"__right_{o}", n - 1))
+        done[o] = F.when(F.count(c).over(seen) >= at_least, value)
+    return df.withColumns(done).drop("__v", *[f"__{s}_{o}" for s in ("left", "right") for o in specs])
+
+
 def decay_of(alpha: float | None = None, span: int | None = None) -> float:
     return alpha if alpha is not None else 2.0 / (span + 1.0)
 

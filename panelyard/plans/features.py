@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from panelyard import vocab
 from panelyard.functions.numeric import finite, growth, ratio
 from panelyard.functions.regimes import recession
-from panelyard.functions.rolling import Trailing, decay_of, smooth
+from panelyard.functions.rolling import Trailing, decay_of, moving_extremes, smooth
 from panelyard.operators.asof import timeline
 from panelyard.plans.events import events_by_day
 from panelyard.plans.fundamentals import fundamentals_by_day
@@ -98,11 +98,11 @@ def price_features(rows: DataFrame) -> DataFrame:
         "vol_20": T.volatility("ret", 20), "vol_60": T.volatility("ret", 60),
         "sector_vol_20": T.volatility("sector_ret", 20),
         "volume_mean": T.rolling(F.avg, "log_volume", 60, 30), "volume_sd": T.rolling(F.stddev_samp, "log_volume", 60, 30),
-        "sma_20": T.rolling(F.avg, "close", 20, 10), "sd_20": T.rolling(F.stddev_samp, "close", 20, 10),
-        "high_252": T.rolling(F.max, "close", 252, 60), "low_252": T.rolling(F.min, "close", 252, 60),
-        "cov_60": T.rolling_pair(F.covar_samp, "ret", "bench_ret", 60, 30),
-        "bench_var_60": T.rolling(F.var_samp, "bench_ret", 60, 30),
+        "sma_20": T.rolling(F.avg, "close", 20, 10, gaps=False), "sd_20": T.rolling(F.stddev_samp, "close", 20, 10, gaps=False),
+        "cov_60": T.rolling_pair(F.covar_samp, "ret", "bench_ret", 60, 30, gaps=False),
+        "bench_var_60": T.rolling(F.var_samp, "bench_ret", 60, 30, gaps=False),
     })
+    rows = moving_extremes(rows, {"high_252": (F.max, "close"), "low_252": (F.min, "close")}, 252, 60, T)
     fourteen = 1.0 / 14.0
     rows = smooth(rows, {
         "atr": ("true_range", fourteen, 14), "avg_gain": ("gain", fourteen, 14), "avg_loss": ("loss", fourteen, 14),

@@ -19,6 +19,11 @@ def two_way(z: Column, threshold: float) -> Column:
     return F.when(z.isNotNull(), (F.abs(z) >= threshold).cast("int"))
 
 
+def _scale(rows: DataFrame, lookback: int) -> Column:
+    """Trailing volatility; the feature of the same length is reused where it is at hand."""
+    return F.col(f"vol_{lookback}") if f"vol_{lookback}" in rows.columns else T.volatility("ret", lookback)
+
+
 def add_labels(rows: DataFrame, horizons=vocab.HORIZONS, threshold: float = vocab.THRESHOLD_SIGMAS,
                lookback: int = vocab.VOL_LOOKBACK) -> DataFrame:
     """Seven label columns per horizon; NULL while the forward window is open.
@@ -28,7 +33,7 @@ def add_labels(rows: DataFrame, horizons=vocab.HORIZONS, threshold: float = voca
     least ``lookback`` real sector observations over the ticker's history.
     """
     rows = rows.withColumns({
-        "scale_base": T.volatility("ret", lookback),
+        "scale_base": _scale(rows, lookback),
         "rel_scale_base": T.volatility(F.col("ret") - F.col("sector_ret"), lookback),
         "sector_days": F.count("sector_seen").over(T.whole()),
         **{f"ahead_{h}": ratio(T.lead("close", h), "close") for h in horizons},
@@ -61,7 +66,7 @@ def label_names(horizons=vocab.HORIZONS) -> list[str]:
 def label_scales(rows: DataFrame, lookback: int = vocab.VOL_LOOKBACK) -> DataFrame:
     """Scale of the absolute and of the relative move per bar, for one bar of horizon."""
     return rows.withColumns({
-        "label_scale": T.volatility("ret", lookback),
+        "label_scale": _scale(rows, lookback),
         "rel_label_scale": F.when(F.count("sector_seen").over(T.whole()) >= lookback,
                                   T.volatility(F.col("ret") - F.col("sector_ret"), lookback)),
     })
