@@ -13,6 +13,8 @@ from panelyard import vocab
 from panelyard.functions.draws import draw
 from panelyard.session import stored
 
+BROADCAST_BLOCKS = 1_000_000  # a key and four numbers each: some 50 MB at most
+
 
 def blocks_of(rows: DataFrame, group: list[str], block: str, model: str, reference: str) -> DataFrame:
     """Sum of squared errors of both sides per block."""
@@ -24,9 +26,7 @@ def paired_edges(blocks: DataFrame, group: list[str], block: str, level: float =
                  reps: int = vocab.BOOTSTRAP_REPS) -> DataFrame:
     """Pooled edge, block wins and bootstrap intervals, one row per group."""
     spark = blocks.sparkSession
-    # read by every step below; a written table also has a known size, by which Spark decides
-    # whether to send it to all tasks or to shuffle
-    blocks = stored(blocks, "blocks")
+    blocks = stored(blocks, "blocks")  # read by every step below
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     numbered = blocks.select(
         *group, "n", "sum_model", "sum_reference",
@@ -42,7 +42,9 @@ def paired_edges(blocks: DataFrame, group: list[str], block: str, level: float =
     picks = each.select(*group, "rep", "n_blocks", F.explode(
         F.sequence(F.lit(0), (F.col("n_blocks") - 1).cast("int"))).alias("slot")).select(
         *group, "rep", draw(seed, F.col("rep"), F.col("slot"), F.col("n_blocks")).alias("i"))
-    drawn = picks.join(numbered, [*group, "i"]).groupBy(*group, "rep").agg(
+    # the draws are generated, so the optimizer cannot see how many they are: say which side is small
+    small = blocks.count() <= BROADCAST_BLOCKS
+    drawn = picks.join(F.broadcast(numbered) if small else numbered.hint("merge"), [*group, "i"]).groupBy(*group, "rep").agg(
         F.sum("sum_model").alias("m"), F.sum("sum_reference").alias("r"))
     tail = (1.0 - level) / 2.0
     spread = drawn.groupBy(*group).agg(F.percentile(
