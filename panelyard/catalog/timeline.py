@@ -159,6 +159,7 @@ def events_of(t):
 
 
 def full_features(t):
+    t.keep_bars()
     return build_features(t.bars, benchmark=t.benchmark_bars, macro=t.macro, events=events_of(t), universe=t.universe,
                           sector_bars=t.sector_bars, ratios=fundamentals(t.facts))
 

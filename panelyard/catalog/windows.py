@@ -130,6 +130,7 @@ step("lab", "SELECT ticker, date, " + ", ".join(f"{_label_sql(h)}, {_rel_sql(h)}
 
 
 def features_of(t):
+    t.keep_bars()
     return build_features(t.bars, benchmark=t.benchmark_bars, macro=t.macro, universe=t.universe,
                           sector_bars=t.sector_bars)
 

@@ -15,6 +15,7 @@ from panelyard.plans.labels import add_labels, label_names
 
 def build_dataset(tables, *, as_of: str | None = None) -> DataFrame:
     """Features and labels of every bar, from all inputs."""
+    tables.keep_bars()
     rows = build_features(
         tables.bars, benchmark=tables.benchmark_bars, macro=tables.macro,
         events=all_events(tables.filings, tables.dividends, as_of), universe=tables.universe,

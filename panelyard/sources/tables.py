@@ -1,7 +1,7 @@
 """Panel-shaped tables derived from the shared star-schema files.
 
-Each property is a lazy DataFrame.  Nothing is cached or collected: a job reads the columns it
-needs straight from Parquet.
+Each property is a lazy DataFrame; nothing is cached or collected.  Bars, which every feature job
+reads three times, can be written once first (:meth:`Tables.keep_bars`).
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from panelyard.session import stored
+
 BAR_COLUMNS = ("ticker", "date", "open", "high", "low", "close", "volume")
 
 
@@ -18,6 +20,7 @@ class Tables:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self._kept = False
 
     def base(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -41,6 +44,13 @@ class Tables:
             F.min_by("price", "place").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
             F.max_by("price", "place").alias("close"), F.sum("qty").alias("volume"))
 
+    def keep_bars(self) -> "Tables":
+        """Write the bars once, for jobs that read them several times (own, benchmark and sector series)."""
+        if not self._kept:
+            self.bars = stored(self.bars, "bars")
+            self._kept = True
+        return self
+
     @cached_property
     def universe(self) -> DataFrame:
         no = F.substring("ticker", 7, 10).cast("int")
