@@ -71,7 +71,7 @@ _sector_case = "CASE cik % 3 WHEN 0 THEN 'Energy' WHEN 1 THEN 'Utilities' ELSE '
 
 
 @query("src_universe", f"""
-SELECT ticker, name, {_sector_case} AS sector, CASE WHEN cik % 5 = 0 THEN NULL ELSE date_added END AS date_added, CASE WHEN cik % 7 = 0 THEN NULL ELSE cik END AS cik,
+SELECT ticker, name, {_sector_case} AS sector, CASE WHEN cik % 5 = 0 THEN NULL ELSE date_added END AS date_added, CAST(CASE WHEN cik % 7 = 0 THEN NULL ELSE cik END AS BIGINT) AS cik,
        CASE cik % 3 WHEN 0 THEN 'XLE' WHEN 1 THEN 'XLU' END AS sector_etf FROM universe
 """)
 def src_universe(t):
@@ -159,7 +159,7 @@ def src_oof(t):
         rows.select("ticker", "date", "fold", "y", "target", F.lit("production").alias("stage"), F.col("p_incumbent").alias("p")))
     both.write.partitionBy("target", "stage").parquet(path)
     out = readers.out_of_fold(t.spark.read.parquet(path), "magnitude_1d", "candidate")
-    return out.select("ticker", "date", F.col("fold").cast("int").alias("fold"), "y", settle("p").alias("p"))
+    return out.select("ticker", "date", "fold", "y", settle("p").alias("p"))
 
 
 @query("snk_panel", f"SELECT extract(year FROM date)::INTEGER AS year, {big('count(*)')} AS n, min(date) AS first_date, max(date) AS last_date FROM panel_log GROUP BY 1")

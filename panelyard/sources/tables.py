@@ -154,7 +154,7 @@ class Tables:
             return (20 + (vol * step + doy) % 60).cast("double") / 100
 
         return self.bars.select("ticker", "date", "close", "volume", nxt.alias("next")).select(
-            "ticker", "date", (F.year("date") - 1995).alias("fold"),
+            "ticker", "date", (F.year("date") - 1995).cast("bigint").alias("fold"),
             F.when(F.col("next").isNull(), None).when(F.abs(F.col("next") / F.col("close") - 1) >= 0.25, 1)
             .otherwise(0).alias("y"),
             p(7).alias("p_candidate"), p(3).alias("p_incumbent"), "close")
