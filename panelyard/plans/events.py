@@ -83,7 +83,7 @@ def dividend_events(dividends: DataFrame, as_of: str | None = None, causal: bool
     up = F.col("dividend") > F.col("before") * (1 + vocab.DIVIDEND_TOLERANCE)
     down = F.col("dividend") < F.col("before") * (1 - vocab.DIVIDEND_TOLERANCE)
     new = F.col("before").isNull() | restarted
-    shown = F.format_string("%.1f%%", change * 100)
+    shown = F.format_string("%.1f%%", F.bround(change * 100, 1))  # exact halves go to the even digit
     kind = F.when(new, "DIVIDEND_INITIATE").when(up, "DIVIDEND_RAISE").when(down, "DIVIDEND_CUT")
     why = F.when(F.col("before").isNull(), "first payment").when(restarted, "resumed").otherwise(shown)
     wait = F.bround(F.col("interval") * vocab.MISSED_FACTOR).cast("int")
