@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelyard.llm import packing, sharding
+from panelyard.llm import lines, packing, quality, sharding, toxicity
 from panelyard.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -18,3 +18,21 @@ def op2(spark, folder):
 def op10(spark, folder):
     """Every piece of every document in sequences of at most 1,024 tokens."""
     return packing.pack(table(spark, folder, "documents"))
+
+
+@query("op9_line_dedup")
+def op9(spark, folder):
+    """What line deduplication leaves of every document."""
+    return lines.line_report(table(spark, folder, "documents"))
+
+
+@query("op4_nearest_toxicity")
+def op4(spark, folder):
+    """Toxicity of every document by its nearest labelled examples."""
+    return toxicity.score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op5_nb_svm_quality")
+def op5(spark, folder):
+    """Quality of every document by naive Bayes support vectors."""
+    return quality.score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
