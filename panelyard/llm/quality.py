@@ -1,6 +1,7 @@
 """Quality scores by naive Bayes support vectors.
 
-A text's features are indicators of its byte n-grams, hashed to a fixed number of places.  Each is
+A text's features are indicators of its byte n-grams and of its runs of three word shapes, hashed to a
+fixed number of places.  Each is
 scaled by the log ratio of its smoothed counts in the two classes; a linear model with hinge loss is
 then fitted by dual coordinate descent, and its margin turned into a probability on rows that the
 first fit has not seen.  Counts and fit use a bounded sample of the labelled rows (``FIT_ROWS``) in
@@ -23,6 +24,9 @@ from panelyard.llm import flat, labelled
 
 PLACES_LOG2 = 18
 GRAM_BYTES = (2, 4)
+KIND = np.zeros((256, 3), np.int64)  # small letter, capital or digit, other sign than these
+KIND[97:123, 0] = KIND[128:, 0] = KIND[65:91, 1] = KIND[48:58, 1] = 1
+KIND[:128, 2] = 1 - KIND[:128, :2].sum(1)
 FIT_ROWS = (6_000, 6_000)  # bound of the labelled rows fitted, by class
 COST = 1.0
 EPOCHS = 12
@@ -30,6 +34,23 @@ FOLDS, HELD_FOLD = 3, 1
 SCORES = "doc_id BIGINT, held_out BOOLEAN, score DOUBLE, predicted INT"
 
 
+def word_shapes(texts: pa.Array) -> np.ndarray:
+    """Row and place of runs of three words by their shape: repeated, all capitals, with or without letters and digits."""
+    words = flat.Words(texts, fold=False)
+    n = len(words.key)
+    if n < 3:
+        return np.zeros(0, np.int64)
+    same = np.zeros(n, np.int64)
+    same[1:] = (words.key[1:] == words.key[:-1]) & (words.row[1:] == words.row[:-1])
+    kinds = np.concatenate([np.zeros((1, 3), np.int64), np.cumsum(KIND[words.data], axis=0)])
+    has = kinds[words.end] > kinds[words.start]
+    shape = same | has[:, 0] << 1 | has[:, 1] << 2 | has[:, 2] << 3
+    run = shape[2:] << 8 | shape[1:-1] << 4 | shape[:-2]
+    whole = words.row[2:] == words.row[:-2]
+    place = ((run.astype(np.uint32) + np.uint32(1 << 20)) * np.uint32(2654435761)) >> np.uint32(32 - PLACES_LOG2)
+    return (words.row[2:][whole] << PLACES_LOG2) | place[whole]
+
+
 def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Row and place of every distinct feature of every text."""
     data, at = flat.raw(texts)
@@ -44,6 +65,7 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         row = np.repeat(np.arange(len(at) - 1), np.diff(at))[:len(word)]
         whole = np.arange(len(word)) + size <= at[row + 1]
         found.append((row[whole] << PLACES_LOG2) | place[whole])
+    found.append(word_shapes(texts))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     key = np.concatenate(found)

@@ -1,7 +1,8 @@
 """Toxicity scores from the nearest labelled examples by exact TF-IDF cosine.
 
-Examples are a bounded sample of labelled documents (``EXAMPLES`` by class).  Their terms within the
-document-frequency bounds form the vocabulary; a term's weight is (1 + ln tf) ln(N / df) with df counted over
+Examples are a bounded sample of labelled documents (``EXAMPLES`` by class).  Terms are byte n-grams
+within words, which also find inflected forms; those of the examples within the document-frequency
+bounds form the vocabulary.  A term's weight is (1 + ln tf) ln(N / df) with df counted over
 all documents.  The inverted index keeps, per term and block of examples, the postings and their largest
 weight.  A query bounds every block by those maxima, reads the blocks with the highest bounds first,
 and skips the rest once no bound reaches its k-th cosine, so the neighbours are the exact ones.
@@ -26,11 +27,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from panelyard.llm import flat, labelled
 
-EXAMPLES = (8_192, 2_048)  # bound of the labelled rows in the index, by class
+EXAMPLES = (4_096, 4_096)  # bound of the labelled rows in the index, by class
 NEAREST = 64
 BLOCK = 64  # examples in a block of the index
 FIRST_BLOCKS = 24
-LEAST_SHARE, MOST_SHARE = 0.003, 0.2  # shares of the examples that a term of the vocabulary must and may occur in
+TERM_BYTES = 4
+LEAST_SHARE, MOST_SHARE = 0.003, 0.1  # shares of the examples that a term of the vocabulary must and may occur in
 LEAST_DF = 2
 FOLDS, HELD_FOLD = 5, 0
 EVIDENCE = 3
@@ -39,14 +41,22 @@ SCORES = ("doc_id BIGINT, held_out BOOLEAN, score DOUBLE, predicted INT, "
 
 
 def counted(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, term and count of every distinct word of every text, by row and term."""
-    words = flat.Words(texts)
-    order = np.lexsort((words.key, words.row))
-    row, key = words.row[order], words.key[order]
-    new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1])
-    at = np.flatnonzero(new)
-    return row[at], key[at], np.diff(np.append(at, len(row)))
+    """Row, term and count of every distinct term of every text, by row and term: the byte 4-grams within words, A-Z lower-cased."""
+    data, at = flat.raw(texts)
+    data = flat.LOWER[data]
+    n = len(data) - TERM_BYTES + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    inside = np.ones(n, bool)
+    gram = np.zeros(n, np.uint64)
+    for k in range(TERM_BYTES):
+        part = data[k:n + k]
+        inside &= ~flat.SPACE[part]
+        gram |= part.astype(np.uint64) << np.uint64(8 * k)
+    row = np.repeat(np.arange(len(at) - 1), np.diff(at))[:n]
+    inside &= np.arange(n) + TERM_BYTES <= at[row + 1]
+    key, count = np.unique((row[inside].astype(np.uint64) << np.uint64(32)) | gram[inside], return_counts=True)
+    return (key >> np.uint64(32)).astype(np.int64), key & np.uint64(0xFFFFFFFF), count
 
 
 def ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
