@@ -11,6 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+BLOCK_ROWS = 4_096  # rows of a block at most, so that row and key fit one integer
+KEY_BITS = 52
 BLOCK_BYTES = 2_000_000  # text bytes handled at once; a longer single text is a block of its own
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -44,11 +46,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def blocks(batch: pa.RecordBatch, column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Consecutive slices whose texts hold at most ``limit`` bytes (one row at least)."""
+    """Consecutive slices whose texts hold at most ``limit`` bytes (one row at least), and at most BLOCK_ROWS rows."""
     size = lengths(batch.column(column))
     start, held = 0, 0
     for i, n in enumerate(size):
-        if i > start and held + n > limit:
+        if i > start and (held + n > limit or i - start == BLOCK_ROWS):
             yield batch.slice(start, i - start)
             start, held = i, 0
         held += n
@@ -115,7 +117,7 @@ class Words:
         self.first = np.searchsorted(self.start, at)
 
     def shingles(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Row and hash of each distinct shingle, sorted by row and hash; a row with fewer words has one of them all."""
+        """Row and key of each distinct shingle, sorted by row and key; a row with fewer words has one of them all."""
         return distinct(*shingled(self.key, self.first, size))
 
 
@@ -139,13 +141,10 @@ def shingled(key: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray,
 
 
 def distinct(row: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(row):
-        return row, key
-    order = np.lexsort((key, row))
-    row, key = row[order], key[order]
-    new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1])
-    return row[new], key[new]
+    """Each (row, key) once, in order.  Keys are cut to their upper KEY_BITS bits, which name a shingle from here on."""
+    joined = np.sort((row.astype(np.uint64) << np.uint64(KEY_BITS)) | (key >> np.uint64(64 - KEY_BITS)))
+    joined = joined[np.append(True, joined[1:] != joined[:-1])] if len(joined) else joined
+    return (joined >> np.uint64(KEY_BITS)).astype(np.int64), joined & np.uint64((1 << KEY_BITS) - 1)
 
 
 def signed(x: np.ndarray) -> np.ndarray:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelyard.llm import lines, packing, quality, sharding, toxicity
+from panelyard.llm import jaccard, lines, packing, quality, sharding, toxicity
 from panelyard.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -36,3 +36,9 @@ def op4(spark, folder):
 def op5(spark, folder):
     """Quality of every document by naive Bayes support vectors."""
     return quality.score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op8_ngram_jaccard_join")
+def op8(spark, folder):
+    """Size of every document's shingle set and the component of its links."""
+    return jaccard.jaccard_components(table(spark, folder, "documents"))
