@@ -21,6 +21,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
+SIGNS = np.ones(256, bool)  # white space and every other byte below 128 that is no letter or digit
+SIGNS[48:58] = SIGNS[65:91] = SIGNS[97:123] = SIGNS[128:] = False
 
 _powers: dict[int, np.ndarray] = {}
 
@@ -94,16 +96,16 @@ class Words:
     """The words (runs of other than white space) of every row of a text column.
 
     ``row``: row of each word; ``key``: its hash; ``first``: index of the first word of each row
-    and one past the end.  ``fold`` lower-cases A-Z first.
+    and one past the end.  ``fold`` lower-cases A-Z first; ``gaps`` says which bytes stand between words.
     """
 
-    def __init__(self, texts: pa.Array, fold: bool = True):
+    def __init__(self, texts: pa.Array, fold: bool = True, gaps: np.ndarray = SPACE):
         data, at = raw(texts)
         if fold:
             data = LOWER[data]
         self.data, self.at = data, at
         n = len(data)
-        solid = ~SPACE[data]
+        solid = ~gaps[data]
         edge = np.zeros(n + 1, bool)  # a word also ends where its row ends
         edge[at] = True
         before = np.zeros(n, bool)

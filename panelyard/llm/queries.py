@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelyard.llm import jaccard, lines, packing, quality, sharding, toxicity
+from panelyard.llm import decontamination, jaccard, lines, packing, quality, sharding, toxicity
 from panelyard.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -42,3 +42,9 @@ def op5(spark, folder):
 def op8(spark, folder):
     """Size of every document's shingle set and the component of its links."""
     return jaccard.jaccard_components(table(spark, folder, "documents"))
+
+
+@query("op3_cgk_decontamination")
+def op3(spark, folder):
+    """Every document and benchmark item that it holds."""
+    return decontamination.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
