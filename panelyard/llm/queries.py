@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelyard.llm import decontamination, jaccard, lines, packing, quality, sharding, toxicity
+from panelyard.llm import decontamination, jaccard, lines, neighbours, packing, paragraphs, quality, sharding, toxicity
 from panelyard.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -48,3 +48,15 @@ def op8(spark, folder):
 def op3(spark, folder):
     """Every document and benchmark item that it holds."""
     return decontamination.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op6_paragraph_minhash")
+def op6(spark, folder):
+    """Every paragraph that is repeated, exactly or nearly, and whether it goes."""
+    return paragraphs.repeated_paragraphs(table(spark, folder, "documents"))
+
+
+@query("op7_learned_partitions")
+def op7(spark, folder):
+    """The 20 nearest vectors found for every twentieth vector."""
+    return neighbours.search(table(spark, folder, "embeddings"))
