@@ -29,8 +29,8 @@ from panelyard.llm import flat, labelled
 
 EXAMPLES = (4_096, 4_096)  # bound of the labelled rows in the index, by class
 NEAREST = 64
-BLOCK = 64  # examples in a block of the index
-FIRST_BLOCKS = 24
+BLOCK = 1_024  # examples in a block of the index
+FIRST_BLOCKS = 2
 TERM_BYTES = 4
 LEAST_SHARE, MOST_SHARE = 0.003, 0.1  # shares of the examples that a term of the vocabulary must and may occur in
 LEAST_DF = 2
@@ -99,7 +99,7 @@ class Index:
         value = value / length[row]
         order = np.lexsort((row, term))
         row, term, value = row[order], term[order], value[order]
-        self.doc, self.value = row.astype(np.int32), value
+        self.doc, self.value = row.astype(np.intp), value
         group = term * (self.n // BLOCK + 1) + row // BLOCK
         new = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, np.int64)
         self.entry_at = np.append(new, len(group))  # postings of each (term, block)
