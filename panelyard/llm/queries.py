@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelyard.llm import decontamination, jaccard, lines, neighbours, packing, paragraphs, quality, sharding, toxicity
+from panelyard.llm import decontamination, jaccard, lines, neighbours, packing, paragraphs, quality, sharding, suffixes, toxicity
 from panelyard.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -60,3 +60,9 @@ def op6(spark, folder):
 def op7(spark, folder):
     """The 20 nearest vectors found for every twentieth vector."""
     return neighbours.search(table(spark, folder, "embeddings"))
+
+
+@query("op1_suffix_array_dedup")
+def op1(spark, folder):
+    """What the removal of repeated 200-byte strings leaves of every document."""
+    return suffixes.without_repeats(table(spark, folder, "documents"))
