@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from panelyard.llm import decontamination, jaccard, lines, neighbours, packing, paragraphs, quality, sharding, suffixes, toxicity
+from panelyard.llm import decontamination, jaccard, lines, neighbours, oracles, packing, paragraphs, quality, sharding, suffixes, toxicity
 from panelyard.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
 
 
-@query("op2_hash_tree_sharding")
+@query("op2_hash_tree_sharding", oracles.sharding_sql())
 def op2(spark, folder):
     """Every document's shard in the weighted hash tree, its slot there, and its shard with one more."""
     return sharding.shard_documents(table(spark, folder, "documents"))
@@ -20,7 +20,7 @@ def op10(spark, folder):
     return packing.pack(table(spark, folder, "documents"))
 
 
-@query("op9_line_dedup")
+@query("op9_line_dedup", oracles.lines_sql())
 def op9(spark, folder):
     """What line deduplication leaves of every document."""
     return lines.line_report(table(spark, folder, "documents"))
@@ -38,7 +38,7 @@ def op5(spark, folder):
     return quality.score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
-@query("op8_ngram_jaccard_join")
+@query("op8_ngram_jaccard_join", oracles.jaccard_sql())
 def op8(spark, folder):
     """Size of every document's shingle set and the component of its links."""
     return jaccard.jaccard_components(table(spark, folder, "documents"))
@@ -62,7 +62,7 @@ def op7(spark, folder):
     return neighbours.search(table(spark, folder, "embeddings"))
 
 
-@query("op1_suffix_array_dedup")
+@query("op1_suffix_array_dedup", oracles.repeats_sql())
 def op1(spark, folder):
     """What the removal of repeated 200-byte strings leaves of every document."""
     return suffixes.without_repeats(table(spark, folder, "documents"))
