@@ -32,7 +32,7 @@ NEAREST = 64
 BLOCK = 1_024  # examples in a block of the index
 FIRST_BLOCKS = 2
 TERM_BYTES = 4
-LEAST_SHARE, MOST_SHARE = 0.003, 0.1  # shares of the examples that a term of the vocabulary must and may occur in
+LEAST_SHARE, MOST_SHARE = 0.003, 0.1  # a term must occur in this share of the examples, and may in that share of those of class 0
 LEAST_DF = 2
 FOLDS, HELD_FOLD = 5, 0
 EVIDENCE = 3
@@ -74,7 +74,9 @@ class Index:
     def __init__(self, ids: np.ndarray, label: np.ndarray, row: np.ndarray, key: np.ndarray, count: np.ndarray):
         n = len(ids)
         terms, df = np.unique(key, return_counts=True)
-        fits = (df >= max(LEAST_DF, LEAST_SHARE * n)) & (df <= max(LEAST_DF, MOST_SHARE * n))
+        clean = label[row] == 0
+        usual = np.bincount(np.searchsorted(terms, key[clean]), minlength=len(terms))
+        fits = (df >= max(LEAST_DF, LEAST_SHARE * n)) & (usual <= max(LEAST_DF, MOST_SHARE * np.count_nonzero(label == 0)))
         self.terms = terms[fits]
         self.ids, self.label, self.n = ids, label, n
         self.raw = (row, key, count)
