@@ -5,9 +5,10 @@ occur in one of the inverted lists of its n - ceil(t n) + 1 rarest shingles: tho
 their keys, to find candidates, and the remaining long lists are only probed, by binary search for each key of the smaller
 set in the other, as DivideSkip does.  Rarity comes from counts of hashed shingles over all documents; any order gives all links.
 
-Equal sets are one class from the start.  In a list of many sets, the merge first offers each set its neighbour by size and
-the list's first set; verified links make components; only pairs of different components in a list are offered then.
-That loses no link between components, so the components are exact, and a large group of near copies costs one link each.
+Equal sets are one class from the start.  Lists of up to ``SHORT`` sets give all their pairs, which counts of shingles by hash class
+then prune without loss, and the rest are verified on their texts.  Longer lists that have sets in common make a group, dealt in
+blocks of bounded size; a task holds two blocks, searches them by T-occurrence and gives the links of a spanning forest only, so
+neither pairs nor links of a large group of near copies are ever listed.
 
 Defined cases: a document without words or with a null text has an empty set, links with none and is its own component; rows
 without id have no component and link none; documents with fewer words than a shingle have one shingle
@@ -28,8 +29,10 @@ from panelyard.session import stored
 
 SHINGLE, PERCENT = 4, 85
 SKETCH = 1 << 16  # hashed counters of shingles
-ALL_PAIRS = 8  # lists up to this length give all their pairs at once
-CHUNK = 50_000
+SHORT = 16  # lists of more sets are searched in blocks
+CLASSES = 256  # hash classes of a set's signature
+BLOCK_SETS, BLOCK_SHINGLES = 1_500, 500_000  # bounds of a block
+SKIP = 0.01  # weight of a probe against a merge, which sets how many of the longest lists are skipped
 
 
 def set_keys(row: np.ndarray, key: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -41,24 +44,33 @@ def set_keys(row: np.ndarray, key: np.ndarray, rows: int) -> tuple[np.ndarray, n
     return size, flat.signed(flat.mix(total + size.astype(np.uint64)))
 
 
+def signatures(row: np.ndarray, key: np.ndarray, rows: int) -> list[bytes]:
+    """Shingles of every row in each hash class, 255 for as many or more."""
+    at = row * CLASSES + ((key >> np.uint64(24)) & np.uint64(CLASSES - 1)).astype(np.int64)
+    counts = np.minimum(255, np.bincount(at, minlength=rows * CLASSES)).astype(np.uint8).reshape(rows, CLASSES)
+    return [c.tobytes() for c in counts]
+
+
 def digests(docs: DataFrame, shingle: int) -> DataFrame:
-    """kind 0: doc_id, n, set of every row; kind 1: counter (n) of each sketch place (set) of a task."""
+    """kind 0: doc_id, n, set, signature of every row; kind 1: counter (n) of each sketch place (set) of a task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SKETCH, np.int64)
-        names = ["kind", "doc_id", "n", "set_key"]
+        names = ["kind", "doc_id", "n", "set_key", "signature"]
         for batch in batches:
             for block in flat.blocks(batch):
                 row, key = flat.Words(block.column("text")).shingles(shingle)
                 counts += np.bincount((key & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
                 size, own = set_keys(row, key, block.num_rows)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.zeros(len(size), np.int32)), block.column("doc_id"), pa.array(size), pa.array(own)], names)
+                    [pa.array(np.zeros(len(size), np.int32)), block.column("doc_id"), pa.array(size), pa.array(own),
+                     pa.array(signatures(row, key, block.num_rows), pa.binary())], names)
         held = np.flatnonzero(counts)
         if len(held):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.ones(len(held), np.int32)), pa.nulls(len(held), pa.int64()), pa.array(counts[held]), pa.array(held)], names)
+                [pa.array(np.ones(len(held), np.int32)), pa.nulls(len(held), pa.int64()), pa.array(counts[held]), pa.array(held),
+                 pa.nulls(len(held), pa.binary())], names)
 
-    return docs.mapInArrow(run, "kind INT, doc_id BIGINT, n BIGINT, set_key BIGINT")
+    return docs.mapInArrow(run, "kind INT, doc_id BIGINT, n BIGINT, set_key BIGINT, signature BINARY")
 
 
 def rarity(counts: DataFrame) -> np.ndarray:
@@ -135,58 +147,138 @@ def pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
-def first_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """a, b: all pairs of short lists; of long ones each set with its neighbour by size and with the first set."""
+def short_pairs(lists: DataFrame, percent: int, short: int = SHORT) -> DataFrame:
+    """a, b: the pairs of every list of up to ``short`` sets whose sizes allow a link."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, n, own in grouped(batches):
-            new = np.append(True, h[1:] != h[:-1])
-            start = np.flatnonzero(new)
+            start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
             length = np.diff(np.append(start, len(h)))
             place = np.arange(len(h)) - np.repeat(start, length)
             length = np.repeat(length, length)
-            pairs = []
-            for d in range(1, ALL_PAIRS):
-                left = np.flatnonzero((place + d < length) & ((length <= ALL_PAIRS) | (d == 1)))
-                pairs.append((left, left + d))
-            rest = np.flatnonzero((length > ALL_PAIRS) & (place > 1))
-            pairs.append((rest - place[rest], rest))
-            left, right = (np.concatenate(x) for x in zip(*pairs))
+            left = [np.flatnonzero((place + d < length) & (length <= short)) for d in range(1, short)]
+            right = np.concatenate([x + d for x, d in zip(left, range(1, short))])
+            left = np.concatenate(left)
             fits = 100 * n[left].astype(np.int64) >= percent * n[right].astype(np.int64)
-            both = np.stack([np.minimum(own[left], own[right])[fits], np.maximum(own[left], own[right])[fits]])
-            both = np.unique(both, axis=1)
+            both = np.unique(np.stack([np.minimum(own[left], own[right])[fits], np.maximum(own[left], own[right])[fits]]), axis=1)
             yield pair_batch(both[0], both[1])
 
     return lists.mapInArrow(run, "a BIGINT, b BIGINT").distinct()
 
 
-def other_pairs(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """a, b: pairs of a long list whose sets are in different components.  ``labels``: node, label."""
-    counted = lists.groupBy("h").count().where(F.col("count") > ALL_PAIRS).select("h")
-    long = lists.join(counted, "h").join(labels, lists.set_key == labels.node, "left").select(
-        "h", F.coalesce("label", "set_key").alias("label"), "n", "set_key")
-    mixed = long.groupBy("h").agg((F.min("label") < F.max("label")).alias("mixed")).where("mixed").select("h")
-    rows = long.join(mixed, "h").repartition("h").sortWithinPartitions("h", "n", "set_key").select("h", "n", "set_key", "label")
+def possible(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """The pairs that their signatures don't exclude.  ``signed``: set_key, n, signature."""
+    both = pairs.join(signed.select(F.col("set_key").alias("a"), F.col("n").alias("n_a"), F.col("signature").alias("sig_a")), "a")
+    both = both.join(signed.select(F.col("set_key").alias("b"), F.col("n").alias("n_b"), F.col("signature").alias("sig_b")), "b").select(
+        "a", "b", "n_a", "n_b", "sig_a", "sig_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, n, own, label in grouped(batches):
-            start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-            end = np.append(start[1:], len(h))
-            last = np.concatenate([a + np.searchsorted(100 * n[a:b].astype(np.int64), np.minimum(
-                -(-10_000 * n[a:b].astype(np.int64) // percent), 1 << 62) + 1) for a, b in zip(start, end)])
-            kept, held = [], 0
-            for i in np.arange(len(h)):
-                right = np.arange(i + 1, last[i])
-                right = right[label[right] != label[i]]
-                if len(right):
-                    kept.append((np.full(len(right), own[i]), own[right]))
-                    held += len(right)
-                if held > CHUNK:
-                    yield pair_batch(*(np.concatenate(x) for x in zip(*kept)))
-                    kept, held = [], 0
-            if kept:
-                yield pair_batch(*(np.concatenate(x) for x in zip(*kept)))
-
-    return rows.mapInArrow(run, "a BIGINT, b BIGINT").distinct()
+        for batch in batches:
+            x, y = (flat.raw(batch.column(c))[0].reshape(-1, CLASSES).astype(np.int64) for c in ("sig_a", "sig_b"))
+            shared = np.minimum(x, y)
+            most = shared.sum(1)
+            size = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+            full = ((x == 255) & (y == 255)).any(1)  # such classes may share more
+            yield batch.filter(pa.array(full | (100 * most >= percent * (size - most)))).select(["a", "b"])
+
+    return both.mapInArrow(run, "a BIGINT, b BIGINT")
+
+
+def groups(lists: DataFrame, short: int = SHORT) -> DataFrame:
+    """set_key, n, label: the sets of the longer lists, those of lists with a set in common under one label."""
+    long = lists.groupBy("h").agg(F.count("*").alias("c"), F.min("set_key").alias("b")).where(F.col("c") > short)
+    rows = stored(lists.join(long, "h").select("set_key", "n", "b"), "long")
+    labels = components(rows.select(F.col("set_key").alias("a"), "b"))
+    return rows.select("set_key", "n").distinct().join(labels, F.col("set_key") == F.col("node")).select("set_key", "n", "label")
+
+
+class Forest:
+    """Union-find over numbered sets."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def find(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = self.up[self.up[x]]
+            x = self.up[x]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def occurrences(row: np.ndarray, key: np.ndarray, size: np.ndarray, side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links among the sets (row, key; sorted), between both sides if there are two: the pairs of a spanning forest.
+
+    DivideSkip: the longest lists of a set are set aside; the others are merged into counts; sets that could still reach T are
+    probed for in the long lists by binary search.
+    """
+    _, name = np.unique(key, return_inverse=True)
+    order = np.argsort(name, kind="stable")
+    owner = row[order]
+    at = np.searchsorted(name[order], np.arange(int(name.max()) + 2 if len(name) else 1))
+    cuts = np.searchsorted(row, np.arange(len(size) + 1))
+    forest, found = Forest(len(size)), []
+    two = bool(side.any() and not side.all())
+    for x in range(len(size)):
+        need = -(-percent * int(size[x]) // 100)  # least overlap with any partner
+        own = name[cuts[x]:cuts[x + 1]]
+        length = at[own + 1] - at[own]
+        own, length = own[length > 1], length[length > 1]
+        if len(own) < need:
+            continue
+        by_length = np.argsort(length, kind="stable")
+        own, length = own[by_length], length[by_length]
+        skipped = min(need - 1, int(need / (SKIP * np.log2(max(2, int(length[-1]))) + 1)), len(own) // 2)
+        short, long = own[:len(own) - skipped], own[len(own) - skipped:]
+        merged = np.concatenate([owner[at[s]:at[s + 1]] for s in short.tolist()])
+        count = np.bincount(merged[merged > x], minlength=len(size))
+        near = np.flatnonzero(count >= max(1, need - skipped))
+        near = near[near > x]
+        if two:
+            near = near[side[near] != side[x]]
+        count = count[near]
+        for s in long.tolist():
+            held = owner[at[s]:at[s + 1]]
+            place = np.minimum(np.searchsorted(held, near), len(held) - 1)
+            count += held[place] == near
+        for y in near[100 * count >= percent * (size[x] + size[near] - count)].tolist():
+            if forest.join(x, y):
+                found.append((x, y))
+    return found
+
+
+def searched(grouped_sets: DataFrame, contents: DataFrame, column: str, read, percent: int) -> DataFrame:
+    """a, b: links within the groups.  ``grouped_sets``: set_key, n, label; ``contents``: set_key and a column from which ``read``
+    gives row and key of the distinct shingles of a block."""
+    totals = grouped_sets.groupBy("label").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    rows = grouped_sets.join(totals.select("label", blocks.alias("blocks")), "label")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("set_key", "label", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    rows = rows.join(contents, "set_key").select("label", "i", "j", "set_key", "own", column)
+
+    def search(table: pa.Table) -> pa.Table:
+        batch = table.sort_by("set_key").combine_chunks().to_batches()
+        if not batch:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        batch = batch[0]
+        rows, keys, done = [], [], 0
+        for block in flat.blocks(batch, column):
+            row, key = read(block.column(column))
+            rows.append(row + done)
+            keys.append(key)
+            done += block.num_rows
+        row, key = np.concatenate(rows), np.concatenate(keys)
+        own = batch.column("set_key").to_numpy()
+        side = batch.column("own").to_numpy() != batch.column("i")[0].as_py()
+        links = occurrences(row, key, np.bincount(row, minlength=done), side, percent)
+        return pa.table({"a": pa.array([own[x] for x, _ in links], pa.int64()), "b": pa.array([own[y] for _, y in links], pa.int64())})
+
+    return rows.groupBy("label", "i", "j").applyInArrow(search, "a BIGINT, b BIGINT")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -221,19 +313,33 @@ def linked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> t
     excess = rarity(found.where("kind = 1"))
     lists = stored(shared_lists(prefixes(known, excess, shingle, percent)), "lists")
 
-    # one text of every set that is in a list
-    asked = lists.select("set_key").distinct()
-    one = rows_of.where("doc_id IS NOT NULL AND n > 0").groupBy("set_key").agg(F.min("doc_id").alias("doc_id")).join(asked, "set_key", "left_semi")
-    texts = stored(known.join(one, "doc_id").select("set_key", "text"), "texts")
-
-    pairs = stored(first_pairs(lists, percent), "pairs")
-    links = stored(verified(pairs, texts, shingle, percent), "links")
-    labels = stored(components(links), "labels")
-    more = other_pairs(lists, labels, percent).join(pairs, ["a", "b"], "left_anti")
-    more = stored(verified(more, texts, shingle, percent), "more")
-    if more.isEmpty():
-        return rows_of, labels
-    return rows_of, stored(components(links.union(more)), "labels")
+    named = found.where("kind = 0 AND doc_id IS NOT NULL AND n > 0")
+    pairs = short_pairs(lists, percent)
+    asked = pairs.select(F.col("a").alias("asked")).union(pairs.select("b")).distinct()
+    signed = named.join(asked, F.col("set_key") == F.col("asked"), "left_semi").select("set_key", "n", "signature").dropDuplicates(["set_key"])
+    pairs = stored(possible(pairs, signed, percent), "pairs")
+    long = stored(groups(lists), "groups")
+
+    # one text of every set that is still in question
+    asked = pairs.select(F.col("a").alias("set_key")).union(pairs.select("b")).union(long.select("set_key")).distinct()
+    one = named.groupBy("set_key").agg(F.min("doc_id").alias("doc_id")).join(asked, "set_key", "left_semi")
+    texts = known.join(one, "doc_id").select("set_key", "text")
+    texts = stored(own_text(texts, shingle), "texts")
+    links = verified(pairs, texts, shingle, percent).union(
+        searched(long, texts, "text", lambda column: flat.Words(column).shingles(shingle), percent))
+    return rows_of, stored(components(links), "labels")
+
+
+def own_text(texts: DataFrame, shingle: int) -> DataFrame:
+    """Those rows of ``texts`` that have the named set, each set once: an id may be repeated with other texts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in flat.blocks(batch):
+                row, key = flat.Words(block.column("text")).shingles(shingle)
+                _, own = set_keys(row, key, block.num_rows)
+                yield block.filter(pa.array(own == block.column("set_key").to_numpy()))
+
+    return texts.mapInArrow(run, "set_key BIGINT, text STRING").dropDuplicates(["set_key"])
 
 
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

@@ -5,9 +5,9 @@ well.  Paragraphs of fewer than ``LEAST`` words are not compared.  Words are run
 is the set of its five-word shingles, and two are near when they share at least 80 % of them.
 
 Bands and rows are tuned: the least number of hash values at which a pair at the threshold collides with the
-target recall.  Paragraphs that collide in a band make a list; lists go the way of the inverted lists of the Jaccard join:
-neighbours and first members are verified first, then pairs that components still separate.  Equal sets are one class
-from the start.  In each component the earliest paragraph, by doc_id and place, stays.
+target recall.  Paragraphs that collide in a band make a list; the pairs of short lists are verified one by one, and the paragraphs of
+longer lists in blocks of bounded size, as in the Jaccard join, so that a large group of near copies never lists its pairs.  Equal
+sets are one class from the start.  In each component the earliest paragraph, by doc_id and place, stays.
 
 Defined cases: null and empty texts have no paragraph; rows without id are not compared; repeated ids with different texts count as
 one document whose paragraphs are told apart by place and content; an empty table gives no rows; further columns are ignored.
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from panelyard.llm import flat
 from panelyard.llm.components import components
-from panelyard.llm.jaccard import first_pairs, other_pairs, shared_lists
+from panelyard.llm.jaccard import groups, searched, shared_lists, short_pairs
 from panelyard.session import stored
 
 LONG, LEAST = 40, 8
@@ -158,18 +158,28 @@ def shingles_of(docs: DataFrame, asked: DataFrame) -> DataFrame:
     return docs.join(wanted, "doc_id").mapInArrow(run, "set_key BIGINT, shingles BINARY").dropDuplicates(["set_key"])
 
 
+def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Row and key of packed shingles."""
+    data, at = flat.raw(column)
+    return np.repeat(np.arange(len(column)), np.diff(at) // 8), np.frombuffer(data.tobytes(), np.uint64)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sets are similar enough.  ``sets``: set_key, shingles."""
     both = pairs.join(sets.select(F.col("set_key").alias("a"), F.col("shingles").alias("in_a")), "a")
     both = both.join(sets.select(F.col("set_key").alias("b"), F.col("shingles").alias("in_b")), "b").select("a", "b", "in_a", "in_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.uint64(flat.KEY_BITS)
         for batch in batches:
-            near = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column("in_a").to_pylist(), batch.column("in_b").to_pylist())):
-                shared = np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True).size
-                near[i] = 100 * shared >= percent * ((len(x) + len(y)) // 8 - shared)
-            yield batch.filter(pa.array(near)).select(["a", "b"])
+            for block in flat.blocks(batch, "in_a"):
+                (ra, ka), (rb, kb) = unpacked(block.column("in_a")), unpacked(block.column("in_b"))
+                both = np.concatenate([(ra.astype(np.uint64) << bits) | ka, (rb.astype(np.uint64) << bits) | kb])
+                both.sort()
+                twice = both[1:][both[1:] == both[:-1]]
+                shared = np.bincount((twice >> bits).astype(np.int64), minlength=block.num_rows)
+                size = np.bincount(ra, minlength=block.num_rows) + np.bincount(rb, minlength=block.num_rows)
+                yield block.filter(pa.array(100 * shared >= percent * (size - shared))).select(["a", "b"])
 
     return both.mapInArrow(run, "a BIGINT, b BIGINT")
 
@@ -186,12 +196,9 @@ def repeated_paragraphs(docs: DataFrame, percent: int = PERCENT, recall: float =
     holders = units.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"))
     asked = holders.join(lists.select("set_key").distinct(), "set_key", "left_semi")
     sets = stored(shingles_of(known, asked), "sets")
-    pairs = stored(first_pairs(lists, percent), "pairs")
-    links = stored(verified(pairs, sets, percent), "links")
+    links = verified(short_pairs(lists, percent), sets, percent).union(
+        searched(groups(lists), sets, "shingles", unpacked, percent))
     labels = stored(components(links), "labels")
-    more = stored(verified(other_pairs(lists, labels, percent).join(pairs, ["a", "b"], "left_anti"), sets, percent), "more")
-    if not more.isEmpty():
-        labels = stored(components(links.union(more)), "labels")
 
     by_set = units.groupBy("set_key").agg(F.count("*").alias("n_units"), F.min(F.struct("doc_id", "place")).alias("o"))
     named = by_set.join(labels, by_set.set_key == labels.node, "left").select("set_key", "n_units", "o", F.coalesce("label", "set_key").alias("label"))
