@@ -109,7 +109,7 @@ WHERE coalesce(x.kind, 'UNCLASSIFIED_8K') IN ('DISCLOSURE', 'UNCLASSIFIED_8K')
 """)
 step("vix_seq", "SELECT date, vix, row_number() OVER (ORDER BY date) AS no, count(*) OVER () AS n FROM macro WHERE vix IS NOT NULL")
 step("wrong_rows", """
-SELECT * FROM (SELECT * FROM done_cls WHERE error_type = 'incorrect' ORDER BY as_of DESC, prediction_id LIMIT 200) WHERE abs(actual_z) >= 0.5
+SELECT * FROM done_cls WHERE error_type = 'incorrect' AND abs(actual_z) >= 0.5
 """)
 step("pm_checks", """
 SELECT w.*, EXISTS (SELECT 1 FROM odd_days o WHERE o.ticker = w.ticker AND o.filing_date >= w.as_of AND o.filing_date <= w.as_of + INTERVAL '2' DAY) AS blind,
@@ -134,7 +134,7 @@ def j_theta_window(t):
 
 @query("p_postmortem", "SELECT * FROM pm_tags")
 def p_postmortem(t):
-    """Why the newest wrong predictions were wrong."""
+    """Why wrong predictions were wrong."""
     return tags_of(t)
 
 

@@ -73,7 +73,7 @@ UNION ALL SELECT ticker, 'Liabilities', NULL, period_end, 3 * n, filed, '10-Q' F
 UNION ALL SELECT ticker, 'StockholdersEquity', NULL, period_end, 1 + n, filed, '10-Q' FROM f
 """,
     "articles": """
-SELECT concat('Brand#', 1 + doc_id % 25) AS ticker, doc_id, substr(text, 1, 80) AS title, substr(text, 81, 200) AS summary,
+SELECT concat('Brand#', 1 + doc_id % 25) AS ticker, doc_id, regexp_extract(text, '^[^.\n]*') AS title, substr(text, length(regexp_extract(text, '^[^.\n]*')) + 1) AS summary,
        TIMESTAMP '2001-11-04 00:00:00' - INTERVAL '1' HOUR * (doc_id % 240) AS published,
        CASE doc_id % 6 WHEN 0 THEN 'Reuters' WHEN 1 THEN 'SEC EDGAR' WHEN 2 THEN 'cnbc ' WHEN 3 THEN 'Zacks' WHEN 4 THEN 'MarketWatch' ELSE source END AS source,
        CAST(n_chars % 61 AS DOUBLE) / 100 AS positive, CAST(n_chars % 37 AS DOUBLE) / 100 AS negative,

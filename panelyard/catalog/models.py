@@ -14,16 +14,16 @@ from panelyard.functions.numeric import settle
 from panelyard.operators.bootstrap import blocks_of, paired_edges
 from panelyard.operators.evaluation import evaluate, pointwise
 from panelyard.operators.single import beside
-from panelyard.operators.folds import FoldSpec, fold_dates, thinned_dates
+from panelyard.operators.folds import FoldSpec, fold_dates
 from panelyard.plans import gate, models, monitoring, volatility
 from panelyard.plans.labels import label_scales
 from panelyard.plans.panel import build_panel, latest_rows, target_rows
 from panelyard.session import stored
 
-STRIDE = 2
-SPEC = FoldSpec(n_splits=2, test_size=400, purge=5, embargo=10).rescaled(STRIDE)
-SMALL = {"numTrees": 5, "maxDepth": 4, "maxBins": 32}
-BOOST = {"maxIter": 5, "maxDepth": 3, "maxBins": 32}
+SPEC = FoldSpec(n_splits=3, test_size=252, purge=5, embargo=10)
+FIT_ROWS = 50_000  # bound of the labelled rows given to one classifier fit; test rows and statistics are whole
+SMALL = {"numTrees": 10, "maxDepth": 4, "maxBins": 32}
+BOOST = {"maxIter": 10, "maxDepth": 3, "maxBins": 32}
 ALL = list(vocab.FEATURES)
 
 _panels: dict[tuple[str, str], object] = {}
@@ -38,17 +38,16 @@ def panel_of(t):
 
 
 def rows_of(t, kind="magnitude", horizon=1, features=ALL):
-    """Labelled rows at an even date stride, and the folds over the kept dates."""
+    """Labelled rows of all dates, and their folds."""
     rows = target_rows(panel_of(t), kind, horizon, features)
-    rows = rows.join(thinned_dates(rows, stride=STRIDE).select("date"), "date")
     return rows, fold_dates(rows, SPEC)
 
 
 def _study(t, sets, learner="forest"):
     rows, days = rows_of(t)
     days = stored(days, "folds")
-    model = models.walk_forward(rows, days, ALL, 2, learner, SMALL if learner == "forest" else BOOST)
-    others = models.fit_sets(rows, days, sets, 2, saved=model, learner="forest", params=SMALL)
+    model = models.walk_forward(rows, days, ALL, 2, learner, SMALL if learner == "forest" else BOOST, fit_rows=FIT_ROWS)
+    others = models.fit_sets(rows, days, sets, 2, saved=model, learner="forest", params=SMALL, fit_rows=FIT_ROWS)
     return model, stored(models.paired_errors(model, others), "errors")
 
 
@@ -60,7 +59,7 @@ def _edges(errors, level=0.90):
 def p_walkforward(t):
     """Boosted trees through purged folds with early stopping: metrics per fold."""
     rows, days = rows_of(t)
-    oof = models.walk_forward(rows, stored(days, "folds"), ALL, 2, "gbt", BOOST, early_stop=(SPEC.test_size, SPEC.purge))
+    oof = models.walk_forward(rows, stored(days, "folds"), ALL, 2, "gbt", BOOST, early_stop=(SPEC.test_size, SPEC.purge), fit_rows=FIT_ROWS)
     return evaluate(oof, ["fold"])
 
 
@@ -68,7 +67,7 @@ def p_walkforward(t):
 def p_feature_sets(t):
     """Three feature sets on identical out-of-fold rows."""
     rows, days = rows_of(t)
-    sets = models.fit_sets(rows, stored(days, "folds"), vocab.BASELINE_SETS, 2, learner="forest", params=SMALL)
+    sets = models.fit_sets(rows, stored(days, "folds"), vocab.BASELINE_SETS, 2, learner="forest", params=SMALL, fit_rows=FIT_ROWS)
     first = sets["vol"]
     for other in sets.values():
         models.check_aligned(other, first)
@@ -99,8 +98,8 @@ def p_ablations(t):
     sets["vol+macro-vix_level"] = vol + [f for f in vocab.MACRO_FEATURES if f != "vix"]
     rows, days = rows_of(t)
     days = stored(days, "folds")
-    reference = models.walk_forward(rows, days, vol, 2, "forest", SMALL)
-    others = models.fit_sets(rows, days, sets, 2, saved=reference, learner="forest", params=SMALL)
+    reference = models.walk_forward(rows, days, vol, 2, "forest", SMALL, fit_rows=FIT_ROWS)
+    others = models.fit_sets(rows, days, sets, 2, saved=reference, learner="forest", params=SMALL, fit_rows=FIT_ROWS)
     errors = models.paired_errors(reference, others)
     # here the set is the model and volatility alone the reference
     swapped = errors.withColumnRenamed("se_model", "x").withColumnRenamed("se_reference", "se_model").withColumnRenamed("x", "se_reference")
@@ -111,12 +110,12 @@ def p_ablations(t):
 
 # ---------------------------------------------------------------- exact small models
 step("thin_pos", "SELECT date, CAST(row_number() OVER (ORDER BY date) - 1 AS INTEGER) AS p FROM (SELECT DISTINCT date FROM panel_log WHERE label_magnitude_1d IS NOT NULL)")
-step("thin_rows", "SELECT l.*, label_magnitude_1d AS y FROM panel_log l JOIN thin_pos t ON t.date = l.date WHERE t.p % 2 = 0 AND label_magnitude_1d IS NOT NULL")
+step("thin_rows", "SELECT l.*, label_magnitude_1d AS y FROM panel_log l JOIN thin_pos t ON t.date = l.date WHERE label_magnitude_1d IS NOT NULL")
 step("thin_days", "SELECT date, CAST(row_number() OVER (ORDER BY date) - 1 AS INTEGER) AS pos, CAST(count(*) OVER () AS INTEGER) AS n FROM (SELECT DISTINCT date FROM thin_rows)")
 step("thin_fold", f"""
-SELECT CAST(f AS INTEGER) AS fold, date, CASE WHEN pos >= n - (2 - f) * {SPEC.test_size} THEN 'test' ELSE 'train' END AS role FROM thin_days, range(0, 2) r(f)
-WHERE (pos >= n - (2 - f) * {SPEC.test_size} AND pos < n - (1 - f) * {SPEC.test_size}) OR (pos < n - (2 - f) * {SPEC.test_size} - {SPEC.purge} AND NOT EXISTS (
-  SELECT 1 FROM range(0, f) g(e) WHERE pos >= n - (1 - e) * {SPEC.test_size} AND pos < n - (1 - e) * {SPEC.test_size} + {SPEC.embargo}))
+SELECT CAST(f AS INTEGER) AS fold, date, CASE WHEN pos >= n - ({SPEC.n_splits} - f) * {SPEC.test_size} THEN 'test' ELSE 'train' END AS role FROM thin_days, range(0, {SPEC.n_splits}) r(f)
+WHERE (pos >= n - ({SPEC.n_splits} - f) * {SPEC.test_size} AND pos < n - ({SPEC.n_splits - 1} - f) * {SPEC.test_size}) OR (pos < n - ({SPEC.n_splits} - f) * {SPEC.test_size} - {SPEC.purge} AND NOT EXISTS (
+  SELECT 1 FROM range(0, f) g(e) WHERE pos >= n - ({SPEC.n_splits - 1} - e) * {SPEC.test_size} AND pos < n - ({SPEC.n_splits - 1} - e) * {SPEC.test_size} + {SPEC.embargo}))
 """)
 step("bm_rows", "SELECT f.fold, f.role, r.ticker, r.date, r.y, CAST(CAST(r.vol_20 AS FLOAT) AS DOUBLE) AS v FROM thin_rows r JOIN thin_fold f ON f.date = r.date")
 _tenths = "[" + ", ".join(f"CAST({i / 10} AS DOUBLE)" for i in range(1, 10)) + "]"
@@ -242,7 +241,7 @@ def p_volbench(t):
     """HAR, range HAR and GARCH, calibrated, against the model on its own rows."""
     rows, days = rows_of(t)
     days = stored(days, "folds")
-    model = models.walk_forward(rows, days, ALL, 2, "forest", SMALL)
+    model = models.walk_forward(rows, days, ALL, 2, "forest", SMALL, fit_rows=FIT_ROWS)
     series = stored(volatility.variance_series(t.bars), "series")
     bench = {}
     for name, prefix in (("har", "rv"), ("har_range", "pk")):
@@ -272,7 +271,7 @@ def p_volbench(t):
 def p_fusion(t):
     """Logistic combination of out-of-fold probabilities; adopted only for a clear gain."""
     rows, days = rows_of(t)
-    oof = models.walk_forward(rows, stored(days, "folds"), list(vocab.BASELINE_SETS["simple"]), 2, "forest", SMALL)
+    oof = models.walk_forward(rows, stored(days, "folds"), list(vocab.BASELINE_SETS["simple"]), 2, "forest", SMALL, fit_rows=FIT_ROWS)
     inner = fold_dates(oof, FoldSpec(n_splits=2, test_size=100, purge=5, embargo=5))
     return models.fusion_gain(models.fusion(oof, stored(inner, "folds"), 2))
 
@@ -286,14 +285,16 @@ def p_tune(t):
 
 
 def _fitted(t, learner="forest", params=SMALL):
-    rows, _ = rows_of(t)
-    ready = models.vectors(rows, ALL).select("y", "x")
+    """A model of the last fold's training rows, and those rows."""
+    rows, days = rows_of(t)
+    rows = rows.join(days.where((F.col("fold") == SPEC.n_splits - 1) & (F.col("role") == "train")).select("date"), "date")
+    ready = models.vectors(models.bounded(rows, FIT_ROWS), ALL).select("y", "x")
     return models.fit(ready, 2, learner, params), rows
 
 
 @query("p_challenger")
 def p_challenger(t):
-    """Two learners' importances and their overlap."""
+    """Two learners on the same fold: their importances and the overlap."""
     a, _ = _fitted(t)
     b, _ = _fitted(t, "gbt", BOOST)
     return gate.importance_overlap(models.importances(a, ALL, t.spark), models.importances(b, ALL, t.spark))
@@ -386,9 +387,9 @@ def p_retrain(t):
     decision = stored(monitoring.decide(panel, ALL, "2002-03-31", "2001-12-01", "2001-12-01"), "decision")
     first = decision.first()  # one row
     if not first.should_run:
-        return decision.withColumn("brier_skill", F.lit(None).cast("double"))
+        return decision.withColumns({"brier_skill": F.lit(None).cast("double"), "executed": F.lit("none")})
     rows, days = rows_of(t)
-    oof = models.walk_forward(rows, stored(days, "folds"), list(vocab.BASELINE_SETS["simple"]), 2, "forest", SMALL)
+    oof = models.walk_forward(rows, stored(days, "folds"), list(vocab.BASELINE_SETS["simple"]), 2, "forest", SMALL, fit_rows=FIT_ROWS)
     skill = pointwise(oof, []).select("brier_skill")
     # an incremental update is not available for these learners: it is recorded and done in full
     return beside(decision, skill).withColumn("executed", F.lit("full"))
@@ -400,6 +401,8 @@ SELECT f.fold, r.ticker, r.date, r.y FROM thin_rows r JOIN thin_fold f ON f.date
 def p_oos_keys(t):
     """Replay the folds and attach tickers to out-of-fold rows; both sides must agree."""
     rows, days = rows_of(t)
+    days = stored(days, "folds")
+    saved = models.walk_forward(rows, days, ["vol_20"], 2, "forest", SMALL, fit_rows=FIT_ROWS)
     keys = rows.select("ticker", "date", "y").join(days.where("role = 'test'"), "date").select("fold", "ticker", "date", "y")
-    models.check_aligned(keys, keys)
+    models.check_aligned(keys, saved)
     return keys

@@ -26,7 +26,7 @@ FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey WHERE l.l_quantity > 0
 def src_bars(t):
     """Raw rows -> one bar per ticker and day inside a date range, the last row of the day wins."""
     raw = t.ticks.select("ticker", "date", F.col("price").alias("close"), "place")
-    return readers.clean_bars(raw, "1996-01-01", "2000-12-31", load_order="place").drop("place")
+    return readers.clean_bars(raw, "place", "1996-01-01", "2000-12-31").drop("place")
 
 
 @query("src_bars_upsert", """
@@ -35,8 +35,10 @@ SELECT ticker, date, CASE WHEN date >= DATE '2000-01-01' THEN high ELSE close EN
 def src_bars_upsert(t):
     """A refreshed tail over stored bars: the new values win."""
     old = t.bars.where(F.col("date") < "2001-01-01").select("ticker", "date", "close")
-    new = t.bars.where(F.col("date") >= "2000-01-01").select("ticker", "date", F.col("high").alias("close"))
-    return readers.upsert_bars(old, new)
+    late = t.bars.where(F.col("date") >= "2000-01-01")
+    new = late.select("ticker", "date", F.col("open").alias("close"), F.lit(0).alias("seq")).unionByName(
+        late.select("ticker", "date", F.col("high").alias("close"), F.lit(1).alias("seq")))
+    return readers.upsert_bars(old, new, "seq")
 
 
 @query("src_stale_bars", "SELECT ticker, max(date) AS last_date, CAST(max(date) + INTERVAL '1' DAY AS DATE) AS tail_start FROM bars GROUP BY ticker HAVING max(date) < DATE '2001-11-02'")

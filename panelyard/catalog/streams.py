@@ -35,12 +35,12 @@ def st_tumble(t):
 
 @query("st_slide", f"""
 WITH d AS (SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n FROM events, ev_mark WHERE date_trunc('day', ts) + INTERVAL '1' DAY <= mark GROUP BY ALL),
-w AS (SELECT CAST(day + INTERVAL '1' DAY * k AS TIMESTAMP) AS window_end, event_type, sum(n) AS n FROM d, range(1, 8) r(k) GROUP BY ALL)
+w AS (SELECT CAST(day + INTERVAL '1' DAY * k AS TIMESTAMP) AS window_end, event_type, sum(n) AS n FROM d, range(1, 91) r(k) GROUP BY ALL)
 SELECT window_end, event_type, {big('n')} AS n FROM w, ev_mark WHERE window_end <= mark
 """)
 def st_slide(t):
-    """Event density over trailing seven days, from daily counts."""
-    return jobs.run_once(jobs.sliding_density(_ticks(t), "event_type", 7), "slide")
+    """Event density over trailing ninety days, from daily counts."""
+    return jobs.run_once(jobs.sliding_density(_ticks(t), "event_type", 90), "slide")
 
 
 @query("st_session", f"""
@@ -65,7 +65,7 @@ def _numbered(t):
     return t.bars.select("ticker", "date", "close", no.alias("bar_seq"))
 
 
-step("so_rows", "SELECT s.ticker, s.date AS as_of, e.close / s.close - 1 AS r FROM bar_seq s JOIN bar_seq e ON e.ticker = s.ticker AND e.no = s.no + 5 WHERE e.date <= s.date + INTERVAL '60' DAY")
+step("so_rows", "SELECT s.ticker, s.date AS as_of, e.close / s.close - 1 AS r FROM bar_seq s JOIN bar_seq e ON e.ticker = s.ticker AND e.no = s.no + 5 WHERE e.date <= s.date + INTERVAL '60' DAY UNION ALL SELECT s.ticker, s.date, NULL FROM bar_seq s LEFT JOIN bar_seq e ON e.ticker = s.ticker AND e.no = s.no + 5 AND e.date <= s.date + INTERVAL '60' DAY WHERE e.no IS NULL AND s.date + INTERVAL '60' DAY < (SELECT max(date) FROM bar_seq) - INTERVAL '60' DAY")
 
 
 @query("st_outcome", f"SELECT ticker, as_of, {s6('r')} AS actual_return FROM so_rows")
@@ -92,10 +92,12 @@ def st_upsert(t):
     table, feed = new_path(t.spark, "bars"), new_path(t.spark, "bar-batches")
     bars = t.bars.select("ticker", "date", "close", "high")
     bars.where(F.year("date") < 2001).select("ticker", "date", "close", F.year("date").alias("year")).write.partitionBy("year").parquet(table)
-    late = bars.where(F.year("date") >= 2000).select("ticker", "date", F.col("high").alias("close"))
+    late = bars.where(F.year("date") >= 2000).select("ticker", "date", F.col("high").alias("close"), F.lit(1).alias("seq"))
+    late = late.unionByName(late.withColumns({"close": F.lit(0.0), "seq": F.lit(0)}))  # an earlier row of the same day and load
     for part in (late.where(F.year("date") == 2000), late.where(F.year("date") == 2001), late.where(F.year("date") == 2000)):
-        part.coalesce(1).write.mode("append").parquet(feed)
-    jobs.upsert_stream(jobs.folder_stream(t.spark, feed, 1), table)
+        part.write.mode("append").parquet(feed)
+    files = len(t.spark.read.parquet(feed).inputFiles())
+    jobs.upsert_stream(jobs.folder_stream(t.spark, feed, -(-files // 3)), table, "seq")
     return t.spark.read.parquet(table).select("ticker", "date", settle("close", 3).alias("close"))
 
 
@@ -105,8 +107,8 @@ def st_late(t):
     feed, sink = new_path(t.spark, "late-feed"), new_path(t.spark, "late")
     ticks = t.base("events")
     middle = F.lit("2024-01-15").cast("timestamp_ntz")
-    ticks.where(F.col("ts") >= middle).coalesce(1).write.mode("append").parquet(feed)
-    ticks.where(F.col("ts") < middle).coalesce(1).write.mode("append").parquet(feed)
+    ticks.where(F.col("ts") >= middle).write.mode("append").parquet(feed)
+    ticks.where(F.col("ts") < middle).write.mode("append").parquet(feed)
     out = jobs.tumbling(jobs.folder_stream(t.spark, feed, 1), "event_type")
     q = (out.writeStream.format("parquet").outputMode("append").option("path", sink)
          .option("checkpointLocation", new_path(t.spark, "late-state")).trigger(availableNow=True).start())

@@ -27,19 +27,14 @@ def standardised(rows: DataFrame, features, scale: DataFrame) -> DataFrame:
     return joined.withColumn("vec", vec).drop("centre", "spread")
 
 
-def find_analogs(panel: DataFrame, k: int = 5, features=vocab.ANALOG_FEATURES, max_rows: int | None = None,
-                 seed: int = 7) -> DataFrame:
+def find_analogs(panel: DataFrame, k: int = 5, features=vocab.ANALOG_FEATURES) -> DataFrame:
     """For the last row of every ticker, its k nearest earlier rows of other tickers, with outcomes.
 
-    The index holds rows with a resolved 5-day label.  ``max_rows`` samples a larger index, as an
-    option of the index itself; the default keeps every row.
+    The index holds every row with a resolved 5-day label.
     """
     label = F.col("label_direction_5d")
     outcomes = ["forward_return_5d", "forward_return_20d", "label_direction_5d"]
     index = panel.where(label.isNotNull()).select("ticker", "date", *features, *outcomes)
-    if max_rows is not None:
-        share = max_rows / max(index.count(), 1)
-        index = index.sample(fraction=share, seed=seed) if share < 1 else index
     scale = moments(index, features)
     key = F.concat_ws("|", F.col("ticker"), F.col("date").cast("string"))
     history = standardised(index, features, scale).select(

@@ -196,9 +196,9 @@ def untagged_filing_near(days: DataFrame, filings: DataFrame) -> DataFrame:
         F.col("next_odd") - F.col("day") <= 2 * F.col("horizon_days"), F.lit(False)).alias("blind"))
 
 
-def post_mortem(resolved: DataFrame, macro: DataFrame, filings: DataFrame, limit: int = 200,
+def post_mortem(resolved: DataFrame, macro: DataFrame, filings: DataFrame, limit: int | None = None,
                 tagger: Callable[[DataFrame], Column] | None = None) -> DataFrame:
-    """Tag the newest ``limit`` wrong, untagged predictions; near misses are skipped.
+    """Tag all wrong, untagged predictions, or the newest ``limit``; near misses are skipped.
 
     Rules in order: uncertain model, volatility shock, event outside the taxonomy, late sentiment.
     ``tagger`` may name a tag for rows that no rule explains; other answers become UNEXPLAINED.
@@ -206,8 +206,9 @@ def post_mortem(resolved: DataFrame, macro: DataFrame, filings: DataFrame, limit
     wrong = resolved.where("error_type = 'incorrect'")
     if "post_mortem_tag" in resolved.columns:
         wrong = wrong.where("post_mortem_tag IS NULL")
-    newest = wrong.orderBy(F.desc("as_of"), "prediction_id").limit(limit)
-    rows = newest.where(F.col("actual_z").isNull() | (F.abs("actual_z") >= 0.5))
+    if limit is not None:
+        wrong = wrong.orderBy(F.desc("as_of"), "prediction_id").limit(limit)
+    rows = wrong.where(F.col("actual_z").isNull() | (F.abs("actual_z") >= 0.5))
     days = rows.select("ticker", "as_of", "horizon_days").distinct()
     rows = rows.join(volatility_moves(macro, days.select("as_of", "horizon_days").distinct()), ["as_of", "horizon_days"], "left")
     rows = rows.join(untagged_filing_near(days, filings), ["ticker", "as_of", "horizon_days"], "left")

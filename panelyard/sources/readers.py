@@ -18,21 +18,24 @@ BLOCK_SCHEMA = (
     "reportDate: ARRAY<STRING>, items: ARRAY<STRING>, accessionNumber: ARRAY<STRING>>")
 
 
-def clean_bars(raw: DataFrame, start: str | None = None, end: str | None = None, load_order: str | None = None) -> DataFrame:
-    """Bars with day dates, one row per ticker and day (the last loaded one), closes present."""
+def clean_bars(raw: DataFrame, load_order: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Bars with day dates, one row per ticker and day, closes present.
+
+    The row last in ``load_order`` wins a day; without such a column "last" would mean nothing, so it must be named.
+    """
     rows = raw.withColumn("date", F.col("date").cast("date"))
     if start is not None:
         rows = rows.where(F.col("date") >= F.lit(start).cast("date"))
     if end is not None:
         rows = rows.where(F.col("date") <= F.lit(end).cast("date"))
-    order = [F.col(load_order)] if load_order else [F.col("close")]
-    return keep_one(rows, ["ticker", "date"], order, last=True).where(finite("close").isNotNull())
+    return keep_one(rows, ["ticker", "date"], [F.col(load_order)], last=True).where(finite("close").isNotNull())
 
 
-def upsert_bars(stored: DataFrame, new: DataFrame) -> DataFrame:
-    """New bars over stored ones; the newer load wins per ticker and day."""
-    both = stored.withColumn("load_seq", F.lit(0)).unionByName(new.withColumn("load_seq", F.lit(1)))
-    return clean_bars(both, load_order="load_seq").drop("load_seq")
+def upsert_bars(stored: DataFrame, new: DataFrame, sequence: str) -> DataFrame:
+    """New bars over stored ones; the newer load wins per ticker and day, and inside the new load the last in ``sequence``."""
+    old = stored.withColumn("load_seq", F.struct(F.lit(0).alias("load"), F.lit(None).cast(new.schema[sequence].dataType).alias("place")))
+    now = new.withColumn("load_seq", F.struct(F.lit(1).alias("load"), F.col(sequence).alias("place"))).drop(sequence)
+    return clean_bars(old.unionByName(now), "load_seq").drop("load_seq")
 
 
 def stale_tickers(bars: DataFrame, today: str) -> DataFrame:

@@ -134,6 +134,7 @@ class Tables:
     @cached_property
     def articles(self) -> DataFrame:
         doc, n = F.col("doc_id"), F.col("n_chars")
+        title = F.regexp_extract("text", r"^[^.\n]*", 0)  # up to the first full stop or line end; the rest is the summary
         source = F.col("source")
         for slot, name in enumerate(("Reuters", "SEC EDGAR", "cnbc ", "Zacks", "MarketWatch")):
             source = F.when(doc % 6 == slot, F.lit(name)).otherwise(source)
@@ -141,7 +142,7 @@ class Tables:
         pos, neg = (n % 61).cast("double") / 100, (n % 37).cast("double") / 100
         return self.base("documents").select(
             F.concat(F.lit("Brand#"), (1 + doc % 25).cast("string")).alias("ticker"), "doc_id",
-            F.substring("text", 1, 80).alias("title"), F.substring("text", 81, 200).alias("summary"),
+            title.alias("title"), F.col("text").substr(F.length(title) + 1, F.length("text")).alias("summary"),
             published.alias("published"), source.alias("source"), pos.alias("positive"), neg.alias("negative"),
             (1 - pos - neg).alias("neutral"))
 

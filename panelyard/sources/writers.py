@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+RUN_PARTS = 16  # tasks that write one day's run
+
+
 def write_panel(panel: DataFrame, path: str) -> None:
     """Panel ordered by date then ticker, one folder per year."""
     rows = panel.withColumn("year", F.year("date"))
@@ -14,7 +17,7 @@ def write_panel(panel: DataFrame, path: str) -> None:
 
 def write_scores(scores: DataFrame, path: str) -> None:
     """One folder per day; writing a day again replaces that day only."""
-    scores.repartition("as_of").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+    scores.repartition("as_of", F.pmod(F.xxhash64("ticker"), F.lit(RUN_PARTS))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
         "as_of").parquet(path)
 
 

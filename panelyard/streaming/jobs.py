@@ -25,13 +25,16 @@ class StreamTables(Tables):
         return self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(self.folder)
 
 
-def finish(query, timeout: int = 600) -> None:
-    if not query.awaitTermination(timeout):
+def finish(query, timeout: int | None = None) -> None:
+    """Wait until all that is available is processed; a caller may set a limit in seconds."""
+    if timeout is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout):
         query.stop()
         raise TimeoutError(f"stream did not finish within {timeout} s")
 
 
-def run_once(stream: DataFrame, name: str, timeout: int = 600) -> DataFrame:
+def run_once(stream: DataFrame, name: str, timeout: int | None = None) -> DataFrame:
     """Process everything available, append to Parquet, and return the written table."""
     spark = stream.sparkSession
     path = new_path(spark, name)
@@ -48,10 +51,13 @@ def folder_stream(spark: SparkSession, path: str, files_per_batch: int | None =
     return reader.parquet(path)
 
 
-def distinct_filings(filings: DataFrame, delay: str = "7 days") -> DataFrame:
-    """Each accession once, however often a refresh repeats it."""
-    timed = filings.withColumn("seen", F.col("filing_date").cast("timestamp"))
-    return timed.withWatermark("seen", delay).dropDuplicatesWithinWatermark(["accession"]).drop("seen")
+def distinct_filings(filings: DataFrame) -> DataFrame:
+    """Each accession once, however often and however late a refresh repeats it.
+
+    The feed is not in date order and repeats come at any time, so no watermark may drop rows: the state holds the accessions
+    alone, a short key per filing, spread over the shuffle partitions.
+    """
+    return filings.dropDuplicates(["accession"])
 
 
 def timed(ticks: DataFrame, delay: str) -> DataFrame:
@@ -113,28 +119,34 @@ def last_seen(ticks: DataFrame) -> DataFrame:
 def outcomes_stream(predictions: DataFrame, bars: DataFrame, max_wait: str = "60 days") -> DataFrame:
     """Predictions meet the bar their horizon ends at; both sides are bounded in time.
 
-    ``predictions``: ticker, as_of, end_seq, last_close.  ``bars``: ticker, bar_seq, bar_time, close.
+    ``predictions``: ticker, as_of, end_seq, last_close.  ``bars``: ticker, bar_seq, bar_time, close.  A prediction whose bar has not
+    come within ``max_wait`` is given out with a null return, for the batch job to resolve.
     """
     p = predictions.withColumn("as_of_ts", F.col("as_of").cast("timestamp")).withWatermark("as_of_ts", max_wait)
     b = bars.select(F.col("ticker").alias("b_ticker"), "bar_seq", "bar_time", "close").withWatermark("bar_time", "1 day")
     on = (F.col("ticker") == F.col("b_ticker")) & (F.col("end_seq") == F.col("bar_seq")) & (
         F.col("bar_time") >= F.col("as_of_ts")) & (F.col("bar_time") <= F.col("as_of_ts") + F.expr(f"INTERVAL {max_wait}"))
-    return p.join(b, on).select("ticker", "as_of", (F.col("close") / F.col("last_close") - 1).alias("actual_return"))
+    return p.join(b, on, "left_outer").select("ticker", "as_of", (F.col("close") / F.col("last_close") - 1).alias("actual_return"))
+
+
+YEAR_PARTS = 16  # tasks that write a year
 
 
-def upsert_stream(new_bars: DataFrame, path: str, timeout: int = 600) -> None:
+def upsert_stream(new_bars: DataFrame, path: str, sequence: str, timeout: int | None = None) -> None:
     """Merge each batch into a table partitioned by year; only touched years are rewritten.
 
-    Newest wins and a repeated batch changes nothing, so a batch that is replayed after a failure
-    leaves the same table.
+    Newest wins, inside a batch the last in ``sequence``, and a repeated batch changes nothing, so a batch that is replayed
+    after a failure leaves the same table.  Only the partitions of the batch's years are read; each year is written by several tasks.
     """
     spark = new_bars.sparkSession
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         now = batch.withColumn("year", F.year("date"))
-        old = spark.read.schema(now.schema).parquet(path).join(now.select("year").distinct(), "year", "left_semi").select(*now.columns)
-        merged = stored(upsert_bars(old, now), f"merge-{batch_id}")
-        merged.repartition("year").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path)
+        years = [r.year for r in now.select("year").distinct().collect()]  # bounded by the calendar
+        kept = [c for c in now.columns if c != sequence]
+        old = spark.read.schema(now.select(*kept).schema).parquet(path).where(F.col("year").isin(years)).select(*kept)
+        merged = stored(upsert_bars(old, now, sequence), f"merge-{batch_id}")
+        merged.repartition("year", F.pmod(F.xxhash64("ticker"), F.lit(YEAR_PARTS))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path)
 
     query = new_bars.writeStream.foreachBatch(merge).option(
         "checkpointLocation", new_path(spark, "upsert-state")).trigger(availableNow=True).start()
