@@ -29,7 +29,7 @@ from panelyard.session import stored
 
 SHINGLE, PERCENT = 4, 85
 SKETCH = 1 << 16  # hashed counters of shingles
-SHORT = 16  # lists of more sets are searched in blocks
+SHORT = 64  # lists of more sets are searched in blocks
 CLASSES = 256  # hash classes of a set's signature
 BLOCK_SETS, BLOCK_SHINGLES = 1_500, 500_000  # bounds of a block
 SKIP = 0.01  # weight of a probe against a merge, which sets how many of the longest lists are skipped
