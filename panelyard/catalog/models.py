@@ -16,7 +16,7 @@ from panelyard.operators.evaluation import evaluate, pointwise
 from panelyard.operators.single import beside
 from panelyard.operators.folds import FoldSpec, fold_dates
 from panelyard.plans import gate, models, monitoring, volatility
-from panelyard.plans.labels import label_scales
+from panelyard.plans.labels import TARGETS, label_scales
 from panelyard.plans.panel import build_panel, latest_rows, target_rows
 from panelyard.session import stored
 
@@ -339,7 +339,7 @@ def align_schema(t):
     return aligned(latest_of(t), ALL)
 
 
-@query("leak_guard")
+@query("leak_guard", f"SELECT CAST(count(*) AS BIGINT) AS rows, CAST({len(vocab.FEATURES)} AS INTEGER) AS features FROM panel_log")
 def leak_guard(t):
     """Feature names that look forward are refused; what passes is counted."""
     from panelyard.plans.features import check_no_leak
@@ -347,14 +347,53 @@ def leak_guard(t):
     panel = panel_of(t)
     names = [c for c in panel.columns if c not in ("ticker", "date") and not c.startswith(vocab.LABEL_PREFIXES)]
     check_no_leak(names)
-    return panel.agg(F.count("*").alias("rows")).withColumn("features", F.lit(len(names)))
+    return panel.agg(F.count("*").alias("rows")).withColumn("features", F.lit(len(names)).cast("int"))
+
+
+NAMES_OF = {"magnitude": vocab.MAGNITUDE_NAMES, "direction": vocab.DIRECTION_NAMES, "rel_direction": vocab.DIRECTION_NAMES}
+
+
+def fitted_targets(panel, before=None):
+    """A model and the class shares of every target, from the rows before a day."""
+    predictors, priors = {}, {}
+    for target, kind, horizon, k in TARGETS:
+        rows = target_rows(panel, kind, horizon, ALL)
+        if before is not None:
+            rows = rows.where(F.col("date") < before)
+        counts = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}  # one row per class
+        if len(counts) < k:
+            continue  # a class that never occurred: no model yet
+        predictors[target] = (kind, horizon, models.fit(models.vectors(models.bounded(rows, FIT_ROWS), ALL).select("y", "x"), k, "forest", SMALL))
+        priors[target] = [counts[c] / sum(counts.values()) for c in range(k)]
+    return predictors, priors
 
 
 def scores_of_models(t):
-    predict, rows = _fitted(t)
-    prior = rows.agg(F.avg(F.col("y").cast("double"))).first()[0]  # one number
-    names = {"magnitude": vocab.MAGNITUDE_NAMES, "direction": vocab.DIRECTION_NAMES, "rel_direction": vocab.DIRECTION_NAMES}
-    return models.score_latest(latest_of(t), {"magnitude_1d": ("magnitude", 1, predict)}, ALL, names, {"magnitude_1d": [1 - prior, prior]})
+    return models.score_latest(latest_of(t), *_by_target(panel_of(t)))
+
+
+def _by_target(panel, before=None):
+    predictors, priors = fitted_targets(panel, before)
+    return predictors, ALL, NAMES_OF, priors
+
+
+CUT = "2001-03-15"  # the evening that the nightly job is replayed for
+
+
+@query("p_nightly")
+def p_nightly(t):
+    """One evening replayed: nine targets fitted on earlier rows, scored, logged once, resolved by later bars; live skill by target and model."""
+    from panelyard.plans import feedback
+
+    day = F.lit(CUT).cast("date")
+    known = label_scales(full_features(t)).where(F.col("date") <= day)
+    latest = latest_rows(known, ["close", "label_scale", "rel_label_scale", *ALL]).withColumnRenamed("close", "last_close")
+    # labels look ahead by up to twenty bars: rows of the last two months before the cut are not known that evening
+    scored = models.score_latest(latest, *_by_target(panel_of(t), F.date_sub(day, 60)))
+    rows = stored(feedback.log_rows(scored), "nightly-log")
+    log = rows.unionByName(feedback.append_once(rows, rows))  # the job run twice adds nothing
+    done = feedback.outcomes(log, t.bars, t.sector_bars, t.universe)
+    return feedback.live_skill(done)
 
 
 @query("p_score")
@@ -362,7 +401,7 @@ def p_score(t):
     """Last row of every ticker scored, with sector, baseline and lift."""
     from panelyard.plans.scores import with_sector
 
-    return with_sector(scores_of_models(t), t.universe).drop("probabilities")
+    return with_sector(scores_of_models(t), t.universe)
 
 
 @query("p_payload")

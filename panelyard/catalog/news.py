@@ -98,19 +98,20 @@ def diverge(t):
 
 
 @query("j_cache_anti", f"""
-WITH d AS (SELECT DISTINCT substr(sha1(CAST(n_chars AS VARCHAR) || source), 1, 20) AS text_hash, n_chars, source FROM documents),
-c AS (SELECT DISTINCT substr(sha1(CAST(n_chars AS VARCHAR) || source), 1, 20) AS text_hash FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))
-SELECT d.text_hash, CASE WHEN c.text_hash IS NULL THEN CAST(1 AS DOUBLE) / (1 + n_chars % 7) ELSE CAST(0.5 AS DOUBLE) END AS positive
+WITH k AS (SELECT doc_id, lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS plain FROM documents),
+d AS (SELECT DISTINCT substr(sha1(plain), 1, 20) AS text_hash, length(plain) AS n FROM k),
+c AS (SELECT DISTINCT substr(sha1(plain), 1, 20) AS text_hash FROM k WHERE doc_id IN (SELECT doc_id FROM labels))
+SELECT d.text_hash, CASE WHEN c.text_hash IS NULL THEN CAST(1 AS DOUBLE) / (1 + n % 7) ELSE CAST(0.5 AS DOUBLE) END AS positive
 FROM d LEFT JOIN c ON c.text_hash = d.text_hash
 """)
 def j_cache_anti(t):
     """Only texts that the cache lacks are scored; labelled documents are the cached ones here."""
-    docs = t.base("documents").select("doc_id", F.concat(F.col("n_chars").cast("string"), F.col("source")).alias("text"))
+    docs = t.base("documents").select("doc_id", "text")
     cache = docs.join(t.base("labels").select("doc_id"), "doc_id", "left_semi").select(text_key("text").alias("text_hash")).distinct().withColumns(
         {"positive": F.lit(0.5), "negative": F.lit(0.25), "neutral": F.lit(0.25)})
 
     def scorer(df):
-        size = F.regexp_extract("text", "^(\\d+)", 1).cast("bigint")
+        size = F.length(F.regexp_replace("text", "^\\s+|\\s+$", ""))
         return df.withColumns({"positive": F.lit(1.0) / (1 + size % 7), "negative": F.lit(0.0), "neutral": F.lit(0.0)})
 
     return sentiment.score_missing(docs, cache, scorer).select("text_hash", "positive")
@@ -119,7 +120,16 @@ def j_cache_anti(t):
 _words = ["the", "of", "que", "le"], ["aux", "de", "to", "la"]
 
 
-@query("udf_scorer")
+def _hits(words):
+    names = ", ".join(f"'{w}'" for w in words)
+    return f"CAST(len(list_filter(regexp_extract_all(lower(text), '\\p{{L}}+'), lambda w: w IN ({names}))) AS DOUBLE)"
+
+
+_g, _b = (_hits(w) for w in _words)
+_shares = [("positive", "g / (g + b + 1)"), ("negative", "b / (g + b + 1)"), ("neutral", "1 / (g + b + 1)")]
+
+
+@query("udf_scorer", f"SELECT doc_id, {', '.join(f'{s6(x)} AS {p}{n}' for p in ('', 'sql_') for n, x in _shares)} FROM (SELECT doc_id, {_g} AS g, {_b} AS b FROM documents)")
 def udf_scorer(t):
     """Whole documents through the pluggable batch scorer beside the SQL word scorer."""
     good, bad = _words
@@ -141,7 +151,8 @@ def udf_scorer(t):
 
     docs = t.base("documents").select("doc_id", "text")
     sql = {f"sql_{k}": c for k, c in sentiment.word_scores(F.col("text"), good, bad).items()}
-    return sentiment.model_scores(docs, factory).withColumns(sql).drop("text")
+    both = sentiment.model_scores(docs, factory).withColumns(sql).drop("text")
+    return both.select("doc_id", *[settle(c).alias(c) for c in both.columns if c != "doc_id"])
 
 
 _mom = ["ret_5", "vol_20", "vix"]

@@ -101,14 +101,19 @@ def st_upsert(t):
     return t.spark.read.parquet(table).select("ticker", "date", settle("close", 3).alias("close"))
 
 
-@query("st_late")
+@query("st_late", f"""
+WITH w AS (SELECT ts, time_bucket(INTERVAL '15' MINUTE, ts) + INTERVAL '15' MINUTE AS stop FROM events)
+SELECT 'stream' AS part, {big('count(*)')} AS events, true AS refused FROM w, ev_mark WHERE ts >= TIMESTAMP '2024-01-15' AND stop <= mark
+UNION ALL SELECT 'batch', {big('count(*)')}, NULL FROM events
+""")
 def st_late(t):
     """Late rows are refused and counted by the stream; the batch path takes them in."""
     feed, sink = new_path(t.spark, "late-feed"), new_path(t.spark, "late")
     ticks = t.base("events")
-    middle = F.lit("2024-01-15").cast("timestamp_ntz")
-    ticks.where(F.col("ts") >= middle).write.mode("append").parquet(feed)
-    ticks.where(F.col("ts") < middle).write.mode("append").parquet(feed)
+    middle, late = (F.lit(d).cast("timestamp_ntz") for d in ("2024-01-15", "2024-01-22"))
+    # a batch is held against the watermark that the batch before it began with, so the third one is the first to lose rows
+    for part in (F.col("ts") >= late, (F.col("ts") >= middle) & (F.col("ts") < late), F.col("ts") < middle):
+        ticks.where(part).write.mode("append").parquet(feed)
     out = jobs.tumbling(jobs.folder_stream(t.spark, feed, 1), "event_type")
     q = (out.writeStream.format("parquet").outputMode("append").option("path", sink)
          .option("checkpointLocation", new_path(t.spark, "late-state")).trigger(availableNow=True).start())
@@ -116,7 +121,7 @@ def st_late(t):
     dropped = jobs.dropped_late(q)
     streamed = t.spark.read.schema(out.schema).parquet(sink).agg(F.sum("n").alias("events")).select(F.lit("stream").alias("part"), "events")
     batch = jobs.tumbling(ticks, "event_type").agg(F.sum("n").alias("events")).select(F.lit("batch").alias("part"), "events")
-    return streamed.unionByName(batch).withColumn("groups_dropped", F.when(F.col("part") == "stream", F.lit(dropped)))
+    return streamed.unionByName(batch).withColumn("refused", F.when(F.col("part") == "stream", F.lit(dropped > 0)))
 
 
 @query("udf_tagger", """

@@ -7,6 +7,7 @@ no comparison repeats a fit.
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.ml import Pipeline
@@ -279,12 +280,27 @@ def top_contributions(contributions: Column, k: int = 5) -> Column:
         F.when(c["contribution"] > 0, "increases").otherwise("decreases").alias("direction")))
 
 
-def score_latest(latest: DataFrame, predictors: dict, features, names: dict, priors: dict) -> DataFrame:
-    """Last row of every ticker x every model: the flat scores table, and the log's columns.
+def fingerprint(predict, features, target: str) -> str:
+    """Identity of a fitted model: its target, features and trees."""
+    text = "|".join([target, *features, getattr(predict.model, "toDebugString", repr(predict.model)).split("\n", 1)[-1]])
+    return hashlib.sha1(text.encode()).hexdigest()[:12]
+
+
+def leading_features(predict, features, k: int = 5) -> list[str]:
+    """The k features of largest importance of a tree model."""
+    gains = predict.model.featureImportances.toArray().tolist()
+    return [f for _, f in sorted(zip((-g for g in gains), features))[:k]]
+
+
+def score_latest(latest: DataFrame, predictors: dict, features, names: dict, priors: dict,
+                 threshold: float = vocab.THRESHOLD_SIGMAS) -> DataFrame:
+    """Last row of every ticker x every model: the flat scores table with all columns that the log needs.
 
     ``latest``: ticker, date, last_close, label_scale, rel_label_scale and the features;
     scales are for one bar and grow with the root of the horizon.
     """
+    if not predictors:
+        raise ValueError("nothing to score: no model is fitted")
     ready = vectors(latest, features)
     parts = []
     for target, (kind, horizon, predict) in predictors.items():
@@ -300,5 +316,7 @@ def score_latest(latest: DataFrame, predictors: dict, features, names: dict, pri
             prob.alias("probability"), F.element_at(prior, -1).alias("baseline"),
             (prob / F.greatest(F.element_at(prior, -1), F.lit(1e-9))).alias("lift"),
             F.map_from_arrays(F.array(*[F.lit(n) for n in labels]), F.col("p")).alias("probabilities"),
-            "last_close", (scale * F.sqrt(F.lit(float(horizon)))).alias("label_scale")))
+            "last_close", (scale * F.sqrt(F.lit(float(horizon)))).alias("label_scale"), F.lit(threshold).alias("threshold_sigmas"),
+            F.lit(fingerprint(predict, features, target)).alias("model_fingerprint"),
+            F.array(*[F.lit(f) for f in leading_features(predict, features)]).alias("top_features")))
     return reduce(DataFrame.unionByName, parts)
