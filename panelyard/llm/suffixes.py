@@ -7,8 +7,9 @@ one anchor form a segment, named by the leading bytes of the anchor's suffix, a
 1. Segments are range-partitioned by sampled splitters on those keys, with row and place as the last ones, so that even a key of very many
    rows is split.  Each bucket is put in order by multikey sorting: ties of one key alone are ordered by the next.  Equal neighbours are repeats
    as a whole; anchors alone in their key are none.
-2. Segments that share the anchor but differ are fetched as single windows (hashes of their 200 bytes), range-partitioned and sorted the same way,
-   and equal neighbours are repeats.
+2. Segments that share the anchor but differ are fetched as single windows (hashes of their 200 bytes).  Windows whose starts lie within ``PLACES`` places
+   before the anchor travel together, under the bytes that all of them hold, so that a passage in very many documents parts where
+   their other text begins.  They are range-partitioned and sorted the same way, and equal neighbours are repeats.
 3. The first and last key of a bucket may go on in the next one.  Segments there always go to step 2; windows there are compared across the boundaries by a count
    per window, which is partially aggregated, and a join.
 
@@ -34,7 +35,9 @@ WINDOW = 200
 GRAM = 64
 LEAD_BYTES = 3
 BUCKET_SEGMENTS = 300_000  # rows aimed at in a bucket of segments
-BUCKET_REQUESTS = 30_000  # and of fetched segments, which hold up to WINDOW - GRAM + 1 windows each
+BUCKET_REQUESTS = 20_000  # and of asked segments, which hold up to WINDOW - GRAM + 1 windows each
+PLACES = 16
+PACK = 256  # n and the distance of the anchor from the first window, both less, as one number
 SEGMENT = "kind INT, key BIGINT, whole BIGINT, rid BIGINT, start INT, n INT"
 FOUND = "kind INT, rid BIGINT, start INT, n INT, key BIGINT"
 REPEAT, ASK, KNOWN, OPEN = 0, 1, 2, 3  # kinds of rows: repeated windows; segments to compare; segments, known to be repeated or not
@@ -72,7 +75,7 @@ def segments(texts: pa.Array) -> dict[str, np.ndarray]:
     data, at = flat.raw(texts)
     n = len(data)
     grams = n - GRAM + 1
-    none = {c: np.zeros(0, np.int64) for c in ("row", "start", "n", "key", "whole")}
+    none = {c: np.zeros(0, np.int64) for c in ("row", "start", "n", "ahead", "key", "whole")}
     if n < WINDOW:
         return none
     hashed = flat.RangeHash(data)
@@ -94,7 +97,7 @@ def segments(texts: pa.Array) -> dict[str, np.ndarray]:
         lead = (lead << np.uint64(8)) | data[anchor + k].astype(np.uint64)
     key = (lead << np.uint64(64 - 8 * LEAD_BYTES)) | (flat.mix(gram[anchor]) >> np.uint64(8 * LEAD_BYTES))
     whole = flat.mix(flat.mix(hashed(start, start + count + WINDOW - 1)) ^ ((anchor - start) * 256 + count).astype(np.uint64))
-    return {"row": row, "start": start - at[row], "n": count, "key": flat.signed(key), "whole": flat.signed(whole)}
+    return {"row": row, "start": start - at[row], "n": count, "ahead": anchor - start, "key": flat.signed(key), "whole": flat.signed(whole)}
 
 
 def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +133,7 @@ def all_segments(rows: DataFrame) -> DataFrame:
                 repeated = np.zeros(len(order), bool)
                 repeated[order] = ~new | many
                 kind = np.where(many[new], KNOWN, OPEN)
-                yield batch_of(SEGMENT, [kind, s["key"][one], s["whole"][one], rid[one], s["start"][one], s["n"][one]])
+                yield batch_of(SEGMENT, [kind, s["key"][one], s["whole"][one], rid[one], s["start"][one], s["n"][one] + PACK * s["ahead"][one]])
                 at = np.flatnonzero(repeated)
                 if len(at):  # neighbouring repeats of a row as one
                     step = np.int64(1) << 40
@@ -166,7 +169,7 @@ def compared(listed: DataFrame, buckets: int) -> DataFrame:
         group = np.cumsum(new) - 1
         many = np.bincount(group)[group] > 1
         repeated = np.flatnonzero(many & (kind == OPEN))
-        yield batch_of(FOUND, [np.full(len(repeated), REPEAT), rid[repeated], start[repeated], n[repeated], key[repeated]])
+        yield batch_of(FOUND, [np.full(len(repeated), REPEAT), rid[repeated], start[repeated], n[repeated] % PACK, key[repeated]])
         of_key = np.cumsum(new_key) - 1
         mixed = (np.bincount(of_key[new])[of_key] > 1) | (of_key == 0) | (of_key == of_key[-1])
         ask = np.flatnonzero(mixed & new)
@@ -176,7 +179,7 @@ def compared(listed: DataFrame, buckets: int) -> DataFrame:
 
 
 def fetched(rows: DataFrame, asked: DataFrame) -> DataFrame:
-    """key, rid, start and the hashes of the windows of every asked segment."""
+    """key, rid, start and the hashes of the windows of every part of an asked segment."""
     per_row = asked.groupBy(F.col("rid").alias("of_rid")).agg(
         F.sort_array(F.collect_list(F.struct("start", "n", "key"))).alias("asked"))
     joined = rows.join(per_row, F.col("rid") == F.col("of_rid")).select("rid", "text", "asked")
@@ -190,13 +193,22 @@ def fetched(rows: DataFrame, asked: DataFrame) -> DataFrame:
                 count = np.diff(np.asarray(asked.offsets))
                 inner = asked.flatten()
                 start, n, key = (inner.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-                row = np.repeat(np.arange(block.num_rows), count)
-                first = at[row] + start
+                n, ahead = n.astype(np.int64) % PACK, n.astype(np.int64) // PACK
+                first = at[np.repeat(np.arange(block.num_rows), count)] + start
+                segment = np.repeat(np.arange(len(n)), n)
                 place = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                anchor = (first + ahead)[segment]
+                part = (anchor - place) // PLACES
+                head = np.flatnonzero(np.append(True, (segment[1:] != segment[:-1]) | (part[1:] != part[:-1]))[:len(place)])
+                core = anchor[head] - part[head] * PLACES  # held by every window of the part
+                inner = flat.mix(flat.mix(hashed(core, core + WINDOW - PLACES + 1)) + part[head].astype(np.uint64) + key[segment[head]].view(np.uint64))
+                lead = np.uint64(64 - 8 * LEAD_BYTES)
+                own = (key[segment[head]].view(np.uint64) >> lead << lead) | (inner >> np.uint64(8 * LEAD_BYTES))
+                row = np.repeat(np.arange(block.num_rows), count)[segment[head]]
                 windows = flat.mix(hashed(place, place + WINDOW)).view(np.int64)
-                cuts = np.append(0, np.cumsum(n)).astype(np.int32)
+                cuts = np.append(head, len(place)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), block.column("rid").take(pa.array(row)), pa.array(start),
+                    [pa.array(flat.signed(own)), block.column("rid").take(pa.array(row)), pa.array((place[head] - at[row]).astype(np.int32)),
                      pa.ListArray.from_arrays(pa.array(cuts), pa.array(windows))], ["key", "rid", "start", "windows"])
 
     return joined.mapInArrow(run, "key BIGINT, rid BIGINT, start INT, windows ARRAY<BIGINT>")
