@@ -1,7 +1,7 @@
 """Repeated paragraphs by MinHash banding, verified on exact Jaccard similarity, and removed by components.
 
-A paragraph is a line; a line of more than ``LONG`` words is cut after its sentences, so that a passage inside a long line is found as
-well.  Paragraphs of fewer than ``LEAST`` words are not compared.  Words are runs of letters and digits, A-Z lower-cased; a paragraph
+A paragraph is a line; a line of more than ``LONG`` words is cut after its sentences, and a sentence still longer where a hash of two
+neighbouring words says so (one place in ``CUT_EVERY``), so that a passage inside a long line is found as well.  Paragraphs of fewer than ``LEAST`` words are not compared.  Words are runs of letters and digits, A-Z lower-cased; a paragraph
 is the set of its five-word shingles, and two are near when they share at least 80 % of them.
 
 Bands and rows are tuned: the least number of hash values at which a pair at the threshold collides with the
@@ -27,6 +27,7 @@ from panelyard.llm.jaccard import groups, searched, shared_lists, short_pairs
 from panelyard.session import stored
 
 LONG, LEAST = 40, 8
+CUT_EVERY = 12
 SHINGLE, PERCENT = 5, 80
 TARGET_RECALL = 0.99
 SALTS = np.random.default_rng(17).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -69,6 +70,10 @@ class Paragraphs:
         line = np.cumsum(new_line) - 1
         long = np.bincount(line)[line] > LONG
         new = new_line | np.append(False, stops[gap_to] > stops[gap_from]) & long
+        piece = np.cumsum(new) - 1
+        long = np.bincount(piece)[piece] > LONG
+        pair = flat.mix(words.key[:-1] * flat.STEP + words.key[1:])
+        new = new | np.append(False, pair % np.uint64(CUT_EVERY) == 0) & long
         first = np.append(np.flatnonzero(new), n)
         count = np.diff(first)
         head = first[:-1]
