@@ -6,9 +6,10 @@ their keys, to find candidates, and the remaining long lists are only probed, by
 set in the other, as DivideSkip does.  Rarity comes from counts of hashed shingles over all documents; any order gives all links.
 
 Equal sets are one class from the start.  Lists of up to ``SHORT`` sets give all their pairs, which counts of shingles by hash class
-then prune without loss, and the rest are verified on their texts.  Longer lists that have sets in common make a group, dealt in
-blocks of bounded size; a task holds two blocks, searches them by T-occurrence and gives the links of a spanning forest only, so
-neither pairs nor links of a large group of near copies are ever listed.
+then prune without loss, and the rest are verified on their texts.  Longer lists are dealt in blocks of
+bounded size; a task holds two blocks, searches them by T-occurrence and gives the links of a spanning forest only, so
+neither pairs nor links of a large group of near copies are ever listed.  In such a task large sets are held as signatures, and the few
+pairs of theirs that pass are verified with the rest.
 
 Defined cases: a document without words or with a null text has an empty set, links with none and is its own component; rows
 without id have no component and link none; documents with fewer words than a shingle have one shingle
@@ -31,7 +32,8 @@ SHINGLE, PERCENT = 4, 85
 SKETCH = 1 << 16  # hashed counters of shingles
 SHORT = 64  # lists of more sets are searched in blocks
 CLASSES = 256  # hash classes of a set's signature
-BLOCK_SETS, BLOCK_SHINGLES = 1_500, 500_000  # bounds of a block
+BLOCK_SETS = 1_500  # sets of a block at most
+LARGE = 300  # sets of more shingles are compared by signature first, the others at once
 SKIP = 0.01  # weight of a probe against a merge, which sets how many of the longest lists are skipped
 
 
@@ -184,11 +186,9 @@ def possible(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
 
 
 def groups(lists: DataFrame, short: int = SHORT) -> DataFrame:
-    """set_key, n, label: the sets of the longer lists, those of lists with a set in common under one label."""
-    long = lists.groupBy("h").agg(F.count("*").alias("c"), F.min("set_key").alias("b")).where(F.col("c") > short)
-    rows = stored(lists.join(long, "h").select("set_key", "n", "b"), "long")
-    labels = components(rows.select(F.col("set_key").alias("a"), "b"))
-    return rows.select("set_key", "n").distinct().join(labels, F.col("set_key") == F.col("node")).select("set_key", "n", "label")
+    """set_key, n, label: the sets of each of the longer lists, under the list's key."""
+    long = lists.groupBy("h").count().where(F.col("count") > short).select("h")
+    return lists.join(long, "h").select("set_key", "n", F.col("h").alias("label"))
 
 
 class Forest:
@@ -250,35 +250,68 @@ def occurrences(row: np.ndarray, key: np.ndarray, size: np.ndarray, side: np.nda
     return found
 
 
-def searched(grouped_sets: DataFrame, contents: DataFrame, column: str, read, percent: int) -> DataFrame:
-    """a, b: links within the groups.  ``grouped_sets``: set_key, n, label; ``contents``: set_key and a column from which ``read``
-    gives row and key of the distinct shingles of a block."""
-    totals = grouped_sets.groupBy("label").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    rows = grouped_sets.join(totals.select("label", blocks.alias("blocks")), "label")
+def close_signatures(size: np.ndarray, counts: np.ndarray, large: np.ndarray, side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs with at least one large set that sizes and signatures don't exclude.  Sets come by size."""
+    two = bool(side.any() and not side.all())
+    full = (counts == 255).any(1)
+    last = np.searchsorted(percent * size, 100 * size, "right")  # partners of a set are the next ones up to here
+    found = []
+    for x in range(len(size)):
+        y = np.arange(x + 1, last[x])
+        if not large[x]:
+            y = y[large[y]]
+        if two:
+            y = y[side[y] != side[x]]
+        most = np.minimum(counts[y], counts[x]).sum(1, dtype=np.int64)
+        near = (full[x] & full[y]) | (100 * most >= percent * (size[x] + size[y] - most))
+        found += [(x, int(k)) for k in y[near]]
+    return found
+
+
+SEARCHED = "a BIGINT, b BIGINT, sure BOOLEAN"
+
+
+def searched(lists: DataFrame, contents: DataFrame, column: str, read, percent: int) -> DataFrame:
+    """a, b, sure: within each list, links of a spanning forest (sure), and pairs of large sets that may link.
+
+    ``lists``: set_key, n, label.  ``contents``: set_key, a column from which ``read`` gives row and key of the distinct shingles
+    of a block, null for large sets, and for those a signature.
+    """
+    totals = lists.groupBy("label").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("shingles") / (BLOCK_SETS * LARGE))).cast("int")
+    rows = lists.join(totals.select("label", blocks.alias("blocks")), "label")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("set_key", "label", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    rows = rows.join(contents, "set_key").select("label", "i", "j", "set_key", "own", column)
+    rows = rows.select("set_key", "n", "label", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    rows = rows.join(contents, "set_key").select("label", "i", "j", "set_key", "n", "own", column, "signature")
 
     def search(table: pa.Table) -> pa.Table:
-        batch = table.sort_by("set_key").combine_chunks().to_batches()
-        if not batch:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        batch = batch[0]
-        rows, keys, done = [], [], 0
-        for block in flat.blocks(batch, column):
-            row, key = read(block.column(column))
-            rows.append(row + done)
-            keys.append(key)
-            done += block.num_rows
-        row, key = np.concatenate(rows), np.concatenate(keys)
-        own = batch.column("set_key").to_numpy()
+        batch = pa.concat_batches(table.sort_by([("n", "ascending"), ("set_key", "ascending")]).to_batches())
+        own, size = batch.column("set_key").to_numpy(), batch.column("n").to_numpy().astype(np.int64)
         side = batch.column("own").to_numpy() != batch.column("i")[0].as_py()
-        links = occurrences(row, key, np.bincount(row, minlength=done), side, percent)
-        return pa.table({"a": pa.array([own[x] for x, _ in links], pa.int64()), "b": pa.array([own[y] for _, y in links], pa.int64())})
-
-    return rows.groupBy("label", "i", "j").applyInArrow(search, "a BIGINT, b BIGINT")
+        large = batch.column(column).is_null().to_numpy(zero_copy_only=False)
+        pairs = []
+        if large.any():
+            counts = np.zeros((len(own), CLASSES), np.uint8)
+            given = batch.column("signature").is_valid().to_numpy(zero_copy_only=False)
+            counts[given] = flat.raw(batch.column("signature").drop_null())[0].reshape(-1, CLASSES)
+            pairs += [(x, y, False) for x, y in close_signatures(size, counts, large, side, percent)]
+        small = np.flatnonzero(~large)
+        if len(small) > 1:
+            part = batch.take(pa.array(small))
+            rows, keys, done = [], [], 0
+            for block in flat.blocks(part, column):
+                row, key = read(block.column(column))
+                rows.append(row + done)
+                keys.append(key)
+                done += block.num_rows
+            row, key = np.concatenate(rows), np.concatenate(keys)
+            pairs += [(small[x], small[y], True) for x, y in occurrences(row, key, np.bincount(row, minlength=done), side[small], percent)]
+        x, y = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
+        return pa.table({"a": pa.array(np.minimum(own[x], own[y])), "b": pa.array(np.maximum(own[x], own[y])),
+                         "sure": pa.array([p[2] for p in pairs], pa.bool_())})
+
+    return rows.groupBy("label", "i", "j").applyInArrow(search, SEARCHED)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -322,11 +355,13 @@ def linked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> t
 
     # one text of every set that is still in question
     asked = pairs.select(F.col("a").alias("set_key")).union(pairs.select("b")).union(long.select("set_key")).distinct()
-    one = named.groupBy("set_key").agg(F.min("doc_id").alias("doc_id")).join(asked, "set_key", "left_semi")
-    texts = known.join(one, "doc_id").select("set_key", "text")
-    texts = stored(own_text(texts, shingle), "texts")
-    links = verified(pairs, texts, shingle, percent).union(
-        searched(long, texts, "text", lambda column: flat.Words(column).shingles(shingle), percent))
+    one = named.join(asked, "set_key", "left_semi").groupBy("set_key").agg(
+        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("signature").alias("signature"))
+    texts = stored(own_text(known.join(one, "doc_id").select("set_key", "n", "signature", "text"), shingle), "texts")
+    contents = texts.select("set_key", F.when(F.col("n") <= LARGE, F.col("text")).alias("text"), "signature")
+    offered = stored(searched(long, contents, "text", lambda column: flat.Words(column).shingles(shingle), percent), "offered")
+    pairs = pairs.union(offered.where("NOT sure").select("a", "b")).distinct()
+    links = verified(pairs, texts.select("set_key", "text"), shingle, percent).union(offered.where("sure").select("a", "b"))
     return rows_of, stored(components(links), "labels")
 
 
@@ -339,7 +374,7 @@ def own_text(texts: DataFrame, shingle: int) -> DataFrame:
                 _, own = set_keys(row, key, block.num_rows)
                 yield block.filter(pa.array(own == block.column("set_key").to_numpy()))
 
-    return texts.mapInArrow(run, "set_key BIGINT, text STRING").dropDuplicates(["set_key"])
+    return texts.mapInArrow(run, "set_key BIGINT, n BIGINT, signature BINARY, text STRING").dropDuplicates(["set_key"])
 
 
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
