@@ -73,7 +73,7 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of the column and the bounds of each row; null counts as empty."""
     if len(texts) == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    texts = texts.fill_null("") if texts.null_count else texts
+    texts = texts.fill_null(b"" if pa.types.is_binary(texts.type) or pa.types.is_large_binary(texts.type) else "") if texts.null_count else texts
     at = offsets(texts)
     data = texts.buffers()[2]
     whole = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)

@@ -31,7 +31,8 @@ from panelyard.session import stored
 SHINGLE, PERCENT = 4, 85
 SKETCH = 1 << 16  # hashed counters of shingles
 SHORT = 64  # lists of more sets are searched in blocks
-CLASSES = 256  # hash classes of a set's signature
+CLASSES, FINE = 256, 4_096  # hash classes of a set's signature, and of a set of more than FINE_FROM shingles
+FINE_FROM = 2_000
 BLOCK_SETS = 1_500  # sets of a block at most
 LARGE = 300  # sets of more shingles are compared by signature first, the others at once
 SKIP = 0.01  # weight of a probe against a merge, which sets how many of the longest lists are skipped
@@ -46,33 +47,68 @@ def set_keys(row: np.ndarray, key: np.ndarray, rows: int) -> tuple[np.ndarray, n
     return size, flat.signed(flat.mix(total + size.astype(np.uint64)))
 
 
-def signatures(row: np.ndarray, key: np.ndarray, rows: int) -> list[bytes]:
-    """Shingles of every row in each hash class, 255 for as many or more."""
-    at = row * CLASSES + ((key >> np.uint64(24)) & np.uint64(CLASSES - 1)).astype(np.int64)
-    counts = np.minimum(255, np.bincount(at, minlength=rows * CLASSES)).astype(np.uint8).reshape(rows, CLASSES)
-    return [c.tobytes() for c in counts]
+def signatures(row: np.ndarray, key: np.ndarray, rows: int) -> tuple[list[bytes], list[bytes | None]]:
+    """Shingles of every row in each hash class, 255 for as many or more; and in finer classes, for large sets alone."""
+    cuts = np.searchsorted(row, np.arange(rows + 1))
+    part = ((key >> np.uint64(24)) & np.uint64(FINE - 1)).astype(np.int64)
+    def counted(a: int, b: int, classes: int) -> bytes:
+        return np.minimum(255, np.bincount(part[a:b] % classes, minlength=classes)).astype(np.uint8).tobytes()
+
+    pairs = list(zip(cuts[:-1], cuts[1:]))
+    return [counted(a, b, CLASSES) for a, b in pairs], [counted(a, b, FINE) if b - a > FINE_FROM else None for a, b in pairs]
+
+
+class Signatures:
+    """Signatures of many sets: all in the coarse classes, and those of large sets in the fine ones, where given."""
+
+    def __init__(self, coarse: pa.Array, fine: pa.Array | None = None):
+        self.coarse = flat.raw(coarse)[0].reshape(-1, CLASSES)
+        self.fine = np.zeros(len(coarse), bool)
+        if fine is not None:
+            self.data, self.at = flat.raw(fine)
+            self.fine = np.diff(self.at) == FINE
+
+    def whole(self, i: int) -> np.ndarray:
+        return self.data[self.at[i]:self.at[i] + FINE]
+
+
+def allowed(x: Signatures, i: np.ndarray, y: Signatures, j: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the pairs (i of x, j of y) their signatures don't exclude; ``size``: of both sets together."""
+    out = np.zeros(len(i), bool)
+    for a in range(0, len(i), 20_000):
+        part = slice(a, a + 20_000)
+        p, q = x.coarse[i[part]], y.coarse[j[part]]
+        most = np.minimum(p, q).sum(1, dtype=np.int64)
+        full = ((p == 255) & (q == 255)).any(1)  # such classes may share more
+        out[part] = full | (100 * most >= percent * (size[part] - most))
+    for k in np.flatnonzero(out & x.fine[i] & y.fine[j]).tolist():
+        p, q = x.whole(i[k]), y.whole(j[k])
+        most = int(np.minimum(p, q).sum(dtype=np.int64))
+        out[k] = bool(((p == 255) & (q == 255)).any()) or 100 * most >= percent * (size[k] - most)
+    return out
 
 
 def digests(docs: DataFrame, shingle: int) -> DataFrame:
     """kind 0: doc_id, n, set, signature of every row; kind 1: counter (n) of each sketch place (set) of a task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SKETCH, np.int64)
-        names = ["kind", "doc_id", "n", "set_key", "signature"]
+        names = ["kind", "doc_id", "n", "set_key", "signature", "fine"]
         for batch in batches:
             for block in flat.blocks(batch):
                 row, key = flat.Words(block.column("text")).shingles(shingle)
                 counts += np.bincount((key & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
                 size, own = set_keys(row, key, block.num_rows)
+                coarse, fine = signatures(row, key, block.num_rows)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.zeros(len(size), np.int32)), block.column("doc_id"), pa.array(size), pa.array(own),
-                     pa.array(signatures(row, key, block.num_rows), pa.binary())], names)
+                     pa.array(coarse, pa.binary()), pa.array(fine, pa.binary())], names)
         held = np.flatnonzero(counts)
         if len(held):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.ones(len(held), np.int32)), pa.nulls(len(held), pa.int64()), pa.array(counts[held]), pa.array(held),
-                 pa.nulls(len(held), pa.binary())], names)
+                 pa.nulls(len(held), pa.binary()), pa.nulls(len(held), pa.binary())], names)
 
-    return docs.mapInArrow(run, "kind INT, doc_id BIGINT, n BIGINT, set_key BIGINT, signature BINARY")
+    return docs.mapInArrow(run, "kind INT, doc_id BIGINT, n BIGINT, set_key BIGINT, signature BINARY, fine BINARY")
 
 
 def rarity(counts: DataFrame) -> np.ndarray:
@@ -175,12 +211,10 @@ def possible(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (flat.raw(batch.column(c))[0].reshape(-1, CLASSES).astype(np.int64) for c in ("sig_a", "sig_b"))
-            shared = np.minimum(x, y)
-            most = shared.sum(1)
+            at = np.arange(batch.num_rows)
             size = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
-            full = ((x == 255) & (y == 255)).any(1)  # such classes may share more
-            yield batch.filter(pa.array(full | (100 * most >= percent * (size - most)))).select(["a", "b"])
+            fits = allowed(Signatures(batch.column("sig_a")), at, Signatures(batch.column("sig_b")), at, size, percent)
+            yield batch.filter(pa.array(fits)).select(["a", "b"])
 
     return both.mapInArrow(run, "a BIGINT, b BIGINT")
 
@@ -250,10 +284,9 @@ def occurrences(row: np.ndarray, key: np.ndarray, size: np.ndarray, side: np.nda
     return found
 
 
-def close_signatures(size: np.ndarray, counts: np.ndarray, large: np.ndarray, side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def close_signatures(size: np.ndarray, signed: Signatures, large: np.ndarray, side: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Pairs with at least one large set that sizes and signatures don't exclude.  Sets come by size."""
     two = bool(side.any() and not side.all())
-    full = (counts == 255).any(1)
     last = np.searchsorted(percent * size, 100 * size, "right")  # partners of a set are the next ones up to here
     found = []
     for x in range(len(size)):
@@ -262,8 +295,7 @@ def close_signatures(size: np.ndarray, counts: np.ndarray, large: np.ndarray, si
             y = y[large[y]]
         if two:
             y = y[side[y] != side[x]]
-        most = np.minimum(counts[y], counts[x]).sum(1, dtype=np.int64)
-        near = (full[x] & full[y]) | (100 * most >= percent * (size[x] + size[y] - most))
+        near = allowed(signed, np.full(len(y), x), signed, y, size[x] + size[y], percent)
         found += [(x, int(k)) for k in y[near]]
     return found
 
@@ -275,7 +307,7 @@ def searched(lists: DataFrame, contents: DataFrame, column: str, read, percent:
     """a, b, sure: within each list, links of a spanning forest (sure), and pairs of large sets that may link.
 
     ``lists``: set_key, n, label.  ``contents``: set_key, a column from which ``read`` gives row and key of the distinct shingles
-    of a block, null for large sets, and for those a signature.
+    of a block, null for large sets, and signatures for the case that there are any.
     """
     totals = lists.groupBy("label").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("shingles") / (BLOCK_SETS * LARGE))).cast("int")
@@ -283,7 +315,7 @@ def searched(lists: DataFrame, contents: DataFrame, column: str, read, percent:
     rows = rows.withColumn("own", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("set_key", "n", "label", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    rows = rows.join(contents, "set_key").select("label", "i", "j", "set_key", "n", "own", column, "signature")
+    rows = rows.join(contents, "set_key").select("label", "i", "j", "set_key", "n", "own", column, "signature", "fine")
 
     def search(table: pa.Table) -> pa.Table:
         batch = pa.concat_batches(table.sort_by([("n", "ascending"), ("set_key", "ascending")]).to_batches())
@@ -292,10 +324,8 @@ def searched(lists: DataFrame, contents: DataFrame, column: str, read, percent:
         large = batch.column(column).is_null().to_numpy(zero_copy_only=False)
         pairs = []
         if large.any():
-            counts = np.zeros((len(own), CLASSES), np.uint8)
-            given = batch.column("signature").is_valid().to_numpy(zero_copy_only=False)
-            counts[given] = flat.raw(batch.column("signature").drop_null())[0].reshape(-1, CLASSES)
-            pairs += [(x, y, False) for x, y in close_signatures(size, counts, large, side, percent)]
+            signed = Signatures(batch.column("signature"), batch.column("fine"))
+            pairs += [(x, y, False) for x, y in close_signatures(size, signed, large, side, percent)]
         small = np.flatnonzero(~large)
         if len(small) > 1:
             part = batch.take(pa.array(small))
@@ -356,9 +386,9 @@ def linked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> t
     # one text of every set that is still in question
     asked = pairs.select(F.col("a").alias("set_key")).union(pairs.select("b")).union(long.select("set_key")).distinct()
     one = named.join(asked, "set_key", "left_semi").groupBy("set_key").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("signature").alias("signature"))
-    texts = stored(own_text(known.join(one, "doc_id").select("set_key", "n", "signature", "text"), shingle), "texts")
-    contents = texts.select("set_key", F.when(F.col("n") <= LARGE, F.col("text")).alias("text"), "signature")
+        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("fine").alias("fine"))
+    texts = stored(own_text(known.join(one, "doc_id").select("set_key", "n", "signature", "fine", "text"), shingle), "texts")
+    contents = texts.select("set_key", F.when(F.col("n") <= LARGE, F.col("text")).alias("text"), "signature", "fine")
     offered = stored(searched(long, contents, "text", lambda column: flat.Words(column).shingles(shingle), percent), "offered")
     pairs = pairs.union(offered.where("NOT sure").select("a", "b")).distinct()
     links = verified(pairs, texts.select("set_key", "text"), shingle, percent).union(offered.where("sure").select("a", "b"))
@@ -374,7 +404,7 @@ def own_text(texts: DataFrame, shingle: int) -> DataFrame:
                 _, own = set_keys(row, key, block.num_rows)
                 yield block.filter(pa.array(own == block.column("set_key").to_numpy()))
 
-    return texts.mapInArrow(run, "set_key BIGINT, n BIGINT, signature BINARY, text STRING").dropDuplicates(["set_key"])
+    return texts.mapInArrow(run, "set_key BIGINT, n BIGINT, signature BINARY, fine BINARY, text STRING").dropDuplicates(["set_key"])
 
 
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

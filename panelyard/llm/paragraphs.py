@@ -201,7 +201,7 @@ def repeated_paragraphs(docs: DataFrame, percent: int = PERCENT, recall: float =
     holders = units.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"))
     asked = holders.join(lists.select("set_key").distinct(), "set_key", "left_semi")
     sets = stored(shingles_of(known, asked), "sets")
-    contents = sets.withColumn("signature", F.lit(None).cast("binary"))  # every set is small enough to be held whole
+    contents = sets.withColumns({c: F.lit(None).cast("binary") for c in ("signature", "fine")})  # every set is small enough to be held whole
     links = verified(short_pairs(lists, percent), sets, percent).union(
         searched(groups(lists), contents, "shingles", unpacked, percent).select("a", "b"))
     labels = stored(components(links), "labels")
