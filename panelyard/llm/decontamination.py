@@ -5,7 +5,9 @@ emits the current word and moves on or stays, as a random bit of that word and s
 a few edits apart fall into step again, so their embeddings differ in few places.  A repetition draws one
 walk and samples some of its steps; windows that agree in all of them are candidates.  Windows of the
 documents start at every ``stride``-th word, those of the items at every word, so a leaked passage is met by several aligned windows.
-The number of repetitions is raised until items with a share of their words edited at random are found at the target recall.
+The number of repetitions is set for each class of item lengths: it is raised until the shortest items of the class, with as many words
+edited at random as the bound allows, are found at the target recall.  A class that no allowed number serves is searched exactly: its items
+are cut into one piece more than there may be edits, and every place that holds a piece unchanged is a candidate.
 
 Each candidate is verified: the item's words against the item-sized window of the document, with the
 edit distance of the best substring, must be within a fifth of the item's words (similarity 0.8).
@@ -32,6 +34,7 @@ EDIT_PERCENT = 20
 STEPS, SAMPLED = 16, 3
 TARGET_RECALL = 0.97
 MOST_REPETITIONS = 24
+LAST_CLASS = 12  # length class of all items of 60 words and more
 COVER = 10  # words that the sampled steps reach as a rule
 PART_BYTES = 4_000_000  # bound of the benchmark text sent at once
 MASK_BITS = 20
@@ -48,14 +51,14 @@ class Walks:
 
     def keys(self, words: np.ndarray, start: np.ndarray, repetition: int) -> np.ndarray:
         """Key of the sampled steps of the walk from each start; ``words`` ends in STEPS words of padding."""
-        moves = flat.mix(words ^ self.salt[repetition])
-        at = start.copy()
+        moves = flat.mix(words ^ self.salt[repetition]).astype(np.uint16)  # one bit for each of the STEPS
+        at = start.astype(np.int32)
         key = np.full(len(start), self.salt[repetition])
         steps = self.steps[repetition]
         for step in range(int(steps[-1]) + 1):
             if step in steps:
-                key = flat.mix(key * flat.STEP + words[at])
-            at += ((moves[at] >> np.uint64(step)) & np.uint64(1)).astype(at.dtype)
+                key = flat.mix(key * flat.STEP + words.take(at))
+            at += (moves.take(at) >> np.uint16(step)) & np.uint16(1)
         return key
 
 
@@ -67,22 +70,27 @@ def offsets_of(n: int) -> np.ndarray:
     return np.arange(max(1, n - COVER + 1))
 
 
-def repetitions_for(items: list[np.ndarray], recall: float, stride: int, trials: int = 400) -> int:
-    """Repetitions at which randomly edited items are met by a window of theirs at the target recall."""
+def length_class(n: int) -> int:
+    """Lengths of one class bear the same number of edits, so its shortest item is the hardest; long items make one class."""
+    return min(n // (100 // EDIT_PERCENT), LAST_CLASS)
+
+
+def repetitions_for(items: list[np.ndarray], recall: float, stride: int, trials: int = 400) -> int | None:
+    """Repetitions at which items with as many random edits as the bound allows are met by a window of theirs at the target recall; None: no number allowed does."""
     draw = np.random.default_rng(5)
     walks = Walks(MOST_REPETITIONS)
     first = []
     for _ in range(trials):
         item = items[draw.integers(len(items))]
         edited = list(item)
-        for _ in range(max(1, len(item) * EDIT_PERCENT // 200)):  # half of the bound, as for lightly edited passages
+        for _ in range(len(item) * EDIT_PERCENT // 100):
             at = draw.integers(len(edited))
             kind = draw.integers(3)
             if kind == 0:
                 edited[at] = np.uint64(draw.integers(1, 1 << 62))
             elif kind == 1:
                 edited.insert(at, np.uint64(draw.integers(1, 1 << 62)))
-            elif len(edited) > 1:
+            else:
                 edited.pop(at)
         lead = draw.integers(stride)
         text = np.concatenate([draw.integers(1, 1 << 62, lead, dtype=np.uint64), np.array(edited, np.uint64),
@@ -95,7 +103,22 @@ def repetitions_for(items: list[np.ndarray], recall: float, stride: int, trials:
                 found = r
                 break
         first.append(found)
-    return int(min(MOST_REPETITIONS, np.quantile(first, recall, method="higher") + 1))
+    need = int(np.quantile(first, recall, method="higher")) + 1
+    return need if need <= MOST_REPETITIONS else None
+
+
+def pieces_of(n: int) -> list[tuple[int, int]]:
+    """Offset and length of one piece more than there may be edits, so that every place within the bound holds one of them unchanged."""
+    cuts = np.linspace(0, n, n * EDIT_PERCENT // 100 + 2).astype(int).tolist()
+    return [(a, b - a) for a, b in zip(cuts[:-1], cuts[1:])]
+
+
+def runs(words: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
+    """Key of the ``size`` words from each start; ``words`` is padded."""
+    key = np.full(len(start), size, np.uint64)
+    for k in range(size):
+        key = flat.mix(key * flat.STEP + words[start + k])
+    return key
 
 
 def distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -133,18 +156,36 @@ class Items:
         every = [words.key[a:b] for a, b in zip(words.first[:-1], words.first[1:])]
         self.ids = [i for i, w in zip(ids, every) if len(w) >= LEAST_WORDS]
         self.words = [w for w in every if len(w) >= LEAST_WORDS]
-        self.stride = 1
-        self.walks = None
-        if self.words:
-            shortest = min(len(w) for w in self.words)
-            self.stride = int(np.clip((shortest - COVER + 1) // 2, 1, 4))
-            self.walks = Walks(repetitions_for(self.words, TARGET_RECALL, self.stride))
-            self.tables = [self.table(r) for r in range(len(self.walks.salt))]
+        self.sets = [set(w.tolist()) for w in self.words]
+        by_class: dict[int, list[np.ndarray]] = {}
+        for w in self.words:
+            by_class.setdefault(length_class(len(w)), []).append(w)
+        shortest = {c: min(map(len, ws)) for c, ws in by_class.items()}
+        self.stride = int(np.clip((min(shortest.values(), default=0) - COVER + 1) // 2, 1, 4))
+        need = {c: repetitions_for([w for w in ws if len(w) == shortest[c]], TARGET_RECALL, self.stride) for c, ws in by_class.items()}
+        self.repetitions = [need[length_class(len(w))] for w in self.words]
+        self.walks = Walks(max((n for n in need.values() if n), default=0))
+        self.tables = [self.table(r) for r in range(len(self.walks.salt))]
+        self.exact = self.exact_tables()
 
     def table(self, r: int):
-        owner = np.concatenate([np.full(len(offsets_of(len(w))), i) for i, w in enumerate(self.words)])
-        offset = np.concatenate([offsets_of(len(w)) for w in self.words])
-        key = np.concatenate([self.walks.keys(padded(w), offsets_of(len(w)), r) for w in self.words])
+        use = [i for i, n in enumerate(self.repetitions) if n and n > r]
+        own = [self.words[i] for i in use]
+        owner = np.repeat(use, [len(offsets_of(len(w))) for w in own])
+        offset = np.concatenate([offsets_of(len(w)) for w in own])
+        return self.sorted(np.concatenate([self.walks.keys(padded(w), offsets_of(len(w)), r) for w in own]), owner, offset)
+
+    def exact_tables(self) -> dict[int, tuple]:
+        """By length, the pieces of the items for which no number of repetitions reaches the target."""
+        pieces: dict[int, list[tuple[int, int]]] = {}
+        for i, n in enumerate(self.repetitions):
+            for offset, size in pieces_of(len(self.words[i])) if n is None else []:
+                pieces.setdefault(size, []).append((i, offset))
+        return {size: self.sorted(np.concatenate([runs(self.words[i], np.array([offset]), size) for i, offset in of]),
+                                  np.array([i for i, _ in of]), np.array([offset for _, offset in of])) for size, of in pieces.items()}
+
+    @staticmethod
+    def sorted(key: np.ndarray, owner: np.ndarray, offset: np.ndarray):
         order = np.argsort(key, kind="stable")
         mask = np.zeros(1 << MASK_BITS, bool)
         mask[(key >> np.uint64(64 - MASK_BITS)).astype(np.int64)] = True
@@ -153,20 +194,26 @@ class Items:
     def hits(self, texts: pa.Array) -> list[tuple[int, int, int, int, int, int]]:
         """(row, item, distance, words of the item, first word, end word): the best place of every item found in every text."""
         words = flat.Words(texts, gaps=flat.SIGNS)
-        if not len(words.key) or self.walks is None:
+        if not len(words.key) or not self.words:
             return []
         own = padded(words.key)
-        place = np.arange(len(words.key)) - words.first[words.row]
-        start = np.flatnonzero(place % self.stride == 0)
+        every = np.arange(len(words.key))
+        start = np.flatnonzero((every - words.first[words.row]) % self.stride == 0)
         found = []
-        for r, (keys, owner, offset, mask) in enumerate(self.tables):
-            key = self.walks.keys(own, start, r)
+
+        def meet(key: np.ndarray, start: np.ndarray, table: tuple) -> None:
+            keys, owner, offset, mask = table
             maybe = np.flatnonzero(mask[(key >> np.uint64(64 - MASK_BITS)).astype(np.int64)])
             low, high = np.searchsorted(keys, key[maybe]), np.searchsorted(keys, key[maybe], "right")
             size = high - low
             at = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
             begin = np.repeat(start[maybe], size)
             found.append(np.stack([words.row[begin], owner[at], begin - offset[at]], axis=1))
+
+        for r, table in enumerate(self.tables):
+            meet(self.walks.keys(own, start, r), start, table)
+        for size, table in self.exact.items():
+            meet(runs(own, every, size), every, table)
         found = np.unique(np.concatenate(found), axis=0)
         best: dict[tuple[int, int], tuple] = {}
         covered: dict[tuple[int, int], int] = {}
@@ -178,6 +225,8 @@ class Items:
                 continue  # that region has been compared
             a, b = max(first, begin - most - n // 2), min(last, begin + n + most + n // 2)
             covered[row, item] = b
+            if len(self.sets[item].intersection(words.key[a:b].tolist())) < len(self.sets[item]) - most:
+                continue  # an edit takes away one word at most
             d, end = distance(self.words[item], words.key[a:b])
             if d <= most and d < best.get((row, item), (n + 1,))[0]:
                 _, length = distance(self.words[item][::-1], words.key[a:a + end][::-1])

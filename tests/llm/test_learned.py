@@ -194,3 +194,34 @@ def test_leaks(spark):
     assert decontamination.leaks(docs(spark, []), bench).count() == 0
     assert decontamination.leaks(given, bench.limit(0)).count() == 0
     assert decontamination.without_leaks(given, bench.limit(0)).count() == len(rows)
+
+
+def edited_at_bound(rng, item):
+    """The item with a fifth of its words replaced, at different places."""
+    out = list(item)
+    for at in rng.choice(len(item), len(item) // 5, replace=False):
+        out[at] = f"changed{rng.integers(1_000_000)}"
+    return out
+
+
+def test_leaks_edited_up_to_the_bound(spark):
+    rng = np.random.default_rng(12)
+    items = {k: words(5000 + k, 15 if k < 40 else 59) for k in range(80)}
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id BIGINT, text STRING")
+    rows = [(i, " ".join(words(6000 + i, int(rng.integers(5, 40))) + edited_at_bound(rng, items[i % 40]) + words(7000 + i, 20))) for i in range(200)]
+    got = {(r["doc_id"], r["item_id"]): r["distance"] for r in decontamination.leaks(docs(spark, rows), bench).collect()}
+    want = {(i, i % 40) for i, _ in rows}
+    assert set(got) <= want and max(got.values()) <= 3
+    assert len(got) >= 0.95 * len(want)
+    assert decontamination.without_leaks(docs(spark, rows), bench).count() == len(rows) - len(got)
+
+
+def test_items_beyond_the_repetitions_are_searched_exactly(spark):
+    rng = np.random.default_rng(13)
+    items = {k: words(8000 + k, 5 if k < 60 else 30) for k in range(70)}
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id BIGINT, text STRING")
+    rows = [(i, " ".join(words(9000 + i, i % 7) + edited_at_bound(rng, items[i % 60]) + words(9500 + i, i % 5))) for i in range(300)]
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(docs(spark, rows), bench).collect()}
+    assert got == {(i, i % 60) for i, _ in rows}
+    part = decontamination.Items(list(items), [" ".join(w) for w in items.values()])
+    assert set(part.exact) == {2, 3} and set(part.repetitions[:60]) == {None} and all(part.repetitions[60:])
