@@ -1,7 +1,10 @@
 """Repeated paragraphs by MinHash banding, verified on exact Jaccard similarity, and removed by components.
 
 A paragraph is a line; a line of more than ``LONG`` words is cut after its sentences, and a sentence still longer where a hash of two
-neighbouring words says so (one place in ``CUT_EVERY``), so that a passage inside a long line is found as well.  Paragraphs of fewer than ``LEAST`` words are not compared.  Words are runs of letters and digits, A-Z lower-cased; a paragraph
+neighbouring words says so (one place in ``CUT_EVERY``), so that a passage inside a long line is found as well.  A long line is also cut a second time, into units
+of ``LEAST`` to 2 * LEAST - 1 words by the words nearby (see ``joined``), which join short sentences and split longer ones; so every word of
+it is compared, and a passage that starts in mid-sentence is found.  Units of the two cuttings overlap and are compared only with units of
+their own cutting; what to remove of a text is the union of the removed ranges of bytes.  Other paragraphs of fewer than ``LEAST`` words are not compared.  Words are runs of letters and digits, A-Z lower-cased; a paragraph
 is the set of its five-word shingles, and two are near when they share at least 80 % of them.
 
 Bands and rows are tuned: the least number of hash values at which a pair at the threshold collides with the
@@ -45,10 +48,29 @@ def tuned(percent: int = PERCENT, recall: float = TARGET_RECALL, most: int = 128
     return best
 
 
+def joined(new_line: np.ndarray, line: np.ndarray, pair: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Which words begin a unit inside a long line, by the second cutting.
+
+    Places are taken in the order of a hash of the two words beside them, ends of sentences first, unless one taken before, or an end of
+    the line, is less than ``LEAST`` words away.  So units have ``LEAST`` to 2 * LEAST - 1 words, and which places are taken depends on the words nearby.
+    """
+    length, head = np.bincount(line), np.flatnonzero(new_line)
+    place = np.arange(len(line)) - head[line]
+    may = np.flatnonzero((length[line] > LONG) & (place >= LEAST) & (length[line] - place >= LEAST))
+    rank = (pair[may - 1] >> np.uint64(1)) | (~stop[may - 1]).astype(np.uint64) << np.uint64(63)
+    taken, near = bytearray(len(line)), bytearray(len(line))
+    wide = b"\1" * (2 * LEAST - 1)
+    for i in may[np.argsort(rank, kind="stable")].tolist():
+        if not near[i]:
+            taken[i] = 1
+            near[i - LEAST + 1:i + LEAST] = wide
+    return np.frombuffer(taken, np.uint8).astype(bool)
+
+
 class Paragraphs:
     """The paragraphs of a block of texts with their shingle sets.
 
-    ``row``, ``place`` (number within the row), ``start`` and ``end`` (bytes within the text), ``words``; ``unit`` and ``key``: paragraph
+    ``row``, ``place`` (number within the row, by start), ``layer`` (0: lines and sentences, 1: second cutting of long lines), ``start`` and ``end`` (bytes within the text), ``words``; ``unit`` and ``key``: paragraph
     and shingle of each distinct shingle, in order; ``size`` and ``set_key`` of each set.
     """
 
@@ -57,7 +79,7 @@ class Paragraphs:
         n = len(words.key)
         data = words.data
         empty = np.zeros(0, np.int64)
-        self.row = self.place = self.start = self.end = self.words = self.unit = self.size = empty
+        self.row = self.place = self.start = self.end = self.words = self.layer = self.unit = self.size = empty
         self.key, self.set_key = np.zeros(0, np.uint64), empty
         if not n:
             return
@@ -74,30 +96,34 @@ class Paragraphs:
         long = np.bincount(piece)[piece] > LONG
         pair = flat.mix(words.key[:-1] * flat.STEP + words.key[1:])
         new = new | np.append(False, pair % np.uint64(CUT_EVERY) == 0) & long
-        first = np.append(np.flatnonzero(new), n)
-        count = np.diff(first)
-        head = first[:-1]
+        first = [np.append(np.flatnonzero(new), n), np.append(np.flatnonzero(new_line | joined(new_line, line, pair, stops[gap_to] > stops[gap_from])), n)]
+        head, last = np.concatenate([f[:-1] for f in first]), np.concatenate([f[1:] - 1 for f in first])
+        layer = np.repeat([0, 1], [len(f) - 1 for f in first])
+        count = last + 1 - head
         row = words.row[head]
-        place = np.arange(len(head)) - np.searchsorted(row, row)
-        keep = np.flatnonzero(count >= LEAST)
-        unit, key = flat.shingled(words.key, first, SHINGLE)
+        keep = count >= LEAST
+        keep[layer == 1] &= np.bincount(line)[line[head[layer == 1]]] > LONG  # a line that isn't cut is compared once
         slot = np.full(len(head), -1)
-        slot[keep] = np.arange(len(keep))
-        unit = slot[unit]
+        slot[keep] = np.arange(np.count_nonzero(keep))
+        shingles = [flat.shingled(words.key, f, SHINGLE) for f in first]
+        unit = slot[np.concatenate([shingles[0][0], shingles[1][0] + len(first[0]) - 1])]
+        key = np.concatenate([k for _, k in shingles])
         key = key[unit >= 0] >> np.uint64(64 - flat.KEY_BITS)
         unit = unit[unit >= 0]
+        head, last, self.layer, self.row, self.words = head[keep], last[keep], layer[keep], row[keep], count[keep]
+        turn = np.lexsort((self.layer, head))
+        self.place = np.empty(len(head), np.int64)
+        self.place[turn] = np.arange(len(head)) - np.searchsorted(self.row[turn], self.row[turn])
+        self.start, self.end = words.start[head] - words.at[self.row], words.end[last] - words.at[self.row]
         order = np.lexsort((key, unit))
         unit, key = unit[order], key[order]
         fresh = np.ones(len(unit), bool)
         fresh[1:] = (unit[1:] != unit[:-1]) | (key[1:] != key[:-1])
         self.unit, self.key = unit[fresh], key[fresh]
-        self.row, self.place, self.words = row[keep], place[keep], count[keep]
-        self.start = words.start[head][keep] - words.at[self.row]
-        self.end = words.end[first[1:] - 1][keep] - words.at[self.row]
-        self.size = np.bincount(self.unit, minlength=len(keep))
-        if len(keep):
-            sums = np.add.reduceat(flat.mix(self.key + np.uint64(0x2545F491)), np.searchsorted(self.unit, np.arange(len(keep))))
-            self.set_key = flat.signed(flat.mix(sums + self.size.astype(np.uint64)))
+        self.size = np.bincount(self.unit, minlength=len(head))
+        if len(head):
+            sums = np.add.reduceat(flat.mix(self.key + np.uint64(0x2545F491)), np.searchsorted(self.unit, np.arange(len(head))))
+            self.set_key = flat.signed(flat.mix(sums + self.size.astype(np.uint64) + self.layer.astype(np.uint64) * flat.STEP))
 
     def bands(self, bands: int, rows: int) -> list[np.ndarray]:
         """The key of every paragraph in each band."""
@@ -106,7 +132,7 @@ class Paragraphs:
         cuts = np.searchsorted(self.unit, np.arange(len(self.row)))
         out = []
         for b in range(bands):
-            key = np.full(len(self.row), SALTS[b])
+            key = SALTS[b] + self.layer.astype(np.uint64)
             for r in range(rows):
                 key = flat.mix(key * flat.STEP + np.minimum.reduceat(flat.mix(self.key ^ SALTS[b * rows + r]), cuts))
             out.append(flat.signed(key))

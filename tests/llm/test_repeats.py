@@ -4,6 +4,7 @@ import hashlib
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -178,6 +179,41 @@ def test_paragraphs(spark):
     assert collected(paragraphs.repeated_paragraphs(docs(spark, []))) == []
 
 
+def sentences(seed, n, size):
+    own = words(seed, n)
+    return " ".join(w + "." if k % size == size - 1 else w for k, w in enumerate(own))
+
+
+@pytest.mark.parametrize("size, lead", [(5, 0), (5, 3), (30, 13), (60, 5)])
+def test_passages_inside_long_lines(spark, size, lead):
+    """Passages of 50 words of sentences of ``size`` words that start ``lead`` words into a sentence, in long lines of other words."""
+    rows, passages = [], {}
+    for k in range(40):
+        passages[k] = " ".join(sentences(5000 + k, lead + 50, size).split()[lead:])
+        for copy in range(2):
+            rows.append((100 * copy + k, f"{sentences(6000 + 2 * k + copy, 37, 12)} {passages[k]} {sentences(7000 + 2 * k + copy, 43, 12)}"))
+    got = collected(paragraphs.repeated_paragraphs(docs(spark, rows)))
+    texts = {i: t.encode() for i, t in rows}
+    assert {r[0] for r in got if r[7]} == {100 + k for k in range(40)} and {r[0] for r in got if not r[7]} == set(range(40))
+    assert all(r[5] == r[0] % 100 and r[4] >= 8 for r in got) and len({(r[0], r[1]) for r in got}) == len(got)
+    share = []
+    for k in range(40):
+        gone = np.zeros(len(texts[100 + k]), bool)
+        for r in got:
+            if r[0] == 100 + k:
+                gone[r[2]:r[3]] = True
+        share.append(gone.sum() / len(passages[k]))
+    assert np.mean(share) > 0.6 and max(share) <= 1.3
+
+
+def test_every_word_of_a_long_line_is_compared():
+    texts = [sentences(k, 400, 4) + "\n" + text(k + 50, 41) for k in range(5)] + ["la " * 1000, "Oh. " * 300]
+    p = paragraphs.Paragraphs(pa.array(texts))
+    second = p.layer == 1
+    assert [int(p.words[second & (p.row == r)].sum()) for r in range(7)] == [441] * 5 + [1000, 300]
+    assert p.words[second].min() >= 8 and p.words[second].max() <= 15
+
+
 def test_paragraph_groups_equal_brute_force(spark):
     rng = np.random.default_rng(4)
     rows = []
