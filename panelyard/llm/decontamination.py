@@ -3,7 +3,8 @@
 Texts are sequences of words (letters and digits, A-Z lower-cased).  The CGK random walk reads a window word by word and at each step
 emits the current word and moves on or stays, as a random bit of that word and step says; two windows
 a few edits apart fall into step again, so their embeddings differ in few places.  A repetition draws one
-walk and samples some of its steps; windows that agree in all of them are candidates.  Windows of the
+walk and samples some of its steps; windows that agree in all of them are candidates.  A walk has ``STEPS`` steps and so reads
+about ten words: windows are not item-sized, but pieces of the item at all offsets.  Windows of the
 documents start at every ``stride``-th word, those of the items at every word, so a leaked passage is met by several aligned windows.
 The number of repetitions is set for each class of item lengths: it is raised until the shortest items of the class, with as many words
 edited at random as the bound allows, are found at the target recall.  A class that no allowed number serves is searched exactly: its items
