@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import zlib
 
-from panelyard.llm import lines, sharding
+from panelyard.llm import lines, mixing, sharding
 
 
 def crc32_sql(text: str) -> str:
@@ -144,3 +144,52 @@ def jaccard_sql(shingle: int = 4, percent: int = 85) -> str:
   SELECT a, min(b) AS component_id FROM reach GROUP BY a
 )
 SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, component_id FROM s JOIN least_of ON a = doc_id"""
+
+
+def due_sql(demand: str, course: mixing.Course) -> str:
+    """Time at which a share of a source's words is asked for, piece by piece of the course."""
+    cases = []
+    pieces = course.pieces()
+    for i, (begin, end, factor, slope, before) in enumerate(pieces):
+        rest = f"({demand} - {before!r}::DOUBLE)"
+        root = f"({factor!r}::DOUBLE + sqrt(greatest({factor * factor!r}::DOUBLE + ({2 * slope!r})::DOUBLE * {rest}, 0::DOUBLE)))"
+        time = f"least({float(begin)!r}::DOUBLE + CASE WHEN {root} > 0 THEN 2::DOUBLE * {rest} / {root} ELSE 0 END, {float(end)!r}::DOUBLE)"
+        cases.append(f"WHEN {demand} < {pieces[i + 1][4]!r}::DOUBLE THEN {time}" if i + 1 < len(pieces) else f"ELSE {time}")
+    return f"CASE {' '.join(cases)} END" if len(cases) > 1 else cases[0].removeprefix("ELSE ")
+
+
+def mixing_sql() -> str:
+    """The mix by one window over each source; the level is the one at which the first source in order of fullness is not full."""
+    share, passes, courses = mixing.SHARE_PERCENT, mixing.MOST_PASSES, mixing.COURSES
+    weights = ", ".join(str(c.weight) for c in courses)
+    times = "CASE kind " + " ".join(f"WHEN {i} THEN {due_sql('{share}', c)}" for i, c in enumerate(courses)) + " END"
+    upto = [f"CASE WHEN words{p} > 0 THEN {times.replace('{share}', f'(CAST(b + {p} * source_size AS DOUBLE) / target)')} END AS due{p}" for p in range(passes)]
+    words = [f"CAST(greatest(0, least(size, CAST(floor(target) AS BIGINT) - b - {p} * source_size)) AS BIGINT) AS words{p}" for p in range(passes)]
+    return f"""WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS place, coalesce(text, '') AS t FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS turn FROM d GROUP BY source
+), w AS (
+  SELECT *, turn % {len(courses)} AS kind, ([{weights}])[turn % {len(courses)} + 1] AS weight FROM s
+), c AS (
+  SELECT *, sum(source_size) OVER () AS whole, source_size::DOUBLE / weight AS fullness,
+    coalesce(sum(source_size) OVER (ORDER BY source_size::DOUBLE / weight, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_words,
+    sum(weight) OVER (ORDER BY source_size::DOUBLE / weight, turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight FROM w
+), l AS (
+  SELECT min_by(level, fullness) AS level FROM (
+    SELECT *, CAST({share} * whole - {100 * passes} * full_words AS DOUBLE) / CAST(100 * open_weight AS DOUBLE) AS level FROM c)
+  WHERE {passes} * source_size > level * weight
+), f AS (
+  SELECT source, source_size, kind, least(CAST(source_size AS DOUBLE) * {passes}, weight * coalesce(level, 1e300)) AS target FROM c, l
+), r AS (
+  SELECT d.doc_id, d.size, f.source_size, f.target, f.kind,
+    CAST(coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY place, doc_id, size, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS b
+  FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source
+), q AS (
+  SELECT *, {', '.join(words)} FROM r
+), u AS (
+  SELECT *, {', '.join(upto)} FROM q
+)
+SELECT doc_id, size, source_size, target, {' + '.join(f'words{p}' for p in range(passes))} AS taken,
+  coalesce({', '.join(f'due{p}' for p in range(passes))}) AS first_due, coalesce({', '.join(f'due{p}' for p in reversed(range(passes)))}) AS last_due FROM u"""

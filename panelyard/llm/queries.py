@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelyard.llm import decontamination, jaccard, lines, neighbours, oracles, packing, paragraphs, quality, sharding, suffixes, toxicity
+from panelyard.llm import decontamination, jaccard, lines, mixing, neighbours, oracles, packing, paragraphs, quality, sharding, suffixes, toxicity
 from panelyard.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -66,3 +66,9 @@ def op7(spark, folder):
 def op1(spark, folder):
     """What the removal of repeated 200-byte strings leaves of every document."""
     return suffixes.without_repeats(table(spark, folder, "documents"))
+
+
+@query("op11_curriculum_mixing", oracles.mixing_sql())
+def op11(spark, folder):
+    """Every document with the words the mix takes of it and the times they are due."""
+    return mixing.mix_report(table(spark, folder, "documents"))
