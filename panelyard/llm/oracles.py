@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import zlib
 
-from panelyard.llm import lines, mixing, sharding
+from panelyard.llm import lines, mixing, sharding, vector_codes
 
 
 def crc32_sql(text: str) -> str:
@@ -193,3 +193,36 @@ def mixing_sql() -> str:
 )
 SELECT doc_id, size, source_size, target, {' + '.join(f'words{p}' for p in range(passes))} AS taken,
   coalesce({', '.join(f'due{p}' for p in range(passes))}) AS first_due, coalesce({', '.join(f'due{p}' for p in reversed(range(passes)))}) AS last_due FROM u"""
+
+
+def vector_codes_sql() -> str:
+    """Codes by measuring every distinct part against every entry; the length must be a multiple of the parts, and the same in all rows."""
+    parts, entries, rounds = vector_codes.PARTS, vector_codes.ENTRIES, vector_codes.ROUNDS
+
+    def nearest(round_: int) -> str:
+        return f"""n{round_} AS (
+  SELECT u.p, u.part, min({{'d': CAST(list_sum(list_transform(range(1, len(u.part) + 1), lambda i: (u.part[i] - b.part[i]) * (u.part[i] - b.part[i]))) AS BIGINT),
+    'k': b.k}}) AS best FROM (SELECT DISTINCT p, part FROM v) u JOIN b{round_} b USING (p) GROUP BY u.p, u.part)"""
+
+    def moved(round_: int) -> str:
+        return f"""x{round_} AS (
+  SELECT v.p, best.k AS k, count(*) AS n, list(v.part) AS own FROM v JOIN n{round_} USING (p, part) GROUP BY v.p, best.k
+), b{round_ + 1} AS (
+  SELECT b.p, b.k, CASE WHEN x.n IS NULL THEN b.part ELSE list_transform(range(1, len(b.part) + 1),
+    lambda i: CAST(floor(CAST(list_sum(list_transform(x.own, lambda o: o[i])) AS DOUBLE) / x.n) AS BIGINT)) END AS part
+  FROM b{round_} b LEFT JOIN x{round_} x USING (p, k))"""
+
+    steps = ",\n".join(f"{nearest(r)}, {moved(r)}" for r in range(rounds))
+    return f"""WITH e AS (
+  SELECT vec_id, label, row_number() OVER () AS rid, list_transform(embedding, lambda x: CAST(floor({vector_codes.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS vec
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), v AS (
+  SELECT rid, vec_id, p, vec[p * (len(vec) // {parts}) + 1:(p + 1) * (len(vec) // {parts})] AS part FROM e, (SELECT unnest(range({parts})) AS p)
+), b0 AS (
+  SELECT p, k, part FROM (SELECT p, part, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS k FROM v) WHERE k < {entries}
+), {steps}, {nearest(rounds)}, h AS (
+  SELECT sha256(string_agg(array_to_string(part, ','), ',' ORDER BY p, k)) AS codebooks_sha256 FROM b{rounds}
+), c AS (
+  SELECT rid, string_agg(lower(format('{{:02x}}', best.k)), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM v JOIN n{rounds} USING (p, part) GROUP BY rid
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM e JOIN c USING (rid), h"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelyard.llm import decontamination, jaccard, lines, mixing, neighbours, oracles, packing, paragraphs, quality, sharding, suffixes, toxicity
+from panelyard.llm import decontamination, jaccard, lines, mixing, neighbours, oracles, packing, paragraphs, quality, sharding, suffixes, toxicity, vector_codes
 from panelyard.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -72,3 +72,9 @@ def op1(spark, folder):
 def op11(spark, folder):
     """Every document with the words the mix takes of it and the times they are due."""
     return mixing.mix_report(table(spark, folder, "documents"))
+
+
+@query("op13_trie_vector_codes", oracles.vector_codes_sql())
+def op13(spark, folder):
+    """Every vector's code, its error, its label's error, and the digest of the codebooks."""
+    return vector_codes.compress(table(spark, folder, "embeddings"))
