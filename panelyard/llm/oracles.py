@@ -166,7 +166,7 @@ def mixing_sql() -> str:
     upto = [f"CASE WHEN words{p} > 0 THEN {times.replace('{share}', f'(CAST(b + {p} * source_size AS DOUBLE) / target)')} END AS due{p}" for p in range(passes)]
     words = [f"CAST(greatest(0, least(size, CAST(floor(target) AS BIGINT) - b - {p} * source_size)) AS BIGINT) AS words{p}" for p in range(passes)]
     return f"""WITH d AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
     md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS place, coalesce(text, '') AS t FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS turn FROM d GROUP BY source
@@ -226,3 +226,62 @@ def vector_codes_sql() -> str:
   SELECT rid, string_agg(lower(format('{{:02x}}', best.k)), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM v JOIN n{rounds} USING (p, part) GROUP BY rid
 )
 SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM e JOIN c USING (rid), h"""
+
+
+def repair_sql() -> str:
+    """Conversation repair by a forward table over rows and role states that carries each state's least cost, edits and text."""
+    def least(*cases: str) -> str:
+        return f"list_aggregate([{', '.join(cases)}], 'min')"
+
+    def then(state: str, cost: str, letter: str, line: str = "''") -> str:
+        return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 'r': {state}.r || {line}}}"
+
+    def delete(state: str) -> str:
+        return then(state, "4", "D")
+
+    def keep(state: str, initial: str) -> str:
+        return then(state, f"CASE WHEN initial = '{initial}' AND fault < 2 THEN 3 * fault ELSE 1000000 END", "K", "chr(10) || role || ':' || text")
+
+    def rerole(state: str, role: str) -> str:
+        return then(state, "CASE WHEN fault < 2 THEN 3 + 3 * fault ELSE 1000000 END", "R", f"chr(10) || '{role}:' || text")
+
+    def insert(state: str, role: str) -> str:
+        return then(state, "3", "I", f"chr(10) || '{role}:'")
+
+    word = "[^\\x20\\x09-\\x0D]"
+    return f"""WITH RECURSIVE d AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {crc32_sql("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS fate FROM conversations
+), e AS (
+  SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+    CASE fate WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN fate = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM d WHERE fate <> 0
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, left(role, 1) AS initial FROM e
+), f AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '{word}') THEN 2 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 3
+    WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') THEN 1 ELSE 0 END AS fault,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM o
+), n AS (
+  SELECT conv_id AS c_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 2) AS blank,
+    count(*) FILTER (fault = 3) AS duplicate, count(*) FILTER (fault = 1) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM f GROUP BY conv_id
+), z AS (
+  SELECT *, {insert('s2', 'assistant')} AS s3 FROM (SELECT *, {insert('s0', 'user')} AS s2 FROM (
+    SELECT DISTINCT conv_id AS id, CAST(0 AS BIGINT) AS pos, {{'c': CAST(0 AS BIGINT), 'a': '', 'r': ''}} AS s0, {{'c': CAST(900000 AS BIGINT), 'a': '', 'r': ''}} AS s1
+    FROM conversations))
+), t AS (
+  SELECT id, pos, s0, s1, s2, s3 FROM z
+  UNION ALL
+  SELECT id, pos, n0 AS s0, n1 AS s1, m2 AS s2, {least('n3', insert('m2', 'assistant'))} AS s3 FROM (
+    SELECT *, {least('n2', insert('n0', 'user'), insert('n1', 'user'), insert('n3', 'user'))} AS m2 FROM (
+      SELECT id, pos + 1 AS pos, {delete('s0')} AS n0, {least(delete('s1'), keep('s0', 's'))} AS n1,
+        {least(delete('s2'), *(keep(s, 'u') for s in ('s0', 's1', 's3')), *(rerole(s, 'user') for s in ('s0', 's1', 's3')))} AS n2,
+        {least(delete('s3'), keep('s2', 'a'), rerole('s2', 'assistant'))} AS n3
+      FROM t JOIN f ON f.conv_id IS NOT DISTINCT FROM t.id AND f.i = t.pos + 1))
+), b AS (
+  SELECT id, pos, {least('s0', 's3')} AS best FROM t
+)
+SELECT id AS conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, best.c AS cost, best.a AS audit, sha256(substr(best.r, 2)) AS repaired_sha256
+FROM b LEFT JOIN n ON id IS NOT DISTINCT FROM c_id WHERE pos = coalesce(n, 0)"""

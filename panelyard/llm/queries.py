@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelyard.llm import decontamination, jaccard, lines, mixing, neighbours, oracles, packing, paragraphs, quality, sharding, suffixes, toxicity, vector_codes
+from panelyard.llm import conversations, decontamination, jaccard, lines, mixing, neighbours, oracles, packing, paragraphs, quality, sharding, suffixes, toxicity, vector_codes
 from panelyard.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -78,3 +78,9 @@ def op11(spark, folder):
 def op13(spark, folder):
     """Every vector's code, its error, its label's error, and the digest of the codebooks."""
     return vector_codes.compress(table(spark, folder, "embeddings"))
+
+
+@query("op12_conversation_repair", oracles.repair_sql())
+def op12(spark, folder):
+    """Faults of every damaged conversation, the cheapest edits that mend its roles, and the digest of what they leave."""
+    return conversations.repaired(table(spark, folder, "conversations"))
