@@ -2,12 +2,13 @@
 
 A bounded sample of the vectors gives a neighbour graph; balanced partitioning cuts the graph into parts of equal size; a small
 classifier, fitted on the sample's parts, then routes every vector.  A vector is stored in its most probable
-part; a query probes its most probable parts, as many as reach the target recall on sample queries against brute force.  Found vectors
-are ranked by their exact inner product in double precision.
+part; a query probes its most probable parts up to a total probability that reaches the target recall on held-out queries against brute
+force, so a query with a clear place probes few.  Found vectors are ranked by their exact inner product in double precision.
 
 Equal vectors are kept once with their smallest ids, as many as a query can need, so copies do not crowd a part.
 Parts are dealt in slices of bounded size, and queries in blocks; each pair of a slice and a block of the same part is
-one group and keeps the best of each query.  The number of parts grows with the table, so a slice is met by a bounded share of the queries.
+one group and keeps the best of each query.  The number of parts grows with the table as far as the sample supports them (``PART_SAMPLE`` vectors
+each: 256 parts of the default sample, enough for 384,000 vectors); larger tables need a larger ``SAMPLE``, or a query compares a fixed share of them.
 
 Defined cases: vectors that are null, empty, zero, of another length than most, or hold null or non-finite components take no
 part, neither as query nor as candidate; rows without id take none; a repeated id with different vectors is a candidate with
@@ -30,10 +31,12 @@ QUERY_EVERY = 20
 SAMPLE = 12_000  # bound of the vectors that the graph and the classifier are fitted on
 SAMPLE_QUERIES = 300
 GRAPH_NEIGHBOURS = 10
-PART_ROWS = 1_500  # vectors aimed at in a part, up to MOST_PARTS
-MOST_PARTS = 256
-TARGET_RECALL = 0.97
+PART_ROWS = 1_500  # vectors aimed at in a part
+PART_SAMPLE = 32  # sampled vectors that a part needs at least, so the sample bounds the number of parts
+TARGET_RECALL = 0.94
+GRAIN = 1 << 52  # of the hash that draws the sample
 SLICE, BLOCK = 20_000, 1_000
+OWN_PART = 5e-324  # only the most probable part has no probability before it
 FOUND = "query_id BIGINT, vec_id BIGINT, score DOUBLE"
 
 
@@ -149,34 +152,42 @@ class Router:
                     rate = 3e-3 * (1 - epoch / epochs) + 1e-4
                     setattr(self, n, getattr(self, n) - rate * (mean[n] / (1 - 0.9**step)) / (np.sqrt(var[n] / (1 - 0.999**step)) + 1e-8))
 
-    def order(self, points: np.ndarray, most: int) -> np.ndarray:
-        """The ``most`` most probable parts of every point, best first."""
+    def probabilities(self, points: np.ndarray) -> np.ndarray:
         z = np.maximum(0, points * self.scale @ self.w1 + self.b1) @ self.w2 + self.b2
-        return np.argsort(-z, axis=1, kind="stable")[:, :most]
+        p = np.exp(z - z.max(1, keepdims=True))
+        return p / p.sum(1, keepdims=True)
 
+    def ranked(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The parts of every point, most probable first, and the probability of all parts before each."""
+        p = self.probabilities(points)
+        order = np.argsort(-p, axis=1, kind="stable")
+        p = np.take_along_axis(p, order, 1)
+        return order, np.cumsum(p, 1) - p
 
-def fitted(points: np.ndarray, rows: int, nearest: int) -> tuple[Router, int, int]:
-    """Router, number of parts and of probes, from the sample."""
+
+def fitted(points: np.ndarray, rows: int, nearest: int) -> tuple[Router, int, float]:
+    """Router, number of parts, and the probability up to which a query probes its parts.
+
+    Queries are held out of the graph and of the router; that probability is the least which lets them meet the target share of
+    their true neighbours in the sample.
+    """
     parts = 1
-    while parts < MOST_PARTS and rows / parts > PART_ROWS and len(points) / parts > 32:
+    while rows / parts > PART_ROWS and len(points) / (2 * parts) > PART_SAMPLE:
         parts *= 2
     if parts == 1:
-        return Router(points, np.zeros(len(points), np.int64), 1, epochs=0), 1, 1
-    part = balanced_parts(graph(points, min(GRAPH_NEIGHBOURS, len(points) - 1)), parts)
-    router = Router(points, part, parts)
-    stored_in = router.order(points, 1)[:, 0]
-    asked = np.random.default_rng(4).choice(len(points), min(SAMPLE_QUERIES, len(points)), replace=False)
-    ranked = router.order(points[asked], parts)
-    near = points[asked] @ points.T
-    near[np.arange(len(asked)), asked] = -np.inf
+        return Router(points, np.zeros(len(points), np.int64), 1, epochs=0), 1, 1.0
+    held = np.random.default_rng(4).permutation(len(points))[:min(SAMPLE_QUERIES, len(points) // 10)]
+    fit = np.delete(points, held, axis=0)
+    router = Router(fit, balanced_parts(graph(fit, min(GRAPH_NEIGHBOURS, len(fit) - 1)), parts), parts)
+    lies_in = router.ranked(points)[0][:, 0]
+    order, before = router.ranked(points[held])
+    near = points[held] @ points.T
+    near[np.arange(len(held)), held] = -np.inf
     true = np.argpartition(-near, min(nearest, near.shape[1] - 2), axis=1)[:, :nearest]
-    rank = np.empty_like(ranked)
-    np.put_along_axis(rank, ranked, np.arange(parts)[None, :], axis=1)
-    needed = np.take_along_axis(rank, stored_in[true], axis=1)
-    for probes in range(1, parts + 1):
-        if (needed < probes).mean() >= TARGET_RECALL:
-            break
-    return router, parts, probes
+    mass = np.empty_like(before)
+    np.put_along_axis(mass, order, before, axis=1)
+    needed = np.sort(np.take_along_axis(mass, lies_in[true], axis=1).ravel())
+    return router, parts, float(np.nextafter(needed[min(len(needed) - 1, int(TARGET_RECALL * len(needed)))], 2))
 
 
 def search(table: DataFrame, nearest: int = NEAREST, every: int = QUERY_EVERY) -> DataFrame:
@@ -189,37 +200,37 @@ def search(table: DataFrame, nearest: int = NEAREST, every: int = QUERY_EVERY) -
     if not n:
         return spark.createDataFrame([], "query_id BIGINT, rank INT, vec_id BIGINT, score DOUBLE")
     share = min(1.0, SAMPLE / n)
-    drawn = vectors.where(F.pmod(F.xxhash64(F.lit("sample"), "vec_key"), F.lit(1_000_000)) < int(share * 1_000_000)).orderBy("vec_key")
+    drawn = vectors.where(F.pmod(F.xxhash64(F.lit("sample"), "vec_key"), F.lit(GRAIN)) < int(share * GRAIN)).orderBy("vec_key")
     points = np.array(drawn.select("vec").toArrow().column("vec").combine_chunks().flatten().to_numpy()).reshape(-1, len(vectors.head()["vec"]))
-    router, parts, probes = fitted(points, n, nearest)
+    router, _, upto = fitted(points, n, nearest)
     sent = spark.sparkContext.broadcast(router)
 
     def matrix(column: pa.Array) -> np.ndarray:
         return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
-    def placed(probe: int):
+    def placed(upto: float):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
-                    order = sent.value.order(matrix(batch.column("vec")), probe).astype(np.int32)
-                    yield batch.append_column("parts", pa.array(list(order), pa.list_(pa.int32())))
+                    order, before = sent.value.ranked(matrix(batch.column("vec")))
+                    probes = [o[b < upto].astype(np.int32) for o, b in zip(order, before)]
+                    yield batch.append_column("parts", pa.array(probes, pa.list_(pa.int32())))
         return run
 
-    here = vectors.mapInArrow(placed(1), "vec_key BIGINT, vec ARRAY<DOUBLE>, ids ARRAY<BIGINT>, parts ARRAY<INT>").withColumn("part", F.col("parts")[0]).drop("parts")
+    here = vectors.mapInArrow(placed(OWN_PART), "vec_key BIGINT, vec ARRAY<DOUBLE>, ids ARRAY<BIGINT>, parts ARRAY<INT>").withColumn("part", F.col("parts")[0]).drop("parts")
     here = stored(here, "placed")
     slices = here.groupBy("part").count().select("part", F.ceil(F.col("count") / SLICE).cast("int").alias("slices"))
     here = here.join(F.broadcast(slices), "part").withColumn("slice", F.pmod(F.col("vec_key"), F.col("slices")).cast("int"))
-    asked = queries.mapInArrow(placed(probes), "vec_id BIGINT, vec ARRAY<DOUBLE>, parts ARRAY<INT>").select(
+    asked = queries.mapInArrow(placed(upto), "vec_id BIGINT, vec ARRAY<DOUBLE>, parts ARRAY<INT>").select(
         F.col("vec_id").alias("query_id"), "vec", F.explode("parts").alias("part"))
     asked = asked.join(F.broadcast(slices), "part").select(
         "query_id", "vec", "part", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
     blocks = max(1, -(-rows.count() // (every * BLOCK)))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    if blocks > 1:  # a slice meets the blocks that ask for its part
-        met = asked.select("part", "slice", "block").distinct()
-        here = here.join(met, ["part", "slice"])
-    else:
-        here = here.withColumn("block", F.lit(0))
+    # a slice meets the blocks that ask for its part
+    met = asked.select(F.col("part").alias("of_part"), F.col("slice").alias("of_slice"), F.col("block").alias("of_block")).distinct()
+    here = here.join(met, (F.col("part") == F.col("of_part")) & (F.col("slice") == F.col("of_slice"))).select(
+        "vec", "ids", "part", "slice", (F.col("of_block") + F.lit(0)).alias("block"))
 
     def best(asked: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
         if asked.empty or near.empty:

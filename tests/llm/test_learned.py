@@ -104,6 +104,39 @@ def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id BIGINT, embedding ARRAY<FLOAT>, label INT")
 
 
+def test_neighbours_beyond_sample_and_block(spark, monkeypatch):
+    """Most vectors are unknown to graph and router, and queries come in several blocks."""
+    monkeypatch.setattr(neighbours, "PART_ROWS", 300)
+    monkeypatch.setattr(neighbours, "SAMPLE", 900)
+    monkeypatch.setattr(neighbours, "BLOCK", 20)
+    monkeypatch.setattr(neighbours, "SLICE", 200)
+    rng = np.random.default_rng(21)
+    centres = rng.standard_normal((40, 24))
+    points = centres[rng.integers(0, 40, 4000)] + 0.4 * rng.standard_normal((4000, 24))
+    got = {}
+    for r in neighbours.search(vectors(spark, [(i, p.tolist(), 0) for i, p in enumerate(points)])).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert set(got) == set(range(0, 4000, 20)) and all(len(v) == 20 for v in got.values())
+    hits = 0
+    for q, rows in got.items():
+        score = np.array([float(np.dot(points[q].astype(np.float32).astype(float), p.astype(np.float32).astype(float))) for p in points])
+        score[q] = -np.inf
+        rows.sort()
+        assert [r[0] for r in rows] == list(range(1, 21)) and all(abs(score[v] - s) < 1e-9 for _, v, s in rows)
+        assert [r[2] for r in rows] == sorted((r[2] for r in rows), reverse=True)
+        hits += len({v for _, v, _ in rows} & set(np.argsort(-score)[:20].tolist()))
+    assert hits >= 0.9 * 20 * len(got)
+
+
+def test_clear_queries_probe_few_parts():
+    rng = np.random.default_rng(22)
+    centres = 3 * rng.standard_normal((64, 24))
+    points = centres[rng.integers(0, 64, 6000)] + 0.4 * rng.standard_normal((6000, 24))
+    router, parts, upto = neighbours.fitted(points[:3000], 48_000, 20)
+    _, before = router.ranked(points[3000:])
+    assert parts == 32 and (before < upto).sum(1).mean() < parts / 4
+
+
 def test_neighbours_reach_the_recall(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "PART_ROWS", 200)
     monkeypatch.setattr(neighbours, "SLICE", 150)
