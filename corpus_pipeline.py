@@ -19,8 +19,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines equal or within one edit to an earlier line go; the document stays."""
-    return lines.dedup_lines(docs)
+    """Lines equal or within one edit to an earlier line go, and so do documents that have words and keep none; documents that were blank stay."""
+    return lines.dedup_lines(docs, keep_emptied=False)
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

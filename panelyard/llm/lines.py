@@ -36,14 +36,18 @@ def with_row_key(docs: DataFrame) -> DataFrame:
         "__hash", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
 
 
+def hashes(line: Column) -> list[Column]:
+    """The two hashes that name a line."""
+    return [F.xxhash64(line).alias("k1"), F.xxhash64(F.lit(7), F.reverse(line)).alias("k2")]
+
+
 def occurrences(docs: DataFrame) -> DataFrame:
     """Every line that isn't blank: its row, position, two hashes, length and the hashes of its halves."""
     rows = with_row_key(docs.select("doc_id", F.col("text").cast("string").alias("text"))).where("text IS NOT NULL")
     found = rows.select(F.col("__doc").alias("o_doc"), F.col("__hash").alias("o_hash"),
                         F.posexplode(F.split("text", "\n", -1)).alias("o_pos", "line"))
     found = found.where(F.trim(F.regexp_replace("line", "[\\x09-\\x0D]", " ")) != "")
-    return found.select(*ORDER, "line", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(7), F.reverse("line")).alias("k2"),
-                        F.char_length("line").alias("chars"))
+    return found.select(*ORDER, "line", *hashes(F.col("line")), F.char_length("line").alias("chars"))
 
 
 def outside(line: Column, m: Column, start: Column, width: Column) -> Column:
@@ -52,37 +56,44 @@ def outside(line: Column, m: Column, start: Column, width: Column) -> Column:
     return F.xxhash64(m, start, line.substr(F.lit(1), start), line.substr(F.char_length(line) - tail + 1, tail))
 
 
-def halves(line: Column, chars: Column) -> Column:
-    """(m, start, width, key) of both halves, for a partner as long or shorter (m = chars) and a longer one."""
-    out = []
-    for m in (chars, chars + 1):
-        middle = F.floor((m - 1) / 2).cast("int")
-        for start, width in ((F.lit(0), middle), (middle, m - middle)):
-            out.append(F.struct(m.alias("m"), start.alias("start"), width.alias("width"), outside(line, m, start, width).alias("key")))
-    return F.array(*out)
+def half(chars: Column, which: int) -> tuple[Column, Column, Column]:
+    """(m, start, width) of half ``which``: the first or second one, for a partner as long or shorter (m = chars) or a longer one."""
+    m = chars + which // 2
+    middle = F.floor((m - 1) / 2).cast("int")
+    return (m, F.lit(0), middle) if which % 2 == 0 else (m, middle, m - middle)
+
+
+def half_keys(line: Column, chars: Column) -> list[Column]:
+    """The keys of the four halves of a long line; they hold m and start, so equal keys mean equal halves."""
+    return [F.when(chars >= LEAST, outside(line, *half(chars, which))).alias(f"half{which}") for which in range(4)]
 
 
 def met(keys: DataFrame) -> DataFrame:
-    """The rows of ``keys`` (m, start, key, ...) whose key another line has too."""
-    shared = keys.groupBy("m", "start", "key").count().where("count > 1").select(
-        F.col("m").alias("s_m"), F.col("start").alias("s_start"), F.col("key").alias("s_key"))
-    on = (F.col("m") == F.col("s_m")) & (F.col("start") == F.col("s_start")) & (F.col("key") == F.col("s_key"))
-    return keys.join(shared, on, "left_semi")
+    """The rows of ``keys`` (key, ...) whose key another line has too."""
+    shared = keys.groupBy("key").count().where("count > 1").select(F.col("key").alias("s_key"))
+    return keys.join(shared, F.col("key") == F.col("s_key"), "left_semi")
 
 
 def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """k1, k2 of the lines that have an earlier line within one edit.  ``firsts``: first place of each distinct line."""
+    """k1, k2 of the lines that have an earlier line within one edit.  ``firsts``: first place of each distinct line.
+
+    What travels to find partners is a key and the place of the line's half, as few numbers; lines are read again from their first places.
+    """
     long = firsts.where(F.col("chars") >= LEAST)
-    keys = long.select("k1", "k2", *ORDER, F.explode("halves").alias("h")).select("k1", "k2", *ORDER, "h.*")
-    half = met(keys).groupBy("k1", "k2", *ORDER).agg(F.collect_set(F.struct("m", "start", "width")).alias("parts"))
+    four = F.array(*(F.struct(F.col(f"half{which}").alias("key"), (F.col("o_pos").cast("bigint") * 4 + which).alias("at")) for which in range(4)))
+    keys = long.select("o_doc", "o_hash", F.explode(four).alias("h")).select("h.key", "o_doc", "o_hash", "h.at")
+    places = met(keys).groupBy("o_doc", "o_hash").agg(F.collect_set("at").alias("asked"))
 
     # the texts of those lines, from the rows where they stand first
-    places = half.groupBy("o_doc", "o_hash").agg(F.collect_list(F.struct("k1", "k2", "o_pos", "parts")).alias("asked"))
     rows = with_row_key(docs.select("doc_id", F.col("text").cast("string").alias("text"))).select("__doc", "__hash", "text")
     rows = rows.join(places, (F.col("__doc") == F.col("o_doc")) & (F.col("__hash") == F.col("o_hash")))
-    split = rows.select("o_doc", "o_hash", F.split("text", "\n", -1).alias("all"), F.explode("asked").alias("a"))
-    lines = split.select("o_doc", "o_hash", F.col("a.o_pos").alias("o_pos"), F.col("a.k1").alias("k1"), F.col("a.k2").alias("k2"),
-                         F.col("a.parts").alias("parts"), F.col("all")[F.col("a.o_pos")].alias("line")).dropDuplicates(["k1", "k2"])
+    at = F.floor(F.col("at") / 4).cast("int")
+    split = rows.select("o_doc", "o_hash", F.split("text", "\n", -1).alias("all"), F.explode("asked").alias("at"))
+    split = split.select("o_doc", "o_hash", at.alias("o_pos"), (F.col("at") % 4).cast("int").alias("which"), F.col("all")[at].alias("line"))
+    split = split.withColumn("chars", F.char_length("line"))
+    four = F.array(*(F.struct(*(c.alias(n) for n, c in zip(("m", "start", "width"), half(F.col("chars"), which)))) for which in range(4)))
+    lines = split.select("o_doc", "o_hash", "o_pos", *hashes(F.col("line")), "line", F.element_at(four, F.col("which") + 1).alias("p"))
+    lines = lines.groupBy("o_doc", "o_hash", "o_pos", "k1", "k2", "line").agg(F.collect_set("p").alias("parts"))
     lines = stored(lines, "lines")
 
     # windows of the half that differs
@@ -92,7 +103,7 @@ def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     windows = part.select("k1", "k2", *ORDER, "line", "m", "step",
                           F.explode(F.expr("sequence(start, stop, step)")).alias("start"))
     windows = windows.withColumn("key", outside(F.col("line"), F.col("m"), F.col("start"), F.col("step")))
-    slim = met(windows.drop("line")).select("k1", "k2", *ORDER, "m", "start", "step").distinct()
+    slim = met(windows.select("key", "k1", "k2", "m", "start", "step").distinct())
     slim = slim.groupBy("k1", "k2").agg(F.collect_list(F.struct("m", "start", "step")).alias("windows"))
 
     # single deletions
@@ -126,9 +137,10 @@ def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
 def removals(docs: DataFrame) -> DataFrame:
     """Per row (__doc, __hash) with removed lines: their positions, and how many of them only resemble an earlier line."""
     all_lines = occurrences(docs)
-    firsts = all_lines.withColumn("halves", F.when(F.col("chars") >= LEAST, halves(F.col("line"), F.col("chars")))).drop("line").groupBy(
-        "k1", "k2").agg(F.min(F.struct(*ORDER)).alias("o"), F.count("*").alias("n"), F.first("chars").alias("chars"), F.first("halves").alias("halves"))
-    firsts = stored(firsts.select("k1", "k2", "o.*", "n", "chars", "halves"), "firsts")
+    keyed = all_lines.select("k1", "k2", *ORDER, "chars", *half_keys(F.col("line"), F.col("chars")))
+    four = [f"half{which}" for which in range(4)]
+    firsts = keyed.groupBy("k1", "k2").agg(F.min(F.struct(*ORDER)).alias("o"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("chars", *four)))
+    firsts = stored(firsts.select("k1", "k2", "o.*", "n", "chars", *four), "firsts")
     near = near_lines(docs, firsts).withColumn("near", F.lit(True))
     gone = firsts.select("k1", "k2", *(F.col(c).alias(f"first_{c}") for c in ORDER), "n").join(near, ["k1", "k2"], "left").where(
         (F.col("n") > 1) | F.col("near"))
@@ -151,9 +163,17 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         "__near", F.coalesce("n_near", F.lit(0).cast("bigint"))).drop("__doc", "__hash", "r_doc", "r_hash", "gone", "n_near")
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated and nearly repeated lines taken out of the texts; n_chars, if there, follows the text."""
+def dedup_lines(docs: DataFrame, keep_emptied: bool = True) -> DataFrame:
+    """``docs`` with repeated and nearly repeated lines taken out of the texts; n_chars, if there, follows the text.
+
+    Without ``keep_emptied``, documents that had words and have none left go; documents that were blank before stay.
+    """
     rows = without_repeats(docs)
+    if not keep_emptied:
+        def some(lines: str) -> Column:
+            return F.exists(lines, lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
+
+        rows = rows.where(F.coalesce(some("__kept") | ~some("__lines"), F.lit(True)))
     text = F.array_join("__kept", "\n")
     changed = {"text": F.when(F.col("text").isNotNull(), text)}
     if "n_chars" in docs.columns:
