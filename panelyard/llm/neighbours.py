@@ -6,8 +6,8 @@ part; a query probes its most probable parts up to a total probability that reac
 force, so a query with a clear place probes few.  Found vectors are ranked by their exact inner product in double precision.
 
 Equal vectors are kept once with their smallest ids, as many as a query can need, so copies do not crowd a part.
-Parts are dealt in slices of bounded size, and queries in blocks; each pair of a slice and a block of the same part is
-one group and keeps the best of each query.  The number of parts grows with the table as far as the sample supports them (``PART_SAMPLE`` vectors
+Small parts are bundled and large bundles dealt in slices of bounded size, and queries in blocks; each pair of a slice and a block of the same
+bundle is one group, compares a query with the parts it probes and keeps its best.  The number of parts grows with the table as far as the sample supports them (``PART_SAMPLE`` vectors
 each: 256 parts of the default sample, enough for 384,000 vectors); larger tables need a larger ``SAMPLE``, or a query compares a fixed share of them.
 
 Defined cases: vectors that are null, empty, zero, of another length than most, or hold null or non-finite components take no
@@ -190,6 +190,13 @@ def fitted(points: np.ndarray, rows: int, nearest: int) -> tuple[Router, int, fl
     return router, parts, float(np.nextafter(needed[min(len(needed) - 1, int(TARGET_RECALL * len(needed)))], 2))
 
 
+def bundles(parts: int, size: int) -> np.ndarray:
+    """The bundle of every part: up to ``size`` parts that the first cuts left together, so that a task ranks the vectors of several small parts."""
+    bits = parts.bit_length() - 1
+    place = np.array([int(format(p, f"0{bits}b")[::-1], 2) if bits else 0 for p in range(parts)])
+    return place // size
+
+
 def search(table: DataFrame, nearest: int = NEAREST, every: int = QUERY_EVERY) -> DataFrame:
     """query_id, rank, vec_id, score: the nearest found of every query, best first, ties to the smaller id."""
     spark = table.sparkSession
@@ -202,8 +209,9 @@ def search(table: DataFrame, nearest: int = NEAREST, every: int = QUERY_EVERY) -
     share = min(1.0, SAMPLE / n)
     drawn = vectors.where(F.pmod(F.xxhash64(F.lit("sample"), "vec_key"), F.lit(GRAIN)) < int(share * GRAIN)).orderBy("vec_key")
     points = np.array(drawn.select("vec").toArrow().column("vec").combine_chunks().flatten().to_numpy()).reshape(-1, len(vectors.head()["vec"]))
-    router, _, upto = fitted(points, n, nearest)
+    router, parts, upto = fitted(points, n, nearest)
     sent = spark.sparkContext.broadcast(router)
+    bundle_of = bundles(parts, max(1, SLICE * parts // n))
 
     def matrix(column: pa.Array) -> np.ndarray:
         return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
@@ -217,42 +225,51 @@ def search(table: DataFrame, nearest: int = NEAREST, every: int = QUERY_EVERY) -
                     yield batch.append_column("parts", pa.array(probes, pa.list_(pa.int32())))
         return run
 
-    here = vectors.mapInArrow(placed(OWN_PART), "vec_key BIGINT, vec ARRAY<DOUBLE>, ids ARRAY<BIGINT>, parts ARRAY<INT>").withColumn("part", F.col("parts")[0]).drop("parts")
-    here = stored(here, "placed")
-    slices = here.groupBy("part").count().select("part", F.ceil(F.col("count") / SLICE).cast("int").alias("slices"))
-    here = here.join(F.broadcast(slices), "part").withColumn("slice", F.pmod(F.col("vec_key"), F.col("slices")).cast("int"))
+    bundle = F.array(*(F.lit(int(x)) for x in bundle_of))
+    here = vectors.mapInArrow(placed(OWN_PART), "vec_key BIGINT, vec ARRAY<DOUBLE>, ids ARRAY<BIGINT>, parts ARRAY<INT>").select(
+        "vec_key", "vec", "ids", F.col("parts")[0].alias("part"))
+    here = stored(here.withColumn("bundle", F.get(bundle, "part")), "placed")
+    slices = here.groupBy("bundle").count().select("bundle", F.ceil(F.col("count") / (2 * SLICE)).cast("int").alias("slices"))
+    here = here.join(F.broadcast(slices), "bundle").withColumn("slice", F.pmod(F.col("vec_key"), F.col("slices")).cast("int"))
     asked = queries.mapInArrow(placed(upto), "vec_id BIGINT, vec ARRAY<DOUBLE>, parts ARRAY<INT>").select(
-        F.col("vec_id").alias("query_id"), "vec", F.explode("parts").alias("part"))
-    asked = asked.join(F.broadcast(slices), "part").select(
-        "query_id", "vec", "part", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+        F.col("vec_id").alias("query_id"), "vec", "parts",
+        F.explode(F.array_distinct(F.transform("parts", lambda p: F.get(bundle, p)))).alias("bundle"))
+    asked = asked.join(F.broadcast(slices), "bundle").select(
+        "query_id", "vec", "parts", "bundle", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
     blocks = max(1, -(-rows.count() // (every * BLOCK)))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    # a slice meets the blocks that ask for its part
-    met = asked.select(F.col("part").alias("of_part"), F.col("slice").alias("of_slice"), F.col("block").alias("of_block")).distinct()
-    here = here.join(met, (F.col("part") == F.col("of_part")) & (F.col("slice") == F.col("of_slice"))).select(
-        "vec", "ids", "part", "slice", (F.col("of_block") + F.lit(0)).alias("block"))
+    # a slice meets the blocks that ask for its bundle
+    met = asked.select(F.col("bundle").alias("of_bundle"), F.col("slice").alias("of_slice"), F.col("block").alias("of_block")).distinct()
+    here = here.join(met, (F.col("bundle") == F.col("of_bundle")) & (F.col("slice") == F.col("of_slice"))).select(
+        "vec", "ids", "part", "bundle", "slice", (F.col("of_block") + F.lit(0)).alias("block"))
 
     def best(asked: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
         if asked.empty or near.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        points = np.vstack(near["vec"].to_numpy())
+        points, part = np.vstack(near["vec"].to_numpy()), near["part"].to_numpy()
         counts = near["ids"].map(len).to_numpy()
         ids = np.concatenate(near["ids"].to_numpy())
         at = np.repeat(np.arange(len(near)), counts)
+        members = [(p, np.flatnonzero(part == p)) for p in np.unique(part).tolist()]
         found = []
         for a in range(0, len(asked), 256):
-            part = asked.iloc[a:a + 256]
-            near_by = np.vstack(part["vec"].to_numpy()) @ points.T
+            few = asked.iloc[a:a + 256]
+            probed = [set(p.tolist()) for p in few["parts"]]
+            given, near_by = np.vstack(few["vec"].to_numpy()), np.full((len(few), len(near)), -np.inf)
+            for p, own in members:  # a query meets only the parts that it probes
+                who = np.flatnonzero([p in x for x in probed])
+                if len(who):
+                    near_by[np.ix_(who, own)] = given[who] @ points[own].T
             k = min(nearest + 1, near_by.shape[1])
             floor = np.partition(near_by, near_by.shape[1] - k, axis=1)[:, near_by.shape[1] - k]
-            for q, score, least in zip(part["query_id"].to_numpy(), near_by, floor):
-                use = np.flatnonzero(score[at] >= least - 1e-9)
+            for q, score, least in zip(few["query_id"].to_numpy(), near_by, floor):
+                use = np.flatnonzero((score[at] >= least - 1e-9) & (score[at] > -np.inf))
                 use = use[ids[use] != q]
                 use = use[np.lexsort((ids[use], -score[at[use]]))][:nearest]
                 found.append(pd.DataFrame({"query_id": q, "vec_id": ids[use], "score": score[at[use]]}))
         return pd.concat(found)
 
-    keys = ["part", "slice", "block"]
+    keys = ["bundle", "slice", "block"]
     pairs = asked.groupBy(*keys).cogroup(here.groupBy(*keys)).applyInPandas(best, FOUND)
     order = F.sort_array(F.collect_set(F.struct((-F.col("score")).alias("away"), "vec_id")))
     ranked = pairs.groupBy("query_id").agg(F.slice(order, 1, nearest).alias("near"))
