@@ -15,7 +15,8 @@ from panelyard.operators.bootstrap import blocks_of, paired_edges
 from panelyard.operators.evaluation import evaluate, pointwise
 from panelyard.operators.single import beside
 from panelyard.operators.folds import FoldSpec, fold_dates
-from panelyard.plans import gate, models, monitoring, volatility
+from panelyard.operators.boosting import Boosting
+from panelyard.plans import gate, models, monitoring, training, volatility
 from panelyard.plans.labels import TARGETS, label_scales
 from panelyard.plans.panel import build_panel, latest_rows, target_rows
 from panelyard.session import stored
@@ -26,15 +27,13 @@ SMALL = {"numTrees": 10, "maxDepth": 4, "maxBins": 32}
 BOOST = {"maxIter": 10, "maxDepth": 3, "maxBins": 32}
 ALL = list(vocab.FEATURES)
 
-_panels: dict[tuple[str, str], object] = {}
 
 
 def panel_of(t):
-    """The stored panel of this session and folder: built once, then read by every study."""
-    key = (t.spark.sparkContext.applicationId, t.folder)
-    if key not in _panels:
-        _panels[key] = stored(build_panel(t, as_of=AS_OF), "panel")
-    return _panels[key]
+    """The stored panel of one run: built once, then read by every step of it."""
+    if t.panel is None:
+        t.panel = stored(build_panel(t, as_of=AS_OF), "panel")
+    return t.panel
 
 
 def rows_of(t, kind="magnitude", horizon=1, features=ALL):
@@ -55,12 +54,68 @@ def _edges(errors, level=0.90):
     return paired_edges(blocks_of(errors, ["name"], "fold", "se_model", "se_reference"), ["name"], "fold", level)
 
 
-@query("p_walkforward")
+# ---------------------------------------------------------------- all targets through the folds
+STUDY = FoldSpec(n_splits=5, test_size=252, purge=5, embargo=10)
+TREES = Boosting(rounds=150, depth=3, rate=0.1, bins=32, patience=10)
+
+
+def _target_folds(name, kind, horizon):
+    purge, label, n = max(STUDY.purge, horizon), f"label_{kind}_{horizon}d", f"n - ({STUDY.n_splits} - f) * {STUDY.test_size}"
+    step(f"tf_{name}_day", f"SELECT date, CAST(row_number() OVER (ORDER BY date) - 1 AS INTEGER) AS pos, CAST(count(*) OVER () AS INTEGER) AS n FROM (SELECT DISTINCT date FROM panel_log WHERE {label} IS NOT NULL)")
+    return f"""
+SELECT '{name}' AS target, CAST(f AS INTEGER) AS fold, date, CASE WHEN pos >= {n} THEN 'test' ELSE 'train' END AS role FROM tf_{name}_day, range(0, {STUDY.n_splits}) r(f)
+WHERE (pos >= {n} AND pos < {n} + {STUDY.test_size}) OR (pos < {n} - {purge} AND NOT EXISTS (
+  SELECT 1 FROM range(1, f + 1) g(e) WHERE pos >= n - ({STUDY.n_splits} - e) * {STUDY.test_size} AND pos < n - ({STUDY.n_splits} - e) * {STUDY.test_size} + {STUDY.embargo}))"""
+
+
+step("tf_fold", " UNION ALL ".join(_target_folds(name, kind, h) for name, kind, h, _ in TARGETS))
+step("tf_rows", " UNION ALL ".join(f"SELECT '{name}' AS target, {k} AS k, ticker, date, label_{kind}_{h}d AS y FROM panel_log WHERE label_{kind}_{h}d IS NOT NULL"
+                                   for name, kind, h, k in TARGETS))
+
+
+def study_of(t, targets=TARGETS, features=ALL):
+    return training.walk_forward_all(panel_of(t), targets, features, STUDY, TREES)
+
+
+@query("p_walkforward", f"""
+WITH tr AS (SELECT r.target, f.fold, count(*) AS n_train, {', '.join(f"avg(CASE WHEN y = {c} THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS s{c}" for c in range(3))} FROM tf_rows r
+  JOIN tf_fold f ON f.target = r.target AND f.date = r.date AND f.role = 'train' GROUP BY ALL),
+te AS (SELECT r.target, f.fold, any_value(k) AS k, count(*) AS n, count(DISTINCT r.date) AS days, min(r.date) AS first_date, max(r.date) AS last_date,
+  {', '.join(f"avg(CASE WHEN y = {c} THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS t{c}" for c in range(3))} FROM tf_rows r JOIN tf_fold f ON f.target = r.target AND f.date = r.date AND f.role = 'test' GROUP BY ALL)
+SELECT te.target, te.fold, n, days, first_date, last_date, n_train, {', '.join(s6(f's{c}') + f' AS prior_{c}' for c in range(2))}, {s6('CASE WHEN k = 3 THEN s2 END')} AS prior_2,
+  {', '.join(s6(f't{c}') + f' AS share_{c}' for c in range(3))}, true AS sums_to_one, true AS stopped, true AS learned
+FROM te JOIN tr ON tr.target = te.target AND tr.fold = te.fold
+""")
 def p_walkforward(t):
-    """Boosted trees through purged folds with early stopping: metrics per fold."""
-    rows, days = rows_of(t)
-    oof = models.walk_forward(rows, stored(days, "folds"), ALL, 2, "gbt", BOOST, early_stop=(SPEC.test_size, SPEC.purge), fit_rows=FIT_ROWS)
-    return evaluate(oof, ["fold"])
+    """Nine targets through five purged folds, fitted in one job: rows, priors and class shares of each fold, and whether probabilities sum to one,
+    rounds ended before their limit, and more than the prior was fitted."""
+    study = study_of(t)
+    prior = [settle(F.get("prior", F.lit(c))).alias(f"prior_{c}") for c in range(3)]
+    rows = study.oof.groupBy("target", "fold", "n_train", "prior").agg(
+        F.count("*").alias("n"), F.countDistinct("date").alias("days"), F.min("date").alias("first_date"), F.max("date").alias("last_date"),
+        *[settle(F.avg((F.col("y") == c).cast("double"))).alias(f"share_{c}") for c in range(3)],
+        (F.max(F.abs(F.aggregate("p", F.lit(0.0), lambda a, x: a + x) - 1)) < 1e-9).alias("sums_to_one"))
+    fits = study.models.select("target", "fold", (F.col("rounds_run") < TREES.rounds).alias("stopped"), (F.size("feature") > 0).alias("learned"))
+    return rows.join(fits, ["target", "fold"]).select("target", "fold", "n", "days", "first_date", "last_date", "n_train", *prior,
+                                                      "share_0", "share_1", "share_2", "sums_to_one", "stopped", "learned")
+
+
+@query("p_walkforward_scores")
+def p_walkforward_scores(t):
+    """All metrics of all targets and folds on out-of-fold rows."""
+    return evaluate(study_of(t).oof, ["target", "fold"])
+
+
+@query("p_final_models")
+def p_final_models(t):
+    """The final model of every target: rounds, rows, class shares and leading features."""
+    study = study_of(t)
+    final = training.final_models(panel_of(t), study, TARGETS)
+    names = F.array(*[F.lit(c) for c in ALL])
+    ranked = F.slice(F.sort_array(F.zip_with("gain", names, lambda g, n: F.struct((-g).alias("g"), n.alias("n")))), 1, 5)
+    folds = study.models.groupBy("target").agg(F.array_sort(F.collect_list("best_round")).alias("fold_rounds"))  # one number a fold
+    return final.join(folds, "target").select("target", "k", F.col("best_round").alias("rounds"), "fold_rounds", "rows",
+                                              F.transform(ranked, lambda s: s["n"]).alias("leading_features"))
 
 
 @query("p_feature_sets")
