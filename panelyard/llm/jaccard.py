@@ -5,11 +5,12 @@ occur in one of the inverted lists of its n - ceil(t n) + 1 rarest shingles: tho
 their keys, to find candidates, and the remaining long lists are only probed, by binary search for each key of the smaller
 set in the other, as DivideSkip does.  Rarity comes from counts of hashed shingles over all documents; any order gives all links.
 
-Equal sets are one class from the start.  Lists of up to ``SHORT`` sets give all their pairs, which counts of shingles by hash class
-then prune without loss, and the rest are verified on their texts.  Longer lists are dealt in blocks of
+Equal sets are one class from the start.  First every set meets two representatives of each of its lists, one pair each, whatever the
+list's length: that joins most of a group of near copies.  Then only sets of different components meet.  Lists of up to ``SHORT`` sets give such
+pairs, which counts of shingles by hash class prune without loss, and the rest are verified on their texts.  Longer lists are dealt in blocks of
 bounded size; a task holds two blocks, searches them by T-occurrence and gives the links of a spanning forest only, so
 neither pairs nor links of a large group of near copies are ever listed.  In such a task large sets are held as signatures, and the few
-pairs of theirs that pass are verified with the rest.
+pairs of theirs that pass, of different components, are verified with the rest.
 
 Defined cases: a document without words or with a null text has an empty set, links with none and is its own component; rows
 without id have no component and link none; documents with fewer words than a shingle have one shingle
@@ -166,8 +167,18 @@ def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         yield rest
 
 
-def shared_lists(postings: DataFrame) -> DataFrame:
-    """The postings of lists with two sets at least, in list order."""
+def representatives(h: np.ndarray, n: np.ndarray, own: np.ndarray, percent: int, seed: int) -> np.ndarray:
+    """For every posting a set of its list, drawn by a hash, of a size that allows a link.  Postings come by list and size."""
+    band = np.floor(np.log(n) / np.log(100 / percent)).astype(np.int64) if percent < 100 else n
+    start = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (band[1:] != band[:-1])))
+    place = flat.mix(own.view(np.uint64) + np.uint64(seed))
+    group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(h))))
+    first = np.lexsort((place, group))[start]
+    return own[first][group]
+
+
+def shared_lists(postings: DataFrame, percent: int) -> DataFrame:
+    """The postings of lists with two sets at least, in list order, each with two representatives of its list."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, n, own in grouped(batches):
             new = np.ones(len(h), bool)
@@ -176,9 +187,19 @@ def shared_lists(postings: DataFrame) -> DataFrame:
             both = np.zeros(len(h), bool)
             both[1:] = h[1:] == h[:-1]
             both[:-1] |= both[1:]
-            yield pa.RecordBatch.from_arrays([pa.array(h[both]), pa.array(n[both]), pa.array(own[both])], ["h", "n", "set_key"])
+            h, n, own = h[both], n[both], own[both]
+            if len(h):
+                stars = [representatives(h, n, own, percent, seed) for seed in (1, 2)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (h, n, own, *stars)], ["h", "n", "set_key", "star1", "star2"])
+
+    return postings.repartition("h").sortWithinPartitions("h", "n", "set_key").mapInArrow(
+        run, "h BIGINT, n INT, set_key BIGINT, star1 BIGINT, star2 BIGINT")
 
-    return postings.repartition("h").sortWithinPartitions("h", "n", "set_key").mapInArrow(run, "h BIGINT, n INT, set_key BIGINT")
+
+def star_pairs(lists: DataFrame) -> DataFrame:
+    """a, b: every set with the representatives of its lists."""
+    met = lists.select("set_key", F.explode(F.array("star1", "star2")).alias("star")).where("set_key <> star")
+    return met.select(F.least("set_key", "star").alias("a"), F.greatest("set_key", "star").alias("b")).distinct()
 
 
 def pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -186,9 +207,12 @@ def pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 
 def short_pairs(lists: DataFrame, percent: int, short: int = SHORT) -> DataFrame:
-    """a, b: the pairs of every list of up to ``short`` sets whose sizes allow a link."""
+    """a, b: the pairs of every list of up to ``short`` sets whose sizes allow a link, of different components, that no representative has met.
+
+    ``lists``: h, n, set_key, star1, star2, label (of the component).
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, n, own in grouped(batches):
+        for h, n, own, star1, star2, label in grouped(batches):
             start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
             length = np.diff(np.append(start, len(h)))
             place = np.arange(len(h)) - np.repeat(start, length)
@@ -196,11 +220,15 @@ def short_pairs(lists: DataFrame, percent: int, short: int = SHORT) -> DataFrame
             left = [np.flatnonzero((place + d < length) & (length <= short)) for d in range(1, short)]
             right = np.concatenate([x + d for x, d in zip(left, range(1, short))])
             left = np.concatenate(left)
-            fits = 100 * n[left].astype(np.int64) >= percent * n[right].astype(np.int64)
-            both = np.unique(np.stack([np.minimum(own[left], own[right])[fits], np.maximum(own[left], own[right])[fits]]), axis=1)
+            fits = (100 * n[left].astype(np.int64) >= percent * n[right].astype(np.int64)) & (label[left] != label[right])
+            for star in (star1, star2):
+                fits &= (star[left] != own[right]) & (star[right] != own[left])
+            left, right = left[fits], right[fits]
+            both = np.unique(np.stack([np.minimum(own[left], own[right]), np.maximum(own[left], own[right])]), axis=1)
             yield pair_batch(both[0], both[1])
 
-    return lists.mapInArrow(run, "a BIGINT, b BIGINT").distinct()
+    ordered = lists.select("h", "n", "set_key", "star1", "star2", "label").repartition("h").sortWithinPartitions("h", "n", "set_key")
+    return ordered.mapInArrow(run, "a BIGINT, b BIGINT").distinct()
 
 
 def possible(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
@@ -220,9 +248,10 @@ def possible(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
 
 
 def groups(lists: DataFrame, short: int = SHORT) -> DataFrame:
-    """set_key, n, label: the sets of each of the longer lists, under the list's key."""
-    long = lists.groupBy("h").count().where(F.col("count") > short).select("h")
-    return lists.join(long, "h").select("set_key", "n", F.col("h").alias("label"))
+    """set_key, n, label, component: the sets of each of the longer lists that are not one component, under the list's key."""
+    counts = lists.groupBy("h").agg(F.count("*").alias("sets"), F.min("label").alias("one"), F.max("label").alias("other"))
+    long = counts.where((F.col("sets") > short) & (F.col("one") != F.col("other"))).select("h")
+    return lists.join(long, "h").select("set_key", "n", F.col("h").alias("label"), F.col("label").alias("component"))
 
 
 class Forest:
@@ -243,8 +272,8 @@ class Forest:
         return x != y
 
 
-def occurrences(row: np.ndarray, key: np.ndarray, size: np.ndarray, side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links among the sets (row, key; sorted), between both sides if there are two: the pairs of a spanning forest.
+def occurrences(row: np.ndarray, key: np.ndarray, size: np.ndarray, side: np.ndarray, component: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links among the sets (row, key; sorted), between both sides if there are two: the pairs of a forest that spans the components.
 
     DivideSkip: the longest lists of a set are set aside; the others are merged into counts; sets that could still reach T are
     probed for in the long lists by binary search.
@@ -256,6 +285,9 @@ def occurrences(row: np.ndarray, key: np.ndarray, size: np.ndarray, side: np.nda
     cuts = np.searchsorted(row, np.arange(len(size) + 1))
     forest, found = Forest(len(size)), []
     two = bool(side.any() and not side.all())
+    _, first, same = np.unique(component, return_index=True, return_inverse=True)
+    for x, one in enumerate(first[same].tolist()):
+        forest.join(x, one)
     for x in range(len(size)):
         need = -(-percent * int(size[x]) // 100)  # least overlap with any partner
         own = name[cuts[x]:cuts[x + 1]]
@@ -284,8 +316,8 @@ def occurrences(row: np.ndarray, key: np.ndarray, size: np.ndarray, side: np.nda
     return found
 
 
-def close_signatures(size: np.ndarray, signed: Signatures, large: np.ndarray, side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Pairs with at least one large set that sizes and signatures don't exclude.  Sets come by size."""
+def close_signatures(size: np.ndarray, signed: Signatures, large: np.ndarray, side: np.ndarray, component: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs of different components with at least one large set that sizes and signatures don't exclude.  Sets come by size."""
     two = bool(side.any() and not side.all())
     last = np.searchsorted(percent * size, 100 * size, "right")  # partners of a set are the next ones up to here
     found = []
@@ -295,6 +327,7 @@ def close_signatures(size: np.ndarray, signed: Signatures, large: np.ndarray, si
             y = y[large[y]]
         if two:
             y = y[side[y] != side[x]]
+        y = y[component[y] != component[x]]
         near = allowed(signed, np.full(len(y), x), signed, y, size[x] + size[y], percent)
         found += [(x, int(k)) for k in y[near]]
     return found
@@ -306,7 +339,7 @@ SEARCHED = "a BIGINT, b BIGINT, sure BOOLEAN"
 def searched(lists: DataFrame, contents: DataFrame, column: str, read, percent: int) -> DataFrame:
     """a, b, sure: within each list, links of a spanning forest (sure), and pairs of large sets that may link.
 
-    ``lists``: set_key, n, label.  ``contents``: set_key, a column from which ``read`` gives row and key of the distinct shingles
+    ``lists``: set_key, n, label, component; sets of one component need no link.  ``contents``: set_key, a column from which ``read`` gives row and key of the distinct shingles
     of a block, null for large sets, and signatures for the case that there are any.
     """
     totals = lists.groupBy("label").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
@@ -314,18 +347,18 @@ def searched(lists: DataFrame, contents: DataFrame, column: str, read, percent:
     rows = lists.join(totals.select("label", blocks.alias("blocks")), "label")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("set_key", "n", "label", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    rows = rows.join(contents, "set_key").select("label", "i", "j", "set_key", "n", "own", column, "signature", "fine")
+    rows = rows.select("set_key", "n", "label", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    rows = rows.join(contents, "set_key").select("label", "i", "j", "set_key", "n", "component", "own", column, "signature", "fine")
 
     def search(table: pa.Table) -> pa.Table:
         batch = pa.concat_batches(table.sort_by([("n", "ascending"), ("set_key", "ascending")]).to_batches())
         own, size = batch.column("set_key").to_numpy(), batch.column("n").to_numpy().astype(np.int64)
-        side = batch.column("own").to_numpy() != batch.column("i")[0].as_py()
+        side, component = batch.column("own").to_numpy() != batch.column("i")[0].as_py(), batch.column("component").to_numpy()
         large = batch.column(column).is_null().to_numpy(zero_copy_only=False)
         pairs = []
         if large.any():
             signed = Signatures(batch.column("signature"), batch.column("fine"))
-            pairs += [(x, y, False) for x, y in close_signatures(size, signed, large, side, percent)]
+            pairs += [(x, y, False) for x, y in close_signatures(size, signed, large, side, component, percent)]
         small = np.flatnonzero(~large)
         if len(small) > 1:
             part = batch.take(pa.array(small))
@@ -336,7 +369,7 @@ def searched(lists: DataFrame, contents: DataFrame, column: str, read, percent:
                 keys.append(key)
                 done += block.num_rows
             row, key = np.concatenate(rows), np.concatenate(keys)
-            pairs += [(small[x], small[y], True) for x, y in occurrences(row, key, np.bincount(row, minlength=done), side[small], percent)]
+            pairs += [(small[x], small[y], True) for x, y in occurrences(row, key, np.bincount(row, minlength=done), side[small], component[small], percent)]
         x, y = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
         return pa.table({"a": pa.array(np.minimum(own[x], own[y])), "b": pa.array(np.maximum(own[x], own[y])),
                          "sure": pa.array([p[2] for p in pairs], pa.bool_())})
@@ -374,25 +407,39 @@ def linked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> t
     found = stored(digests(rows, shingle), "digests")
     rows_of = found.where("kind = 0").select("doc_id", "n", "set_key")
     excess = rarity(found.where("kind = 1"))
-    lists = stored(shared_lists(prefixes(known, excess, shingle, percent)), "lists")
-
+    lists = stored(shared_lists(prefixes(known, excess, shingle, percent), percent), "lists")
     named = found.where("kind = 0 AND doc_id IS NOT NULL AND n > 0")
-    pairs = short_pairs(lists, percent)
-    asked = pairs.select(F.col("a").alias("asked")).union(pairs.select("b")).distinct()
-    signed = named.join(asked, F.col("set_key") == F.col("asked"), "left_semi").select("set_key", "n", "signature").dropDuplicates(["set_key"])
-    pairs = stored(possible(pairs, signed, percent), "pairs")
-    long = stored(groups(lists), "groups")
-
-    # one text of every set that is still in question
-    asked = pairs.select(F.col("a").alias("set_key")).union(pairs.select("b")).union(long.select("set_key")).distinct()
-    one = named.join(asked, "set_key", "left_semi").groupBy("set_key").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("fine").alias("fine"))
-    texts = stored(own_text(known.join(one, "doc_id").select("set_key", "n", "signature", "fine", "text"), shingle), "texts")
-    contents = texts.select("set_key", F.when(F.col("n") <= LARGE, F.col("text")).alias("text"), "signature", "fine")
-    offered = stored(searched(long, contents, "text", lambda column: flat.Words(column).shingles(shingle), percent), "offered")
+
+    def kept(pairs: DataFrame) -> DataFrame:
+        """The pairs that signatures leave."""
+        asked = pairs.select(F.col("a").alias("asked")).union(pairs.select("b")).distinct()
+        signed = named.join(asked, F.col("set_key") == F.col("asked"), "left_semi").select("set_key", "n", "signature").dropDuplicates(["set_key"])
+        return stored(possible(pairs, signed, percent), "pairs")
+
+    def contents(asked: DataFrame) -> DataFrame:
+        """One text of every set asked for."""
+        one = named.join(asked.distinct(), "set_key", "left_semi").groupBy("set_key").agg(
+            F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("fine").alias("fine"))
+        return stored(own_text(known.join(one, "doc_id").select("set_key", "n", "signature", "fine", "text"), shingle), "texts")
+
+    def sets(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("set_key")).union(pairs.select("b"))
+
+    # every set with the representatives of its lists
+    pairs = kept(star_pairs(lists))
+    links = stored(verified(pairs, contents(sets(pairs)).select("set_key", "text"), shingle, percent), "links")
+    joined = stored(components(links), "labels")
+
+    # sets of different components
+    lists = lists.join(joined.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
+    lists = stored(lists, "lists")
+    pairs, long = kept(short_pairs(lists, percent)), stored(groups(lists), "groups")
+    texts = contents(sets(pairs).union(long.select("set_key")))
+    held = texts.select("set_key", F.when(F.col("n") <= LARGE, F.col("text")).alias("text"), "signature", "fine")
+    offered = stored(searched(long, held, "text", lambda column: flat.Words(column).shingles(shingle), percent), "offered")
     pairs = pairs.union(offered.where("NOT sure").select("a", "b")).distinct()
-    links = verified(pairs, texts.select("set_key", "text"), shingle, percent).union(offered.where("sure").select("a", "b"))
-    return rows_of, stored(components(links), "labels")
+    further = verified(pairs, texts.select("set_key", "text"), shingle, percent).union(offered.where("sure").select("a", "b"))
+    return rows_of, stored(components(links.union(further)), "labels")
 
 
 def own_text(texts: DataFrame, shingle: int) -> DataFrame:

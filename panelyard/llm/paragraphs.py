@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from panelyard.llm import flat
 from panelyard.llm.components import components
-from panelyard.llm.jaccard import groups, searched, shared_lists, short_pairs
+from panelyard.llm.jaccard import groups, searched, shared_lists, short_pairs, star_pairs
 from panelyard.session import stored
 
 LONG, LEAST = 40, 8
@@ -223,12 +223,12 @@ def repeated_paragraphs(docs: DataFrame, percent: int = PERCENT, recall: float =
     bands, rows = tuned(percent, recall)
     known = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
     units = stored(listed(known), "units")
-    lists = stored(shared_lists(collisions(known, bands, rows)), "lists")
+    lists = stored(shared_lists(collisions(known, bands, rows), percent), "lists").withColumn("label", F.col("set_key"))
     holders = units.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"))
     asked = holders.join(lists.select("set_key").distinct(), "set_key", "left_semi")
     sets = stored(shingles_of(known, asked), "sets")
     contents = sets.withColumns({c: F.lit(None).cast("binary") for c in ("signature", "fine")})  # every set is small enough to be held whole
-    links = verified(short_pairs(lists, percent), sets, percent).union(
+    links = verified(star_pairs(lists).union(short_pairs(lists, percent)).distinct(), sets, percent).union(
         searched(groups(lists), contents, "shingles", unpacked, percent).select("a", "b"))
     labels = stored(components(links), "labels")
 
