@@ -292,16 +292,16 @@ def w_inner_valid(t):
     return folds.inner_validation(train, SPEC.test_size, 20)
 
 
+TAIL_ROWS = 20_000  # rows of the recent tail that parameters are tuned on
+
+
 @query("w_tune_tail", f"""
 WITH c AS (SELECT date, sum(count(*)) OVER (ORDER BY date DESC) AS later FROM bars GROUP BY date)
-SELECT ticker, bars.date FROM bars JOIN c ON c.date = bars.date WHERE later - (SELECT count(*) FROM bars b2 WHERE b2.date = c.date) < 20000
+SELECT ticker, bars.date FROM bars JOIN c ON c.date = bars.date WHERE later - (SELECT count(*) FROM bars b2 WHERE b2.date = c.date) < {TAIL_ROWS}
 """)
 def w_tune_tail(t):
-    """Most recent whole dates that hold the last 20 000 rows, from per-date counts."""
-    per_date = t.bars.groupBy("date").agg(F.count("*").alias("n"))
-    later = F.sum("n").over(Window.orderBy(F.desc("date")).rowsBetween(Window.unboundedPreceding, -1))  # distinct dates only
-    kept = per_date.withColumn("later", F.coalesce(later, F.lit(0))).where("later < 20000").select("date")
-    return t.bars.select("ticker", "date").join(kept, "date", "left_semi")
+    """Most recent whole dates that hold the tuning rows, from per-date counts."""
+    return folds.recent_rows(t.bars.select("ticker", "date"), TAIL_ROWS)
 
 
 @query("p_prior_model", f"""

@@ -8,6 +8,7 @@ from pyspark.sql import Window, functions as F
 
 from panelyard import vocab
 from panelyard.catalog.base import query, s6, step
+from panelyard.catalog.evaluation import TAIL_ROWS
 from panelyard.catalog.timeline import AS_OF, full_features
 from panelyard.catalog.windows import _roll
 from panelyard.functions.numeric import settle
@@ -284,39 +285,67 @@ def p_garch(t):
     return fits
 
 
-@query("p_calibrate")
+step("cal_rows", "SELECT f.fold, f.role, r.ticker, r.date, r.y, CAST(CAST(r.vol_ratio_20_60 AS FLOAT) AS DOUBLE) AS v FROM thin_rows r JOIN thin_fold f ON f.date = r.date")
+step("cal_train", """
+SELECT r.fold, y, (v - m) / s AS x FROM cal_rows r JOIN (SELECT fold, avg(v) AS m, stddev_samp(v) AS s FROM cal_rows WHERE role = 'train' AND v IS NOT NULL GROUP BY fold) a ON a.fold = r.fold
+WHERE role = 'train' AND v IS NOT NULL
+""")
+step("cal_fit0", "SELECT DISTINCT fold, CAST(0 AS DOUBLE) AS b0, CAST(0 AS DOUBLE) AS b1 FROM cal_train")
+for _i in range(1, 9):  # Newton steps of a model with two coefficients, written out
+    step(f"cal_sum{_i}", f"""
+SELECT fold, any_value(b0) AS b0, any_value(b1) AS b1, sum(p - y) AS g0, sum((p - y) * x) AS g1, sum(p * (1 - p)) AS h0, sum(p * (1 - p) * x) AS h1, sum(p * (1 - p) * x * x) AS h2
+FROM (SELECT t.fold, y, x, b0, b1, 1 / (1 + exp(-(b0 + b1 * x))) AS p FROM cal_train t JOIN cal_fit{_i - 1} f ON f.fold = t.fold) GROUP BY fold""")
+    step(f"cal_fit{_i}", f"SELECT fold, b0 - (h2 * g0 - h1 * g1) / (h0 * h2 - h1 * h1) AS b0, b1 - (h0 * g1 - h1 * g0) / (h0 * h2 - h1 * h1) AS b1 FROM cal_sum{_i}")
+
+
+@query("p_calibrate", f"""
+SELECT r.fold, r.ticker, r.date, r.y, {s6('coalesce(1 / (1 + exp(-(b0 + b1 * (v - m) / s))), prior)')} AS p1, {s6('prior')} AS prior1 FROM cal_rows r
+JOIN (SELECT fold, avg(v) AS m, stddev_samp(v) AS s, avg(CAST(y AS DOUBLE)) AS prior FROM cal_rows WHERE role = 'train' GROUP BY fold) a ON a.fold = r.fold
+JOIN cal_fit8 f ON f.fold = r.fold WHERE r.role = 'test'
+""")
 def p_calibrate(t):
-    """Multinomial logistic calibration of one feature, per fold."""
+    """Logistic calibration of one feature, all folds in one fit."""
     rows, days = rows_of(t)
-    return models.calibrated(rows, stored(days, "folds"), "vol_ratio_20_60", 2)
+    out = models.calibrated(rows, stored(days, "folds"), "vol_ratio_20_60", 2)
+    return out.select("fold", "ticker", "date", "y", settle(F.get("p", F.lit(1))).alias("p1"), settle(F.get("prior", F.lit(1))).alias("prior1"))
+
+
+SINGLE = ("vol_20", "vol_60", "atr_14_pct")  # features that are scored alone beside the volatility forecasts
 
 
 @query("p_volbench")
 def p_volbench(t):
-    """HAR, range HAR and GARCH, calibrated, against the model on its own rows."""
+    """HAR, range HAR, GARCH and three single features, calibrated in one fit, against the model on its own rows: coverage, skills, edge and verdict."""
+    model, errors, coverage = volbench_of(t)
+    skill = errors.groupBy("name").agg((1 - F.avg("se_reference") / F.avg("se_base")).alias("benchmark_skill"), (1 - F.avg("se_model") / F.avg("se_base")).alias("model_skill"))
+    best = F.col("benchmark_skill") == F.max("benchmark_skill").over(Window.partitionBy(F.lit(0)))  # one row per benchmark
+    return skill.withColumn("is_reference", best).join(coverage, "name").join(_edges(errors), "name").withColumn(
+        "verdict", gate.baseline_verdict(F.col("pooled"), F.col("ci90_low"), F.col("wins"), F.col("n_blocks")))
+
+
+def volbench_of(t):
+    """The model's out-of-fold rows, its errors beside those of every benchmark, and the share of test rows that each covers."""
     rows, days = rows_of(t)
     days = stored(days, "folds")
     model = models.walk_forward(rows, days, ALL, 2, "forest", SMALL, fit_rows=FIT_ROWS)
     series = stored(volatility.variance_series(t.bars), "series")
-    bench = {}
-    for name, prefix in (("har", "rv"), ("har_range", "pk")):
-        _, x = volatility.har(series, rows, days, 1, prefix)
-        bench[name] = x
-    bench["garch"] = volatility.garch_forecast(series, days, 1)[1]
-    others = {}
-    for name, x in bench.items():
-        # the forecast of a row depends on the fold that scores it
-        x = stored(x.select("fold", "ticker", "date", "x"), name)
-        marked = rows.select("ticker", "date", "y").join(days, "date").join(x, ["fold", "ticker", "date"], "left")
-        parts = None
-        for f in range(SPEC.n_splits):
-            mine = marked.where(F.col("fold") == f)
-            one = models.calibrated(mine.select("ticker", "date", "y", "x"), days.where(F.col("fold") == f), "x", 2)
-            parts = one if parts is None else parts.unionByName(one)
-        others[name] = stored(parts, name)
-    errors = stored(models.paired_errors(model, others), "errors")
-    skill = errors.groupBy("name").agg((1 - F.avg("se_reference") / F.avg("se_base")).alias("benchmark_skill"), (1 - F.avg("se_model") / F.avg("se_base")).alias("model_skill"))
-    return skill.join(_edges(errors), "name")
+    keys = ["fold", "ticker", "date"]
+    forecasts = [x.select(*keys, "x").withColumn("name", F.lit(name)) for name, x in (
+        ("har", volatility.har(series, rows, days, 1, "rv")[1]), ("har_range", volatility.har(series, rows, days, 1, "pk")[1]),
+        ("garch", volatility.garch_forecast(series, days, 1)[1]))]
+    every = rows.join(days.select("fold", "date"), "date")  # a single feature is known in every fold
+    forecasts += [every.select(*keys, F.col(f).cast("double").alias("x")).withColumn("name", F.lit(f)) for f in SINGLE]
+    x = None
+    for one in forecasts:
+        x = one if x is None else x.unionByName(one)
+    names = F.explode(F.array(*[F.lit(n) for n in ("har", "har_range", "garch", *SINGLE)]))
+    asked = rows.select("ticker", "date", "y").join(days.select("fold", "date"), "date").withColumn("name", names)
+    asked = stored(asked.join(x, ["name", *keys], "left"), "forecasts")
+    fitted = stored(models.calibrated(asked, days, "x", 2, group=("fold", "name")), "benchmarks")
+    tests = asked.join(days.where("role = 'test'"), ["fold", "date"])
+    coverage = tests.groupBy("name").agg(F.count("*").alias("n_test"), F.avg(F.col("x").isNotNull().cast("double")).alias("coverage"))
+    others = {name: fitted.where(F.col("name") == name).drop("name") for name in ("har", "har_range", "garch", *SINGLE)}
+    return model, stored(models.paired_errors(model, others), "errors"), coverage
 
 
 # ---------------------------------------------------------------- studies on fitted models
@@ -331,12 +360,25 @@ def p_fusion(t):
     return models.fusion_gain(models.fusion(oof, stored(inner, "folds"), 2))
 
 
-@query("p_tune")
+GRID = [Boosting(rounds=r, depth=d, rate=e, bins=32, patience=10, l2=g) for r, e in ((100, 0.1), (150, 0.05)) for d in (2, 3, 4) for g in (2.0, 20.0)]
+
+
+@query("p_tune", f"""
+SELECT CAST(trial AS INTEGER) AS trial, depth, rate, true AS counted FROM (VALUES {', '.join(f"({i}, {g.depth}, CAST({g.rate} AS DOUBLE))" for i, g in enumerate(GRID))}) v(trial, depth, rate)
+""")
 def p_tune(t):
-    """Parameter grid over the same folds."""
-    rows, days = rows_of(t, features=list(vocab.BASELINE_SETS["simple"]))
-    grid = [{"numTrees": n, "maxDepth": d, "maxBins": 32} for n in (3, 6) for d in (2, 4)]
-    return models.tune(rows, stored(days, "folds"), list(vocab.BASELINE_SETS["simple"]), 2, grid, "forest")
+    """Twelve trials raced over three folds of the recent tail; each has a place, and the winner has run all folds."""
+    race = tune_of(t)
+    sound = F.when(F.col("place") == 1, (F.col("folds_done") == 3) & F.col("given_up_after").isNull()).otherwise(
+        F.coalesce(F.col("given_up_after") == F.col("folds_done"), F.col("folds_done") == 3))
+    return race.select("trial", "depth", "rate", (sound & F.col("place").between(1, len(GRID))).alias("counted"))
+
+
+@query("p_tune_table")
+def tune_of(t):
+    """The table of the race: mean skill, folds run, and where a trial was given up."""
+    spec = FoldSpec(n_splits=3, test_size=100, purge=5, embargo=10)
+    return training.tune_race(panel_of(t), TARGETS[[n for n, *_ in TARGETS].index("magnitude_1d")], ALL, spec, GRID, TAIL_ROWS)
 
 
 def _fitted(t, learner="forest", params=SMALL):

@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-MODEL = ("k INT, rows BIGINT, held_out BIGINT, best_round INT, rounds_run INT, held_out_loss DOUBLE, base ARRAY<DOUBLE>, feature ARRAY<INT>, "
+MODEL = ("k INT, depth INT, rows BIGINT, held_out BIGINT, best_round INT, rounds_run INT, held_out_loss DOUBLE, base ARRAY<DOUBLE>, feature ARRAY<INT>, "
          "threshold ARRAY<DOUBLE>, leaf ARRAY<DOUBLE>, gain ARRAY<DOUBLE>")
 
 
@@ -148,13 +148,14 @@ def fit_rows(x: np.ndarray, y: np.ndarray, held: np.ndarray, k: int, how: Boosti
     def joined(i: int) -> list:
         return np.concatenate([t[i] for t in kept]).tolist() if kept else []
 
-    return {"k": k, "rows": int(train.sum()), "held_out": len(yv), "best_round": best, "rounds_run": run, "held_out_loss": losses[best - 1] if losses else None,
+    return {"k": k, "depth": how.depth, "rows": int(train.sum()), "held_out": len(yv), "best_round": best, "rounds_run": run, "held_out_loss": losses[best - 1] if losses else None,
             "base": base.tolist(), "feature": joined(0), "threshold": joined(1), "leaf": joined(2), "gain": gains.tolist()}
 
 
-def predict_rows(model: dict, x: np.ndarray, depth: int) -> np.ndarray:
+def predict_rows(model: dict, x: np.ndarray) -> np.ndarray:
     """Class probabilities of all rows."""
-    k, inner = model["k"], 2**depth - 1
+    k, depth = model["k"], model["depth"]
+    inner = 2**depth - 1
     z = np.tile(np.asarray(model["base"], float), (len(x), 1))
     split, threshold, leaf = (np.asarray(model[c]) for c in ("feature", "threshold", "leaf"))
     classes = [1] if k == 2 else range(k)
@@ -164,17 +165,18 @@ def predict_rows(model: dict, x: np.ndarray, depth: int) -> np.ndarray:
     return softmax(z)
 
 
-def fit_groups(rows: DataFrame, group: list[str], features, how: Boosting, rounds: str | None = None) -> DataFrame:
+def fit_groups(rows: DataFrame, group: list[str], features, how: Boosting | list[Boosting], rounds: str | None = None) -> DataFrame:
     """One model row per group.  ``rows``: the group's columns, k, y, held_out, ticker, date and the features; as many as one task can hold per group.
 
-    ``rounds`` names a column with the group's own number of rounds.
+    A list of parameters is numbered by the first column of ``group``.  ``rounds`` names a column with the group's own number of rounds.
     """
     features = list(features)
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in group)
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["date", "ticker"], ignore_index=True)  # the same model whatever the order of rows
-        own = how if rounds is None else replace(how, rounds=max(1, int(part[rounds].iloc[0])))
+        own = how if isinstance(how, Boosting) else how[int(part[group[0]].iloc[0])]
+        own = own if rounds is None else replace(own, rounds=max(1, int(part[rounds].iloc[0])))
         model = fit_rows(part[features].to_numpy(np.float64), part["y"].to_numpy(np.int64), part["held_out"].to_numpy(bool), int(part["k"].iloc[0]), own)
         return pd.DataFrame([{**{c: part[c].iloc[0] for c in group}, **model}])
 
@@ -182,7 +184,7 @@ def fit_groups(rows: DataFrame, group: list[str], features, how: Boosting, round
     return needed.groupBy(*group).applyInPandas(fit, f"{kinds}, {MODEL}")
 
 
-def score_groups(rows: DataFrame, models: DataFrame, group: list[str], features, depth: int) -> DataFrame:
+def score_groups(rows: DataFrame, models: DataFrame, group: list[str], features) -> DataFrame:
     """``rows`` with ``p``, by the model of their group; rows of a group without model are left out.
 
     Models are collected: there is one for each group of a study, of a size that rounds and depth bound.
@@ -197,7 +199,7 @@ def score_groups(rows: DataFrame, models: DataFrame, group: list[str], features,
             for key, part in batch.groupby(group, sort=False):
                 model = sent.value.get(tuple(x.item() if hasattr(x, "item") else x for x in key))
                 if model is not None:
-                    p = predict_rows(model, part[features].to_numpy(np.float64), depth)
+                    p = predict_rows(model, part[features].to_numpy(np.float64))
                     yield part[keep].assign(p=list(p))
 
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep)

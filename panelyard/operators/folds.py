@@ -78,6 +78,16 @@ def thinned_dates(rows: DataFrame, max_rows: int | None = None, stride: int | No
     return days.where(F.col("pos") % F.col("stride") == 0).select("date", "stride")
 
 
+def recent_rows(rows: DataFrame, at_least: int, date: str = "date") -> DataFrame:
+    """The rows of the most recent whole dates that hold ``at_least`` rows together; all rows, if there are fewer."""
+    if at_least < 1:
+        raise ValueError("a tail holds at least one row")
+    per_date = rows.groupBy(F.col(date).alias("tail_date")).agg(F.count("*").alias("n"))
+    later = F.sum("n").over(Window.orderBy(F.desc("tail_date")).rowsBetween(Window.unboundedPreceding, -1))  # distinct dates only
+    kept = per_date.withColumn("later", F.coalesce(later, F.lit(0))).where(F.col("later") < at_least).select("tail_date")
+    return rows.join(kept, F.col(date) == F.col("tail_date"), "left_semi")
+
+
 def inner_validation(dates: DataFrame, test_size: int, horizon: int) -> DataFrame:
     """Split training dates into ``fit`` and the last stretch ``valid``, a horizon apart.
 

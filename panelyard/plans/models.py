@@ -10,9 +10,8 @@ from __future__ import annotations
 import hashlib
 from functools import reduce
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -21,6 +20,7 @@ from panelyard.functions.numeric import finite
 from panelyard.functions.probability import squared_error
 from panelyard.operators.evaluation import class_priors, pointwise
 from panelyard.operators.folds import inner_validation
+from panelyard.operators.logistic import fit_logistic, predict_logistic
 from panelyard.operators.quantiles import exact_quantiles
 from panelyard.operators.single import beside
 from panelyard.session import stored
@@ -176,51 +176,44 @@ def bucket_model(rows: DataFrame, fold_days: DataFrame, feature: str, k: int, bu
         "fold", "ticker", "date", "y", F.coalesce("p", "prior").alias("p"), "prior")
 
 
-def calibrated(rows: DataFrame, fold_days: DataFrame, feature: str, k: int, least: int = 100) -> DataFrame:
-    """Multinomial logistic model on one feature per fold; rows without it get the class shares."""
-    marked = rows.select("ticker", "date", "y", finite(feature).alias("v")).join(fold_days, "date")
-    prior = class_priors(marked.where("role = 'train'"), ["fold"], k).select("fold", "prior")
-    usable = marked.where("role = 'train' AND v IS NOT NULL").groupBy("fold").agg(
-        F.count("*").alias("n"), F.countDistinct("y").alias("classes"))
-    ready = [r.fold for r in usable.collect() if r.n >= least and r.classes == k]  # one row per fold
-    put = VectorAssembler(inputCols=["v"], outputCol="x")
-    test = marked.where("role = 'test'").select("fold", "ticker", "date", "y", "v")
-    parts = []
-    for f in ready:
-        train = put.transform(marked.where((F.col("fold") == f) & F.expr("role = 'train' AND v IS NOT NULL")))
-        model = LogisticRegression(featuresCol="x", labelCol="y", family="multinomial", maxIter=50, regParam=1e-6).fit(train)
-        rows_f = put.transform(test.where((F.col("fold") == f) & F.col("v").isNotNull()))
-        parts.append(model.transform(rows_f).select("fold", "ticker", "date", vector_to_array("probability").alias("p")))
-    out = test.drop("v").join(prior, "fold")
-    if not parts:
-        return out.withColumn("p", F.col("prior")).select("fold", "ticker", "date", "y", "p", "prior")
-    fitted = reduce(DataFrame.unionByName, parts)
-    return out.join(fitted, ["fold", "ticker", "date"], "left").select(
-        "fold", "ticker", "date", "y", F.coalesce("p", "prior").alias("p"), "prior")
+def calibrated(rows: DataFrame, fold_days: DataFrame, feature: str, k: int, least: int = 100, group: tuple[str, ...] = ("fold",)) -> DataFrame:
+    """Multinomial logistic model on one feature per fold; rows without it get the class shares.
+
+    All groups are fitted together.  ``group`` may name further columns of ``rows`` that are fitted each for itself; when ``fold`` is a column of
+    ``rows``, a row belongs to that fold only.
+    """
+    group = list(group)
+    named = [c for c in group if c in rows.columns]
+    marked = rows.select(*named, "ticker", "date", "y", finite(feature).alias("v")).join(fold_days, ["date", *(["fold"] if "fold" in named else [])])
+    train = marked.where("role = 'train'")
+    prior = class_priors(train, group, k).select(*group, "prior")
+    usable = train.where("v IS NOT NULL").groupBy(*group).agg(F.count("*").alias("n"), F.countDistinct("y").alias("classes"))
+    ready = stored(usable.where((F.col("n") >= least) & (F.col("classes") == k)).select(*group), "ready")
+    model = fit_logistic(train.where("v IS NOT NULL").join(F.broadcast(ready), group), group, ["v"], k)  # one row per group
+    test = marked.where("role = 'test'").select(*group, "ticker", "date", "y", "v").join(F.broadcast(prior), group)
+    return predict_logistic(test, model).select(*group, "ticker", "date", "y", F.coalesce("p", "prior").alias("p"), "prior")
 
 
 def fusion(oof: DataFrame, fold_days: DataFrame, k: int, sentiment: str | None = None) -> DataFrame:
     """Logistic combination of out-of-fold probabilities (and sentiment with its interaction).
 
-    Returns (fold, ticker, date, y, p, p_base, prior); adopt it if its skill gains enough.
+    Returns (fold, ticker, date, y, p, p_base, prior); adopt it if its skill gains enough.  The last class's probability enters by its log odds
+    against the others, the other classes by theirs, so that they don't add up to a constant.
     """
-    cols = {f"g{i}": F.get("p", F.lit(i)) for i in range(k)}
+    def odds(i: int) -> Column:
+        share = F.least(F.greatest(F.get("p", F.lit(i)), F.lit(1e-6)), F.lit(1 - 1e-6))
+        return F.ln(share / (1 - share))
+
+    cols = {f"g{i}": odds(i) for i in range(1, k)}
     if sentiment is not None:
         s = F.coalesce(finite(sentiment), F.lit(0.0))
         cols.update({"s": s, "s_x": s * F.get("p", F.lit(k - 1))})
     rows = oof.withColumns(cols).withColumnRenamed("p", "p_base").drop("fold", "prior").join(fold_days, "date")
-    prior = class_priors(rows.where("role = 'train'"), ["fold"], k).select("fold", "prior")
-    steps = [VectorAssembler(inputCols=list(cols), outputCol="raw"),
-             StandardScaler(inputCol="raw", outputCol="x", withMean=True, withStd=True),
-             LogisticRegression(featuresCol="x", labelCol="y", family="multinomial", maxIter=50, regParam=1e-6)]
-    n_folds = fold_days.agg(F.max("fold")).first()[0] + 1
-    parts = []
-    for f in range(n_folds):
-        mine = rows.where(F.col("fold") == f)
-        model = Pipeline(stages=steps).fit(mine.where("role = 'train'"))
-        parts.append(model.transform(mine.where("role = 'test'")).select(
-            "fold", "ticker", "date", "y", vector_to_array("probability").alias("p"), "p_base"))
-    return stored(reduce(DataFrame.unionByName, parts).join(prior, "fold"), "fusion")
+    train = rows.where("role = 'train'")
+    prior = class_priors(train, ["fold"], k).select("fold", "prior")
+    model = fit_logistic(train, ["fold"], list(cols), k)
+    test = rows.where("role = 'test'").join(F.broadcast(prior), "fold")  # one row per fold
+    return stored(predict_logistic(test, model).select("fold", "ticker", "date", "y", "p", "p_base", "prior"), "fusion")
 
 
 def fusion_gain(fused: DataFrame) -> DataFrame:

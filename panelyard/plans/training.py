@@ -14,7 +14,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from panelyard.operators.boosting import Boosting, fit_groups, score_groups
-from panelyard.operators.folds import FoldSpec, fold_dates, inner_validation
+from panelyard.operators.evaluation import pointwise
+from panelyard.operators.folds import FoldSpec, fold_dates, inner_validation, recent_rows
 from panelyard.session import stored
 
 FIT_ROWS = 20_000  # rows given to one fit; test rows, priors and counts are whole
@@ -88,7 +89,7 @@ def walk_forward_all(panel: DataFrame, targets: Sequence[Target], features, spec
     models = stored(fit_groups(used, group, features, how), "models")
     test = marked.where("role = 'test'").select(*group, "ticker", "date", "y", *features)
     priors = class_shares(train, group)
-    oof = score_groups(test, models, group, features, how.depth).join(F.broadcast(priors), group)  # one row per fit
+    oof = score_groups(test, models, group, features).join(F.broadcast(priors), group)  # one row per fit
     return Study(stored(oof.select(*group, "ticker", "date", "y", "p", "prior", "n_train"), "oof"), models, marked, features, how)
 
 
@@ -97,3 +98,55 @@ def final_models(panel: DataFrame, study: Study, targets: Sequence[Target], fit_
     rounds = study.models.groupBy("target").agg(F.ceil(F.median("best_round")).cast("int").alias("rounds"))
     rows = drawn(labelled(panel, targets, study.features), ["target"], fit_rows).join(F.broadcast(rounds), "target")  # one row per target
     return stored(fit_groups(rows.withColumn("held_out", F.lit(False)), ["target"], study.features, study.how, "rounds"), "final-models")
+
+
+@dataclass
+class Trial:
+    """One set of parameters in a race: its skill in each finished fold, and after how many folds it was given up."""
+
+    how: Boosting
+    skills: list[float]
+    given_up_after: int | None = None
+
+    @property
+    def mean(self) -> float:
+        return sum(self.skills) / len(self.skills)
+
+
+def hopeless(trial: Trial, leader: Trial, folds: int, slack: float) -> bool:
+    """Whether ``trial`` stays behind ``leader`` even if it gains in every open fold its best gain so far, ``slack`` at least."""
+    gains = [a - b for a, b in zip(trial.skills, leader.skills)]
+    return sum(gains) + (folds - len(gains)) * max(max(gains), slack) < 0
+
+
+def tune_race(panel: DataFrame, target: Target, features, spec: FoldSpec, trials: Sequence[Boosting], tail_rows: int, fit_rows: int = FIT_ROWS,
+              slack: float = 0.005) -> DataFrame:
+    """Trials over the last ``tail_rows`` rows, fold by fold, all open trials of a fold in one job.
+
+    A trial that cannot reach the leader any more is given up.  Returns trial, its parameters, folds_done, mean_skill, given_up_after and place; the
+    winner (place 1) has run all folds, and the lower number wins a tie.
+    """
+    features = list(features)
+    rows = recent_rows(labelled(panel, [target], features), tail_rows)
+    marked = rows.join(study_folds(rows, [target], spec), ["target", "date"])
+    race = [Trial(how, []) for how in trials]
+    group = ["trial", "fold"]
+    for fold in range(spec.n_splits):
+        open_ones = [i for i, t in enumerate(race) if t.given_up_after is None]
+        numbers = F.explode(F.array(*[F.lit(i) for i in open_ones]))
+        own = marked.where(F.col("fold") == fold)
+        used = drawn(own.where("role = 'train' AND part IS NOT NULL"), ["fold"], fit_rows).withColumn("trial", numbers)
+        models = stored(fit_groups(used.withColumn("held_out", F.col("part") == "valid"), group, features, list(trials)), "trials")
+        test = own.where("role = 'test'").withColumn("trial", numbers).select(*group, "y", *features)
+        priors = class_shares(own.where("role = 'train'"), ["fold"]).drop("n_train")
+        scored = score_groups(test, models, group, features).join(F.broadcast(priors), "fold")  # one row
+        for r in pointwise(scored, ["trial"]).select("trial", "brier_skill").collect():  # one row per trial
+            race[r["trial"]].skills.append(r["brier_skill"] if r["brier_skill"] is not None else 0.0)
+        leader = max((race[i] for i in open_ones), key=lambda t: t.mean)
+        for i in open_ones:
+            if fold + 1 < spec.n_splits and race[i] is not leader and hopeless(race[i], leader, spec.n_splits, slack):
+                race[i].given_up_after = fold + 1
+    order = sorted(range(len(race)), key=lambda i: (race[i].given_up_after is not None, -len(race[i].skills), -race[i].mean, i))
+    table = [(i, t.how.rounds, t.how.depth, t.how.rate, t.how.l2, len(t.skills), t.mean, t.given_up_after, order.index(i) + 1) for i, t in enumerate(race)]
+    return panel.sparkSession.createDataFrame(
+        table, "trial INT, rounds INT, depth INT, rate DOUBLE, l2 DOUBLE, folds_done INT, mean_skill DOUBLE, given_up_after INT, place INT")

@@ -109,6 +109,35 @@ def test_trees_split_like_a_search_over_all_cuts():
 
 def test_one_class_gives_its_prior():
     model = boosting.fit_rows(np.zeros((50, 2)), np.ones(50, np.int64), np.zeros(50, bool), 2, TREES)
-    assert model["feature"] == [] and boosting.predict_rows(model, np.zeros((3, 2)), TREES.depth)[:, 1].min() > 0.99
+    assert model["feature"] == [] and boosting.predict_rows(model, np.zeros((3, 2)))[:, 1].min() > 0.99
     with pytest.raises(ValueError):
         Boosting(depth=0)
+
+
+def test_race_finds_the_winner_of_the_full_grid(panel):
+    grid = [Boosting(rounds=r, depth=d, bins=16, patience=5, rate=e) for r, d, e in ((1, 1, 0.01), (40, 2, 0.1), (40, 1, 0.1), (3, 2, 0.1), (40, 3, 0.3))]
+    raced = {r["trial"]: r for r in training.tune_race(panel, TARGETS[0], FEATURES, SPEC, grid, 2500).collect()}
+    full = {r["trial"]: r for r in training.tune_race(panel, TARGETS[0], FEATURES, SPEC, grid, 2500, slack=10.0).collect()}
+    assert all(r["folds_done"] == 3 and r["given_up_after"] is None for r in full.values())
+    best = max(full.values(), key=lambda r: (r["mean_skill"], -r["trial"]))
+    winner = next(r for r in raced.values() if r["place"] == 1)
+    assert winner["trial"] == best["trial"] and winner["mean_skill"] == best["mean_skill"] and winner["folds_done"] == 3
+    assert any(r["given_up_after"] == r["folds_done"] < 3 for r in raced.values()) and raced[0]["given_up_after"] == 1
+    assert sorted(r["place"] for r in raced.values()) == [1, 2, 3, 4, 5]
+
+
+def test_trials_are_given_up_only_when_they_cannot_reach_the_leader():
+    def of(*skills):
+        return training.Trial(TREES, list(skills))
+
+    assert training.hopeless(of(0.0), of(0.1), 5, 0.02) and not training.hopeless(of(0.0), of(0.1), 5, 0.03)
+    assert not training.hopeless(of(0.0, 0.2), of(0.2, 0.1), 3, 0.001)  # it has gained 0.1 in a fold before
+
+
+def test_recent_rows_are_whole_dates(panel):
+    from panelyard.operators.folds import recent_rows
+
+    assert recent_rows(panel, 41).select("date").distinct().count() == 3 and recent_rows(panel, 41).count() == 60
+    assert recent_rows(panel, 10**6).count() == panel.count()
+    with pytest.raises(ValueError):
+        recent_rows(panel, 0)
