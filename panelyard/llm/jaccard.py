@@ -5,7 +5,7 @@ occur in one of the inverted lists of its n - ceil(t n) + 1 rarest shingles: tho
 their keys, to find candidates, and the remaining long lists are only probed, by binary search for each key of the smaller
 set in the other, as DivideSkip does.  Rarity comes from counts of hashed shingles over all documents; any order gives all links.
 
-Equal sets are one class from the start.  First every set meets two representatives of each of its lists, one pair each, whatever the
+Equal sets are one class from the start.  First every set meets a representative of each of its lists, one pair each, whatever the
 list's length: that joins most of a group of near copies.  Then only sets of different components meet.  Lists of up to ``SHORT`` sets give such
 pairs, which counts of shingles by hash class prune without loss, and the rest are verified on their texts.  Longer lists are dealt in blocks of
 bounded size; a task holds two blocks, searches them by T-occurrence and gives the links of a spanning forest only, so
@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from panelyard.llm import flat
+from panelyard.llm import flat, sieve
 from panelyard.llm.components import components
 from panelyard.session import stored
 
@@ -90,10 +90,10 @@ def allowed(x: Signatures, i: np.ndarray, y: Signatures, j: np.ndarray, size: np
 
 
 def digests(docs: DataFrame, shingle: int) -> DataFrame:
-    """kind 0: doc_id, n, set, signature of every row; kind 1: counter (n) of each sketch place (set) of a task."""
+    """kind 0: doc_id, mark (hash of the text), n, set, signature of every row; kind 1: counter (n) of each sketch place (set) of a task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SKETCH, np.int64)
-        names = ["kind", "doc_id", "n", "set_key", "signature", "fine"]
+        names = ["kind", "doc_id", "mark", "n", "set_key", "signature", "fine"]
         for batch in batches:
             for block in flat.blocks(batch):
                 row, key = flat.Words(block.column("text")).shingles(shingle)
@@ -101,15 +101,15 @@ def digests(docs: DataFrame, shingle: int) -> DataFrame:
                 size, own = set_keys(row, key, block.num_rows)
                 coarse, fine = signatures(row, key, block.num_rows)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.zeros(len(size), np.int32)), block.column("doc_id"), pa.array(size), pa.array(own),
+                    [pa.array(np.zeros(len(size), np.int32)), block.column("doc_id"), block.column("mark"), pa.array(size), pa.array(own),
                      pa.array(coarse, pa.binary()), pa.array(fine, pa.binary())], names)
         held = np.flatnonzero(counts)
         if len(held):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.ones(len(held), np.int32)), pa.nulls(len(held), pa.int64()), pa.array(counts[held]), pa.array(held),
+                [pa.array(np.ones(len(held), np.int32)), pa.nulls(len(held), pa.int64()), pa.nulls(len(held), pa.int64()), pa.array(counts[held]), pa.array(held),
                  pa.nulls(len(held), pa.binary()), pa.nulls(len(held), pa.binary())], names)
 
-    return docs.mapInArrow(run, "kind INT, doc_id BIGINT, n BIGINT, set_key BIGINT, signature BINARY, fine BINARY")
+    return docs.mapInArrow(run, "kind INT, doc_id BIGINT, mark BIGINT, n BIGINT, set_key BIGINT, signature BINARY, fine BINARY")
 
 
 def rarity(counts: DataFrame) -> np.ndarray:
@@ -167,18 +167,18 @@ def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         yield rest
 
 
-def representatives(h: np.ndarray, n: np.ndarray, own: np.ndarray, percent: int, seed: int) -> np.ndarray:
-    """For every posting a set of its list, drawn by a hash, of a size that allows a link.  Postings come by list and size."""
+def representatives(h: np.ndarray, n: np.ndarray, own: np.ndarray, percent: int) -> np.ndarray:
+    """For every posting a set of its list, the first one by a hash (so that similar lists have the same), of a size that allows a link.  Postings come by list and size."""
     band = np.floor(np.log(n) / np.log(100 / percent)).astype(np.int64) if percent < 100 else n
     start = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (band[1:] != band[:-1])))
-    place = flat.mix(own.view(np.uint64) + np.uint64(seed))
+    place = flat.mix(own.view(np.uint64))
     group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(h))))
     first = np.lexsort((place, group))[start]
     return own[first][group]
 
 
 def shared_lists(postings: DataFrame, percent: int) -> DataFrame:
-    """The postings of lists with two sets at least, in list order, each with two representatives of its list."""
+    """The postings of lists with two sets at least, in list order, each with a representative of its list."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, n, own in grouped(batches):
             new = np.ones(len(h), bool)
@@ -189,16 +189,16 @@ def shared_lists(postings: DataFrame, percent: int) -> DataFrame:
             both[:-1] |= both[1:]
             h, n, own = h[both], n[both], own[both]
             if len(h):
-                stars = [representatives(h, n, own, percent, seed) for seed in (1, 2)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (h, n, own, *stars)], ["h", "n", "set_key", "star1", "star2"])
+                star = representatives(h, n, own, percent)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (h, n, own, star)], ["h", "n", "set_key", "star"])
 
     return postings.repartition("h").sortWithinPartitions("h", "n", "set_key").mapInArrow(
-        run, "h BIGINT, n INT, set_key BIGINT, star1 BIGINT, star2 BIGINT")
+        run, "h BIGINT, n INT, set_key BIGINT, star BIGINT")
 
 
 def star_pairs(lists: DataFrame) -> DataFrame:
     """a, b: every set with the representatives of its lists."""
-    met = lists.select("set_key", F.explode(F.array("star1", "star2")).alias("star")).where("set_key <> star")
+    met = lists.select("set_key", "star").where("set_key <> star")
     return met.select(F.least("set_key", "star").alias("a"), F.greatest("set_key", "star").alias("b")).distinct()
 
 
@@ -209,10 +209,10 @@ def pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 def short_pairs(lists: DataFrame, percent: int, short: int = SHORT) -> DataFrame:
     """a, b: the pairs of every list of up to ``short`` sets whose sizes allow a link, of different components, that no representative has met.
 
-    ``lists``: h, n, set_key, star1, star2, label (of the component).
+    ``lists``: h, n, set_key, star, label (of the component).
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, n, own, star1, star2, label in grouped(batches):
+        for h, n, own, star, label in grouped(batches):
             start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
             length = np.diff(np.append(start, len(h)))
             place = np.arange(len(h)) - np.repeat(start, length)
@@ -221,13 +221,12 @@ def short_pairs(lists: DataFrame, percent: int, short: int = SHORT) -> DataFrame
             right = np.concatenate([x + d for x, d in zip(left, range(1, short))])
             left = np.concatenate(left)
             fits = (100 * n[left].astype(np.int64) >= percent * n[right].astype(np.int64)) & (label[left] != label[right])
-            for star in (star1, star2):
-                fits &= (star[left] != own[right]) & (star[right] != own[left])
+            fits &= (star[left] != own[right]) & (star[right] != own[left])
             left, right = left[fits], right[fits]
             both = np.unique(np.stack([np.minimum(own[left], own[right]), np.maximum(own[left], own[right])]), axis=1)
             yield pair_batch(both[0], both[1])
 
-    ordered = lists.select("h", "n", "set_key", "star1", "star2", "label").repartition("h").sortWithinPartitions("h", "n", "set_key")
+    ordered = lists.select("h", "n", "set_key", "star", "label").repartition("h").sortWithinPartitions("h", "n", "set_key")
     return ordered.mapInArrow(run, "a BIGINT, b BIGINT").distinct()
 
 
@@ -402,7 +401,7 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
 
 def linked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Digests of all rows (doc_id, n, set_key), and node, label of every set that links with another."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
     known = rows.where("doc_id IS NOT NULL")
     found = stored(digests(rows, shingle), "digests")
     rows_of = found.where("kind = 0").select("doc_id", "n", "set_key")
@@ -419,8 +418,9 @@ def linked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> t
     def contents(asked: DataFrame) -> DataFrame:
         """One text of every set asked for."""
         one = named.join(asked.distinct(), "set_key", "left_semi").groupBy("set_key").agg(
-            F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("fine").alias("fine"))
-        return stored(own_text(known.join(one, "doc_id").select("set_key", "n", "signature", "fine", "text"), shingle), "texts")
+            F.min(F.struct("doc_id", "mark")).alias("at"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("fine").alias("fine"))
+        one = stored(one.select("set_key", "at.*", "n", "signature", "fine"), "asked")
+        return stored(own_text(sieve.likely(known, "doc_id", one).join(one, ["doc_id", "mark"]).select("set_key", "n", "signature", "fine", "text"), shingle), "texts")
 
     def sets(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.col("a").alias("set_key")).union(pairs.select("b"))

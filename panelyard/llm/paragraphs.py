@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from panelyard.llm import flat
+from panelyard.llm import flat, sieve
 from panelyard.llm.components import components
 from panelyard.llm.jaccard import groups, searched, shared_lists, short_pairs, star_pairs
 from panelyard.session import stored
@@ -186,7 +186,8 @@ def shingles_of(docs: DataFrame, asked: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(p.set_key[once]), pa.array([p.key[a:b].tobytes() for a, b in zip(low, high)], pa.binary())], ["set_key", "shingles"])
 
-    return docs.join(wanted, "doc_id").mapInArrow(run, "set_key BIGINT, shingles BINARY").dropDuplicates(["set_key"])
+    wanted = stored(wanted, "asked")
+    return sieve.likely(docs, "doc_id", wanted).join(wanted, "doc_id").mapInArrow(run, "set_key BIGINT, shingles BINARY").dropDuplicates(["set_key"])
 
 
 def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
