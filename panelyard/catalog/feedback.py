@@ -8,8 +8,9 @@ from panelyard import vocab
 from panelyard.catalog.base import big, query, s6, step
 from panelyard.functions.numeric import settle
 from panelyard.functions.probability import realised_class
-from panelyard.plans import feedback
-from panelyard.plans.scores import leaderboard, recent_closes, sector_counts, stale_days, with_sector
+from panelyard.session import stored
+from panelyard.plans import feedback, monitoring
+from panelyard.plans.scores import board, leaderboard, recent_closes, sector_counts, stale_days, with_sector
 
 step("bar_seq", "SELECT ticker, date, close, row_number() OVER (PARTITION BY ticker ORDER BY date) AS no FROM bars")
 step("done_log", """
@@ -35,7 +36,11 @@ def log_of(t):
 
 
 def resolved_of(t):
-    return feedback.outcomes(log_of(t), t.bars)
+    """Outcomes of all predictions, from bars that are derived once per run; written when a run first asks for them."""
+    if t.resolved is None:
+        t.keep_bars()
+        t.resolved = stored(feedback.outcomes(log_of(t), t.bars), "resolved")
+    return t.resolved
 
 
 def tags_of(t):
@@ -183,6 +188,23 @@ def p_monitor(t):
     return live.unionByName(tags).unionByName(dist)
 
 
+@query("p_system_report", f"""
+SELECT {big('(SELECT count(*) FROM predictions)')} AS predictions_total, {big('(SELECT count(DISTINCT target) FROM done_cls)')} AS live_targets,
+  {big("(SELECT count(*) FROM drift_all WHERE psi >= 0.25)")} AS significant_count, (SELECT max(psi) >= 0.2 FROM drift_all) AS retrain_recommended,
+  (SELECT string_agg(feature, ',' ORDER BY psi DESC, feature) FROM (SELECT * FROM drift_all ORDER BY psi DESC, feature LIMIT 10)) AS worst
+""")
+def p_system_report(t):
+    """Feedback loop, recent predictions, live skill and drift in one nested row; here its main facts."""
+    from panelyard.catalog.evaluation import kept_features
+
+    drift = monitoring.drift_report(kept_features(t), list(vocab.FEATURES))
+    report = monitoring.system_report(feedback.health(log_of(t), resolved_of(t), tags_of(t)), feedback.prediction_distribution(log_of(t)),
+                                      feedback.live_skill(resolved_of(t)), drift)
+    targets = F.array_distinct(F.transform(F.filter("live_skill", lambda r: r["level"] == "target"), lambda r: r["target"]))
+    return report.select("feedback_loop.predictions_total", F.size(targets).cast("bigint").alias("live_targets"), "drift.significant_count",
+                         "drift.retrain_recommended", F.array_join(F.transform("drift.worst", lambda r: r["feature"]), ",").alias("worst"))
+
+
 # ---------------------------------------------------------------- log shape
 
 
@@ -241,6 +263,20 @@ def tk_leaderboard(t):
     return top.select("ticker", "sector", "as_of", settle("probability").alias("probability"), place.alias("place"))
 
 
+@query("tk_board", """
+WITH d AS (SELECT * FROM score_rows WHERE as_of = DATE '1999-06-15'), c AS (SELECT DATE '1999-06-18' AS today)
+SELECT true AS available, DATE '1999-06-15' AS as_of, CAST((SELECT count(DISTINCT ticker) FROM d) AS BIGINT) AS tickers_scored, (SELECT list_sort(list(DISTINCT target)) FROM d) AS targets,
+  (SELECT list_sort(list(DISTINCT sector)) FROM d) AS sectors, CAST(3 AS INTEGER) AS stale_trading_days, true AS stale, CAST(NULL AS BIGINT) AS failures,
+  (SELECT string_agg(ticker, ',' ORDER BY probability DESC, ticker) FROM (SELECT * FROM d WHERE target = 'magnitude_1d' ORDER BY probability DESC, ticker LIMIT 25)) AS ranked
+""")
+def tk_board(t):
+    """The leaderboard of a day with its facts: age, names, targets and sectors scored; failures are known for the latest day only."""
+    rejects = t.index_changes.select(F.col("removed_ticker").alias("ticker")).distinct()
+    out = board(with_sector(scores_of(t), t.universe), "magnitude_1d", "1999-06-18", as_of="1999-06-15", rejects=rejects)
+    return out.select("available", "as_of", "tickers_scored", "targets", "sectors", "stale_trading_days", "stale", "failures",
+                      F.array_join(F.transform("rows", lambda r: r["ticker"]), ",").alias("ranked"))
+
+
 @query("tk_stale_days", """
 SELECT ticker, CAST(greatest((SELECT count(*) FROM range(last_day, DATE '2001-12-31' + INTERVAL '1' DAY, INTERVAL '1' DAY) r(d) WHERE dayofweek(d) BETWEEN 1 AND 5) - 1, 0) AS INTEGER) AS stale_days
 FROM (SELECT ticker, max(as_of) AS last_day FROM predictions GROUP BY ticker)

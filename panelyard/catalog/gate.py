@@ -197,6 +197,17 @@ def p_quality(t):
     return gate.model_quality(scores, deploy).select("target", "deployable", "interpretation", "is_best")
 
 
+def quality_of(t):
+    """Quality, guard and deployability tables of all targets."""
+    rows = stored(gate_rows(t), "scored")
+    targets = rows.select("target").distinct()
+    scores = _skill(rows, ["target"]).join(evaluation.macro_auc(rows, ["target"]), "target").withColumnRenamed("candidate", "brier_skill")
+    deploy = gate.deployability(targets, _comparisons(t, rows))
+    by = _by_regime(rows).select("target", "regime", F.col("candidate").alias("skill"))
+    context = t.macro.agg(F.max("date").alias("d")).select(F.array(F.lit("late"), F.lit("crisis")).alias("relevant"))
+    return gate.model_quality(scores, deploy), gate.regime_guard(targets, by, context), deploy
+
+
 @query("ag_importance", """
 WITH a AS (SELECT ticker AS feature, row_number() OVER (ORDER BY sum(volume) DESC, ticker) AS place FROM bars GROUP BY ticker),
 b AS (SELECT ticker AS feature, row_number() OVER (ORDER BY avg(close) DESC, ticker) AS place FROM bars GROUP BY ticker)

@@ -465,8 +465,18 @@ def fitted_targets(panel, before=None):
     return predictors, priors
 
 
+def checked_of(t):
+    """The last row of every name that was ever in the index, with the reason if it cannot be scored."""
+    from panelyard.plans.scores import checked
+
+    asked = t.universe.select("ticker").union(t.index_changes.select(F.col("removed_ticker").alias("ticker")))
+    return stored(checked(latest_of(t), asked, ALL), "checked")
+
+
 def scores_of_models(t):
-    return models.score_latest(latest_of(t), *_by_target(panel_of(t)))
+    from panelyard.plans.scores import accepted
+
+    return models.score_latest(accepted(checked_of(t)), *_by_target(panel_of(t)))
 
 
 def _by_target(panel, before=None):
@@ -493,6 +503,17 @@ def p_nightly(t):
     return feedback.live_skill(done)
 
 
+@query("p_rejects", """
+WITH a AS (SELECT ticker FROM universe UNION SELECT removed_ticker FROM index_changes),
+l AS (SELECT ticker, max(date) AS as_of, max_by(vol_60, date) AS scale FROM feat_price GROUP BY ticker)
+SELECT a.ticker, l.as_of, CASE WHEN l.ticker IS NULL THEN 'no price history' WHEN scale IS NULL OR scale <= 0 THEN 'too little history to scale a move' END AS reason,
+  l.ticker IS NOT NULL AND scale > 0 AS scored FROM a LEFT JOIN l ON l.ticker = a.ticker
+""")
+def p_rejects(t):
+    """Every name that was ever in the index: scored, or why not."""
+    return checked_of(t).select("ticker", F.col("date").alias("as_of"), F.col("reject").alias("reason"), F.col("reject").isNull().alias("scored"))
+
+
 @query("p_score")
 def p_score(t):
     """Last row of every ticker scored, with sector, baseline and lift."""
@@ -513,7 +534,14 @@ def p_payload(t):
     news = sentiment.availability(t.universe, sentiment.ticker_sentiment(t.articles, NOW))
     return build_payload(
         t.universe, scores_of_models(t), news, sentiment.divergence(news, sentiment.recent_moves(t.bars)),
-        find_analogs(panel_of(t)), feedback.feedback_context(resolved_of(t), log_of(t)))
+        find_analogs(panel_of(t)), feedback.feedback_context(resolved_of(t), log_of(t)), *_gate_blocks(t))
+
+
+def _gate_blocks(t):
+    """Measured skill, regime record and deployability of the gate's targets."""
+    from panelyard.catalog.gate import quality_of
+
+    return quality_of(t)
 
 
 @query("p_retrain")

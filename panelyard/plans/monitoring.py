@@ -43,3 +43,24 @@ def decide(panel: DataFrame, features: list[str], today: str, last_full: str | N
         part >= vocab.INCREMENTAL_DAYS, F.format_string("%d days since the last update", part)).otherwise(
         F.lit("nothing is due"))
     return one.select((mode != "none").alias("should_run"), mode.alias("mode"), reason.alias("reason"))
+
+
+def system_report(health: DataFrame, distribution: DataFrame, live: DataFrame, drift: DataFrame | None = None, worst: int = 10) -> DataFrame:
+    """One row: the feedback loop, recent predictions, live skill, and drift with its advice.
+
+    ``health`` is one row; ``distribution`` has a row per target and class, ``live`` a row per target and model, ``drift`` a row per feature.
+    """
+    def folded(table: DataFrame, name: str) -> DataFrame:
+        # maps have no order: as entries they can stand in a sorted list
+        plain = [F.sort_array(F.map_entries(c)).alias(c) if kind.startswith("map") else F.col(c) for c, kind in table.dtypes]
+        return table.agg(F.sort_array(F.collect_list(F.struct(*plain))).alias(name))
+
+    out = health.select(F.struct(*health.columns).alias("feedback_loop"))
+    out = beside(beside(out, folded(distribution, "predictions")), folded(live, "live_skill"))
+    if drift is None:
+        return out.withColumn("drift", F.lit(None))
+    order = F.struct((-F.col("psi")).alias("order"), "feature", "psi", "verdict")
+    sums = drift.agg(F.slice(F.sort_array(F.collect_list(order)), 1, worst).alias("ranked"), F.count_if(F.col("verdict") == "significant").alias("significant_count"),
+                     F.coalesce(F.max("psi") >= vocab.PSI_RETRAIN, F.lit(False)).alias("retrain_recommended"))
+    named = F.transform("ranked", lambda r: F.struct(r["feature"].alias("feature"), r["psi"].alias("psi"), r["verdict"].alias("verdict")))
+    return beside(out, sums.select(F.struct(named.alias("worst"), "significant_count", "retrain_recommended").alias("drift")))

@@ -21,6 +21,7 @@ class Tables:
         self.spark = spark
         self.folder = folder.rstrip("/")
         self._kept = False
+        self.resolved: DataFrame | None = None  # likewise the outcomes of the prediction log
         self.panel: DataFrame | None = None  # stored by the first step of a run that needs it
 
     def base(self, name: str) -> DataFrame:
