@@ -428,12 +428,14 @@ def tk_shap_topk(t):
     return rows.select("ticker", "date", F.array_join(F.transform(top, lambda c: c["feature"]), ",").alias("top"))
 
 
-@query("align_schema")
+@query("align_schema", f"""
+SELECT ticker, date, {', '.join(s6(f'CAST({c} AS FLOAT)', 3) + ' AS ' + c for c in ALL)} FROM feat_all QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC) = 1
+""")
 def align_schema(t):
     """Features in training order, extra columns dropped."""
     from panelyard.plans.features import aligned
 
-    return aligned(latest_of(t), ALL)
+    return aligned(latest_of(t), ALL).select("ticker", "date", *[settle(c, 3).alias(c) for c in ALL])
 
 
 @query("leak_guard", f"SELECT CAST(count(*) AS BIGINT) AS rows, CAST({len(vocab.FEATURES)} AS INTEGER) AS features FROM panel_log")
