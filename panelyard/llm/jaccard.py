@@ -34,8 +34,8 @@ SKETCH = 1 << 16  # hashed counters of shingles
 SHORT = 64  # lists of more sets are searched in blocks
 CLASSES, FINE = 256, 4_096  # hash classes of a set's signature, and of a set of more than FINE_FROM shingles
 FINE_FROM = 2_000
-BLOCK_SETS = 1_500  # sets of a block at most
-LARGE = 300  # sets of more shingles are compared by signature first, the others at once
+BLOCK_SETS, BLOCK_SHINGLES = 1_500, 450_000  # sets and shingles of a block at most
+LARGE = 1_000  # sets of more shingles are compared by signature first, the others at once
 SKIP = 0.01  # weight of a probe against a merge, which sets how many of the longest lists are skipped
 
 
@@ -167,18 +167,22 @@ def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         yield rest
 
 
-def representatives(h: np.ndarray, n: np.ndarray, own: np.ndarray, percent: int) -> np.ndarray:
-    """For every posting a set of its list, the first one by a hash (so that similar lists have the same), of a size that allows a link.  Postings come by list and size."""
+def representatives(h: np.ndarray, n: np.ndarray, own: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every posting a set of its list, the first one by a hash (so that similar lists have the same), of a size that allows a link; and whether the
+    list has further pairs.  Postings come by list and size."""
     band = np.floor(np.log(n) / np.log(100 / percent)).astype(np.int64) if percent < 100 else n
     start = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (band[1:] != band[:-1])))
     place = flat.mix(own.view(np.uint64))
     group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(h))))
     first = np.lexsort((place, group))[start]
-    return own[first][group]
+    head = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+    length = np.diff(np.append(head, len(h)))
+    several = np.repeat((length > 2) | (group[head] != group[head + length - 1]), length)
+    return own[first][group], several
 
 
 def shared_lists(postings: DataFrame, percent: int) -> DataFrame:
-    """The postings of lists with two sets at least, in list order, each with a representative of its list."""
+    """The postings of lists with two sets at least, in list order, each with a representative of its list and whether the list has pairs without one (``more``)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, n, own in grouped(batches):
             new = np.ones(len(h), bool)
@@ -189,11 +193,11 @@ def shared_lists(postings: DataFrame, percent: int) -> DataFrame:
             both[:-1] |= both[1:]
             h, n, own = h[both], n[both], own[both]
             if len(h):
-                star = representatives(h, n, own, percent)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (h, n, own, star)], ["h", "n", "set_key", "star"])
+                star, more = representatives(h, n, own, percent)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (h, n, own, star, more)], ["h", "n", "set_key", "star", "more"])
 
     return postings.repartition("h").sortWithinPartitions("h", "n", "set_key").mapInArrow(
-        run, "h BIGINT, n INT, set_key BIGINT, star BIGINT")
+        run, "h BIGINT, n INT, set_key BIGINT, star BIGINT, more BOOLEAN")
 
 
 def star_pairs(lists: DataFrame) -> DataFrame:
@@ -342,12 +346,13 @@ def searched(lists: DataFrame, contents: DataFrame, column: str, read, percent:
     of a block, null for large sets, and signatures for the case that there are any.
     """
     totals = lists.groupBy("label").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("shingles") / (BLOCK_SETS * LARGE))).cast("int")
-    rows = lists.join(totals.select("label", blocks.alias("blocks")), "label")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    named = lists.groupBy("set_key").agg(F.collect_set("label").alias("among"))  # no longer than the set's prefix
+    rows = lists.join(totals.select("label", blocks.alias("blocks")), "label").join(named, "set_key")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("set_key", "n", "label", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    rows = rows.join(contents, "set_key").select("label", "i", "j", "set_key", "n", "component", "own", column, "signature", "fine")
+    rows = rows.select("set_key", "n", "label", "component", "among", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    rows = rows.join(contents, "set_key").select("label", "i", "j", "set_key", "n", "component", "among", "own", column, "signature", "fine")
 
     def search(table: pa.Table) -> pa.Table:
         batch = pa.concat_batches(table.sort_by([("n", "ascending"), ("set_key", "ascending")]).to_batches())
@@ -357,7 +362,9 @@ def searched(lists: DataFrame, contents: DataFrame, column: str, read, percent:
         pairs = []
         if large.any():
             signed = Signatures(batch.column("signature"), batch.column("fine"))
-            pairs += [(x, y, False) for x, y in close_signatures(size, signed, large, side, component, percent)]
+            label, among = batch.column("label")[0].as_py(), [set(x) for x in batch.column("among").to_pylist()]
+            # a pair that meets in several lists is given by the first of them
+            pairs += [(x, y, False) for x, y in close_signatures(size, signed, large, side, component, percent) if min(among[x] & among[y]) == label]
         small = np.flatnonzero(~large)
         if len(small) > 1:
             part = batch.take(pa.array(small))
@@ -431,7 +438,7 @@ def linked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> t
     joined = stored(components(links), "labels")
 
     # sets of different components
-    lists = lists.join(joined.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
+    lists = lists.where("more").join(joined.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
     lists = stored(lists, "lists")
     pairs, long = kept(short_pairs(lists, percent)), stored(groups(lists), "groups")
     texts = contents(sets(pairs).union(long.select("set_key")))

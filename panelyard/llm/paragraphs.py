@@ -225,12 +225,13 @@ def repeated_paragraphs(docs: DataFrame, percent: int = PERCENT, recall: float =
     known = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
     units = stored(listed(known), "units")
     lists = stored(shared_lists(collisions(known, bands, rows), percent), "lists").withColumn("label", F.col("set_key"))
+    more = lists.where("more")
     holders = units.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"))
     asked = holders.join(lists.select("set_key").distinct(), "set_key", "left_semi")
     sets = stored(shingles_of(known, asked), "sets")
     contents = sets.withColumns({c: F.lit(None).cast("binary") for c in ("signature", "fine")})  # every set is small enough to be held whole
-    links = verified(star_pairs(lists).union(short_pairs(lists, percent)).distinct(), sets, percent).union(
-        searched(groups(lists), contents, "shingles", unpacked, percent).select("a", "b"))
+    links = verified(star_pairs(lists).union(short_pairs(more, percent)).distinct(), sets, percent).union(
+        searched(groups(more), contents, "shingles", unpacked, percent).select("a", "b"))
     labels = stored(components(links), "labels")
 
     by_set = units.groupBy("set_key").agg(F.count("*").alias("n_units"), F.min(F.struct("doc_id", "place")).alias("o"))

@@ -234,3 +234,24 @@ def test_paragraph_groups_equal_brute_force(spark):
 def test_bands_reach_the_recall(recall):
     bands, rows = paragraphs.tuned(80, recall)
     assert 1 - (1 - 0.8**rows) ** bands >= recall
+
+
+def test_long_lists_of_large_sets(spark, monkeypatch):
+    """Chains of near copies whose ends are no near copies: long lists, searched in blocks by signature or at once."""
+    monkeypatch.setattr(jaccard, "SHORT", 6)
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 9)
+    rng = np.random.default_rng(31)
+    rows = []
+    for g in range(3):
+        base = words(9000 + g, 120)
+        for i in range(40):
+            base = list(base)
+            for at in rng.integers(0, len(base), 2):
+                base[at] = f"w{rng.integers(10**6)}"
+            rows.append((100 * g + i, " ".join(base)))
+    rows += [(i, rows[i - 500][1]) for i in range(500, 505)] + [(0, text(9100, 60)), (0, text(9101, 60)), (0, rows[5][1])]
+    for large in (20, 5000):
+        monkeypatch.setattr(jaccard, "LARGE", large)
+        given = docs(spark, rows).repartition(4)
+        got = sorted(collected(jaccard.jaccard_components(given)), key=str)
+        assert got == brute_components(rows, 4, 85) and len({r[2] for r in got}) < 60
