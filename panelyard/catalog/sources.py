@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from panelyard.catalog.base import big, query, s6, step
 from panelyard.catalog.timeline import AS_OF
 from panelyard.functions.numeric import settle
+from panelyard.operators.single import beside
 from panelyard.plans import sentiment
 from panelyard.plans.fundamentals import facts_from_json
-from panelyard.plans.panel import build_panel, panel_identity
-from panelyard.session import new_path
+from panelyard.plans.panel import build_panel
+from panelyard.session import new_path, stored
 from panelyard.sources import readers
-from panelyard.sources.writers import write_panel, write_report
+from panelyard.sources.writers import write_report
 
 step("tick_last", """
 SELECT p.p_brand AS ticker, CAST(l.l_shipdate AS DATE) AS date, max_by(l.l_extendedprice / l.l_quantity,
@@ -164,13 +165,24 @@ def src_oof(t):
     return out.select("ticker", "date", "fold", "y", settle("p").alias("p"))
 
 
-@query("snk_panel", f"SELECT extract(year FROM date)::INTEGER AS year, {big('count(*)')} AS n, min(date) AS first_date, max(date) AS last_date FROM panel_log GROUP BY 1")
+@query("snk_panel", f"""
+SELECT CAST(2 AS BIGINT) AS version, extract(year FROM date)::INTEGER AS year, {big('count(*)')} AS n, {big('count(DISTINCT ticker)')} AS tickers, min(date) AS first_date, max(date) AS last_date,
+  {s6('sum(CAST(vol_20 AS FLOAT))', 1)} AS vol_sum, {big('count(label_magnitude_1d)')} AS labels, {big('(SELECT count(*) FROM panel_log)')} AS manifest_rows FROM panel_log GROUP BY 2
+""")
 def snk_panel(t):
-    """Panel written in date order by year, read back."""
-    path = new_path(t.spark, "panel")
-    write_panel(build_panel(t, as_of=AS_OF), path)
-    back = t.spark.read.parquet(path)
-    return back.groupBy(F.col("year").cast("int").alias("year")).agg(F.count("*").alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+    """Two versions of the panel committed; readers follow the manifest to the second, which is read back by year."""
+    from panelyard.sources.versions import commit_panel, read_panel, versions
+
+    root = new_path(t.spark, "panels")
+    panel = stored(build_panel(t, as_of=AS_OF), "panel")
+    commit_panel(panel.where(F.year("date") < 1999), root)
+    commit_panel(panel, root)
+    back = read_panel(t.spark, root)
+    newest = versions(t.spark, root).orderBy(F.desc("version")).limit(1).select("version", F.col("rows").alias("manifest_rows"))
+    years = back.groupBy(F.col("year").cast("int").alias("year")).agg(
+        F.count("*").alias("n"), F.countDistinct("ticker").alias("tickers"), F.min("date").alias("first_date"), F.max("date").alias("last_date"),
+        settle(F.sum(F.col("vol_20").cast("double")), 1).alias("vol_sum"), F.count("label_magnitude_1d").alias("labels"))
+    return beside(years, newest)
 
 
 @query("snk_report", f"SELECT sector, {big('count(*)')} AS n FROM universe GROUP BY sector")
@@ -184,20 +196,39 @@ def snk_report(t):
     return t.spark.read.parquet(path)
 
 
+_delisted = "SELECT DISTINCT removed_ticker AS name FROM index_changes WHERE removed_ticker NOT IN (SELECT ticker FROM universe)"
+
+
 @query("src_backfill", f"""
-SELECT 'bars' AS part, {big('count(*)')} AS rows, {big('count(DISTINCT ticker)')} AS names FROM bars UNION ALL
-SELECT 'sector_bars', {big('count(*)')}, {big('count(DISTINCT sector_etf)')} FROM sector_bars UNION ALL
-SELECT 'filings', {big('count(*)')}, {big('count(DISTINCT ticker)')} FROM filings UNION ALL
-SELECT 'dividends', {big('count(*)')}, {big('count(DISTINCT ticker)')} FROM dividends
+SELECT 'prices' AS source, {big('count(*)')} AS rows, {big('count(DISTINCT ticker)')} AS names, {big('0')} AS empty FROM bars UNION ALL
+SELECT 'sector_prices', {big('count(*)')}, {big('count(DISTINCT sector_etf)')}, {big('0')} FROM sector_bars UNION ALL
+SELECT 'events', {big('count(*)')}, {big('count(DISTINCT ticker)')}, {big('0')} FROM filings UNION ALL
+SELECT 'dividends', {big('count(*)')}, {big('count(DISTINCT ticker)')}, {big('(SELECT count(*) FROM universe) - count(DISTINCT ticker)')} FROM dividends UNION ALL
+SELECT 'macro', {big('count(*)')}, {big('1')}, {big('0')} FROM macro UNION ALL
+SELECT 'benchmark', {big('count(*)')}, {big('1')}, {big('0')} FROM benchmark_bars UNION ALL
+SELECT 'delisted', {big('0')}, {big('0')}, {big('count(*)')} FROM ({_delisted})
 """)
 def src_backfill(t):
-    """What the sources hold for the universe."""
-    parts = [("bars", t.bars, "ticker"), ("sector_bars", t.sector_bars, "sector_etf"), ("filings", t.filings, "ticker"),
-             ("dividends", t.dividends, "ticker")]
-    out = None
-    for name, table, key in parts:
-        names = t.universe.select(F.col("ticker" if key == "ticker" else "sector_etf").alias(key)).distinct()
-        one = table.join(names, key, "left_semi").agg(F.count("*").alias("rows"), F.countDistinct(key).alias("names")).select(
-            F.lit(name).alias("part"), "rows", "names")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """A backfill of seven sources that breaks off after five batches and is started again: what the ledger says of each source."""
+    from panelyard.sources.ledger import backfill, ledger
+
+    t.keep_bars()
+    names = t.universe.select(F.col("ticker").alias("name"))
+    gone = t.index_changes.select(F.col("removed_ticker").alias("name")).distinct().join(names, "name", "left_anti")
+
+    def one(rows, name, date="date"):
+        return rows.withColumns({"name": F.col(name) if name in rows.columns else F.lit(name), "date": F.col(date)})
+
+    def alone(name):
+        return t.spark.range(1).select(F.lit(name).alias("name"))
+
+    sources = {
+        "prices": (one(t.bars, "ticker"), names), "sector_prices": (one(t.sector_bars, "sector_etf"), t.universe.select(F.col("sector_etf").alias("name"))),
+        "events": (one(t.filings, "ticker", "filing_date"), names), "dividends": (one(t.dividends, "ticker", "ex_date"), names),
+        "macro": (one(t.macro, "macro"), alone("macro")), "benchmark": (one(t.benchmark_bars, "benchmark"), alone("benchmark")),
+        "delisted": (one(t.bars, "ticker"), gone)}
+    root = new_path(t.spark, "backfill")
+    backfill(t.spark, root, sources, most_batches=5, batches=2)
+    backfill(t.spark, root, sources, batches=2)
+    return ledger(t.spark, root).groupBy("source").agg(
+        F.sum("rows").alias("rows"), F.count_if(F.col("rows") > 0).alias("names"), F.count_if(F.col("rows") == 0).alias("empty"))
