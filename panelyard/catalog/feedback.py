@@ -210,7 +210,7 @@ def p_system_report(t):
 
 @query("snk_log", f"""
 SELECT substr(sha1(ticker || '|' || CAST(as_of AS VARCHAR) || '|' || target || '|' || model_fingerprint), 1, 32) AS prediction_id, ticker, as_of, target,
-       {s6('p_large_move')} AS p_large_move, CAST(NULL AS DOUBLE) AS proba_drop FROM predictions
+       {s6('p_large_move')} AS p_large_move, CAST(NULL AS DOUBLE) AS proba_drop FROM predictions ORDER BY ticker, as_of
 """)
 def snk_log(t):
     """Log rows with repeatable ids; appending the same day twice adds nothing."""
@@ -224,7 +224,7 @@ def snk_log(t):
 
 
 @query("snk_log_migrate", f"""
-SELECT prediction_id, CASE WHEN extract(year FROM as_of) % 2 = 0 THEN 'magnitude_1d' ELSE 'direction_1d' END AS target, 'direction' AS kind, {s6('p_large_move / 2')} AS p_spike FROM predictions
+SELECT prediction_id, CASE WHEN extract(year FROM as_of) % 2 = 0 THEN 'magnitude_1d' ELSE 'direction_1d' END AS target, 'direction' AS kind, {s6('p_large_move / 2')} AS p_spike FROM predictions ORDER BY prediction_id
 """)
 def snk_log_migrate(t):
     """Old rows get target, kind and probability map; the row count does not change."""
@@ -241,7 +241,7 @@ SELECT p.ticker, u.sector, p.as_of, p.target, p.p_large_move AS probability FROM
 """)
 
 
-@query("j_sector_attr", f"SELECT ticker, sector, as_of, target, {s6('probability')} AS probability FROM score_rows")
+@query("j_sector_attr", f"SELECT ticker, sector, as_of, target, {s6('probability')} AS probability FROM score_rows ORDER BY ticker, as_of")
 def j_sector_attr(t):
     """Sector of each scored row."""
     return with_sector(scores_of(t), t.universe).select("ticker", "sector", "as_of", "target", settle("probability").alias("probability"))
