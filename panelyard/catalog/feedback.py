@@ -214,12 +214,15 @@ SELECT substr(sha1(ticker || '|' || CAST(as_of AS VARCHAR) || '|' || target || '
 """)
 def snk_log(t):
     """Log rows with repeatable ids; appending the same day twice adds nothing."""
-    from panelyard.session import stored
+    from panelyard.session import new_path
+    from panelyard.sources.writers import write_log
 
     rows = feedback.log_rows(log_of(t).drop("target", "prediction_id"))
-    first = stored(rows.where(F.year("as_of") < 1999), "log")
-    again = feedback.append_once(first, rows)
-    whole = first.unionByName(again)
+    path = new_path(t.spark, "log")
+    write_log(rows.where(F.year("as_of") < 1999), path)
+    for _ in range(2):  # the second time there is nothing left to append
+        write_log(feedback.append_once(t.spark.read.schema(rows.schema).parquet(path), rows), path)
+    whole = t.spark.read.schema(rows.schema).parquet(path)
     return whole.select("prediction_id", "ticker", "as_of", "target", settle(F.col("probabilities")["LARGE_MOVE"]).alias("p_large_move"), "proba_drop")
 
 

@@ -32,7 +32,3 @@ def settle(c: Column | str, digits: int = 6) -> Column:
     """
     scale = float(10**digits)
     return F.floor(as_col(c).cast("double") * scale + 0.5001) / scale
-
-
-def signed_text(c: Column | str) -> Column:
-    return F.format_string("%+.4f", as_col(c))

@@ -36,7 +36,3 @@ def survey_removed(universe: DataFrame, changes: DataFrame, spells: DataFrame, b
         F.col("coverage") < vocab.MIN_COVERAGE, "too little of the membership window").otherwise("ok")
     return out.select("ticker", "removal_date", "delisting", "rows", "last_date", "window_start", "window_end",
                       "coverage", status.alias("status"))
-
-
-def usable_names(survey: DataFrame) -> DataFrame:
-    return survey.where("status = 'ok'").select("ticker")

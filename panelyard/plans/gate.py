@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelyard import vocab
-from panelyard.functions.numeric import ratio
 from panelyard.operators.bootstrap import blocks_of, paired_edges
 from panelyard.operators.dedupe import keep_one
 from panelyard.operators.single import beside
@@ -155,7 +154,3 @@ def importance_overlap(left: DataFrame, right: DataFrame, k: int = 10) -> DataFr
         F.size(both).alias("overlap_count"), F.array_sort(both).alias("overlap"),
         F.array_sort(F.array_except("a", "b")).alias("left_only"), F.array_sort(F.array_except("b", "a")).alias("right_only"),
         (F.size(both) / k).alias("agreement"))
-
-
-def skill_of(brier: str, base: str) -> Column:
-    return 1.0 - ratio(brier, base)
