@@ -255,3 +255,11 @@ def test_long_lists_of_large_sets(spark, monkeypatch):
         given = docs(spark, rows).repartition(4)
         got = sorted(collected(jaccard.jaccard_components(given)), key=str)
         assert got == brute_components(rows, 4, 85) and len({r[2] for r in got}) < 60
+
+
+def test_documents_without_a_line_left(spark):
+    a, b = text(1, 9), text(2, 9)
+    given = docs(spark, [(1, f"{a}\n{b}"), (2, f"{b}\n\n{a}"), (3, f"{a}\n{text(3, 9)}"), (4, ""), (5, " \n"), (6, None)])
+    kept = {r["doc_id"]: r["text"] for r in lines.dedup_lines(given, keep_emptied=False).collect()}
+    assert kept == {1: f"{a}\n{b}", 3: text(3, 9), 4: "", 5: " \n", 6: None}
+    assert {r["doc_id"] for r in lines.dedup_lines(given).collect()} == {1, 2, 3, 4, 5, 6}
