@@ -427,7 +427,8 @@ def linked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> t
         one = named.join(asked.distinct(), "set_key", "left_semi").groupBy("set_key").agg(
             F.min(F.struct("doc_id", "mark")).alias("at"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("fine").alias("fine"))
         one = stored(one.select("set_key", "at.*", "n", "signature", "fine"), "asked")
-        return stored(own_text(sieve.likely(known, "doc_id", one).join(one, ["doc_id", "mark"]).select("set_key", "n", "signature", "fine", "text"), shingle), "texts")
+        held = sieve.likely(known, "doc_id", one).join(one, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark", "set_key"])  # repeated rows, where the join left them
+        return stored(own_text(held.select("set_key", "n", "signature", "fine", "text"), shingle), "texts")
 
     def sets(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.col("a").alias("set_key")).union(pairs.select("b"))
@@ -450,7 +451,7 @@ def linked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> t
 
 
 def own_text(texts: DataFrame, shingle: int) -> DataFrame:
-    """Those rows of ``texts`` that have the named set, each set once: an id may be repeated with other texts."""
+    """Those rows of ``texts`` that have the named set: an id may be repeated with another text of the same hash."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in flat.blocks(batch):
@@ -458,7 +459,7 @@ def own_text(texts: DataFrame, shingle: int) -> DataFrame:
                 _, own = set_keys(row, key, block.num_rows)
                 yield block.filter(pa.array(own == block.column("set_key").to_numpy()))
 
-    return texts.mapInArrow(run, "set_key BIGINT, n BIGINT, signature BINARY, fine BINARY, text STRING").dropDuplicates(["set_key"])
+    return texts.mapInArrow(run, "set_key BIGINT, n BIGINT, signature BINARY, fine BINARY, text STRING")
 
 
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
