@@ -445,8 +445,9 @@ def linked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> t
     texts = contents(sets(pairs).union(long.select("set_key")))
     held = texts.select("set_key", F.when(F.col("n") <= LARGE, F.col("text")).alias("text"), "signature", "fine")
     offered = stored(searched(long, held, "text", lambda column: flat.Words(column).shingles(shingle), percent), "offered")
-    pairs = pairs.union(offered.where("NOT sure").select("a", "b")).distinct()
-    further = verified(pairs, texts.select("set_key", "text"), shingle, percent).union(offered.where("sure").select("a", "b"))
+    pairs = stored(pairs.union(offered.where("NOT sure").select("a", "b")).distinct(), "pairs")  # of known size: few pairs go to the texts
+    compared = sieve.likely(texts.select("set_key", "text"), "set_key", sets(pairs))
+    further = verified(pairs, compared, shingle, percent).union(offered.where("sure").select("a", "b"))
     return rows_of, stored(components(links.union(further)), "labels")
 
 
