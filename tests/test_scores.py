@@ -83,6 +83,13 @@ def test_bootstrap_interval_sees_a_clear_edge(spark):
     assert rows["same"]["ci90_low"] == 0 and rows["same"]["ci90_high"] == 0
 
 
+def test_a_tie_but_for_rounding_is_no_win(spark):
+    # the same three errors, added in two orders
+    pdf = pd.DataFrame({"name": "x", "fold": [0, 1], "n": 3, "sum_model": [0.3 + 0.2 + 0.1, 0.5], "sum_reference": [0.1 + 0.2 + 0.3, 0.6]})
+    assert pdf.sum_model[0] < pdf.sum_reference[0]
+    assert paired_edges(spark.createDataFrame(pdf), ["name"], "fold", reps=10).first()["wins"] == 1
+
+
 def test_drift_edge_cases(spark):
     rng = np.random.default_rng(1)
     n = 3000
