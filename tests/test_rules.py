@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from panelyard import catalog
 from panelyard.functions.draws import draw
 from panelyard.plans.models import bounded
 from panelyard.plans.scores import leaderboard
@@ -70,3 +71,20 @@ def test_upsert_keeps_the_last_row_of_a_batch(spark):
     jobs.upsert_stream(jobs.folder_stream(spark, feed, 1), table, "seq")
     got = {(r.ticker, r.date.year): r.close for r in spark.read.parquet(table).collect()}
     assert got == {("T", 2023): 1.0, ("T", 2024): 3.0, ("U", 2024): 7.0}
+
+
+@pytest.fixture
+def many_files(spark):
+    """Every write gives many files, as large tables do."""
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "40")
+    yield "/root/testdata/sf0.001"
+    spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+
+
+def test_late_rows_are_refused_by_load_not_by_file(spark, many_files):
+    ticks = spark.read.parquet(f"{many_files}/events.parquet")
+    mark = ticks.agg(F.max("ts") - F.expr("INTERVAL 1 HOUR")).first()[0]
+    stop = F.window("ts", "15 minutes")["end"]
+    want = ticks.where((F.col("ts") >= F.lit("2024-01-15").cast("timestamp_ntz")) & (stop <= F.lit(mark))).count()
+    got = {r.part: (r.events, r.refused) for r in catalog.queries()["st_late"](spark, many_files).collect()}
+    assert got == {"stream": (want, True), "batch": (ticks.count(), None)}
