@@ -132,9 +132,11 @@ def outcomes_stream(predictions: DataFrame, bars: DataFrame, max_wait: str = "60
 YEAR_PARTS = 16  # tasks that write a year
 
 
-def upsert_stream(new_bars: DataFrame, path: str, sequence: str, timeout: int | None = None) -> None:
+def upsert_stream(new_bars: DataFrame, path: str, sequence: str, timeout: int | None = None, state: str | None = None) -> None:
     """Merge each batch into a table partitioned by year; only touched years are rewritten.
 
+    ``state``: the folder in which an earlier run kept its progress, to go on from there.
+
     Newest wins, inside a batch the last in ``sequence``, and a repeated batch changes nothing, so a batch that is replayed
     after a failure leaves the same table.  Only the partitions of the batch's years are read; each year is written by several tasks.
     """
@@ -149,7 +151,7 @@ def upsert_stream(new_bars: DataFrame, path: str, sequence: str, timeout: int |
         merged.repartition("year", F.pmod(F.xxhash64("ticker"), F.lit(YEAR_PARTS))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path)
 
     query = new_bars.writeStream.foreachBatch(merge).option(
-        "checkpointLocation", new_path(spark, "upsert-state")).trigger(availableNow=True).start()
+        "checkpointLocation", state or new_path(spark, "upsert-state")).trigger(availableNow=True).start()
     finish(query, timeout)
 
 

@@ -88,3 +88,7 @@ def test_late_rows_are_refused_by_load_not_by_file(spark, many_files):
     want = ticks.where((F.col("ts") >= F.lit("2024-01-15").cast("timestamp_ntz")) & (stop <= F.lit(mark))).count()
     got = {r.part: (r.events, r.refused) for r in catalog.queries()["st_late"](spark, many_files).collect()}
     assert got == {"stream": (want, True), "batch": (ticks.count(), None)}
+
+
+def test_upsert_of_loads_in_many_files(spark, many_files):
+    assert catalog.queries()["st_upsert"](spark, many_files).where("close <= 0").count() == 0
