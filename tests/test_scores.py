@@ -10,6 +10,7 @@ from panelyard.operators.bootstrap import paired_edges
 from panelyard.operators.drift import feature_drift
 from panelyard.operators.folds import FoldSpec, fold_dates, thinned_dates
 from panelyard.operators.ladder import ranking_metrics, score_ladder
+from panelyard.operators import neighbours
 from panelyard.operators.neighbours import nearest
 from panelyard.operators.quantiles import exact_quantiles
 from panelyard.plans import gate
@@ -116,6 +117,39 @@ def test_neighbours_equal_brute_force_and_respect_eligibility(spark):
         assert got[got.query_id == r.query_id]["id"].tolist() == want
 
 
+def test_neighbour_tiles_lose_nothing(spark, monkeypatch):
+    for name, size in (("SLICE_ROWS", 150), ("BLOCK_ROWS", 110), ("TILE_QUERIES", 16), ("TILE_ROWS", 32)):
+        monkeypatch.setattr(neighbours, name, size)
+    rng = np.random.default_rng(5)
+    pts = np.round(rng.normal(size=(300, 3)) * 2) + 1e6  # many ties, far from the origin
+    pts[7], pts[9] = np.nan, np.inf
+    pdf = pd.DataFrame({"id": [f"{i:03d}" for i in range(300)], "owner": [f"o{i % 5}" for i in range(300)], "day": 0, "vec": [p.tolist() for p in pts]})
+    q = pdf.rename(columns={"id": "query_id"}).drop(columns="day")
+    asked = spark.createDataFrame(q).withColumn("day", F.lit(None).cast("int"))
+    got = nearest(spark.createDataFrame(pdf), asked, 3).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("place", "id"))).alias("f")).collect()
+    for r in got:
+        i = int(r.query_id)
+        with np.errstate(invalid="ignore"):
+            d = np.sqrt(np.square(pts - pts[i]).sum(axis=1))
+        want = [j for j in np.lexsort((np.arange(300), d)) if j % 5 != i % 5][:3]
+        assert [int(x.id) for x in r.f] == want
+    assert len(got) == 300
+
+
+def test_neighbours_copy_rows_seldom():
+    # before, every history row was copied for each 512 queries
+    for n, most in ((50_000, 8), (1_000_000, 20), (4_000_000, 80)):
+        slices, blocks = neighbours._cut(n, n)
+        assert max(slices, blocks) <= most and n / slices <= neighbours.SLICE_ROWS and n / blocks <= neighbours.BLOCK_ROWS
+
+
+def test_neighbours_without_a_number_come_last(spark):
+    far = [float("nan")] * 2
+    history = spark.createDataFrame([("a", "x", 0, [1.0, 1.0]), ("b", "x", 0, far), ("c", "x", 0, far), ("d", None, 0, [0.0, 0.0])], "id STRING, owner STRING, day INT, vec ARRAY<DOUBLE>")
+    asked = spark.createDataFrame([("q", "y", None, [0.0, 0.0])], "query_id STRING, owner STRING, day INT, vec ARRAY<DOUBLE>")
+    assert [r.id for r in nearest(history, asked, 2).orderBy("place").collect()] == ["a", "b"]
+
+
 def test_gate_order(spark):
     cand = spark.createDataFrame([(t, s, "p1", "s1") for t, s in (("none", -0.1), ("fresh", 0.02), ("old", 0.02), ("other", 0.02), ("worse", 0.02), ("regress", 0.02), ("good", 0.02))],
                                  "target STRING, skill DOUBLE, panel_id STRING, schema STRING")
