@@ -69,3 +69,22 @@ def test_registry_reads_refuse_what_they_do_not_know(spark):
         readers.report_of(reports, "a", "gossip")
     universe = spark.createDataFrame([("BRK", 7)], "ticker STRING, cik BIGINT")
     assert readers.cik_of(universe, " brk ").first()["cik"] == 7 and readers.cik_of(universe, "X").count() == 0
+
+
+def test_kept_days_serve_payments_and_reports(spark):
+    from panelyard.sources.tables import Tables
+
+    raw, kept = Tables(spark, "/root/testdata/sf0.001"), Tables(spark, "/root/testdata/sf0.001").keep_bars()
+    for name in ("bars", "dividends", "facts", "sector_bars", "benchmark_bars"):
+        assert not [f for f in getattr(kept, name).inputFiles() if "lineitem" in f], name
+    assert sorted(map(tuple, kept.dividends.collect())) == sorted(map(tuple, raw.dividends.collect()))
+
+
+def test_dated_events_count_like_the_event_table(spark):
+    from panelyard.plans.events import all_events, dated_events, events_by_day
+    from panelyard.sources.tables import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    filings = t.filings.unionByName(t.filings.limit(200))  # delivered twice
+    one, other = (sorted(map(str, events_by_day(f(filings, t.dividends, "2002-03-31")).collect())) for f in (all_events, dated_events))
+    assert one == other and one
