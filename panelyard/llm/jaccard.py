@@ -1,7 +1,8 @@
 """Jaccard join of documents on word shingles by T-occurrence search over inverted lists.
 
 Two sets of n and m shingles link when they share at least T = ceil(t (n + m) / (1 + t)) of them.  A set's partners therefore
-occur in one of the inverted lists of its n - ceil(t n) + 1 rarest shingles: those short lists are merged, in the order of
+occur in one of the inverted lists of its n - ceil(t n) + 1 rarest shingles; of partners as large or larger the least common shingle is even among its
+n - ceil(2 t n / (1 + t)) + 1 rarest, so a posting counts only beside one of a fitting size of which the smaller is among those.  Those short lists are merged, in the order of
 their keys, to find candidates, and the remaining long lists are only probed, by binary search for each key of the smaller
 set in the other, as DivideSkip does.  Rarity comes from counts of hashed shingles over all documents; any order gives all links.
 
@@ -122,7 +123,7 @@ def rarity(counts: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, excess: np.ndarray, shingle: int, percent: int) -> DataFrame:
-    """h, n, set_key: the rarest shingles of every set, each set once a task."""
+    """h, n_late, set_key: the rarest shingles of every set, each set once a task.  n_late: twice the size, and one more where a larger partner must share a rarer shingle."""
     sent = docs.sparkSession.sparkContext.broadcast(excess)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,12 +143,14 @@ def prefixes(docs: DataFrame, excess: np.ndarray, shingle: int, percent: int) ->
                 order = np.lexsort((key, excess[(key & np.uint64(SKETCH - 1)).astype(np.int64)], row))
                 row, key = row[order], key[order]
                 first = np.searchsorted(row, row)
-                take = np.arange(len(row)) - first < size[row] - -(-percent * size[row] // 100) + 1
-                row, key = row[take], key[take]
+                place = np.arange(len(row)) - first
+                take = place < size[row] - -(-percent * size[row] // 100) + 1
+                row, key, place = row[take], key[take], place[take]
+                late = place > size[row] - -(-2 * percent * size[row] // (100 + percent))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(flat.signed(key)), pa.array(size[row].astype(np.int32)), pa.array(own[row])], ["h", "n", "set_key"])
+                    [pa.array(flat.signed(key)), pa.array((2 * size[row] + late).astype(np.int32)), pa.array(own[row])], ["h", "n_late", "set_key"])
 
-    return docs.mapInArrow(run, "h BIGINT, n INT, set_key BIGINT")
+    return docs.mapInArrow(run, "h BIGINT, n_late INT, set_key BIGINT")
 
 
 def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -181,8 +184,23 @@ def representatives(h: np.ndarray, n: np.ndarray, own: np.ndarray, percent: int)
     return own[first][group], several
 
 
+def partnered(h: np.ndarray, n: np.ndarray, early: np.ndarray, percent: int, label: np.ndarray | None = None) -> np.ndarray:
+    """Which of the postings, sorted by list and size, may meet another of their list: the sizes allow a link, and the smaller one is ``early``.
+
+    With labels of components, those whose only such partners have their own label may be left out too.
+    """
+    head, size, at = np.cumsum(np.append(True, h[1:] != h[:-1])) << 32, n.astype(np.int64), np.arange(len(h))
+    least, most = np.searchsorted(head + size, head - -percent * size // 100), np.searchsorted(head + size, head + 100 * size // percent, "right") - 1
+    earlier = np.concatenate([[0], np.cumsum(early)])
+    above, below = early & (most > at), earlier[at] > earlier[least]
+    if label is not None:
+        changes = np.cumsum(np.append(False, label[1:] != label[:-1]))
+        above, below = above & (changes[most] > changes), below & (changes > changes[least])
+    return above | below
+
+
 def shared_lists(postings: DataFrame, percent: int) -> DataFrame:
-    """The postings of lists with two sets at least, in list order, each with a representative of its list and whether the list has pairs without one (``more``)."""
+    """The postings (h, n_late, set_key) that may meet another, in list order, each with a representative of its list and whether the list has pairs without one (``more``)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, n, own in grouped(batches):
             new = np.ones(len(h), bool)
@@ -192,12 +210,15 @@ def shared_lists(postings: DataFrame, percent: int) -> DataFrame:
             both[1:] = h[1:] == h[:-1]
             both[:-1] |= both[1:]
             h, n, own = h[both], n[both], own[both]
+            n, early = n >> 1, n % 2 == 0
+            met = partnered(h, n, early, percent)
+            h, n, own, early = h[met], n[met], own[met], early[met]
             if len(h):
                 star, more = representatives(h, n, own, percent)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (h, n, own, star, more)], ["h", "n", "set_key", "star", "more"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (h, n, own, early, star, more)], ["h", "n", "set_key", "early", "star", "more"])
 
-    return postings.repartition("h").sortWithinPartitions("h", "n", "set_key").mapInArrow(
-        run, "h BIGINT, n INT, set_key BIGINT, star BIGINT, more BOOLEAN")
+    return postings.repartition("h").sortWithinPartitions("h", "n_late", "set_key").mapInArrow(
+        run, "h BIGINT, n INT, set_key BIGINT, early BOOLEAN, star BIGINT, more BOOLEAN")
 
 
 def star_pairs(lists: DataFrame) -> DataFrame:
@@ -206,17 +227,16 @@ def star_pairs(lists: DataFrame) -> DataFrame:
     return met.select(F.least("set_key", "star").alias("a"), F.greatest("set_key", "star").alias("b")).distinct()
 
 
-def pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-
-def short_pairs(lists: DataFrame, percent: int, short: int = SHORT) -> DataFrame:
-    """a, b: the pairs of every list of up to ``short`` sets whose sizes allow a link, of different components, that no representative has met.
+def meetings(lists: DataFrame, percent: int, short: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Who may still link, from one pass over the lists (h, n, set_key, early, star, label of the component).
 
-    ``lists``: h, n, set_key, star, label (of the component).
+    First a, b: the pairs of every list of up to ``short`` sets whose sizes allow a link, of different components, that no representative has met.  Then
+    set_key, n, label, component: the sets of each longer list, under the list's key, that have a set of another component there whose size allows a link.
     """
+    short = short or SHORT
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, n, own, star, label in grouped(batches):
+        for h, n, own, early, star, label in grouped(batches):
             start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
             length = np.diff(np.append(start, len(h)))
             place = np.arange(len(h)) - np.repeat(start, length)
@@ -225,13 +245,21 @@ def short_pairs(lists: DataFrame, percent: int, short: int = SHORT) -> DataFrame
             right = np.concatenate([x + d for x, d in zip(left, range(1, short))])
             left = np.concatenate(left)
             fits = (100 * n[left].astype(np.int64) >= percent * n[right].astype(np.int64)) & (label[left] != label[right])
-            fits &= (star[left] != own[right]) & (star[right] != own[left])
+            fits &= early[left] & (star[left] != own[right]) & (star[right] != own[left])
             left, right = left[fits], right[fits]
             both = np.unique(np.stack([np.minimum(own[left], own[right]), np.maximum(own[left], own[right])]), axis=1)
-            yield pair_batch(both[0], both[1])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(both[0]), pa.array(both[1]), pa.nulls(both.shape[1], pa.int32()), pa.nulls(both.shape[1], pa.int64())], names)
+            long = length > short
+            if long.any():
+                long &= partnered(h, n, early, percent, label)
+                yield pa.RecordBatch.from_arrays([pa.array(x[long]) for x in (own, h, n, label)], names)
 
-    ordered = lists.select("h", "n", "set_key", "star", "label").repartition("h").sortWithinPartitions("h", "n", "set_key")
-    return ordered.mapInArrow(run, "a BIGINT, b BIGINT").distinct()
+    names = ["a", "b", "n", "component"]
+    ordered = lists.select("h", "n", "set_key", "early", "star", "label").repartition("h").sortWithinPartitions("h", "n", "set_key")
+    found = stored(ordered.mapInArrow(run, "a BIGINT, b BIGINT, n INT, component BIGINT"), "meetings")
+    return found.where("n IS NULL").select("a", "b").distinct(), found.where("n IS NOT NULL").select(
+        F.col("a").alias("set_key"), "n", F.col("b").alias("label"), "component")
 
 
 def possible(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
@@ -250,13 +278,6 @@ def possible(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a BIGINT, b BIGINT")
 
 
-def groups(lists: DataFrame, short: int = SHORT) -> DataFrame:
-    """set_key, n, label, component: the sets of each of the longer lists that are not one component, under the list's key."""
-    counts = lists.groupBy("h").agg(F.count("*").alias("sets"), F.min("label").alias("one"), F.max("label").alias("other"))
-    long = counts.where((F.col("sets") > short) & (F.col("one") != F.col("other"))).select("h")
-    return lists.join(long, "h").select("set_key", "n", F.col("h").alias("label"), F.col("label").alias("component"))
-
-
 class Forest:
     """Union-find over numbered sets."""
 
@@ -339,11 +360,11 @@ def close_signatures(size: np.ndarray, signed: Signatures, large: np.ndarray, si
 SEARCHED = "a BIGINT, b BIGINT, sure BOOLEAN"
 
 
-def searched(lists: DataFrame, contents: DataFrame, column: str, read, percent: int) -> DataFrame:
+def searched(lists: DataFrame, contents: DataFrame, column: str, read, percent: int, signed: DataFrame | None = None) -> DataFrame:
     """a, b, sure: within each list, links of a spanning forest (sure), and pairs of large sets that may link.
 
     ``lists``: set_key, n, label, component; sets of one component need no link.  ``contents``: set_key, a column from which ``read`` gives row and key of the distinct shingles
-    of a block, null for large sets, and signatures for the case that there are any.
+    of a block, of all sets but large ones.  ``signed``: set_key, signature, fine of the large sets, if there are any, and of those whose size allows a link with one.
     """
     totals = lists.groupBy("label").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
@@ -352,7 +373,11 @@ def searched(lists: DataFrame, contents: DataFrame, column: str, read, percent:
     rows = rows.withColumn("own", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("set_key", "n", "label", "component", "among", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    rows = rows.join(contents, "set_key").select("label", "i", "j", "set_key", "n", "component", "among", "own", column, "signature", "fine")
+    if signed is None:
+        rows = rows.join(contents, "set_key").withColumns({c: F.lit(None).cast("binary") for c in ("signature", "fine")})
+    else:
+        rows = rows.join(contents, "set_key", "left").join(signed, "set_key", "left")
+    rows = rows.select("label", "i", "j", "set_key", "n", "component", "among", "own", column, "signature", "fine")
 
     def search(table: pa.Table) -> pa.Table:
         batch = pa.concat_batches(table.sort_by([("n", "ascending"), ("set_key", "ascending")]).to_batches())
@@ -361,10 +386,12 @@ def searched(lists: DataFrame, contents: DataFrame, column: str, read, percent:
         large = batch.column(column).is_null().to_numpy(zero_copy_only=False)
         pairs = []
         if large.any():
-            signed = Signatures(batch.column("signature"), batch.column("fine"))
-            label, among = batch.column("label")[0].as_py(), [set(x) for x in batch.column("among").to_pylist()]
+            at = np.flatnonzero(batch.column("signature").is_valid().to_numpy(zero_copy_only=False))
+            part = batch.take(pa.array(at))
+            given = Signatures(part.column("signature"), part.column("fine"))
+            label, among = batch.column("label")[0].as_py(), [set(x) for x in part.column("among").to_pylist()]
             # a pair that meets in several lists is given by the first of them
-            pairs += [(x, y, False) for x, y in close_signatures(size, signed, large, side, component, percent) if min(among[x] & among[y]) == label]
+            pairs += [(at[x], at[y], False) for x, y in close_signatures(size[at], given, large[at], side[at], component[at], percent) if min(among[x] & among[y]) == label]
         small = np.flatnonzero(~large)
         if len(small) > 1:
             part = batch.take(pa.array(small))
@@ -418,36 +445,38 @@ def linked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> t
 
     def kept(pairs: DataFrame) -> DataFrame:
         """The pairs that signatures leave."""
-        asked = pairs.select(F.col("a").alias("asked")).union(pairs.select("b")).distinct()
-        signed = named.join(asked, F.col("set_key") == F.col("asked"), "left_semi").select("set_key", "n", "signature").dropDuplicates(["set_key"])
-        return stored(possible(pairs, signed, percent), "pairs")
-
-    def contents(asked: DataFrame) -> DataFrame:
-        """One text of every set asked for."""
-        one = named.join(asked.distinct(), "set_key", "left_semi").groupBy("set_key").agg(
-            F.min(F.struct("doc_id", "mark")).alias("at"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("fine").alias("fine"))
-        one = stored(one.select("set_key", "at.*", "n", "signature", "fine"), "asked")
+        signed = named.select("set_key", "n", "signature").dropDuplicates(["set_key"])
+        return stored(possible(stored(pairs, "met"), signed, percent), "pairs")
+
+    def rows_with(asked: DataFrame) -> DataFrame:
+        """The digests of the sets asked for."""
+        return sieve.likely(named, "set_key", asked).join(asked, "set_key", "left_semi")
+
+    def texts_of(asked: DataFrame) -> DataFrame:
+        """set_key, text: one text of every set asked for."""
+        one = rows_with(stored(asked.distinct(), "asked")).groupBy("set_key").agg(F.min(F.struct("doc_id", "mark")).alias("at"))
+        one = stored(one.select("set_key", "at.*"), "holders")
         held = sieve.likely(known, "doc_id", one).join(one, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark", "set_key"])  # repeated rows, where the join left them
-        return stored(own_text(held.select("set_key", "n", "signature", "fine", "text"), shingle), "texts")
+        return stored(own_text(held.select("set_key", "text"), shingle), "texts")
 
     def sets(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.col("a").alias("set_key")).union(pairs.select("b"))
 
     # every set with the representatives of its lists
     pairs = kept(star_pairs(lists))
-    links = stored(verified(pairs, contents(sets(pairs)).select("set_key", "text"), shingle, percent), "links")
+    links = stored(verified(pairs, texts_of(sets(pairs)), shingle, percent), "links")
     joined = stored(components(links), "labels")
 
-    # sets of different components
+    # sets of different components; texts travel of what is searched whole, and of large sets only if a pair of theirs is left
     lists = lists.where("more").join(joined.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
-    lists = stored(lists, "lists")
-    pairs, long = kept(short_pairs(lists, percent)), stored(groups(lists), "groups")
-    texts = contents(sets(pairs).union(long.select("set_key")))
-    held = texts.select("set_key", F.when(F.col("n") <= LARGE, F.col("text")).alias("text"), "signature", "fine")
-    offered = stored(searched(long, held, "text", lambda column: flat.Words(column).shingles(shingle), percent), "offered")
+    pairs, long = meetings(lists, percent)
+    pairs = kept(pairs)
+    near_large = stored(long.where(100 * F.col("n") > percent * LARGE).select("set_key").distinct(), "asked")
+    signed = rows_with(near_large).groupBy("set_key").agg(F.first("signature").alias("signature"), F.first("fine").alias("fine"))
+    whole = texts_of(long.where(F.col("n") <= LARGE).select("set_key"))
+    offered = stored(searched(long, whole, "text", lambda column: flat.Words(column).shingles(shingle), percent, signed), "offered")
     pairs = stored(pairs.union(offered.where("NOT sure").select("a", "b")).distinct(), "pairs")  # of known size: few pairs go to the texts
-    compared = sieve.likely(texts.select("set_key", "text"), "set_key", sets(pairs))
-    further = verified(pairs, compared, shingle, percent).union(offered.where("sure").select("a", "b"))
+    further = verified(pairs, texts_of(sets(pairs)), shingle, percent).union(offered.where("sure").select("a", "b"))
     return rows_of, stored(components(links.union(further)), "labels")
 
 
@@ -460,7 +489,7 @@ def own_text(texts: DataFrame, shingle: int) -> DataFrame:
                 _, own = set_keys(row, key, block.num_rows)
                 yield block.filter(pa.array(own == block.column("set_key").to_numpy()))
 
-    return texts.mapInArrow(run, "set_key BIGINT, n BIGINT, signature BINARY, fine BINARY, text STRING")
+    return texts.mapInArrow(run, "set_key BIGINT, text STRING")
 
 
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from panelyard.llm import flat, sieve
 from panelyard.llm.components import components
-from panelyard.llm.jaccard import groups, searched, shared_lists, short_pairs, star_pairs
+from panelyard.llm.jaccard import meetings, searched, shared_lists, star_pairs
 from panelyard.session import stored
 
 LONG, LEAST = 40, 8
@@ -155,17 +155,17 @@ def listed(docs: DataFrame) -> DataFrame:
 
 
 def collisions(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """h, n, set_key of every band of every paragraph, each set once a block."""
+    """h, n_late (twice the size: all count alike), set_key of every band of every paragraph, each set once a block."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in flat.blocks(batch):
                 p = Paragraphs(block.column("text"))
                 _, once = np.unique(p.set_key, return_index=True)
-                size, own = pa.array(p.size[once].astype(np.int32)), pa.array(p.set_key[once])
+                size, own = pa.array((2 * p.size[once]).astype(np.int32)), pa.array(p.set_key[once])
                 for key in p.bands(bands, rows):
-                    yield pa.RecordBatch.from_arrays([pa.array(key[once]), size, own], ["h", "n", "set_key"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key[once]), size, own], ["h", "n_late", "set_key"])
 
-    return docs.mapInArrow(run, "h BIGINT, n INT, set_key BIGINT")
+    return docs.mapInArrow(run, "h BIGINT, n_late INT, set_key BIGINT")
 
 
 def shingles_of(docs: DataFrame, asked: DataFrame) -> DataFrame:
@@ -225,13 +225,12 @@ def repeated_paragraphs(docs: DataFrame, percent: int = PERCENT, recall: float =
     known = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
     units = stored(listed(known), "units")
     lists = stored(shared_lists(collisions(known, bands, rows), percent), "lists").withColumn("label", F.col("set_key"))
-    more = lists.where("more")
+    pairs, long = meetings(lists.where("more"), percent)
     holders = units.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"))
     asked = holders.join(lists.select("set_key").distinct(), "set_key", "left_semi")
     sets = stored(shingles_of(known, asked), "sets")
-    contents = sets.withColumns({c: F.lit(None).cast("binary") for c in ("signature", "fine")})  # every set is small enough to be held whole
-    links = verified(star_pairs(lists).union(short_pairs(more, percent)).distinct(), sets, percent).union(
-        searched(groups(more), contents, "shingles", unpacked, percent).select("a", "b"))
+    links = verified(star_pairs(lists).union(pairs).distinct(), sets, percent).union(
+        searched(long, sets, "shingles", unpacked, percent).select("a", "b"))  # every set is small enough to be held whole
     labels = stored(components(links), "labels")
 
     by_set = units.groupBy("set_key").agg(F.count("*").alias("n_units"), F.min(F.struct("doc_id", "place")).alias("o"))

@@ -257,6 +257,43 @@ def test_long_lists_of_large_sets(spark, monkeypatch):
         assert got == brute_components(rows, 4, 85) and len({r[2] for r in got}) < 60
 
 
+def test_postings_that_may_meet():
+    """Against every pair: sizes that allow a link, and a smaller one that is early; with labels, no pair of two components is lost."""
+    rng = np.random.default_rng(12)
+    h, n = np.sort(rng.integers(0, 60, 400)), rng.integers(1, 60, 400)
+    n = n[np.lexsort((n, h))]
+    early, label = rng.random(400) < 0.5, rng.integers(0, 3, 400)
+    pairs = [(x, y) for x, y in combinations(range(400), 2) if h[x] == h[y] and 100 * n[x] >= 85 * n[y] and early[x]]
+    assert set(np.flatnonzero(jaccard.partnered(h, n, early, 85))) == {k for p in pairs for k in p}
+    kept = set(np.flatnonzero(jaccard.partnered(h, n, early, 85, label)))
+    assert {k for x, y in pairs if label[x] != label[y] for k in (x, y)} <= kept <= {k for p in pairs for k in p}
+
+
+def test_pairs_at_the_threshold_meet():
+    """The shingle that a pair of the least similarity shares first is early in the smaller set."""
+    rng = np.random.default_rng(7)
+    sizes = [(a, b) for a in range(1, 80) for b in range(a, 80) if 100 * a >= 85 * b]
+    for a, b in sizes:
+        least = -(-85 * (a + b) // 185)
+        if least > a:
+            continue
+        keys = rng.permutation(10_000)[:a + b - least]
+        x, y = np.sort(np.append(keys[:least], keys[least:a])), np.sort(np.append(keys[:least], keys[a:]))
+        place = np.searchsorted(x, keys[:least])
+        early = place <= a - -(-170 * a // 185)
+        probed = np.searchsorted(y, keys[:least]) < b - -(-85 * b // 100) + 1
+        assert (early & probed).any()
+
+
+def test_sets_of_a_lone_size_are_not_searched(spark):
+    """Of a long list only sets go on that have one of another component and a fitting size there."""
+    sizes = [10, 11, 12, 40, 90, 91, 200, 201, 500]
+    rows = [(1, n, k, n != 90, k, 200 if n in (200, 201) else k) for k, n in enumerate(sizes)] + [(2, 70, 50, True, 50, 50), (2, 71, 51, True, 51, 51), (2, 71, 52, True, 50, 52)]
+    pairs, long = jaccard.meetings(spark.createDataFrame(rows, "h BIGINT, n INT, set_key BIGINT, early BOOLEAN, star BIGINT, label BIGINT"), 85, 3)
+    assert sorted(collected(long)) == [(0, 10, 1, 0), (1, 11, 1, 1), (2, 12, 1, 2)]
+    assert sorted(collected(pairs)) == [(50, 51), (51, 52)]
+
+
 def test_documents_without_a_line_left(spark):
     a, b = text(1, 9), text(2, 9)
     given = docs(spark, [(1, f"{a}\n{b}"), (2, f"{b}\n\n{a}"), (3, f"{a}\n{text(3, 9)}"), (4, ""), (5, " \n"), (6, None)])
