@@ -67,6 +67,19 @@ def joined(new_line: np.ndarray, line: np.ndarray, pair: np.ndarray, stop: np.nd
     return np.frombuffer(taken, np.uint8).astype(bool)
 
 
+def distinct(unit: np.ndarray, key: np.ndarray, units: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each (unit, key) once, in order.  Units come in order and keys have KEY_BITS bits, so both fit one integer for so many units at a time."""
+    step, bits = 1 << 64 - flat.KEY_BITS, np.uint64(flat.KEY_BITS)
+    cuts = np.searchsorted(unit, np.arange(0, units + step, step))
+    out_unit, out_key = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+        both = np.sort((unit[a:b] - k * step).astype(np.uint64) << bits | key[a:b])
+        both = both[np.append(True, both[1:] != both[:-1])] if len(both) else both
+        out_unit.append((both >> bits).astype(np.int64) + k * step)
+        out_key.append(both & np.uint64((1 << flat.KEY_BITS) - 1))
+    return np.concatenate(out_unit), np.concatenate(out_key)
+
+
 class Paragraphs:
     """The paragraphs of a block of texts with their shingle sets.
 
@@ -115,11 +128,7 @@ class Paragraphs:
         self.place = np.empty(len(head), np.int64)
         self.place[turn] = np.arange(len(head)) - np.searchsorted(self.row[turn], self.row[turn])
         self.start, self.end = words.start[head] - words.at[self.row], words.end[last] - words.at[self.row]
-        order = np.lexsort((key, unit))
-        unit, key = unit[order], key[order]
-        fresh = np.ones(len(unit), bool)
-        fresh[1:] = (unit[1:] != unit[:-1]) | (key[1:] != key[:-1])
-        self.unit, self.key = unit[fresh], key[fresh]
+        self.unit, self.key = distinct(unit, key, len(head))
         self.size = np.bincount(self.unit, minlength=len(head))
         if len(head):
             sums = np.add.reduceat(flat.mix(self.key + np.uint64(0x2545F491)), np.searchsorted(self.unit, np.arange(len(head))))

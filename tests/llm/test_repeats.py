@@ -214,6 +214,15 @@ def test_every_word_of_a_long_line_is_compared():
     assert p.words[second].min() >= 8 and p.words[second].max() <= 15
 
 
+def test_shingles_of_many_paragraphs_at_once():
+    """More units than fit beside a key in one integer: each shingle of each unit once, in order."""
+    rng = np.random.default_rng(2)
+    unit, key = np.sort(rng.integers(0, 9_500, 60_000)), rng.integers(0, 1 << 52, 900, dtype=np.uint64)[rng.integers(0, 900, 60_000)]
+    got = paragraphs.distinct(unit, key, 9_502)
+    assert list(zip(*(x.tolist() for x in got))) == sorted(set(zip(unit.tolist(), key.tolist())))
+    assert [len(x) for x in paragraphs.distinct(unit[:0], key[:0], 0)] == [0, 0]
+
+
 def test_paragraph_groups_equal_brute_force(spark):
     rng = np.random.default_rng(4)
     rows = []
