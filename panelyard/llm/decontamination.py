@@ -260,7 +260,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             names = [part.split()[0] for part in HITS.split(", ")]
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
             for batch in batches:
-                for block in flat.blocks(batch):
+                for block in flat.blocks(batch, limit=flat.SMALL_BYTES):
                     ids = block.column("doc_id")
                     hits = sent.value.hits(block.column("text"))
                     columns = list(zip(*((ids[row].as_py(), sent.value.ids[item], *rest) for row, item, *rest in hits))) or [()] * 6
@@ -278,7 +278,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for block in flat.blocks(batch):
+                for block in flat.blocks(batch, limit=flat.SMALL_BYTES):
                     clean = np.ones(block.num_rows, bool)
                     clean[[hit[0] for hit in sent.value.hits(block.column("text"))]] = False
                     yield block.filter(pa.array(clean))

@@ -14,6 +14,7 @@ import pyarrow as pa
 BLOCK_ROWS = 4_096  # rows of a block at most, so that row and key fit one integer
 KEY_BITS = 52
 BLOCK_BYTES = 2_000_000  # text bytes handled at once; a longer single text is a block of its own
+SMALL_BYTES = 500_000  # the same for work that holds some hundred bytes for each byte of text
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 BYTE_VALUES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -28,10 +29,10 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1); kept, because every block needs them."""
+    """base**0 .. base**(n-1); kept up to the next power of two, because every block needs them."""
     have = _powers.get(int(base))
     if have is None or len(have) < n:
-        have = np.full(max(n, BLOCK_BYTES + 65_536), base, np.uint64)
+        have = np.full(1 << max(16, (n - 1).bit_length()), base, np.uint64)
         have[0] = 1
         have = np.multiply.accumulate(have)
         _powers[int(base)] = have

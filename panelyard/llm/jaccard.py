@@ -96,7 +96,7 @@ def digests(docs: DataFrame, shingle: int) -> DataFrame:
         counts = np.zeros(SKETCH, np.int64)
         names = ["kind", "doc_id", "mark", "n", "set_key", "signature", "fine"]
         for batch in batches:
-            for block in flat.blocks(batch):
+            for block in flat.blocks(batch, limit=flat.SMALL_BYTES):
                 row, key = flat.Words(block.column("text")).shingles(shingle)
                 counts += np.bincount((key & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
                 size, own = set_keys(row, key, block.num_rows)
@@ -130,7 +130,7 @@ def prefixes(docs: DataFrame, excess: np.ndarray, shingle: int, percent: int) ->
         excess = sent.value
         seen: set[int] = set()
         for batch in batches:
-            for block in flat.blocks(batch):
+            for block in flat.blocks(batch, limit=flat.SMALL_BYTES):
                 row, key = flat.Words(block.column("text")).shingles(shingle)
                 size, own = set_keys(row, key, block.num_rows)
                 new = np.zeros(len(own), bool)
@@ -396,7 +396,7 @@ def searched(lists: DataFrame, contents: DataFrame, column: str, read, percent:
         if len(small) > 1:
             part = batch.take(pa.array(small))
             rows, keys, done = [], [], 0
-            for block in flat.blocks(part, column):
+            for block in flat.blocks(part, column, flat.SMALL_BYTES):
                 row, key = read(block.column(column))
                 rows.append(row + done)
                 keys.append(key)
@@ -417,7 +417,7 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in flat.blocks(batch, "text_a"):
+            for block in flat.blocks(batch, "text_a", flat.SMALL_BYTES):
                 ra, ka = flat.Words(block.column("text_a")).shingles(shingle)
                 rb, kb = flat.Words(block.column("text_b")).shingles(shingle)
                 bits = np.uint64(flat.KEY_BITS)
@@ -484,7 +484,7 @@ def own_text(texts: DataFrame, shingle: int) -> DataFrame:
     """Those rows of ``texts`` that have the named set: an id may be repeated with another text of the same hash."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in flat.blocks(batch):
+            for block in flat.blocks(batch, limit=flat.SMALL_BYTES):
                 row, key = flat.Words(block.column("text")).shingles(shingle)
                 _, own = set_keys(row, key, block.num_rows)
                 yield block.filter(pa.array(own == block.column("set_key").to_numpy()))

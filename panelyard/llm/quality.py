@@ -77,17 +77,21 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def descend(features: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: np.ndarray) -> np.ndarray:
     """Weights of the hinge-loss model by dual coordinate descent; the last one is the offset.
 
-    A row is its scaled indicators over the root of their number, and a constant one.
+    A row is its scaled indicators over the root of their number, and a constant one.  Its values are made when its turn comes:
+    those of all rows would take twice the memory of the rows.
     """
+    def values(f: np.ndarray) -> np.ndarray:
+        return ratio[f] / np.sqrt(max(1, len(f)))
+
     w = np.zeros(len(ratio) + 1)
     alpha = np.zeros(len(y))
-    rows = [(f, ratio[f] / np.sqrt(max(1, len(f)))) for f in features]
-    norm = np.array([v @ v + 1.0 for _, v in rows])
+    norm = np.array([v @ v + 1.0 for v in map(values, features)])
     order = np.random.default_rng(7)
     for _ in range(EPOCHS):
         moved = 0.0
         for i in order.permutation(len(y)):
-            f, v = rows[i]
+            f = features[i]
+            v = values(f)
             gradient = y[i] * (w[f] @ v + w[-1]) - 1
             new = min(max(alpha[i] - gradient / norm[i], 0.0), cost[i])
             step = new - alpha[i]
@@ -137,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: tuple[int, int] = FIT_RO
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in flat.blocks(batch):
+            for block in flat.blocks(batch, limit=flat.SMALL_BYTES):
                 row, place = grams(block.column("text"))
                 cuts = np.searchsorted(row, np.arange(block.num_rows + 1))
                 own = [place[a:b].astype("<i4").tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
@@ -163,6 +167,13 @@ def probability(texts: pa.Array, fitted: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(slope * margin + shift, -700, 700)))
 
 
+def judged(batches: Iterator[pa.RecordBatch], fitted: np.ndarray) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """The rows in blocks, and the probability of class 1 of each row."""
+    for batch in batches:
+        for block in flat.blocks(batch, limit=flat.SMALL_BYTES):
+            yield block, probability(block.column("text"), fitted)
+
+
 def learned(docs: DataFrame, labels: DataFrame, fit_rows: tuple[int, int]) -> np.ndarray:
     held = labelled.fold("doc_id", FOLDS) == HELD_FOLD
     return train(docs, labelled.one_label_each(labels.where(~held), "quality"), fit_rows)
@@ -173,12 +184,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, fit_rows: tuple[int, int]
     sent = docs.sparkSession.sparkContext.broadcast(learned(docs, labels, fit_rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block in flat.blocks(batch):
-                p = probability(block.column("text"), sent.value)
-                yield pa.RecordBatch.from_arrays(
-                    [block.column("doc_id"), block.column("held_out"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))],
-                    ["doc_id", "held_out", "score", "predicted"])
+        for block, p in judged(batches, sent.value):
+            yield pa.RecordBatch.from_arrays(
+                [block.column("doc_id"), block.column("held_out"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))],
+                ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"),
                        (labelled.fold("doc_id", FOLDS) == HELD_FOLD).alias("held_out"))
@@ -193,8 +202,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, fit_rows: tuple[int, int] = FI
     sent = docs.sparkSession.sparkContext.broadcast(learned(docs, labels, fit_rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block in flat.blocks(batch):
-                yield block.filter(pa.array(probability(block.column("text"), sent.value) >= 0.5))
+        for block, p in judged(batches, sent.value):
+            yield block.filter(pa.array(p >= 0.5))
 
     return docs.mapInArrow(run, docs.schema)

@@ -1,10 +1,12 @@
 """Quality, toxicity, neighbours and decontamination: held-out accuracy, exact search, recall, edit distances."""
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from panelyard.llm import decontamination, neighbours, quality, toxicity
+from panelyard.llm import decontamination, flat, neighbours, quality, toxicity
 from tests.llm.helpers import collected, docs, text, words
 
 
@@ -33,6 +35,36 @@ def test_quality_on_held_out_rows(spark):
     assert len(good - ids) <= 0.02 * len(good) and len(ids & (set(truth) - good)) <= 5
 
 
+def peak_mb(work) -> float:
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_tasks_hold_small_blocks(monkeypatch):
+    texts = [text(k, 400) for k in range(40)]
+    batch = pa.RecordBatch.from_pydict({"text": [texts[k % 40] for k in range(1600)]})
+    assert batch.nbytes > 3_000_000
+    monkeypatch.setattr(flat, "_powers", {})
+    fitted = np.random.default_rng(2).normal(size=(1 << quality.PLACES_LOG2) + 3)
+    seen = []
+    assert peak_mb(lambda: seen.extend((block.num_rows, p) for block, p in quality.judged(iter([batch]), fitted))) < 100
+    assert sum(n for n, _ in seen) == 1600
+    p = np.concatenate([p for _, p in seen])
+    np.testing.assert_array_equal(p, np.concatenate([quality.probability(b.column("text"), fitted) for b in flat.blocks(batch)]))
+
+
+def test_fit_holds_no_values_of_all_rows():
+    draw = np.random.default_rng(4)
+    rows = [np.unique(draw.integers(0, 1 << 16, 4_000)).astype("<i4") for _ in range(1_500)]
+    y = np.where(draw.random(1_500) < 0.5, 1.0, -1.0)
+    ratio = draw.normal(size=1 << 16)
+    assert peak_mb(lambda: quality.descend(rows, y, ratio, np.ones(1_500))) < sum(r.nbytes for r in rows) / 4e6
+
+
 def test_scores_without_labels(spark):
     given = docs(spark, [(1, "a b"), (2, None)])
     none = spark.createDataFrame([], "doc_id BIGINT, quality INT, toxic INT")
