@@ -32,11 +32,12 @@ def components(links: DataFrame) -> DataFrame:
     pairs = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     pairs = stored(pairs, "links")
     before = None
+    most = pairs.count()  # a step gives no more links than it gets
     while True:
-        pairs = stored(_star(_star(pairs, True), False), "star")
+        pairs = stored(_star(_star(pairs, True), False), "star", most)
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head()
         if before == now:
             break
-        before = now
+        before, most = now, now[0]
     leaders = pairs.select(F.col("b").alias("node")).distinct()
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("label")).union(leaders.select("node", F.col("node").alias("label")))

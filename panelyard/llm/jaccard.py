@@ -36,6 +36,7 @@ SHORT = 64  # lists of more sets are searched in blocks
 CLASSES, FINE = 256, 4_096  # hash classes of a set's signature, and of a set of more than FINE_FROM shingles
 FINE_FROM = 2_000
 BLOCK_SETS, BLOCK_SHINGLES = 1_500, 450_000  # sets and shingles of a block at most
+FILE_TEXTS = 2_000  # texts of a file, of sets asked for
 LARGE = 1_000  # sets of more shingles are compared by signature first, the others at once
 SKIP = 0.01  # weight of a probe against a merge, which sets how many of the longest lists are skipped
 
@@ -452,19 +453,21 @@ def linked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> t
         """The digests of the sets asked for."""
         return sieve.likely(named, "set_key", asked).join(asked, "set_key", "left_semi")
 
-    def texts_of(asked: DataFrame) -> DataFrame:
-        """set_key, text: one text of every set asked for."""
-        one = rows_with(stored(asked.distinct(), "asked")).groupBy("set_key").agg(F.min(F.struct("doc_id", "mark")).alias("at"))
-        one = stored(one.select("set_key", "at.*"), "holders")
+    def texts_of(asked: DataFrame, most: int | None = None) -> DataFrame:
+        """set_key, text: one text of every set asked for.  ``most``: a bound of their number, where one is known."""
+        asked = stored(asked.distinct(), "asked", most)
+        most = asked.count()
+        one = rows_with(asked).groupBy("set_key").agg(F.min(F.struct("doc_id", "mark")).alias("at"))
+        one = stored(one.select("set_key", "at.*"), "holders", most)
         held = sieve.likely(known, "doc_id", one).join(one, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark", "set_key"])  # repeated rows, where the join left them
-        return stored(own_text(held.select("set_key", "text"), shingle), "texts")
+        return stored(own_text(held.select("set_key", "text"), shingle), "texts", most, FILE_TEXTS)
 
     def sets(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.col("a").alias("set_key")).union(pairs.select("b"))
 
     # every set with the representatives of its lists
     pairs = kept(star_pairs(lists))
-    links = stored(verified(pairs, texts_of(sets(pairs)), shingle, percent), "links")
+    links = stored(verified(pairs, texts_of(sets(pairs), 2 * pairs.count()), shingle, percent), "links")
     joined = stored(components(links), "labels")
 
     # sets of different components; texts travel of what is searched whole, and of large sets only if a pair of theirs is left
@@ -475,8 +478,9 @@ def linked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> t
     signed = rows_with(near_large).groupBy("set_key").agg(F.first("signature").alias("signature"), F.first("fine").alias("fine"))
     whole = texts_of(long.where(F.col("n") <= LARGE).select("set_key"))
     offered = stored(searched(long, whole, "text", lambda column: flat.Words(column).shingles(shingle), percent, signed), "offered")
-    pairs = stored(pairs.union(offered.where("NOT sure").select("a", "b")).distinct(), "pairs")  # of known size: few pairs go to the texts
-    further = verified(pairs, texts_of(sets(pairs)), shingle, percent).union(offered.where("sure").select("a", "b"))
+    offers = offered.where("NOT sure").select("a", "b")
+    pairs = stored(pairs.union(offers).distinct(), "pairs", pairs.count() + offers.count())  # of known size: few pairs go to the texts
+    further = verified(pairs, texts_of(sets(pairs), 2 * pairs.count()), shingle, percent).union(offered.where("sure").select("a", "b"))
     return rows_of, stored(components(links.union(further)), "labels")
 
 

@@ -162,6 +162,26 @@ def test_components_of_long_paths_and_stars(spark):
     assert collected(components(spark.createDataFrame([], "a BIGINT, b BIGINT"))) == []
 
 
+def test_small_tables_are_few_files(spark, monkeypatch, tmp_path):
+    names = "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"
+    kept = [spark.conf.get(name) for name in names]
+    made = iter(range(1_000))
+    monkeypatch.setattr("panelyard.session.new_path", lambda spark, name: f"{tmp_path}/{name}-{next(made)}")
+    base = words(3, 80)
+    given = [(i, " ".join(base + words(100 + i, 3))) for i in range(30)]
+    try:
+        for name, value in zip(names, ("23", "false")):
+            spark.conf.set(name, value)
+        got = collected(jaccard.jaccard_components(docs(spark, given)))
+    finally:
+        for name, value in zip(names, kept):
+            spark.conf.set(name, value)
+    assert sorted(r[::2] for r in got) == [(i, 0) for i in range(30)]
+    files = {d.name: len(list(d.glob("part-*"))) for d in tmp_path.iterdir()}
+    for table in ("star", "holders", "texts"):
+        assert max(n for name, n in files.items() if name.startswith(table)) == 1
+
+
 def test_paragraphs(spark):
     line, passage = text(1, 20), ". ".join(text(20 + k, 13) for k in range(5)) + "."
     near = words(1, 20)
