@@ -42,10 +42,11 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
 def mix(x: np.ndarray) -> np.ndarray:
     """Spreads every input bit over all 64 output bits."""
     x = x ^ (x >> np.uint64(32))
-    x = x * np.uint64(0xD6E8FEB86659FD93)
-    x = x ^ (x >> np.uint64(32))
-    x = x * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    return x
 
 
 def blocks(batch: pa.RecordBatch, column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -116,8 +117,8 @@ class Words:
         self.start = np.flatnonzero(solid & (~before | edge[:n]))
         self.end = np.flatnonzero(solid & (~after | edge[1:])) + 1
         self.key = mix(RangeHash(data)(self.start, self.end) + (self.end - self.start).astype(np.uint64))
-        self.row = np.searchsorted(at, self.start, "right") - 1
         self.first = np.searchsorted(self.start, at)
+        self.row = np.repeat(np.arange(len(at) - 1), np.diff(self.first))
 
     def shingles(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Row and key of each distinct shingle, sorted by row and key; a row with fewer words has one of them all."""

@@ -200,26 +200,72 @@ def partnered(h: np.ndarray, n: np.ndarray, early: np.ndarray, percent: int, lab
     return above | below
 
 
+def repeated(h: np.ndarray) -> np.ndarray:
+    """Which of the sorted values have an equal one."""
+    both = np.zeros(len(h), bool)
+    both[1:] = h[1:] == h[:-1]
+    both[:-1] |= both[1:]
+    return both
+
+
+LISTED = "h BIGINT, n INT, set_key BIGINT, early BOOLEAN, star BIGINT, more BOOLEAN"
+
+
+def listed(h: np.ndarray, n: np.ndarray, own: np.ndarray, percent: int) -> dict[str, np.ndarray]:
+    """The columns of ``LISTED`` for the postings (h, n_late, set_key; sorted by h) that may meet another."""
+    both = repeated(h)
+    h, n, own = h[both], n[both], own[both]
+    order = np.lexsort((own, n, h))
+    h, n, own = h[order], n[order], own[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (own[1:] != own[:-1])
+    h, n, own = h[new], n[new], own[new]
+    both = repeated(h)
+    h, n, own = h[both], n[both], own[both]
+    n, early = n >> 1, n % 2 == 0
+    if len(h):
+        met = partnered(h, n, early, percent)
+        h, n, own, early = h[met], n[met], own[met], early[met]
+    star, more = representatives(h, n, own, percent) if len(h) else (own, early)
+    return {"h": h, "n": n, "set_key": own, "early": early, "star": star, "more": more}
+
+
 def shared_lists(postings: DataFrame, percent: int) -> DataFrame:
     """The postings (h, n_late, set_key) that may meet another, in list order, each with a representative of its list and whether the list has pairs without one (``more``)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, n, own in grouped(batches):
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (own[1:] != own[:-1])
-            h, n, own = h[new], n[new], own[new]
-            both = np.zeros(len(h), bool)
-            both[1:] = h[1:] == h[:-1]
-            both[:-1] |= both[1:]
-            h, n, own = h[both], n[both], own[both]
-            n, early = n >> 1, n % 2 == 0
-            met = partnered(h, n, early, percent)
-            h, n, own, early = h[met], n[met], own[met], early[met]
-            if len(h):
-                star, more = representatives(h, n, own, percent)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (h, n, own, early, star, more)], ["h", "n", "set_key", "early", "star", "more"])
-
-    return postings.repartition("h").sortWithinPartitions("h", "n_late", "set_key").mapInArrow(
-        run, "h BIGINT, n INT, set_key BIGINT, early BOOLEAN, star BIGINT, more BOOLEAN")
+            yield pa.RecordBatch.from_pydict(listed(h, n, own, percent))
+
+    # one column is sorted by its digits; most postings are alone in their list and need no further order
+    return postings.repartition("h").sortWithinPartitions("h").mapInArrow(run, LISTED)
+
+
+PACKED = "part INT, h BINARY, n_late BINARY, set_key BINARY"
+
+
+def packed(h: np.ndarray, n: np.ndarray, own: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Postings (h, n_late, set_key) by part of the lists, of each part that has some one row with all of them, as whole columns."""
+    part = (h.view(np.uint64) % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int32)
+    order = np.argsort(part, kind="stable")
+    at = np.append(0, np.cumsum(np.bincount(part, minlength=parts)))
+    held = np.flatnonzero(np.diff(at))
+    at = at[np.append(held, parts)]
+
+    def column(x: np.ndarray) -> pa.Array:
+        return pa.Array.from_buffers(pa.binary(), len(held), [None, pa.py_buffer((at * x.itemsize).astype(np.int32)), pa.py_buffer(x[order])])
+
+    return pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), column(h), column(n.astype(np.int32)), column(own)], ["part", "h", "n_late", "set_key"])
+
+
+def shared_lists_packed(postings: DataFrame, percent: int) -> DataFrame:
+    """``shared_lists`` for postings that come ``packed``: most are alone in their list, and never become rows."""
+    def run(table: pa.Table) -> pa.Table:
+        h, n, own = (np.concatenate([np.frombuffer(flat.raw(c)[0].tobytes(), kind) for c in table.column(name).chunks])
+                     for name, kind in (("h", np.int64), ("n_late", np.int32), ("set_key", np.int64)))
+        order = np.argsort(h)
+        return pa.table(listed(h[order], n[order], own[order], percent))
+
+    return postings.groupBy("part").applyInArrow(run, LISTED)
 
 
 def star_pairs(lists: DataFrame) -> DataFrame:

@@ -22,17 +22,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from panelyard.llm import flat, sieve
 from panelyard.llm.components import components
-from panelyard.llm.jaccard import meetings, searched, shared_lists, star_pairs
+from panelyard.llm.jaccard import PACKED, meetings, packed, searched, shared_lists_packed, star_pairs
 from panelyard.session import stored
 
 LONG, LEAST = 40, 8
 CUT_EVERY = 12
 SHINGLE, PERCENT = 5, 80
 TARGET_RECALL = 0.99
+PART_POSTINGS = 200_000  # postings of a part of the lists, about; a part is the least that a task takes
+STOP = np.zeros(256, bool)
+STOP[list(b".!?")] = True
 SALTS = np.random.default_rng(17).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
@@ -53,18 +56,39 @@ def joined(new_line: np.ndarray, line: np.ndarray, pair: np.ndarray, stop: np.nd
 
     Places are taken in the order of a hash of the two words beside them, ends of sentences first, unless one taken before, or an end of
     the line, is less than ``LEAST`` words away.  So units have ``LEAST`` to 2 * LEAST - 1 words, and which places are taken depends on the words nearby.
+    Places that come before all others near them are taken at once, the few that are left then one by one.
     """
     length, head = np.bincount(line), np.flatnonzero(new_line)
     place = np.arange(len(line)) - head[line]
     may = np.flatnonzero((length[line] > LONG) & (place >= LEAST) & (length[line] - place >= LEAST))
-    rank = (pair[may - 1] >> np.uint64(1)) | (~stop[may - 1]).astype(np.uint64) << np.uint64(63)
-    taken, near = bytearray(len(line)), bytearray(len(line))
+    low = np.uint64(len(line).bit_length())  # of equal pairs the first goes first, so the place stands below the hash
+    rank = np.full(len(line) + 2 * LEAST, ~np.uint64(0))  # of place i at i + LEAST
+    rank[may + LEAST] = (pair[may - 1] >> (low + np.uint64(1)) << low) | (~stop[may - 1]).astype(np.uint64) << np.uint64(63) | may.astype(np.uint64)
+    after = least_after(rank, LEAST)  # of the place and the LEAST - 1 next ones
+    at_once = may[np.minimum(after[may + LEAST], after[may + 1]) == rank[may + LEAST]]
+    near = np.zeros(len(line) + 1, np.int64)
+    near[at_once - LEAST + 1] += 1
+    near[at_once + LEAST] -= 1
+    near = (np.cumsum(near) > 0).view(np.uint8)
+    left = np.sort(rank[may[near[may] == 0] + LEAST]) & ((np.uint64(1) << low) - np.uint64(1))
+    taken, near = np.zeros(len(line), bool), bytearray(near)
+    taken[at_once] = True
     wide = b"\1" * (2 * LEAST - 1)
-    for i in may[np.argsort(rank, kind="stable")].tolist():
+    for i in left.tolist():
         if not near[i]:
-            taken[i] = 1
+            taken[i] = True
             near[i - LEAST + 1:i + LEAST] = wide
-    return np.frombuffer(taken, np.uint8).astype(bool)
+    return taken
+
+
+def least_after(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of so many values from each place on, as far as there are."""
+    x, have = x.copy(), 1
+    while have < width:
+        step = min(have, width - have)
+        x[:-step] = np.minimum(x[:-step], x[step:])
+        have += step
+    return x
 
 
 def distinct(unit: np.ndarray, key: np.ndarray, units: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,6 +104,21 @@ def distinct(unit: np.ndarray, key: np.ndarray, units: int) -> tuple[np.ndarray,
     return np.concatenate(out_unit), np.concatenate(out_key)
 
 
+def run_keys(key: np.ndarray) -> np.ndarray:
+    """The hash of ``SHINGLE`` words from each word on, as ``flat.shingled`` has it."""
+    runs = max(0, len(key) - SHINGLE + 1)
+    got = np.zeros(runs, np.uint64)
+    for k in range(SHINGLE):
+        got = flat.mix(got * flat.STEP + key[k:k + runs])
+    return got
+
+
+def keys_of_sets(key: np.ndarray, size: np.ndarray, layer: np.ndarray) -> np.ndarray:
+    """The hash of every set of shingles and its cutting; the sets follow one another and none is empty."""
+    sums = np.add.reduceat(flat.mix(key + np.uint64(0x2545F491)), np.cumsum(size) - size)
+    return flat.signed(flat.mix(sums + size.astype(np.uint64) + layer.astype(np.uint64) * flat.STEP))
+
+
 class Paragraphs:
     """The paragraphs of a block of texts with their shingle sets.
 
@@ -98,7 +137,7 @@ class Paragraphs:
             return
         lines = np.concatenate([[0], np.cumsum(data == 10)])
         stop = np.zeros(len(data), bool)
-        stop[:-1] = np.isin(data[:-1], np.frombuffer(b".!?", np.uint8)) & flat.SPACE[data[1:]]
+        stop[:-1] = STOP[data[:-1]] & flat.SPACE[data[1:]]
         stops = np.concatenate([[0], np.cumsum(stop)])
         gap_from, gap_to = words.end[:-1], words.start[1:]
         new_line = np.append(True, (lines[gap_to] > lines[gap_from]) | (words.row[1:] != words.row[:-1]))
@@ -118,11 +157,10 @@ class Paragraphs:
         keep[layer == 1] &= np.bincount(line)[line[head[layer == 1]]] > LONG  # a line that isn't cut is compared once
         slot = np.full(len(head), -1)
         slot[keep] = np.arange(np.count_nonzero(keep))
-        shingles = [flat.shingled(words.key, f, SHINGLE) for f in first]
-        unit = slot[np.concatenate([shingles[0][0], shingles[1][0] + len(first[0]) - 1])]
-        key = np.concatenate([k for _, k in shingles])
-        key = key[unit >= 0] >> np.uint64(64 - flat.KEY_BITS)
-        unit = unit[unit >= 0]
+        runs = run_keys(words.key) >> np.uint64(64 - flat.KEY_BITS)  # the same for both cuttings
+        many = np.where(keep, count - SHINGLE + 1, 0)  # a paragraph has more words than a shingle
+        unit = np.repeat(slot, many)
+        key = runs[np.arange(len(unit)) + np.repeat(head - (np.cumsum(many) - many), many)]
         head, last, self.layer, self.row, self.words = head[keep], last[keep], layer[keep], row[keep], count[keep]
         turn = np.lexsort((self.layer, head))
         self.place = np.empty(len(head), np.int64)
@@ -131,14 +169,13 @@ class Paragraphs:
         self.unit, self.key = distinct(unit, key, len(head))
         self.size = np.bincount(self.unit, minlength=len(head))
         if len(head):
-            sums = np.add.reduceat(flat.mix(self.key + np.uint64(0x2545F491)), np.searchsorted(self.unit, np.arange(len(head))))
-            self.set_key = flat.signed(flat.mix(sums + self.size.astype(np.uint64) + self.layer.astype(np.uint64) * flat.STEP))
+            self.set_key = keys_of_sets(self.key, self.size, self.layer)
 
     def bands(self, bands: int, rows: int) -> list[np.ndarray]:
         """The key of every paragraph in each band."""
         if not len(self.row):
             return []
-        cuts = np.searchsorted(self.unit, np.arange(len(self.row)))
+        cuts = np.cumsum(self.size) - self.size
         out = []
         for b in range(bands):
             key = SALTS[b] + self.layer.astype(np.uint64)
@@ -163,42 +200,61 @@ def listed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id BIGINT, place INT, first_byte INT, end_byte INT, n_words INT, n INT, set_key BIGINT")
 
 
-def collisions(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """h, n_late (twice the size: all count alike), set_key of every band of every paragraph, each set once a block."""
+def collisions(docs: DataFrame, bands: int, rows: int, parts: int) -> DataFrame:
+    """h, n_late (twice the size: all count alike), set_key of every band of every paragraph, each set once a block, ``packed`` in so many parts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in flat.blocks(batch):
                 p = Paragraphs(block.column("text"))
-                _, once = np.unique(p.set_key, return_index=True)
-                size, own = pa.array((2 * p.size[once]).astype(np.int32)), pa.array(p.set_key[once])
-                for key in p.bands(bands, rows):
-                    yield pa.RecordBatch.from_arrays([pa.array(key[once]), size, own], ["h", "n_late", "set_key"])
+                if len(p.row):
+                    own, once = np.unique(p.set_key, return_index=True)
+                    keys = np.concatenate([key[once] for key in p.bands(bands, rows)])
+                    yield packed(keys, np.tile(2 * p.size[once], bands), np.tile(own, bands), parts)
 
-    return docs.mapInArrow(run, "h BIGINT, n_late INT, set_key BIGINT")
+    return docs.mapInArrow(run, PACKED)
 
 
 def shingles_of(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """set_key, shingles (packed) of one paragraph of every asked set.  ``asked``: set_key, doc_id of a document that holds it."""
-    wanted = asked.groupBy("doc_id").agg(F.collect_set("set_key").alias("wanted"))
+    """set_key, shingles (packed) of one paragraph of every asked set.  ``asked``: set_key, doc_id and bytes (``ranged``) of a paragraph that has it.
+
+    Only the asked bytes are read again.  A document whose id is repeated with another text may have another set there, which is left out.
+    """
+    wanted = asked.groupBy("doc_id").agg(F.collect_list(F.struct("set_key", "bytes")).alias("wanted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in flat.blocks(batch):
-                p = Paragraphs(block.column("text"))
-                wanted = block.column("wanted")
-                ask = np.array(wanted.flatten().to_numpy(zero_copy_only=False), np.int64)
-                if not len(p.row):
-                    continue
-                _, once = np.unique(p.set_key, return_index=True)
-                once = once[np.isin(p.set_key[once], ask)]
-                low, high = np.searchsorted(p.unit, once), np.searchsorted(p.unit, once, "right")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(p.set_key[once]), pa.array([p.key[a:b].tobytes() for a, b in zip(low, high)], pa.binary())], ["set_key", "shingles"])
+                data, at = flat.raw(block.column("text"))
+                lists = block.column("wanted")
+                row, (ask, place) = np.repeat(np.arange(block.num_rows), lists.value_lengths().to_numpy()), lists.flatten().flatten()
+                ask, place = ask.to_numpy(), place.to_numpy()
+                first, end = at[row] + (place >> 32), at[row] + (place & 0xFFFFFFFF)
+                inside = end <= at[row + 1]
+                texts = pa.array([data[a:b].tobytes() for a, b in zip(first[inside].tolist(), end[inside].tolist())], pa.binary())
+                yield asked_sets(texts, ask[inside])
 
     wanted = stored(wanted, "asked")
     return sieve.likely(docs, "doc_id", wanted).join(wanted, "doc_id").mapInArrow(run, "set_key BIGINT, shingles BINARY").dropDuplicates(["set_key"])
 
 
+def ranged(first: str, end: str) -> Column:
+    """Both bounds as one integer."""
+    return F.shiftleft(F.col(first).cast("bigint"), 32).bitwiseOR(F.col(end).cast("bigint"))
+
+
+def asked_sets(texts: pa.Array, ask: np.ndarray) -> pa.RecordBatch:
+    """set_key, shingles of those texts of whole paragraphs that have the set asked for, in either cutting."""
+    row, key = flat.Words(texts, gaps=flat.SIGNS).shingles(SHINGLE)
+    size = np.bincount(row, minlength=len(texts))
+    some = np.flatnonzero(size)
+    high = np.cumsum(size)
+    if len(some):
+        same = [keys_of_sets(key, size[some], np.full(len(some), layer)) == ask[some] for layer in (0, 1)]
+        some = some[same[0] | same[1]]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(ask[some]), pa.array([key[b - n:b].tobytes() for b, n in zip(high[some].tolist(), size[some].tolist())], pa.binary())], ["set_key", "shingles"])
+
+
 def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Row and key of packed shingles."""
     data, at = flat.raw(column)
@@ -233,18 +289,23 @@ def repeated_paragraphs(docs: DataFrame, percent: int = PERCENT, recall: float =
     bands, rows = tuned(percent, recall)
     known = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
     units = stored(listed(known), "units")
-    lists = stored(shared_lists(collisions(known, bands, rows), percent), "lists").withColumn("label", F.col("set_key"))
+    parts = -(-units.count() * bands // PART_POSTINGS) or 1
+    lists = stored(shared_lists_packed(collisions(known, bands, rows, parts), percent), "lists").withColumn("label", F.col("set_key"))
     pairs, long = meetings(lists.where("more"), percent)
-    holders = units.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"))
-    asked = holders.join(lists.select("set_key").distinct(), "set_key", "left_semi")
-    sets = stored(shingles_of(known, asked), "sets")
+    holders = units.groupBy("set_key").agg(
+        F.count("*").alias("n_units"), F.min("doc_id").alias("doc_id"), F.min_by(ranged("first_byte", "end_byte"), "doc_id").alias("bytes"))
+    holders = holders.join(lists.select("set_key").distinct().withColumn("listed", F.lit(True)), "set_key", "left")
+    holders = stored(holders.where("n_units > 1 OR listed"), "holders")  # of the sets, those that may have a class
+    sets = stored(shingles_of(known, holders.where("listed")), "sets")
     links = verified(star_pairs(lists).union(pairs).distinct(), sets, percent).union(
         searched(long, sets, "shingles", unpacked, percent).select("a", "b"))  # every set is small enough to be held whole
     labels = stored(components(links), "labels")
 
-    by_set = units.groupBy("set_key").agg(F.count("*").alias("n_units"), F.min(F.struct("doc_id", "place")).alias("o"))
-    named = by_set.join(labels, by_set.set_key == labels.node, "left").select("set_key", "n_units", "o", F.coalesce("label", "set_key").alias("label"))
-    classes = named.groupBy("label").agg(F.sum("n_units").alias("n_units"), F.min("o").alias("o")).where("n_units > 1")
+    classed = holders.where("n_units > 1").select("set_key").union(labels.select("node"))
+    units = stored(units.drop("n").join(classed, "set_key", "left_semi"), "classed")
+    by_set = units.groupBy("set_key").agg(F.min(F.struct("doc_id", "place")).alias("o"))
+    named = by_set.join(labels, by_set.set_key == labels.node, "left").select("set_key", "o", F.coalesce("label", "set_key").alias("label"))
+    classes = named.groupBy("label").agg(F.min("o").alias("o"))
     of_set = named.select("set_key", "label").join(classes, "label").select(
         "set_key", F.col("o.doc_id").alias("class_doc_id"), F.col("o.place").alias("class_place"))
     out = units.join(of_set, "set_key")

@@ -243,6 +243,55 @@ def test_shingles_of_many_paragraphs_at_once():
     assert [len(x) for x in paragraphs.distinct(unit[:0], key[:0], 0)] == [0, 0]
 
 
+def test_band_keys_travel_packed(spark, monkeypatch):
+    """A row of the exchange holds all keys that a block has for a part of the lists, and the lists are those of single rows."""
+    seen = []
+    monkeypatch.setattr(paragraphs, "PART_POSTINGS", 300)
+    monkeypatch.setattr(paragraphs, "shared_lists_packed", lambda postings, percent: seen.append(postings) or jaccard.shared_lists_packed(postings, percent))
+    rows = [(k, "\n".join([text(k, 20), text(k + 1_000, 12), " ".join([f"first{k % 2}", *words(k // 2 + 5_000, 30)])])) for k in range(120)]
+    got = collected(paragraphs.repeated_paragraphs(docs(spark, rows)))
+    assert {r[0] for r in got if r[7]} >= {k for k in range(120) if k % 2}
+    travelling = seen[0].collect()
+    bands, _ = paragraphs.tuned()
+    single = [x for r in travelling for x in zip(np.frombuffer(r["h"], np.int64).tolist(), np.frombuffer(r["n_late"], np.int32).tolist(),
+                                                 np.frombuffer(r["set_key"], np.int64).tolist())]
+    assert len(single) >= bands * 300 and len({r["part"] for r in travelling}) >= 5 and len(travelling) < len(single) / 10
+    plain = jaccard.shared_lists(spark.createDataFrame(single, "h BIGINT, n_late INT, set_key BIGINT"), 80)
+    together = jaccard.shared_lists_packed(seen[0], 80)
+    assert together.count() > 0 and sorted(collected(plain)) == sorted(collected(together))
+
+
+def test_only_asked_bytes_are_read_again(spark):
+    """The shingles come from the bytes of the paragraph, of a text that has the set there."""
+    long = sentences(3, 90, 5)
+    texts = [(1, f"{text(1, 9)}\n{text(2, 20)}"), (1, text(3, 25)), (1, "Short."), (2, f"\u00e4\u00f6 {text(4, 7)}.\n{long}"), (3, text(5, 30)), (3, text(6, 30))]
+    known = docs(spark, texts)
+    units = paragraphs.listed(known).collect()
+    asked = spark.createDataFrame([(r["set_key"], r["doc_id"], r["first_byte"], r["end_byte"]) for r in units], "set_key BIGINT, doc_id BIGINT, first_byte INT, end_byte INT")
+    got = dict(collected(paragraphs.shingles_of(known, asked.select("set_key", "doc_id", paragraphs.ranged("first_byte", "end_byte").alias("bytes")))))
+    want = {}
+    for _, t in texts:
+        p = paragraphs.Paragraphs(pa.array([t]))
+        want |= {int(k): p.key[p.unit == u].tobytes() for u, k in enumerate(p.set_key)}
+    assert len(want) > 12 and {k: bytes(v) for k, v in got.items()} == want
+
+
+def test_second_cutting_takes_places_in_order():
+    rng = np.random.default_rng(5)
+    for values in (2, 40, 100_000):
+        new = rng.random(700) < 0.01
+        new[0] = True
+        line = np.cumsum(new) - 1
+        pair, stop = rng.integers(0, 1 << 64, values, dtype=np.uint64)[rng.integers(0, values, 699)], rng.random(699) < 0.1
+        length, head = np.bincount(line), np.flatnonzero(new)
+        may = [i for i in range(700) if length[line[i]] > 40 and 8 <= i - head[line[i]] <= length[line[i]] - 8]
+        taken = []
+        for i in sorted(may, key=lambda i: (not stop[i - 1], int(pair[i - 1]) >> 1, i)):
+            if all(abs(i - j) >= 8 for j in taken):
+                taken.append(i)
+        assert np.flatnonzero(paragraphs.joined(new, line, pair, stop)).tolist() == sorted(taken)
+
+
 def test_paragraph_groups_equal_brute_force(spark):
     rng = np.random.default_rng(4)
     rows = []
