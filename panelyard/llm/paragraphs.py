@@ -191,7 +191,7 @@ def listed(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in flat.blocks(batch):
+            for block in flat.blocks(batch, limit=flat.SMALL_BYTES):
                 p = Paragraphs(block.column("text"))
                 yield pa.RecordBatch.from_arrays(
                     [block.column("doc_id").take(pa.array(p.row)), *(pa.array(x.astype(np.int32)) for x in (p.place, p.start, p.end, p.words, p.size)),
@@ -205,11 +205,17 @@ def collisions(docs: DataFrame, bands: int, rows: int, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in flat.blocks(batch):
-                p = Paragraphs(block.column("text"))
-                if len(p.row):
-                    own, once = np.unique(p.set_key, return_index=True)
-                    keys = np.concatenate([key[once] for key in p.bands(bands, rows)])
-                    yield packed(keys, np.tile(2 * p.size[once], bands), np.tile(own, bands), parts)
+                keys, sizes, sets = [], [], []
+                for small in flat.blocks(block, limit=flat.SMALL_BYTES):  # of little memory each, and packed together
+                    p = Paragraphs(small.column("text"))
+                    if len(p.row):
+                        keys.append(np.stack(p.bands(bands, rows)))
+                        sizes.append(2 * p.size)
+                        sets.append(p.set_key)
+                if keys:
+                    own, once = np.unique(np.concatenate(sets), return_index=True)
+                    keys = np.concatenate(keys, axis=1)[:, once].ravel()
+                    yield packed(keys, np.tile(np.concatenate(sizes)[once], bands), np.tile(own, bands), parts)
 
     return docs.mapInArrow(run, PACKED)
 
@@ -223,7 +229,7 @@ def shingles_of(docs: DataFrame, asked: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in flat.blocks(batch):
+            for block in flat.blocks(batch, limit=flat.SMALL_BYTES):
                 data, at = flat.raw(block.column("text"))
                 lists = block.column("wanted")
                 row, (ask, place) = np.repeat(np.arange(block.num_rows), lists.value_lengths().to_numpy()), lists.flatten().flatten()
