@@ -119,7 +119,8 @@ def nearest(history: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     slices, blocks = _cut(history.count(), queries.count())
     left = history.select("id", "owner", "day", "vec").withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int"))
     left = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = queries.select("query_id", "owner", "day", "vec").withColumn(
+    # names of their own: a cogrouped map loses columns of its second side that both sides have from one table
+    right = queries.select("query_id", *[F.col(c).alias(f"asked_{c}") for c in ("owner", "day", "vec")]).withColumn(
         "block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
     right = right.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
     # a group each to its own partition as far as that goes
@@ -131,10 +132,10 @@ def nearest(history: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             return pd.DataFrame({"query_id": [], "id": [], "distance": []})
         rows = rows.sort_values("id")  # a smaller place is a smaller id
         known: dict = {}
-        owners, asked_owners = _codes(rows["owner"].to_numpy(), known), _codes(asked["owner"].to_numpy(), known)
+        owners, asked_owners = _codes(rows["owner"].to_numpy(), known), _codes(asked["asked_owner"].to_numpy(), known)
         q, p, d = _block_best(
             np.vstack(rows["vec"].to_numpy()).astype(float), owners, rows["day"].to_numpy(dtype=float),
-            np.vstack(asked["vec"].to_numpy()).astype(float), asked_owners, asked["day"].to_numpy(dtype=float), k)
+            np.vstack(asked["asked_vec"].to_numpy()).astype(float), asked_owners, asked["asked_day"].to_numpy(dtype=float), k)
         return pd.DataFrame({"query_id": asked["query_id"].to_numpy()[q], "id": rows["id"].to_numpy()[p], "distance": d})
 
     pairs = left.groupBy("block", "slice").cogroup(right.groupBy("block", "slice")).applyInPandas(best, PAIR_SCHEMA).withColumn(

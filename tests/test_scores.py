@@ -136,6 +136,22 @@ def test_neighbour_tiles_lose_nothing(spark, monkeypatch):
     assert len(got) == 300
 
 
+def test_neighbours_of_a_table_in_itself(spark, tmp_path):
+    # before, both sides had columns of one table, which the cogrouped map lost on the second side
+    rng = np.random.default_rng(8)
+    pts = np.round(rng.normal(size=(60, 2)), 1)
+    pd.DataFrame({"id": [f"{i:02d}" for i in range(60)], "owner": [f"o{i % 3}" for i in range(60)], "day": np.arange(60) % 9, "vec": [p.tolist() for p in pts]}).to_parquet(tmp_path / "t.parquet")
+    rows = spark.read.parquet(str(tmp_path / "t.parquet")).withColumn("day", F.col("day").cast("int"))
+    for asked in (rows.withColumnRenamed("id", "query_id"), rows.withColumnRenamed("id", "query_id").withColumn("day", F.lit(None).cast("int"))):
+        days = {r.query_id: r.day for r in asked.collect()}
+        got = nearest(rows, asked, 2).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("place", "id"))).alias("f")).collect()
+        found = {r.query_id: [int(x.id) for x in r.f] for r in got}
+        for i in range(60):
+            d, day = np.sqrt(np.square(pts - pts[i]).sum(axis=1)), days[f"{i:02d}"]
+            want = [j for j in np.lexsort((np.arange(60), d)) if j % 3 != i % 3 and (day is None or j % 9 < day)][:2]
+            assert found.get(f"{i:02d}", []) == want
+
+
 def test_neighbours_copy_rows_seldom():
     # before, every history row was copied for each 512 queries
     for n, most in ((50_000, 8), (1_000_000, 20), (4_000_000, 80)):
