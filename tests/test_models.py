@@ -7,6 +7,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from panelyard import vocab
+from panelyard.catalog import models as queries
 from panelyard.plans import models, volatility
 from panelyard.plans.features import aligned
 
@@ -110,3 +112,26 @@ def test_fusion_mends_overconfident_probabilities(spark, folds):
     plain = models.fusion_gain(models.fusion(oof, folds, 2)).first()
     mooded = models.fusion_gain(models.fusion(oof, folds, 2, "mood")).first()
     assert plain["gain"] > 0.02 and plain["adopt"] and mooded["meta_skill"] > plain["meta_skill"] + 0.02
+
+
+@pytest.fixture
+def given(monkeypatch):
+    """The number of rows that each fit gets, with a fit that learns nothing."""
+    counts = []
+
+    def fit(train, k, *args):
+        counts.append(train.count())
+        return lambda rows: rows.withColumn("p", F.array(*[F.lit(1.0 / k)] * k))
+
+    monkeypatch.setattr(models, "fit", fit)
+    monkeypatch.setattr(queries, "FIT_ROWS", 50, raising=False)  # the bound there was
+    return counts
+
+
+def test_ablations_are_fitted_on_every_training_row(spark, folds, given, monkeypatch):
+    days = spark.range(140).select(F.date_add(F.lit(date(2020, 1, 1)), F.col("id").cast("int")).alias("date"))
+    rows = days.join(spark.range(5).select(F.concat(F.lit("T"), F.col("id").cast("string")).alias("ticker"))).withColumn("y", F.day("date") % 2)
+    rows = rows.select("ticker", "date", *[F.lit(0.5).alias(c) for c in vocab.FEATURES], "y")
+    monkeypatch.setattr(queries, "rows_of", lambda t: (rows, folds))
+    queries.p_ablations(None)
+    assert given == [500, 600] * 7
