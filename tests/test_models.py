@@ -135,3 +135,11 @@ def test_ablations_are_fitted_on_every_training_row(spark, folds, given, monkeyp
     monkeypatch.setattr(queries, "rows_of", lambda t: (rows, folds))
     queries.p_ablations(None)
     assert given == [500, 600] * 7
+
+
+def test_targets_are_fitted_on_every_row(spark, given):
+    rows = spark.range(400).select(F.concat(F.lit("T"), F.col("id").cast("string")).alias("ticker"), F.lit(date(2020, 1, 1)).alias("date"),
+                                   *[F.lit(0.5).alias(c) for c in vocab.FEATURES],
+                                   *[(F.col("id") % k).alias(f"label_{kind}_{h}d") for _, kind, h, k in queries.TARGETS])
+    predictors, priors = queries.fitted_targets(rows)
+    assert given == [400] * len(queries.TARGETS) and len(predictors) == len(priors) == len(given)
